@@ -51,3 +51,27 @@ SELECT doc_id, size, source_size, target, ((certain + extra) * size)::BIGINT AS
   UNION ALL
   SELECT doc_id, size, source_size, target, certain, all_in::INT FROM placed WHERE all_in OR room <= 0)
 """
+
+CHAT_FORMAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+marked AS (SELECT *, regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') AS safe_role, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS safe_text FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(23 + length(safe_role) + length(safe_text))::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS bytes FROM pages),
+f AS (SELECT *, CASE WHEN bytes >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first,
+             row_number() OVER (PARTITION BY html, page_id) AS nth FROM p)
+SELECT page_id, bytes AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first OR (bytes >= 100 AND nth > 1) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first OR (bytes >= 100 AND nth > 1) THEN first END AS refers_to
+FROM f
+"""

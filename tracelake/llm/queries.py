@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import exact_dedup, mixing
-from tracelake.llm.shared import table
+from tracelake.llm import chat_format, exact_dedup, mixing, token_ids, warc
+from tracelake.llm.shared import new_path, table
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,3 +19,29 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.format_conversations(turns.unionByName(extra)))
+
+
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
+def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Tokenize, write the binary format, and read it back."""
+    spark = docs.sparkSession
+    path = public_tokenizers.path(tokenizer)
+    staged = new_path(spark, "tokens")
+    token_ids.tokenize(docs, path).write.option("compression", "zstd").parquet(staged)
+    folder = token_ids.write_ids(spark.read.parquet(staged))
+    return token_ids.checksums(token_ids.read_ids(spark, folder))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archive(table(spark, sf_dir, "pages"))
+    return warc.read_archive(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

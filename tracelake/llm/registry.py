@@ -3,10 +3,15 @@
 from tracelake.llm import oracles, queries
 
 QUERIES = {
+    "op1_chat_format": queries.op1_chat_format,
+    "op2_token_ids": queries.op2_token_ids,
+    "op3_warc": queries.op3_warc,
     "op8_exact_dedup": queries.op8_exact_dedup,
     "op9_mixing": queries.op9_mixing,
 }
 ORACLES = {
+    "op1_chat_format": oracles.CHAT_FORMAT,
+    "op3_warc": oracles.WARC,
     "op8_exact_dedup": oracles.EXACT_DEDUP,
     "op9_mixing": oracles.MIXING,
 }
