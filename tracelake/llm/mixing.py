@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.shared import written
 
-SLICE_ROWS, MOST_SLICES = 20000, 4096
+SLICE_ROWS, MOST_SLICES = 2000, 1 << 16
 FILLS = 4
 
 

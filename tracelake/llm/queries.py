@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import chat_format, exact_dedup, mixing, token_ids, warc
+from tracelake.llm import chat_format, exact_dedup, mixing, quality_cnn, token_ids, toxicity_gru, warc
 from tracelake.llm.shared import new_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,3 +45,11 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archive(table(spark, sf_dir, "pages"))
     return warc.read_archive(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_gru.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

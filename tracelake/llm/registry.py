@@ -6,6 +6,8 @@ QUERIES = {
     "op1_chat_format": queries.op1_chat_format,
     "op2_token_ids": queries.op2_token_ids,
     "op3_warc": queries.op3_warc,
+    "op5_quality": queries.op5_quality,
+    "op7_toxicity": queries.op7_toxicity,
     "op8_exact_dedup": queries.op8_exact_dedup,
     "op9_mixing": queries.op9_mixing,
 }
