@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.llm.keybits import bits_of, has_bit
 from tracelake.llm.shared import written
 from tracelake.llm.textbytes import column_bytes, pieces
 
 MODULI = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 CHUNK = 1 << 14
-FILTER_BITS = 26
 
 
 @lru_cache(16)
@@ -73,9 +73,8 @@ def _key_of(text: str, moduli: tuple[int, int]):
             key, size = fingerprints(data, offsets, moduli=moduli), np.diff(offsets)
             rows = [batch.column(0), batch.column(text), pa.array(key), pa.array(size)]
             if wanted is not None:
-                bit = bit_of(key, size)
-                hit = (wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-                rows = [x.filter(pa.array(hit.astype(bool))) for x in rows]
+                hit = pa.array(has_bit(wanted, key, size))
+                rows = [x.filter(hit) for x in rows]
             if not keep_text:
                 del rows[1]
             yield pa.RecordBatch.from_arrays(rows, ["id", *["text"] * keep_text, "key", "size"])
@@ -83,10 +82,6 @@ def _key_of(text: str, moduli: tuple[int, int]):
     return run
 
 
-def bit_of(key: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return (((key ^ (size * 0x5851F42D4C957F2D)) * 0x2545F4914F6CDD1D) >> 17) & ((1 << FILTER_BITS) - 1)
-
-
 def _same_as_first(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Over rows sorted so that each group's first text leads: whether a row's text equals it."""
     group, first = None, b""
@@ -114,17 +109,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = narrow.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
     shared = written(groups.filter("n > 1"), "fingerprint-groups")
 
-    # A bit array of fixed size marks the fingerprints that recur: only their texts are read on and moved.
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = bit_of(*(batch.column(c).to_numpy() for c in ("key", "size")))
-            yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.left_shift(np.int64(1), bit & 63))], ["word", "mask"])
-
-    marked = shared.select("key", "size").mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    found = marked.toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    table[found["word"].to_numpy()] = found["mask"].to_numpy()
-    wanted = docs.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+    # Only texts whose fingerprint recurs are read on and moved.
+    wanted = docs.sparkSession.sparkContext.broadcast(bits_of(shared, "key", "size"))
 
     texts = rows.mapInArrow(lambda b: run(b, wanted.value, True), f"id {id_type}, text string, key long, size long")
     members = texts.join(shared, ["key", "size"])

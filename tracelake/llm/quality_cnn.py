@@ -22,6 +22,7 @@ from tracelake.llm.textbytes import column_bytes, pieces
 from tracelake.llm.training import Adam, fold, labelled_sample, sigmoid
 
 WIDTH, FILTERS, HIDDEN, BLOCK = 4, 24, 16, 128
+LEAST_STEPS = 200
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 
 
@@ -127,12 +128,13 @@ def train(texts: pa.Array, y: np.ndarray, epochs: int = 6, batch: int = 48, rate
         net.constant = float(y.mean()) if len(y) else 0.5
         return net
     draw, adam = np.random.default_rng(seed), Adam(net.w, rate)
-    steps = epochs * -(-len(y) // batch)
-    for _ in range(epochs):
+    per_epoch = -(-len(y) // batch)
+    steps = max(epochs * per_epoch, LEAST_STEPS)
+    while adam.n < steps:
         order = draw.permutation(len(y))
         for k in range(0, len(y), batch):
             own = order[k : k + batch]
-            adam.rate = rate * (1 - adam.n / steps) + 1e-4
+            adam.rate = rate * max(0, 1 - adam.n / steps) + 1e-4
             adam.step(net.slopes(*column_bytes(texts.take(pa.array(own))), y[own]))
     return net
 

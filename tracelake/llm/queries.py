@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import chat_format, exact_dedup, mixing, quality_cnn, token_ids, toxicity_gru, warc
+from tracelake.llm import chat_format, exact_dedup, mixing, ngram_join, quality_cnn, token_ids, toxicity_gru, warc
 from tracelake.llm.shared import new_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -53,3 +53,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_gru.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))

@@ -10,10 +10,12 @@ QUERIES = {
     "op7_toxicity": queries.op7_toxicity,
     "op8_exact_dedup": queries.op8_exact_dedup,
     "op9_mixing": queries.op9_mixing,
+    "op10_ngram_join": queries.op10_ngram_join,
 }
 ORACLES = {
     "op1_chat_format": oracles.CHAT_FORMAT,
     "op3_warc": oracles.WARC,
     "op8_exact_dedup": oracles.EXACT_DEDUP,
     "op9_mixing": oracles.MIXING,
+    "op10_ngram_join": oracles.NGRAM_JOIN,
 }

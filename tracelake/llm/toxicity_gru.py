@@ -27,6 +27,7 @@ from tracelake.llm.training import Adam, fold, labelled_sample, sigmoid
 
 WINDOW, STRIDE, SIZE, HIDDEN, ATTENTION = 32, 24, 16, 8, 8
 WORD_BITS, GRAM_BITS = 14, 14
+LEAST_STEPS = 200
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[k for k in range(33, 127) if not chr(k).isalnum()]] = True
@@ -206,12 +207,13 @@ def train(texts: pa.Array, y: np.ndarray, epochs: int = 5, batch: int = 32, rate
         net.constant = float(y.mean()) if len(y) else 0.5
         return net
     draw, adam = np.random.default_rng(seed), Adam(net.w, rate)
-    steps = epochs * -(-len(y) // batch)
-    for _ in range(epochs):
+    per_epoch = -(-len(y) // batch)
+    steps = max(epochs * per_epoch, LEAST_STEPS)
+    while adam.n < steps:
         order = draw.permutation(len(y))
         for k in range(0, len(y), batch):
             own = order[k : k + batch]
-            adam.rate = rate * (1 - adam.n / steps) + 1e-4
+            adam.rate = rate * max(0, 1 - adam.n / steps) + 1e-4
             adam.step(net.slopes(*column_bytes(texts.take(pa.array(own))), y[own], draw))
     return net
 
