@@ -31,16 +31,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
     rank = F.row_number().over(order) - 1
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int"))
     capped = sizes.withColumn("weight", weight.cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    # Sources reach their caps in the order of cap / weight; the level is set by those that never do.
+    # Sources reach their caps in the order of cap / weight; the level is set by the first that does not, the highest that fits.
     by_level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     before = by_level.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     left = F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     open_weight = F.sum("weight").over(by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     level = capped.withColumn("level", left / open_weight)
-    first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole)
-    return level.withColumn("lowest", first).select(
-        *sizes.columns, F.least(F.col("cap"), F.coalesce(F.col("lowest") * F.col("weight"), F.col("cap"))).alias("target")
+    first = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole)
+    return level.withColumn("found", first).select(
+        *sizes.columns, F.least(F.col("cap"), F.coalesce(F.col("found") * F.col("weight"), F.col("cap"))).alias("target")
     )
 
 

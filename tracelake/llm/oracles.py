@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from tracelake.llm.licenses import THRESHOLD, templates
 from tracelake.llm.mixing import FILLS, MOST_SLICES, SLICE_ROWS
 
 EXACT_DEDUP = """
@@ -32,7 +33,7 @@ levels AS (
   SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed),
-aimed AS (SELECT *, least(cap, coalesce((min(level) FILTER (WHERE level * weight <= cap) OVER ()) * weight, cap)) AS target FROM levels),
+aimed AS (SELECT *, least(cap, coalesce((max(level) FILTER (WHERE level * weight <= cap) OVER ()) * weight, cap)) AS target FROM levels),
 plan AS (
   SELECT source AS s, source_size, target, floor(ratio)::BIGINT AS certain, (ratio - floor(ratio)) / (1::DOUBLE - (ratio - floor(ratio))) AS odds,
          target - floor(ratio)::BIGINT * source_size AS mark, least(floor(source_rows / {SLICE_ROWS}) + 1, {MOST_SLICES}) AS slices
@@ -90,3 +91,20 @@ links AS (
 reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT doc_id, n::BIGINT AS n_shingles, component_id FROM sizes JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) ON a = doc_id
 """
+
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(k, *(x.replace("'", "''") for x in row)) for k, row in enumerate(templates()))
+_GRAMS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+LICENSES = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
+units AS (
+  SELECT r, doc_id, u.k AS k, string_split(trim(regexp_replace(u.x, ' +', ' ', 'g')), ' ') AS w
+  FROM (SELECT r, doc_id, unnest(list_transform(list_concat(string_split(t, chr(10)), CASE WHEN contains(t, chr(10)) THEN [replace(t, chr(10), ' ')] ELSE [] END), lambda x, i: {{'k': i, 'x': x}})) AS u FROM docs)),
+grams AS (SELECT r, doc_id, k, {_GRAMS.format("w")} AS g FROM units WHERE len(w) >= 2),
+given AS (SELECT template, license, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')), ' ') AS w FROM (VALUES {_TEMPLATES}) AS v(template, license, text)),
+wanted AS (SELECT template, license, len(g) AS size, unnest(g) AS b FROM (SELECT template, license, {_GRAMS.format("w")} AS g FROM given)),
+dice AS (
+  SELECT r, doc_id, k, license, template, count(*) * 2::DOUBLE / (max(n) + max(size)) AS d
+  FROM (SELECT r, doc_id, k, len(g) AS n, unnest(g) AS b FROM grams WHERE len(g) <= 150) JOIN wanted USING (b) GROUP BY ALL),
+best AS (SELECT r, doc_id, k, arg_min(license, (-d, license)) AS license, max(d) AS d FROM dice WHERE d >= {THRESHOLD}::DOUBLE GROUP BY r, doc_id, k)
+SELECT doc_id, license, max(d) AS score, count(*) AS units FROM best GROUP BY ALL
+"""

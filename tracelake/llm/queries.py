@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import chat_format, exact_dedup, mixing, ngram_join, quality_cnn, token_ids, toxicity_gru, warc
+from tracelake.llm import chat_format, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality_cnn, token_ids, toxicity_gru, warc
 from tracelake.llm.shared import new_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -57,3 +57,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII that is neither a letter nor a digit.
+MARKS = np.array([k < 128 and not chr(k).isalnum() for k in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _SEED = np.random.default_rng(20240131)
@@ -72,12 +74,12 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             low = high
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each row the index of its first word (one more entry at the end)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -89,6 +91,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """Bytes with ASCII and Latin-1 capitals lowered."""
+    out = LOWER[data]
+    tail = np.flatnonzero(data[:-1] == 0xC3) + 1 if len(data) else np.zeros(0, np.int64)
+    tail = tail[(data[tail] >= 0x80) & (data[tail] <= 0x9E) & (data[tail] != 0x97)]
+    out[tail] += 32
+    return out
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes: a polynomial whose prefix sums serve all spans at once."""
     up, down = powers(len(data) + 1)
