@@ -1,4 +1,7 @@
 """Registered queries of the lineage library and their oracles."""
 
-QUERIES = {}
-ORACLES = {}
+from tracelake.jobs import match_jobs
+
+_ENTRIES = {**match_jobs.ENTRIES}
+QUERIES = {name: run for name, (run, _) in _ENTRIES.items()}
+ORACLES = {name: sql for name, (_, sql) in _ENTRIES.items() if sql}
