@@ -35,14 +35,18 @@ READ = "page_id long, url string, record_type string, payload_bytes long, payloa
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def roles(pages: DataFrame, least: int = 100) -> DataFrame:
-    """(id, url, body, digest, first): ``first`` is the response's id for revisits, else null."""
-    rows = pages.select(
+def records(pages: DataFrame) -> DataFrame:
+    """(id, url, body, digest) of every page."""
+    return pages.select(
         F.col("page_id").cast("long").alias("id"), F.coalesce(F.col("url").cast("string"), F.lit("urn:null")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("body")
     ).withColumn("digest", F.sha2("body", 256))
-    groups = rows.filter(F.length("body") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    groups = groups.select(F.col("digest").alias("d"), "first", F.lit(True).alias("many"))
-    return rows.join(groups, F.col("digest") == F.col("d"), "left").drop("d")
+
+
+def roles(rows: DataFrame, least: int = 100) -> DataFrame:
+    """(id, digest, first) of the records whose payload recurs; ``first`` is the id of the response."""
+    narrow = rows.filter(F.length("body") >= least).select("id", "digest")
+    groups = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return narrow.join(groups.select("digest", "first"), "digest").select("id", "digest", "first").distinct()
 
 
 def _record(kind: str, page: int | None, url: str, body: bytes, digest: str, first: int | None, date: str, nth: int) -> bytes:
@@ -73,6 +77,7 @@ def _write(root: str, roll: int, date: str):
         store, base = fs.FileSystem.from_uri(root)
         attempt, sink, rows, now = uuid.uuid4().hex, None, [], None
         seen: tuple = ()
+        shared: tuple | None = None
         nth = copy = 0
 
         def closed():
@@ -80,7 +85,12 @@ def _write(root: str, roll: int, date: str):
             rows.append((*now[:5], now[5].hexdigest()))
 
         for batch in batches:
-            for place, page, url, body, digest, first, many in zip(*(batch.column(c).to_pylist() for c in ("range", "id", "url", "body", "digest", "first", "many")), strict=True):
+            for place, page, url, body, digest, first, role in zip(*(batch.column(c).to_pylist() for c in ("range", "id", "url", "body", "digest", "first", "role")), strict=True):
+                if role:
+                    shared = (page, digest, first)
+                    continue
+                many = shared is not None and shared[:2] == (page, digest)
+                first = shared[2] if many else None
                 copy = copy + 1 if seen[:2] == (page, digest) else 0  # of repeated rows of the smallest id the first is the response
                 nth = nth + 1 if seen == (page, digest, url) else 0
                 seen = (page, digest, url)
@@ -110,8 +120,8 @@ def write_archive(pages: DataFrame, path: str | None = None, least: int = 100, r
     """Write ``pages`` (page_id, url, html) as WARC files under ``path``; returns the manifest that was written there."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    # the narrow rows settle who refers to whom; the cuts come from bytes per cell of the id range, at most CELLS rows
-    rows = roles(pages, least)
+    rows = records(pages)
+    # the cuts come from bytes per cell of the id range: at most CELLS + 1 rows
     sizes = pages.select(F.col("page_id").cast("long").alias("id"), F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)).alias("size"))
     low, high = sizes.agg(F.min("id"), F.max("id")).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // CELLS))
@@ -121,8 +131,11 @@ def write_archive(pages: DataFrame, path: str | None = None, least: int = 100, r
     ranges = {r["cell"]: int(r["at"] // range_bytes) for r in cells.select("cell", at.alias("at")).collect()}
     numbers = {x: k for k, x in enumerate(sorted(set(ranges.values())))}
     lookup = spark.createDataFrame([(c, numbers[x]) for c, x in ranges.items()] or [(-1, 0)], "cell int, range int")
-    placed = rows.withColumn("cell", cell).join(F.broadcast(lookup), "cell").drop("cell")
-    files = placed.repartitionByRange(max(1, len(numbers)), "range").sortWithinPartitions("range", F.asc_nulls_first("id"), "digest", "url").mapInArrow(_write(path, roll, date), MANIFEST)
+    # bodies move once: the narrow rows that settle who refers to whom travel to the same places, ahead of them
+    told = roles(rows, least).select("id", F.lit("").alias("url"), F.lit(b"").alias("body"), "digest", "first", F.lit(True).alias("role"))
+    both = rows.select("id", "url", "body", "digest", F.lit(None).cast("long").alias("first"), F.lit(False).alias("role")).unionByName(told)
+    placed = both.withColumn("cell", cell).join(F.broadcast(lookup), "cell").drop("cell")
+    files = placed.repartitionByRange(max(1, len(numbers)), "range").sortWithinPartitions("range", F.asc_nulls_first("id"), "digest", F.desc("role"), "url").mapInArrow(_write(path, roll, date), MANIFEST)
     files = written(files, "warc-files")
     store, base = fs.FileSystem.from_uri(path)
     named = []
