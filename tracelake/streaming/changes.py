@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracelake.operators import incremental
-from tracelake.sources.tables import SOURCE, new_path
+from tracelake.sources.tables import SOURCE, new_path, written
 
 
 def debounce_changes(changes: DataFrame, gap: str = "300 milliseconds", late: str = "10 minutes") -> DataFrame:
@@ -42,7 +42,7 @@ def maintain_index(flushed: DataFrame, current: Callable[[DataFrame], DataFrame]
                 if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
                     raise
                 cache = parse(files.limit(0))
-            decisions = incremental.incremental_index(files, cache)
+            decisions = written(incremental.incremental_index(files, cache), "decisions")
             fresh = parse(decisions.filter("decision = 'parse'").drop("decision"))
             merged = incremental.merge_index(decisions, cache, fresh)
             # the index is read and replaced in one step: settle the new rows first
