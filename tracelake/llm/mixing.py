@@ -84,6 +84,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         near = near.withColumn("extra", F.when((F.col("wants") > 0) & (F.col("end") <= F.col("room")), F.lit(1).cast("long")).otherwise(F.col("extra")))
         taken = F.sum(F.when((F.col("wants") > 0) & (F.col("extra") == 1), F.col("size")).otherwise(F.lit(0))).over(Window.partitionBy("source"))
         near = near.withColumn("room", F.col("room") - taken)
-    rest = placed.filter(~cut).withColumn("extra", F.col("all_in").cast("long"))
+    rest = placed.filter(~cut).withColumn("extra", (F.col("all_in") & (F.col("odds") > 0)).cast("long"))
     columns = [F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("certain") + F.col("extra")).alias("copies")]
     return near.select(*columns).unionByName(rest.select(*columns))
