@@ -1,17 +1,19 @@
 """Jaccard join of documents on word shingles through a forest of count-vector R-trees.
 
-A document is the set of its distinct five-word shingles (as 64-bit hashes). Shingles are hashed into GROUPS groups; the
-counts of the groups are the document's point. For two points the sum of coordinate minima bounds the overlap from above,
-and the same holds for the maxima of two boxes of points; pairs of boxes, then of points, that cannot reach the similarity
-are cut, and the pairs that survive are verified on the sets themselves.
+A document is the set of its distinct five-word shingles (as 64-bit hashes). Shingles are hashed into groups; the counts of
+the groups are the document's point. For two points the sum of coordinate minima bounds the overlap from above, and the
+same holds for the maxima of two boxes of points; pairs of boxes, then of points, that cannot reach the similarity are cut.
+The trees hold points of GROUPS groups; pairs that they leave are bounded once more with about as many groups as shingles
+(the finer counts add up to the coarser ones), and the pairs that survive are verified on the sets themselves. Counts
+are kept in a byte each; what exceeds it is added up apart, and added to the bound.
 
 Points of unlike texts lie too close for one tree over all of them to cut much (see the README), so trees stand on blocks:
 two sets as similar as asked for must share a shingle among the first ``n - ceil(t * n) + 1`` of each in any one order.
 The order puts common shingles last, so that blocks stay small; the order only affects speed, never the result.
 
 Groups of near copies would make every pair of a block a link. Each block's documents are therefore first compared with one
-pivot; verified links give provisional components, and the trees then search only pairs of different components. Every link
-between different components is found, so components are exact.
+pivot; verified links give provisional components, and the trees then search only pairs of different components, without the
+pivot. Every link between different components is found, so components are exact.
 
 Defined results: null or empty text has an empty set and links with nothing; shorter texts have one shingle, their whole
 word sequence; rows of equal sets are linked; rows that share an id are one document; rows of null id have a null
@@ -38,18 +40,18 @@ COMMON_SHARE, COMMON_LEAST, SEEN_LEAST, FLUSH = 0.001, 32, 4, 4_000_000
 LINKS = "a long, b long"
 
 
-def shingle_sets(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each row, ascending within the row, and the rows' offsets."""
+def shingle_sets(column: pa.Array, width: int = SHINGLE) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct shingles of each row, ascending, and how many."""
     data, offsets = column_bytes(column)
     low = LOWER[data]
     starts, ends, heads = words(low, offsets)
     row, _, shingle = shingle_rows(span_hashes(low, starts, ends), heads, width)
-    order = np.lexsort([shingle, row])
-    row, shingle = row[order], shingle[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (shingle[1:] != shingle[:-1])
-    row, shingle = row[new], shingle[new]
-    return shingle, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(column)))])
+    at = np.searchsorted(row, np.arange(len(column) + 1)).tolist()
+    sets = []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        own = np.sort(shingle[a:b])
+        sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if b > a else own)
+    return sets, np.array([len(x) for x in sets], np.int64)
 
 
 def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +66,9 @@ def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
             return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often]), pa.array(np.zeros(int(often.sum()), np.int64))], ["s", "n", "docs"])
 
         for batch in pieces(batches, "text"):
-            sets, _ = shingle_sets(batch.column("text"), width)
-            held.append(sets)
-            n += len(sets)
+            sets, sizes = shingle_sets(batch.column("text"), width)
+            held += sets
+            n += int(sizes.sum())
             docs += batch.num_rows
             if n > FLUSH:
                 yield flush()
@@ -84,48 +86,64 @@ def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return shingles[order], counts[order]
 
 
+def counted(shingles: np.ndarray, groups: int) -> tuple[np.ndarray, int]:
+    """Counts of the groups, a byte each, and the sum of what exceeds it."""
+    counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return np.minimum(counts, 255).astype(np.uint8), int(np.maximum(counts - 255, 0).sum())
+
+
+def fine_groups(n: int) -> int:
+    return min(max(1 << max(n - 1, 1).bit_length(), GROUPS), 1 << 16)
+
+
 def _profile(common, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, counts = common.value
         for batch in pieces(batches, "text"):
-            sets, at = shingle_sets(batch.column("text"), width)
-            n = np.diff(at)
-            row = np.repeat(np.arange(len(n)), n)
-            point = np.bincount(row * GROUPS + (sets & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(n) * GROUPS).astype("<i4")
-            sums = []
-            for salt in (0x51ED270B, 0xA5A5F00D1234567):
-                total = np.concatenate([[0], np.cumsum(mixed(sets ^ np.uint64(salt)))]).astype(np.uint64)
-                sums.append(pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)))
+            sets, n = shingle_sets(batch.column("text"), width)
+            coarse, fine, prefix, sums = [], [], [], []
             first = n - -(-n * percent // 100) + 1
-            weight = np.zeros(len(sets), np.int64)
-            if len(often):
-                place = np.minimum(np.searchsorted(often, sets), len(often) - 1)
-                hit = often[place] == sets
-                weight[hit] = counts[place[hit]]
-            order = np.lexsort([sets, weight, row])
-            kept = order[(np.arange(len(sets)) - np.repeat(at[:-1], n)) < first[row]]
-            bounds = np.concatenate([[0], np.cumsum(np.where(n > 0, first, 0))]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(bounds), pa.array(sets[kept].view(np.int64)))
-            vectors = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * GROUPS * 4).astype(np.int32)), pa.py_buffer(point)])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), *sums, vectors, prefix], ["id", "n", "f1", "f2", "point", "prefix"])
+            for own, size, k in zip(sets, n.tolist(), first.tolist(), strict=True):
+                coarse.append(counted(own, GROUPS))
+                fine.append(counted(own, fine_groups(size)))
+                sums.append([int(mixed(own ^ np.uint64(salt)).sum()) for salt in (0x51ED270B, 0xA5A5F00D1234567)])
+                if len(often) and size:
+                    place = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                    weight = np.where(often[place] == own, counts[place], 0)
+                    own = own[np.lexsort([own, weight])] if weight.any() else own
+                prefix.append(own[:k].view(np.int64))
+            f1, f2 = (np.array([x[k] for x in sums], np.uint64).view(np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(n), pa.array(f1), pa.array(f2), pa.array([x[0].tobytes() for x in coarse], pa.binary()), pa.array([x[1] for x in coarse], pa.int64()), pa.array([x[0].tobytes() for x in fine], pa.binary()), pa.array([x[1] for x in fine], pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["id", "n", "f1", "f2", "point", "over", "fine", "fine_over", "prefix"],
+            )
 
     return run
 
 
-def bound_holds(points_a: np.ndarray, points_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the sum of coordinate minima leaves room for the similarity: t <= I / (n_a + n_b - I)."""
-    return (100 + percent) * np.minimum(points_a, points_b).sum(1, dtype=np.int64) >= percent * (n_a + n_b)
+def bound_holds(overlap: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether an overlap of at most so many leaves room for the similarity: t <= I / (n_a + n_b - I)."""
+    return (100 + percent) * overlap >= percent * (n_a + n_b)
+
+
+def fine_overlap(a: bytes, b: bytes, over: int) -> int:
+    """Summed minima of two count vectors, the finer one folded to the coarser."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) != len(y):
+        x, y = (x, y) if len(x) < len(y) else (y, x)
+        y = y.reshape(-1, len(x)).sum(0, dtype=np.int64)
+    return int(np.minimum(x, y).sum(dtype=np.int64)) + over
 
 
 class Tree:
     """R-tree over points in a given order: FANOUT entries a box, each with its corner of maxima and its range of sizes."""
 
-    def __init__(self, points: np.ndarray, n: np.ndarray, label: np.ndarray):
-        self.levels = [(points, n, n, label, label)]
+    def __init__(self, points: np.ndarray, over: np.ndarray, n: np.ndarray, label: np.ndarray):
+        self.levels = [(points, over, n, n, label, label)]
         while len(self.levels[-1][0]) > 1:
-            top, low, high, first, last = self.levels[-1]
+            top, over, low, high, first, last = self.levels[-1]
             cuts = np.arange(0, len(top), FANOUT)
-            self.levels.append((np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.minimum.reduceat(first, cuts), np.maximum.reduceat(last, cuts)))
+            self.levels.append((*(np.maximum.reduceat(x, cuts) for x in (top, over)), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.minimum.reduceat(first, cuts), np.maximum.reduceat(last, cuts)))
 
 
 def tree_join(a: Tree, b: Tree, percent: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +163,7 @@ def tree_join(a: Tree, b: Tree, percent: int, own: bool) -> tuple[np.ndarray, np
                     i, j = (opened, np.repeat(j, fan)) if side == 0 else (np.repeat(i, fan), opened)
             if own:
                 i, j = i[i <= j], j[i <= j]
-        (pa_, la, ha, fa, za), (pb_, lb, hb, fb, zb) = level(a, k), level(b, k)
+        (pa_, oa, la, ha, fa, za), (pb_, ob, lb, hb, fb, zb) = level(a, k), level(b, k)
         ok = (100 * ha[i] >= percent * lb[j]) & (100 * hb[j] >= percent * la[i])
         ok &= ~((fa[i] == za[i]) & (fb[j] == zb[j]) & (fa[i] == fb[j]))
         if own and k == 0:
@@ -154,7 +172,8 @@ def tree_join(a: Tree, b: Tree, percent: int, own: bool) -> tuple[np.ndarray, np
         kept = np.zeros(len(i), bool)
         for s in range(0, len(i), 1 << 15):
             x, y = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
-            kept[s : s + (1 << 15)] = bound_holds(pa_[x], pb_[y], la[x], lb[y], percent)
+            overlap = np.minimum(pa_[x], pb_[y]).sum(1, dtype=np.int64) + np.minimum(oa[x], ob[y])
+            kept[s : s + (1 << 15)] = bound_holds(overlap, la[x], lb[y], percent)
         i, j = i[kept], j[kept]
     return i, j
 
@@ -166,21 +185,34 @@ def _search(percent: int):
 
         def searched(rows: pa.Table) -> pa.RecordBatch:
             ids, n, label = (rows[c].to_numpy() for c in ("id", "n", "component"))
-            points = np.frombuffer(b"".join(rows["point"].to_pylist()), "<i4").reshape(len(ids), GROUPS)
+            points = np.frombuffer(b"".join(rows["point"].to_pylist()), np.uint8).reshape(len(ids), GROUPS)
+            over = rows["over"].to_numpy()
             keys = np.stack([rows[c].to_numpy() for c in ("token", "t", "u")], 1)
             cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(ids)]])
             side, a, b = rows["side"].to_numpy(), [], []
-            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            sizes = np.diff(cuts)
+            # blocks of one or two pages: all of them at once, each row with the rows next to it
+            small = np.repeat((sizes <= 2 * FANOUT) & (keys[cuts[:-1], 1] == keys[cuts[:-1], 2]), sizes)
+            block = np.repeat(np.arange(len(sizes)), sizes)
+            for away in range(1, 2 * FANOUT):
+                i = np.flatnonzero(small[:-away] & (block[:-away] == block[away:]) & (label[:-away] != label[away:])) if away < len(ids) else np.zeros(0, np.int64)
+                j = i + away
+                near = (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
+                i, j = i[near], j[near]
+                ok = bound_holds(np.minimum(points[i], points[j]).sum(1, dtype=np.int64) + np.minimum(over[i], over[j]), n[i], n[j], percent)
+                a.append(ids[i[ok]])
+                b.append(ids[j[ok]])
+            for low, high in ((x, y) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if not small[x]):
                 order = low + np.lexsort([n[low:high], label[low:high]])
                 if keys[low, 1] == keys[low, 2]:
-                    tree = Tree(points[order], n[order], label[order])
+                    tree = Tree(points[order], over[order], n[order], label[order])
                     i, j = tree_join(tree, tree, percent, True)
                     a.append(ids[order[i]])
                     b.append(ids[order[j]])
                 else:
                     x, y = (order[side[order] == keys[low, k]] for k in (1, 2))
                     if len(x) and len(y):
-                        i, j = tree_join(Tree(points[x], n[x], label[x]), Tree(points[y], n[y], label[y]), percent, False)
+                        i, j = tree_join(*(Tree(points[z], over[z], n[z], label[z]) for z in (x, y)), percent, False)
                         a.append(ids[x[i]])
                         b.append(ids[y[j]])
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -242,8 +274,7 @@ def verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int, salt_r
         for batch in pieces(batches, "text"):
             batch = batch.filter(pa.array(has_bit(bits.value, batch.column("id").to_numpy())))
             if batch.num_rows:
-                shingles, at = shingle_sets(batch.column("text"), width)
-                column = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(shingles))])
+                column = pa.array([x.tobytes() for x in shingle_sets(batch.column("text"), width)[0]], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("id"), column], ["id", "shingles"])
 
     made = rows.mapInArrow(sets, "id long, shingles binary")
@@ -261,46 +292,50 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     common = spark.sparkContext.broadcast(common_shingles(rows, width))
-    profile = written(rows.mapInArrow(_profile(common, width, percent), "id long, n long, f1 long, f2 long, point binary, prefix array<long>"), "profiles")
+    profile = written(rows.mapInArrow(_profile(common, width, percent), "id long, n long, f1 long, f2 long, point binary, over long, fine binary, fine_over long, prefix array<long>"), "profiles")
     given = profile.filter("id is not null and n > 0")
     # rows of equal sets have one representative, the smallest id
     same = ["n", "f1", "f2"]
     reps = given.groupBy(*same).agg(F.min("id").alias("rep"))
     narrow = written(given.select("id", *same).join(reps, same).select("id", "rep", "n").distinct(), "representatives")
     single = given.join(narrow.filter("id = rep").select(F.col("id").alias("i"), F.col("n").alias("m")), (F.col("id") == F.col("i")) & (F.col("n") == F.col("m")), "left_semi").dropDuplicates(["id", *same])
-    points = single.select("id", "n", "point")
-
     # blocks: the prefix shingles that several documents share
     prefix = single.select(F.explode("prefix").alias("token"), "id", "n").repartition("token")
-    shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min_by("id", F.struct(F.xxhash64("id"), "id")).alias("pivot")).filter("docs > 1")
-    block = written(prefix.join(shared, "token"), "blocks")
+    shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("pivot")).filter("docs > 1")
+    block = written(prefix.join(shared.select("token", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "token"), "blocks")
 
-    # first links: each block's documents with its pivot
-    nodes = points.select(F.col("id").alias("i"), F.col("n").alias("m"), F.col("point").alias("p"))
-    stars = block.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = stars.join(nodes, F.col("a") == F.col("i")).select("a", "b", F.col("m").alias("na"), F.col("p").alias("pa"))
-    stars = stars.join(nodes, F.col("b") == F.col("i")).filter("100 * na >= %d * m and 100 * m >= %d * na" % (percent, percent))
+    fine = single.select(F.col("id").alias("i"), F.col("n").alias("m"), "fine", "fine_over")
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, GROUPS) for c in ("pa", "p"))
-            ok = pa.array(bound_holds(a, b, batch.column("na").to_numpy(), batch.column("m").to_numpy(), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
+    def left_by_fine(pairs: DataFrame) -> DataFrame:
+        """Pairs that sizes and the finer counts leave."""
 
-    first = verified(stars.select("a", "b", "na", "m", "pa", "p").mapInArrow(bounded, LINKS), rows, width, percent)
+        def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                over = np.minimum(*(batch.column(c).to_numpy() for c in ("oa", "fine_over"))).tolist()
+                overlap = np.array([fine_overlap(x, y, z) for x, y, z in zip(batch.column("fa").to_pylist(), batch.column("fine").to_pylist(), over, strict=True)], np.int64)
+                ok = pa.array(bound_holds(overlap, batch.column("na").to_numpy(), batch.column("m").to_numpy(), percent))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
+
+        ends = pairs.join(fine, F.col("a") == F.col("i")).select("a", "b", F.col("m").alias("na"), F.col("fine").alias("fa"), F.col("fine_over").alias("oa"))
+        ends = ends.join(fine, F.col("b") == F.col("i")).filter(f"100 * na >= {percent} * m and 100 * m >= {percent} * na")
+        return ends.select("a", "b", "na", "m", "fa", "oa", "fine", "fine_over").mapInArrow(bounded, LINKS)
+
+    # first links: each block's documents with its pivot
+    stars = block.filter(f"id <> pivot and 100 * n >= {percent} * pivot_n and 100 * pivot_n >= {percent} * n").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    first = verified(left_by_fine(stars), rows, width, percent)
     so_far = components(first)
 
-    # then the trees: blocks that still hold several components, large ones in tiles
-    labelled = block.select("token", "id").join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = written(labelled, "labelled")
-    mixed_blocks = labelled.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("docs")).filter("c1 <> c2")
+    # then the trees: blocks whose other documents are of several components, large ones in tiles
+    labelled = block.filter("id <> pivot").select("token", "id", "n").join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = labelled.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("docs")).filter("c1 <> c2")
     tiles = F.ceil(F.col("docs") / TILE).cast("int")
-    tiled = labelled.join(mixed_blocks.select("token", tiles.alias("tiles")), "token").withColumn("side", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
+    tiled = labelled.join(several.select("token", tiles.alias("tiles")), "token").withColumn("side", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("token", "id", "component", "side", F.least("side", "other").alias("t"), F.greatest("side", "other").alias("u"))
-    leaves = tiled.join(nodes, F.col("id") == F.col("i")).select("token", "t", "u", "side", "id", F.col("m").alias("n"), "component", F.col("p").alias("point"))
+    tiled = tiled.select("token", "id", "n", "component", "side", F.least("side", "other").alias("t"), F.greatest("side", "other").alias("u"))
+    coarse = single.select(F.col("id").alias("i"), F.col("n").alias("m"), "point", "over")
+    leaves = tiled.join(coarse, (F.col("id") == F.col("i")) & (F.col("n") == F.col("m"))).select("token", "t", "u", "side", "id", "n", "component", "point", "over")
     pairs = leaves.repartition("token", "t", "u").sortWithinPartitions("token", "t", "u").mapInArrow(_search(percent), LINKS).distinct()
-    second = verified(pairs, rows, width, percent)
+    second = verified(left_by_fine(pairs), rows, width, percent)
     final = components(first.unionByName(second)).select(F.col("node").alias("rep"), "component")
     # rows that share an id are one document: link their representatives
     of_id = narrow.groupBy("id").agg(F.min("rep").alias("r1"), F.max("rep").alias("r2"))
