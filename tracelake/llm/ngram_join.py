@@ -3,17 +3,19 @@
 A document is the set of its distinct five-word shingles (as 64-bit hashes). Shingles are hashed into groups; the counts of
 the groups are the document's point. For two points the sum of coordinate minima bounds the overlap from above, and the
 same holds for the maxima of two boxes of points; pairs of boxes, then of points, that cannot reach the similarity are cut.
-The trees hold points of GROUPS groups; pairs that they leave are bounded once more with about as many groups as shingles
-(the finer counts add up to the coarser ones), and the pairs that survive are verified on the sets themselves. Counts
-are kept in a byte each; what exceeds it is added up apart, and added to the bound.
+The more groups, the tighter the bound, and finer counts add up to coarser ones: the trees' boxes hold GROUPS groups, their
+leaves as many as shingles, for long texts a quarter as many; pairs that they leave are bounded once more with as many groups as shingles,
+and the pairs that survive are verified on the sets themselves. Counts are kept in a byte each; what exceeds it is added up
+apart, and added to the bound.
 
 Points of unlike texts lie too close for one tree over all of them to cut much (see the README), so trees stand on blocks:
 two sets as similar as asked for must share a shingle among the first ``n - ceil(t * n) + 1`` of each in any one order.
-The order puts common shingles last, so that blocks stay small; the order only affects speed, never the result.
+The order puts common shingles last, so that blocks stay small; the order only affects speed, never the result. Blocks of
+the same documents are one.
 
-Groups of near copies would make every pair of a block a link. Each block's documents are therefore first compared with one
-pivot; verified links give provisional components, and the trees then search only pairs of different components, without the
-pivot. Every link between different components is found, so components are exact.
+Groups of near copies would make every pair of a block a link. Documents are therefore first compared with a few pivots
+of their blocks (PIVOTS each at most); verified links give provisional components, and the trees then search only pairs of
+different components. Every link between different components is found, so components are exact.
 
 Defined results: null or empty text has an empty set and links with nothing; shorter texts have one shingle, their whole
 word sequence; rows of equal sets are linked; rows that share an id are one document; rows of null id have a null
@@ -34,7 +36,7 @@ from tracelake.llm.keybits import bits_of, has_bit
 from tracelake.llm.shared import written
 from tracelake.llm.textbytes import LOWER, column_bytes, mixed, pieces, shingle_rows, span_hashes, words
 
-GROUPS, FANOUT, TILE = 64, 8, 4096
+GROUPS, FANOUT, TILE, PIVOTS = 64, 8, 4096, 3
 SHINGLE = 5
 COMMON_SHARE, COMMON_LEAST, SEEN_LEAST, FLUSH = 0.001, 32, 4, 4_000_000
 LINKS = "a long, b long"
@@ -92,7 +94,8 @@ def counted(shingles: np.ndarray, groups: int) -> tuple[np.ndarray, int]:
     return np.minimum(counts, 255).astype(np.uint8), int(np.maximum(counts - 255, 0).sum())
 
 
-def fine_groups(n: int) -> int:
+def groups_for(n: int) -> int:
+    """A power of two of at least n, from GROUPS to 65536."""
     return min(max(1 << max(n - 1, 1).bit_length(), GROUPS), 1 << 16)
 
 
@@ -104,8 +107,8 @@ def _profile(common, width: int, percent: int):
             coarse, fine, prefix, sums = [], [], [], []
             first = n - -(-n * percent // 100) + 1
             for own, size, k in zip(sets, n.tolist(), first.tolist(), strict=True):
-                coarse.append(counted(own, GROUPS))
-                fine.append(counted(own, fine_groups(size)))
+                coarse.append(counted(own, groups_for(max(size // 4, min(size, 512)))))
+                fine.append(counted(own, groups_for(size)))
                 sums.append([int(mixed(own ^ np.uint64(salt)).sum()) for salt in (0x51ED270B, 0xA5A5F00D1234567)])
                 if len(often) and size:
                     place = np.minimum(np.searchsorted(often, own), len(often) - 1)
@@ -126,7 +129,7 @@ def bound_holds(overlap: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent:
     return (100 + percent) * overlap >= percent * (n_a + n_b)
 
 
-def fine_overlap(a: bytes, b: bytes, over: int) -> int:
+def overlap_bound(a: bytes | np.ndarray, b: bytes | np.ndarray, over: int) -> int:
     """Summed minima of two count vectors, the finer one folded to the coarser."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     if len(x) != len(y):
@@ -185,7 +188,8 @@ def _search(percent: int):
 
         def searched(rows: pa.Table) -> pa.RecordBatch:
             ids, n, label = (rows[c].to_numpy() for c in ("id", "n", "component"))
-            points = np.frombuffer(b"".join(rows["point"].to_pylist()), np.uint8).reshape(len(ids), GROUPS)
+            leaf = [np.frombuffer(x, np.uint8) for x in rows["point"].to_pylist()]
+            points = np.array([x if len(x) == GROUPS else x.reshape(-1, GROUPS).sum(0, dtype=np.int64) for x in leaf], np.int32)
             over = rows["over"].to_numpy()
             keys = np.stack([rows[c].to_numpy() for c in ("token", "t", "u")], 1)
             cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(ids)]])
@@ -200,23 +204,26 @@ def _search(percent: int):
                 near = (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
                 i, j = i[near], j[near]
                 ok = bound_holds(np.minimum(points[i], points[j]).sum(1, dtype=np.int64) + np.minimum(over[i], over[j]), n[i], n[j], percent)
-                a.append(ids[i[ok]])
-                b.append(ids[j[ok]])
+                a.append(i[ok])
+                b.append(j[ok])
             for low, high in ((x, y) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if not small[x]):
                 order = low + np.lexsort([n[low:high], label[low:high]])
                 if keys[low, 1] == keys[low, 2]:
                     tree = Tree(points[order], over[order], n[order], label[order])
                     i, j = tree_join(tree, tree, percent, True)
-                    a.append(ids[order[i]])
-                    b.append(ids[order[j]])
+                    a.append(order[i])
+                    b.append(order[j])
                 else:
                     x, y = (order[side[order] == keys[low, k]] for k in (1, 2))
                     if len(x) and len(y):
                         i, j = tree_join(*(Tree(points[z], over[z], n[z], label[z]) for z in (x, y)), percent, False)
-                        a.append(ids[x[i]])
-                        b.append(ids[y[j]])
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                        a.append(x[i])
+                        b.append(y[j])
+            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+            pairs, first = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0, return_index=True)
+            i, j = i[first], j[first]
+            overlap = np.array([overlap_bound(leaf[x], leaf[y], int(min(over[x], over[y]))) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+            pairs = pairs[bound_holds(overlap, n[i], n[j], percent)]
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
@@ -294,48 +301,52 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     common = spark.sparkContext.broadcast(common_shingles(rows, width))
     profile = written(rows.mapInArrow(_profile(common, width, percent), "id long, n long, f1 long, f2 long, point binary, over long, fine binary, fine_over long, prefix array<long>"), "profiles")
     given = profile.filter("id is not null and n > 0")
+    rows = rows.filter("id is not null")
     # rows of equal sets have one representative, the smallest id
     same = ["n", "f1", "f2"]
     reps = given.groupBy(*same).agg(F.min("id").alias("rep"))
     narrow = written(given.select("id", *same).join(reps, same).select("id", "rep", "n").distinct(), "representatives")
     single = given.join(narrow.filter("id = rep").select(F.col("id").alias("i"), F.col("n").alias("m")), (F.col("id") == F.col("i")) & (F.col("n") == F.col("m")), "left_semi").dropDuplicates(["id", *same])
-    # blocks: the prefix shingles that several documents share
+    # blocks: the prefix shingles that several documents share; of blocks with the same documents one
     prefix = single.select(F.explode("prefix").alias("token"), "id", "n").repartition("token")
-    shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("pivot")).filter("docs > 1")
-    block = written(prefix.join(shared.select("token", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "token"), "blocks")
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    pivots = [F.min(F.struct(F.xxhash64("id", F.lit(10 + k)).alias("h"), "id", "n")).alias(f"p{k}") for k in range(PIVOTS)]
+    shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), *marks, *pivots).filter("docs > 1").dropDuplicates(["docs", "m1", "m2"])
+    block = written(prefix.join(shared.drop("m1", "m2", "docs"), "token"), "blocks")
+    points = single.select(F.col("id").alias("i"), F.col("n").alias("m"), F.col("point").alias("v"), F.col("over").alias("o"))
+    fine = single.select(F.col("id").alias("i"), F.col("n").alias("m"), F.col("fine").alias("v"), F.col("fine_over").alias("o"))
 
-    fine = single.select(F.col("id").alias("i"), F.col("n").alias("m"), "fine", "fine_over")
-
-    def left_by_fine(pairs: DataFrame) -> DataFrame:
-        """Pairs that sizes and the finer counts leave."""
+    def left_by(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+        """Pairs that sizes and the counts leave."""
 
         def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                over = np.minimum(*(batch.column(c).to_numpy() for c in ("oa", "fine_over"))).tolist()
-                overlap = np.array([fine_overlap(x, y, z) for x, y, z in zip(batch.column("fa").to_pylist(), batch.column("fine").to_pylist(), over, strict=True)], np.int64)
+                over = np.minimum(*(batch.column(c).to_numpy() for c in ("oa", "o"))).tolist()
+                overlap = np.array([overlap_bound(x, y, z) for x, y, z in zip(batch.column("va").to_pylist(), batch.column("v").to_pylist(), over, strict=True)], np.int64)
                 ok = pa.array(bound_holds(overlap, batch.column("na").to_numpy(), batch.column("m").to_numpy(), percent))
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
 
-        ends = pairs.join(fine, F.col("a") == F.col("i")).select("a", "b", F.col("m").alias("na"), F.col("fine").alias("fa"), F.col("fine_over").alias("oa"))
-        ends = ends.join(fine, F.col("b") == F.col("i")).filter(f"100 * na >= {percent} * m and 100 * m >= {percent} * na")
-        return ends.select("a", "b", "na", "m", "fa", "oa", "fine", "fine_over").mapInArrow(bounded, LINKS)
+        ends = pairs.join(vectors, F.col("a") == F.col("i")).select("a", "b", F.col("m").alias("na"), F.col("v").alias("va"), F.col("o").alias("oa"))
+        ends = ends.join(vectors, F.col("b") == F.col("i")).filter(f"100 * na >= {percent} * m and 100 * m >= {percent} * na")
+        return ends.select("a", "b", "na", "m", "va", "oa", "v", "o").mapInArrow(bounded, LINKS)
 
-    # first links: each block's documents with its pivot
-    stars = block.filter(f"id <> pivot and 100 * n >= {percent} * pivot_n and 100 * pivot_n >= {percent} * n").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = verified(left_by_fine(stars), rows, width, percent)
+    # first links: each document with the first of its blocks' pivots, in each of a few orders
+    near = lambda p: (F.col("id") != F.col(f"{p}.id")) & (100 * F.col("n") >= percent * F.col(f"{p}.n")) & (100 * F.col(f"{p}.n") >= percent * F.col("n"))
+    firsts = block.groupBy(F.col("id").alias("a")).agg(*[F.min(F.when(near(f"p{k}"), F.col(f"p{k}"))).alias(f"p{k}") for k in range(PIVOTS)])
+    stars = firsts.select("a", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}.id") for k in range(PIVOTS)]))).alias("b")).filter("b is not null")
+    first = verified(left_by(written(left_by(stars, points), "near-stars"), fine), rows, width, percent)
     so_far = components(first)
 
-    # then the trees: blocks whose other documents are of several components, large ones in tiles
-    labelled = block.filter("id <> pivot").select("token", "id", "n").join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # then the trees: blocks whose documents are of several components, large ones in tiles
+    labelled = block.select("token", "id", "n").join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = labelled.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("docs")).filter("c1 <> c2")
     tiles = F.ceil(F.col("docs") / TILE).cast("int")
     tiled = labelled.join(several.select("token", tiles.alias("tiles")), "token").withColumn("side", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("token", "id", "n", "component", "side", F.least("side", "other").alias("t"), F.greatest("side", "other").alias("u"))
-    coarse = single.select(F.col("id").alias("i"), F.col("n").alias("m"), "point", "over")
-    leaves = tiled.join(coarse, (F.col("id") == F.col("i")) & (F.col("n") == F.col("m"))).select("token", "t", "u", "side", "id", "n", "component", "point", "over")
+    leaves = tiled.join(points, (F.col("id") == F.col("i")) & (F.col("n") == F.col("m"))).select("token", "t", "u", "side", "id", "n", "component", F.col("v").alias("point"), F.col("o").alias("over"))
     pairs = leaves.repartition("token", "t", "u").sortWithinPartitions("token", "t", "u").mapInArrow(_search(percent), LINKS).distinct()
-    second = verified(left_by_fine(pairs), rows, width, percent)
+    second = verified(left_by(written(pairs, "near-pairs"), fine), rows, width, percent)
     final = components(first.unionByName(second)).select(F.col("node").alias("rep"), "component")
     # rows that share an id are one document: link their representatives
     of_id = narrow.groupBy("id").agg(F.min("rep").alias("r1"), F.max("rep").alias("r2"))
