@@ -220,10 +220,17 @@ def _search(percent: int):
                         a.append(x[i])
                         b.append(y[j])
             i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-            pairs, first = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0, return_index=True)
-            i, j = i[first], j[first]
-            overlap = np.array([overlap_bound(leaf[x], leaf[y], int(min(over[x], over[y]))) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
-            pairs = pairs[bound_holds(overlap, n[i], n[j], percent)]
+            pairs, first, of = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0, return_index=True, return_inverse=True)
+            x, y = i[first], j[first]
+            overlap = np.array([overlap_bound(leaf[p], leaf[q], int(min(over[p], over[q]))) for p, q in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+            good = np.flatnonzero(bound_holds(overlap, n[x], n[y], percent))
+            # a pair that meets in several blocks is told by the first of them only
+            own = rows["tokens"]
+            home = np.zeros(len(pairs), np.int64)
+            for k in good.tolist():
+                home[k] = min(set(own[int(x[k])].as_py()) & set(own[int(y[k])].as_py()))
+            here = np.bincount(of.ravel(), keys[i, 0] == home[of.ravel()], len(pairs)) > 0 if len(pairs) else np.zeros(0, bool)
+            pairs = pairs[good[here[good]]]
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
@@ -344,8 +351,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tiled = labelled.join(several.select("token", tiles.alias("tiles")), "token").withColumn("side", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("token", "id", "n", "component", "side", F.least("side", "other").alias("t"), F.greatest("side", "other").alias("u"))
-    leaves = tiled.join(points, (F.col("id") == F.col("i")) & (F.col("n") == F.col("m"))).select("token", "t", "u", "side", "id", "n", "component", F.col("v").alias("point"), F.col("o").alias("over"))
-    pairs = leaves.repartition("token", "t", "u").sortWithinPartitions("token", "t", "u").mapInArrow(_search(percent), LINKS).distinct()
+    held = tiled.groupBy(F.col("id").alias("h")).agg(F.collect_set("token").alias("tokens"))  # at most a prefix
+    tiled = tiled.join(held, F.col("id") == F.col("h"))
+    leaves = tiled.join(points, (F.col("id") == F.col("i")) & (F.col("n") == F.col("m"))).select("token", "t", "u", "side", "id", "n", "component", "tokens", F.col("v").alias("point"), F.col("o").alias("over"))
+    pairs = leaves.repartition("token", "t", "u").sortWithinPartitions("token", "t", "u").mapInArrow(_search(percent), LINKS)
     second = verified(left_by(written(pairs, "near-pairs"), fine), rows, width, percent)
     final = components(first.unionByName(second)).select(F.col("node").alias("rep"), "component")
     # rows that share an id are one document: link their representatives
