@@ -4,7 +4,8 @@ Every line of a text, and the text as a whole, is normalised (lowered; anything
 compared with licence templates: 2 * |A and B| / (|A| + |B|) over the sets of word bigrams. A unit of n bigrams can only
 reach t with templates of between n * t / (2 - t) and n * (2 - t) / t bigrams; units outside of all bounds are dropped
 before their bigrams are made, and templates outside are dropped in the join. Only bigrams that some template has
-go on. Each unit counts for its best template (on ties the first licence name).
+go on. Each unit counts for its best template (on ties the first licence name). Texts without any of the words that every
+match must have (``anchors``) are skipped before anything is made of them.
 
 Defined results: null and empty texts give no rows; a unit of one word has no bigrams and matches nothing; rows that share
 an id are counted together; an empty table gives an empty result; other columns are ignored.
@@ -12,6 +13,11 @@ an id are counted together; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +60,28 @@ def templates() -> list[tuple[str, str]]:
     return sorted({*made, *TEXTS.items()})
 
 
+def anchors(given: list[tuple[str, str]], threshold: float) -> list[str] | None:
+    """Words of which every unit that reaches the threshold with some template has at least one.
+
+    Such a unit shares at least a * t / (2 - t) of the template's a bigrams. So it is enough that more of the template's bigrams
+    have an anchor than may be missing. Words are added, those of most templates first and short ones last, until that
+    holds for all. None if a template is not plain ASCII: then no text is skipped.
+    """
+    if not all(text.isascii() for _, text in given):
+        return None
+    pairs = []
+    for _, text in given:
+        parts = re.split("[^a-z0-9]+", text.lower())
+        parts = [x for x in parts if x]
+        own = sorted(set(zip(parts[:-1], parts[1:], strict=True)))
+        pairs.append((own, len(own) - math.ceil(len(own) * threshold / (2 - threshold) - 1e-9)))
+    chosen: list[str] = []
+    while open_ := [own for own, spare in pairs if own and sum(any(w in chosen for w in g) for g in own) <= spare]:
+        votes = Counter(w for own in open_ for w in {w for g in own for w in g} if w not in chosen)
+        chosen.append(max(sorted(votes), key=lambda w: (len(w) >= 6, votes[w])))
+    return [w for w in chosen if not any(x in w for x in chosen if x != w)]
+
+
 def normalised(text: F.Column) -> F.Column:
     return F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}\\n]+", " ")
 
@@ -79,6 +107,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     if low is None:
         return docs.select(F.col(id_col), F.lit("").alias("license"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("units")).limit(0)
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
+    words = anchors(templates() if given is None else given, threshold)
+    if words is not None:
+        lowered = F.lower(F.col(text_col).cast("string"))
+        docs = docs.filter(reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words]))
     text = normalised(F.col(text_col).cast("string"))
     whole = F.when(F.contains(text, F.lit("\n")), F.array(F.translate(text, "\n", " "))).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.concat(F.split(text, "\n"), whole)).alias("place", "unit"))
