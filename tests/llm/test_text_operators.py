@@ -208,6 +208,34 @@ def test_decontamination_finds_reordered_passages(spark):
     assert decontaminate.contaminated(documents(spark, []), bench).count() == 0
 
 
+def test_decontamination_in_any_script_and_of_short_items(spark):
+    items = [
+        (1, "床前明月光疑是地上霜举头望明月低头思故乡"), (2, "吾輩は猫であるまだ名はない"), (3, "ภาษาไทยไม่มีช่องว่างระหว่างคำ"), (4, "Η ΓΛΩΣΣΑ ΤΩΝ ΑΡΧΑΙΩΝ ΕΛΛΗΝΩΝ ΗΤΑΝ ΑΛΛΗ"),
+        (5, "Съешь ещё этих мягких французских булок"), (6, "It's what \"they\" said - and don't ask"), (7, "purple walrus"), (8, "how deep is this"), (9, "हिन्दी में लिखा हुआ एक वाक्य"),
+    ]
+    texts = [
+        f"前言 {items[0][1]} 后记", f"「{items[1][1]}」と", f"ก่อน{items[2][1]}หลัง", "πριν " + items[3][1].lower() + " μετά", items[4][1].upper(),
+        "So: it’s what “they” said – and\u00a0don’t ask.", "a Purple, Walrus!", "how deep, is this", "वह " + items[8][1] + "।",
+    ]
+    rows = [(k + 1, t) for k, t in enumerate(texts)] + [(20, "purple is a walrus"), (21, "deep is this how"), (22, "床上有一本书和一支笔"), (23, "purple"), (24, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.contaminated(documents(spark, rows), bench).collect()}
+    assert got == {(k, k, 1.0) for k in range(1, 10)}
+    assert {r["doc_id"] for r in decontaminate.clean(documents(spark, rows), bench).collect()} == {20, 21, 22, 23, 24}
+    short = bench.filter("item_id = 7")  # no item of five words in the block
+    assert [(r["doc_id"], r["item_words"]) for r in decontaminate.contaminated(documents(spark, rows), short).collect()] == [(7, 2)]
+
+
+def test_unicode_words_at_row_ends_and_in_broken_bytes():
+    rows = ["ab", "cd 日本", "語x", "", "É1", "𠀀b", "  "]
+    for extra in ([], [b"\xff\xfe a"]):
+        data = pa.array([x.encode() for x in rows] + extra, pa.binary())
+        points, starts, ends, heads = textbytes.unicode_words(*textbytes.column_bytes(data))
+        found = ["".join(map(chr, points[a:b])) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        assert [found[a:b] for a, b in zip(heads[:7], heads[1:8], strict=False)] == [["ab"], ["cd", "日", "本"], ["語", "x"], [], ["É1"], ["𠀀", "b"], []]
+        assert len(found) == 9 + 2 * len(extra)
+
+
 # --- licences ---
 
 def brute_licenses(rows, given, t=0.8):

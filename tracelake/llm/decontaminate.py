@@ -1,15 +1,16 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items are sequences of words (letters and digits, lowered). Windows of MATCH words are hashed
+Documents and benchmark items are sequences of words (Unicode letters, their marks, and digits, lowered; in scripts
+without spaces each character is a word). Windows of MATCH words are hashed
 Karp-Rabin style; windows that a document shares with an item are the seeds, and neighbouring seeds of one diagonal
 form a match. The longest match that is still unmarked on both sides is marked as a tile, what marks cut
 off is put back, and so on until no match of MATCH words is left. An item's coverage is the share of its
 words under tiles; tiles may lie in any order, so reordered passages count in full. A document with any item at
-``threshold`` or more is contaminated.
+``threshold`` or more is contaminated. An item of fewer than MATCH words has its whole sequence as its one seed.
 
 Items are held by every task, in blocks of at most ``block_bytes`` of text: a larger benchmark takes several passes.
 
-Defined results: null or empty texts match nothing; items of fewer than MATCH words match nothing; repeated rows give
+Defined results: null or empty texts match nothing; items of fewer than LEAST words match nothing; repeated rows give
 equal rows; empty tables give an empty result; other columns are ignored.
 """
 
@@ -23,19 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.textbytes import MARKS, column_bytes, folded, pieces, shingle_rows, span_hashes, words
+from tracelake.llm.textbytes import code_points, column_bytes, pieces, shingle_rows, span_hashes, unicode_words
 
 MATCH, THRESHOLD = 5, 0.5
+LEAST = 2
 SIEVE_BITS = 22
 FOUND = "item_id long, tiles long, covered long, item_words long, coverage double"
 
 
 def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the rows, and each row's first word (one more entry at the end)."""
-    data, offsets = column_bytes(column)
-    low = folded(data)
-    starts, ends, heads = words(low, offsets, MARKS)
-    return span_hashes(low, starts, ends), heads
+    points, starts, ends, heads = unicode_words(*column_bytes(column))
+    return span_hashes(points, starts, ends, code_points()[1]), heads
 
 
 def tiling(first: np.ndarray, second: np.ndarray, n_first: int, n_second: int, least: int = MATCH) -> tuple[int, int]:
@@ -72,8 +72,9 @@ class Items:
         tokens, heads = token_hashes(texts)
         self.ids, self.sizes = ids, np.diff(heads)
         row, place, seed = shingle_rows(tokens, heads, MATCH)
-        full = self.sizes[row] >= MATCH
+        full = self.sizes[row] >= LEAST
         row, place, seed = row[full], place[full], seed[full]
+        self.widths = np.unique(np.minimum(self.sizes[row], MATCH)).tolist()
         order = np.argsort(seed, kind="stable")
         self.seed, self.row, self.place = seed[order], row[order], place[order]
         self.sieve = np.zeros(1 << SIEVE_BITS, bool)
@@ -82,22 +83,29 @@ class Items:
     def matches(self, column: pa.Array, threshold: float) -> list[tuple[int, int, int, int]]:
         """(row of the column, item, tiles, covered words) where the coverage reaches the threshold."""
         tokens, heads = token_hashes(column)
-        row, place, seed = shingle_rows(tokens, heads, MATCH)
         sizes = np.diff(heads)
-        at = np.flatnonzero(self.sieve[(seed >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] & (sizes[row] >= MATCH))
-        low, high = np.searchsorted(self.seed, seed[at], "left"), np.searchsorted(self.seed, seed[at], "right")
+        near = []
+        for width in self.widths:  # a seed's hash has its width in it
+            row, place, seed = shingle_rows(tokens, heads, width)
+            at = np.flatnonzero(self.sieve[(seed >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] & (sizes[row] >= width))
+            near.append((row[at], place[at], seed[at]))
+        if not near:
+            return []
+        row, place, seed = (np.concatenate(x) for x in zip(*near, strict=True))
+        low, high = np.searchsorted(self.seed, seed, "left"), np.searchsorted(self.seed, seed, "right")
         n = high - low
         own = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        doc, second, item, first = np.repeat(row[at], n), np.repeat(place[at], n), self.row[own], self.place[own]
+        doc, second, item, first = np.repeat(row, n), np.repeat(place, n), self.row[own], self.place[own]
         order = np.lexsort([item, doc])
         doc, second, item, first = doc[order], second[order], item[order], first[order]
         cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), [True]])) if len(doc) else []
         out = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             size = int(self.sizes[item[a]])
-            if MATCH * (b - a) < threshold * size:  # every seed covers MATCH words at most
+            width = min(size, MATCH)
+            if width * (b - a) < threshold * size:  # every seed covers so many words at most
                 continue
-            tiles, covered = tiling(first[a:b], second[a:b], size, int(sizes[doc[a]]))
+            tiles, covered = tiling(first[a:b], second[a:b], size, int(sizes[doc[a]]), width)
             if covered >= threshold * size:
                 out.append((int(doc[a]), int(item[a]), tiles, covered))
         return out

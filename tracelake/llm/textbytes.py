@@ -7,7 +7,10 @@ form feed and carriage return; as these are ASCII, cutting bytes and cutting cod
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,14 +103,56 @@ def folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: a polynomial whose prefix sums serve all spans at once."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of each span of bytes (or of other codes, which ``values`` has numbers for): a polynomial whose prefix sums serve all spans at once."""
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Scripts written without spaces between words: Thai, Lao, Myanmar, Khmer, Tai, kana, bopomofo, Han.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3031, 0x3035), (0x303B, 0x303C), (0x3041, 0x3096), (0x309D, 0x309F), (0x30A1, 0x30FA), (0x30FC, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18CFF), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
+BETWEEN, PART, ALONE = 0, 1, 2
+
+
+@cache
+def code_points() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point what it is in a text (BETWEEN words, PART of a word, a word ALONE), and a number that it shares with its other case."""
+    kind, lower = np.zeros(sys.maxunicode + 1, np.uint8), np.arange(sys.maxunicode + 1, dtype=np.uint64)
+    for k in range(sys.maxunicode + 1):
+        c = chr(k)
+        if unicodedata.category(c)[0] in "LMN" and not unicodedata.name(c, "").startswith("VARIATION SELECTOR"):
+            kind[k] = PART
+            lower[k] = ord(c.lower()[0])  # the dotted capital I is the one with two
+    lower[0x03C2] = 0x03C3  # the final sigma
+    kind[0xDC80:0xDD00] = PART  # bytes that are not UTF-8
+    for low, high in UNSPACED:
+        kind[low : high + 1] *= ALONE
+    return kind, mixed(lower + np.uint64(1)) | np.uint64(1)
+
+
+def unicode_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points, start and end of every word among them, and for each row the index of its first word (one more entry at the end).
+
+    Words are maximal runs of letters, digits and the marks on them; in scripts without spaces each is a word.
+    """
+    points = np.frombuffer(data.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(points):
+        none = np.zeros(0, np.int64)
+        return points, none, none, np.zeros(len(offsets), np.int64)
+    width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+    width[(points >= 0xDC80) & (points < 0xDD00)] = 1
+    rows = np.searchsorted(np.cumsum(width, dtype=np.int64), offsets, "right")
+    kind = code_points()[0][points]
+    cut = np.ones(len(points) + 1, bool)  # before each point, and at the end
+    cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == ALONE)
+    cut[rows] = True
+    starts = np.flatnonzero(cut[:-1] & (kind != BETWEEN))
+    ends = np.flatnonzero(cut[1:] & (kind != BETWEEN)) + 1
+    return points, starts, ends, np.searchsorted(starts, rows)
+
+
 def shingle_rows(hashes: np.ndarray, heads: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row's word hashes: (row, place, hash) of its shingles, in order.
 
