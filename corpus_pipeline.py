@@ -21,13 +21,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_cnn.keep(docs, table(spark, sf_dir, "labels"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, ``row_key``, written once so that all uses see the same keys."""
+    return written(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; one row where that id recurs."""
-    classes = ngram_join.ngram_components(docs.select("doc_id", "text"))
-    dropped = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(dropped, F.col("doc_id") == F.col("gone"), "left_anti")
-    known = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionByName(left.filter("doc_id is null"))
+    """Of each group of near duplicates the row with the smallest id, null last; rows with equal ids are not one document."""
+    rows = keyed(docs)
+    classes = ngram_join.ngram_components(rows.select("row_key", "text"), id_col="row_key").select("row_key", F.col("component_id").alias("component"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    first = rows.select("row_key", "doc_id").join(classes, "row_key").groupBy("component").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first.row_key"), "row_key", "left_semi").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +42,10 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    copies = mixing.mix(docs.select("doc_id", "text", "source")).select(F.col("doc_id").alias("i"), F.col("source").alias("s"), "copies").filter("copies > 0").distinct()
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s"))).select(*docs.columns)
+    rows = keyed(docs)
+    copies = mixing.mix(rows.select("row_key", "text", "source"), id_col="row_key").filter("copies > 0").select("row_key", "copies")
+    taken = rows.join(copies, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,3 +151,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(out, out[1:], strict=False))
     total = docs.select(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0]
     assert total > 0
+
+
+def test_pipeline_rows_without_or_with_shared_ids(spark):
+    """Null and repeated ids: each row is a document of its own in the stages that link or count rows."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    texts = [good() for _ in range(60)]
+    rows = [(None, t, "en", "s", 0) for t in texts[:30]] + [(7, t, "en", "s", 0) for t in texts[30:40]] + [(100 + k, t, "en", "t", 0) for k, t in enumerate(texts[40:])]
+    copies = [(None, texts[0], "en", "s", 0), (None, texts[1], "en", "s", 0), (7, texts[2], "en", "s", 0), (5, texts[40], "en", "t", 0), (None, None, None, None, None), (7, texts[35], "en", "s", 0)]
+    docs = spark.createDataFrame(rows + copies, DOCS)
+    left = pipeline.near_duplicates(spark, docs, "")
+    found = left.collect()
+    assert left.columns == docs.columns and sorted(r["text"] or "" for r in found) == sorted([*texts, ""])
+    assert {r["text"]: r["doc_id"] for r in found} == {t: i for i, t, *_ in rows} | {texts[2]: 7, texts[40]: 5, None: None}
+
+    many = [(None, good(3), "en", "s" if k % 4 else "t", k) for k in range(400)] + [(7, good(3), "en", "s", 1000 + k) for k in range(100)]
+    docs = spark.createDataFrame(many, DOCS)
+    times = dict.fromkeys((x[4] for x in many), 0) | {r["n_chars"]: r["count"] for r in pipeline.source_mix(spark, docs, "").groupBy("n_chars").count().collect()}
+    # 1500 words by weights 1 and 2: "t" is capped at 3 times its 300, and 600 words are left for the 1200 of "s"
+    assert {times[x[4]] for x in many if x[3] == "t"} == {3}
+    taken = [times[x[4]] for x in many if x[3] == "s"]
+    assert set(taken) == {0, 1} and sum(taken) == 200
