@@ -2,10 +2,12 @@
 
 import itertools
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tracelake.functions import paths
+from tracelake.jobs import graph_jobs
 from tracelake.operators import checks, graph, matching
 
 CALL = "repo_id string, call_id string, path string, line int, ordinal int, method string, norm_path string, is_template boolean"
@@ -97,3 +99,33 @@ def test_cycle_hub_and_prefix_ids(spark):
 def test_route_regex_and_prefix(spark):
     row = spark.range(1).select(paths.route_regex(F.lit("/api/v1/users/{user_id}/billing")).alias("a"), paths.join_prefix(F.lit("/api/v2"), F.lit("/auth/login")).alias("b"), paths.join_prefix(F.lit(""), F.lit("/")).alias("c"), paths.segment_count(F.lit("/")).alias("d")).first()
     assert tuple(row) == ("^/api/v1/users/(?P<user_id>[^/]+)/billing$", "/api/v2/auth/login", "/", 0)
+
+
+def test_reach_of_every_customer_equals_brute_force(spark, tmp_path):
+    orders = [(k, k * 7 % 60 + 1, f"{k % 4 + 1}-X") for k in range(1, 121)]
+    lines = sorted({(o, (o * 13 + j * 5) % 30 + 1) for o, *_ in orders for j in range(2)})
+    for name, rows, schema in (
+        ("customer", [(k, k % 3, "BUILDING") for k in range(1, 71)], "c_custkey long, c_nationkey int, c_mktsegment string"),
+        ("orders", orders, "o_orderkey long, o_custkey long, o_orderpriority string"),
+        ("lineitem", lines, "l_orderkey long, l_partkey long"),
+        ("part", [(k, f"B{k % 4}") for k in range(1, 31)], "p_partkey long, p_brand string"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    near = {}
+    for a, b in [(("c", c % 3, c), ("o", c % 3, o)) for o, c, _ in orders] + [(("o", c % 3, o), ("p", c % 3, p)) for o, c, _ in orders for x, p in lines if x == o]:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set()
+    for c in range(1, 71):
+        seed = ("c", c % 3, c)
+        depth, front = {seed: 0}, [seed]
+        for k in range(1, graph_jobs.DEPTH + 1):
+            front = {y for x in front for y in near.get(x, ())} - depth.keys()
+            depth |= dict.fromkeys(front, k)
+        want |= {(f"n{c % 3}", f"c::{c}", f"{x}::{k}", d) for (x, _, k), d in depth.items()}
+    run = lambda name: graph_jobs.ENTRIES[name][0](spark, str(tmp_path))
+    got = [tuple(r)[:4] for r in run("g3_blast_radius").select("repo_id", "seed", "node", "depth").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {r["seed"]: r["n_nodes"] for r in run("g5_blast_summary").collect()} == {s: n for s, n in Counter(x[1] for x in want if x[1] != x[2]).items()}
+    inside = {(s, x) for _, s, x, _ in want}
+    assert {(r["seed"], r["source"], r["target"]) for r in run("g8_induced_edges").collect()} == {(s, f"{a[0]}::{a[2]}", f"{b[0]}::{b[2]}") for s in {x[1] for x in want} for a in near for b in near[a] if a[1] == int(s[3:]) % 3 and (a[0], b[0]) in (("c", "o"), ("o", "p")) and {(s, f"{a[0]}::{a[2]}"), (s, f"{b[0]}::{b[2]}")} <= inside}

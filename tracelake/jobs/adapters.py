@@ -54,7 +54,7 @@ UNION ALL
 SELECT DISTINCT 'n' || CAST(c_nationkey AS STRING), 'o::' || CAST(o_orderkey AS STRING), 'p::' || CAST(l_partkey AS STRING), 'accesses', 'USES_MODEL', CAST(NULL AS DOUBLE), CAST(NULL AS BOOLEAN)
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey"""
 
-TRADE_SEEDS = "SELECT 'n' || CAST(c_nationkey AS STRING) AS repo_id, 'c::' || CAST(c_custkey AS STRING) AS node FROM {customer} WHERE c_custkey % 50 = 1"
+TRADE_SEEDS = "SELECT 'n' || CAST(c_nationkey AS STRING) AS repo_id, 'c::' || CAST(c_custkey AS STRING) AS node FROM {customer}"
 
 GEO_NODES = """
 SELECT 'geo' AS repo_id, 's::' || CAST(s_suppkey AS STRING) AS id, 'frontend' AS node_type, 'web/' || s_name || '.tsx' AS path, s_name AS symbol, '' AS title FROM {supplier}

@@ -1,4 +1,8 @@
-"""Registered queries on reachability: the trade graph (three levels, hubs) and the geography tree."""
+"""Registered queries on reachability: the trade graph (three levels, hubs) and the geography tree.
+
+On the trade graph every customer is a seed, and reach ends at DEPTH hops (``max_depth`` of ``blast_radius``): a nation's
+customers are all linked through parts, so whole components would have a row per pair of nodes.
+"""
 
 from __future__ import annotations
 
