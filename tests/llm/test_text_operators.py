@@ -316,6 +316,30 @@ def test_pieces_give_the_tokenizers_ids(vocabulary):
     assert [x.tolist() for x in np.split(ids, cuts)] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_piece_table_of_any_size_and_part_lengths(vocabulary):
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary)
+    texts = [" ".join(f"w{k * j % 977}x" for k in range(300)) + " " + "z" * 300 for j in range(12)]
+    own = token_ids.PieceEncoder(vocabulary)
+    own.table.most = 50
+    for text in texts:
+        data, at = textbytes.column_bytes(pa.array([text, "", text[:40]]))
+        ids, counts = own.encode(data, at)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.ids for x in tokenizer.encode_batch([text, "", text[:40]], add_special_tokens=False)]
+    data = textbytes.column_bytes(pa.array([LONG + " " + "y" * 5000 + " é end "]))[0]
+    parts = list(token_ids.parts_of(data, 100))
+    assert b"".join(x.tobytes() for x in parts) == data.tobytes() and max(map(len, parts)) < 5200
+    assert sum((own.encode(x, np.array([0, len(x)]))[0].tolist() for x in parts), []) == own.encode(data, np.array([0, len(data)]))[0].tolist()
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    texts = [t or "" for _, t in EDGE[:6]] + ["Some Text, with  spaces\n"]
+    ids, counts = token_ids.PieceEncoder(path).encode(*textbytes.column_bytes(pa.array(texts)))
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(path)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert not token_ids.is_wide(path) and token_ids.id_kind(70000) == "<u4"
+
+
 def test_token_files_round_trip(spark, vocabulary):
     tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary)
     rows = EDGE + [(k, f"word{k} and more") for k in range(300, 360)]
@@ -332,7 +356,7 @@ def test_token_files_round_trip(spark, vocabulary):
     assert token_ids.read_ids(spark, empty).count() == 0
 
 
-def test_code_lengths_are_best_within_the_limit():
+def test_code_lengths_are_best_within_the_limit(monkeypatch):
     import heapq
 
     counts = np.array([1, 1, 2, 3, 5, 8, 13, 21, 34, 55])
@@ -346,6 +370,7 @@ def test_code_lengths_are_best_within_the_limit():
     assert short.max() <= 4 and (2.0**-short).sum() <= 1
     with pytest.raises(ValueError):
         token_ids.code_lengths(counts, 3)
+    monkeypatch.setattr(token_ids, "SLICE", 2048)  # ids of a block in several slices
     book = token_ids.Codebook(np.arange(10), short)
     ids = np.random.default_rng(0).integers(0, 10, 5000)
     payload, starts = book.encode(ids)

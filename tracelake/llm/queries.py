@@ -37,8 +37,8 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     spark = docs.sparkSession
     path = public_tokenizers.path(tokenizer)
     staged = new_path(spark, "tokens")
-    token_ids.tokenize(docs, path).write.option("compression", "zstd").parquet(staged)
-    folder = token_ids.write_ids(spark.read.parquet(staged))
+    token_ids.tokenize(docs, path).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(staged)
+    folder = token_ids.write_ids(spark.read.parquet(staged), wide=token_ids.is_wide(path))
     return token_ids.checksums(token_ids.read_ids(spark, folder))
 
 

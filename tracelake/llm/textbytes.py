@@ -111,6 +111,26 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def parts_of(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """One text's bytes in parts of about ``most``, cut at white space."""
+    low = 0
+    while low < len(data):
+        high = min(low + most, len(data))
+        while high < len(data) and not SPACE[data[high]]:
+            high = min(high + 1 + int(np.argmax(np.append(SPACE[data[high + 1 : high + most]], True))), len(data))
+        yield data[low:high]
+        low = high
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and each row's first word (one more entry at the end); a single long text is hashed in parts."""
+    if len(offsets) == 2 and len(data) > most:
+        made = [word_hashes(x, np.array([0, len(x)]), len(x))[0] for x in parts_of(data, most // 2)]
+        return np.concatenate(made), np.array([0, sum(map(len, made))])
+    starts, ends, heads = words(data, offsets)
+    return span_hashes(data, starts, ends), heads
+
+
 #: Scripts written without spaces between words: Thai, Lao, Myanmar, Khmer, Tai, kana, bopomofo, Han.
 UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3031, 0x3035), (0x303B, 0x303C), (0x3041, 0x3096), (0x309D, 0x309F), (0x30A1, 0x30FA), (0x30FC, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18CFF), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
 BETWEEN, PART, ALONE = 0, 1, 2

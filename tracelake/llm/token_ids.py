@@ -1,7 +1,7 @@
 """Token ids, and a binary file format for them.
 
-Words recur, so each distinct piece of text is given to the tokenizer once per worker and then looked up by the
-hash of its bytes. Pieces are cut only where the tokenizer's own pre-tokenizer always cuts: at ASCII white
+Words recur, so each distinct piece of text is given to the tokenizer once and then looked up by its bytes, in a
+table of bounded size. Pieces are cut only where the tokenizer's own pre-tokenizer always cuts: at ASCII white
 space, and between an ASCII or Latin letter and another ASCII character that is no apostrophe. Words with any
 other character, and words that might hold a special token, are looked up whole and as they are.
 
@@ -12,11 +12,13 @@ of id in independent blocks whose ``checkpoints`` are the bit offsets of every 1
 of a block are decoded side by side by table; ``shards`` (shard, first_token), the ids before each shard.
 
 Defined results: null text counts as empty (one end id); null ids come first; repeated ids stay, ordered by
-their tokens; an empty table gives empty tables; other columns are ignored.
+their tokens; texts of over PART bytes are tokenized in parts cut at white space, and a long document is packed and
+unpacked SLICE ids at a time; an empty table gives empty tables; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -28,11 +30,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.shared import new_path
-from tracelake.llm.textbytes import LOWER, column_bytes, pieces, span_hashes, words
+from tracelake.llm.textbytes import LOWER, SPACE, column_bytes, parts_of, pieces, span_hashes, words
 
 STEP = 1024
+SLICE = 1 << 19
 BLOCK_TOKENS = 1 << 15
-MOST_PIECES = 3_000_000
+PART = 1 << 20
+MOST_PIECES, LONGEST_PIECE = 500_000, 256
+# The normaliser and the pre-tokenizer that the cuts agree with.
+CUT_FOR = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
 _KIND[65:91] = _KIND[97:123] = 1
@@ -40,72 +55,138 @@ _KIND[128:] = 3
 BLOCKS = "shard int, block int, first_token long, doc_ids array<long>, doc_tokens array<long>, checkpoints array<long>, payload binary"
 
 
+class PieceTable:
+    """Ids of pieces already seen, in arrays of bounded size: sorted by the hash of a piece, checked by its bytes.
+
+    Beyond ``most`` pieces those that were asked for only once since the last sweep go, and of the rest what is over half of ``most``.
+    """
+
+    def __init__(self, kind: str, most: int = MOST_PIECES):
+        self.kind, self.most = kind, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.used = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.text_at, self.text_size, self.ids_at, self.ids_size = (np.zeros(0, np.int32) for _ in range(4))
+        self.texts, self.ids = np.zeros(0, np.uint8), np.zeros(0, self.kind)
+
+    def find(self, key: np.ndarray, data: np.ndarray, at: np.ndarray, asked: bool = True) -> np.ndarray:
+        """The place of each piece ``data[at[k]:at[k + 1]]`` in the table, or -1."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        size = np.diff(at)
+        same = (self.key[place] == key) & (self.text_size[place] == size)
+        hit = np.flatnonzero(same)
+        if len(hit):
+            bytes_of = ranges(at[:-1][hit], size[hit])
+            differs = data[bytes_of] != self.texts[ranges(self.text_at[place[hit]], size[hit])]
+            if differs.any():
+                same[hit[np.repeat(np.arange(len(hit)), size[hit])[differs]]] = False
+        if asked:
+            self.used[place[same]] = True
+        return np.where(same, place, -1)
+
+    def add(self, key: np.ndarray, texts: list[bytes], ids: list[list[int]]) -> None:
+        """Add pieces of distinct new keys; a piece whose key another one has stays out."""
+        order = np.argsort(key, kind="stable")
+        order = order[np.concatenate([[True], key[order[1:]] != key[order[:-1]]])]
+        to = np.searchsorted(self.key, key[order])
+        free = (self.key[np.minimum(to, len(self.key) - 1)] != key[order]) if len(self.key) else np.ones(len(order), bool)
+        order, to = order[free], to[free]
+        picked = order.tolist()
+        text_size, ids_size = (np.array([len(x[k]) for k in picked], np.int32) for x in (texts, ids))
+        new = {"key": key[order], "used": np.zeros(len(order), bool), "text_size": text_size, "ids_size": ids_size, "text_at": len(self.texts) + np.cumsum(text_size) - text_size, "ids_at": len(self.ids) + np.cumsum(ids_size) - ids_size}
+        for name, values in new.items():
+            old = getattr(self, name)
+            setattr(self, name, np.insert(old, to, values.astype(old.dtype)))
+        self.texts = np.concatenate([self.texts, np.frombuffer(b"".join(texts[k] for k in picked), np.uint8)])
+        self.ids = np.concatenate([self.ids, np.array([i for k in picked for i in ids[k]], self.kind)])
+
+    def sweep(self) -> None:
+        if len(self.key) <= self.most and len(self.texts) + self.ids.nbytes <= 32 * self.most:
+            return
+        kept = np.flatnonzero(self.used)[: self.most // 2]  # in the order of hashes
+        self.texts, self.ids = self.texts[ranges(self.text_at[kept], self.text_size[kept])], self.ids[ranges(self.ids_at[kept], self.ids_size[kept])]
+        self.key, self.text_size, self.ids_size, self.used = self.key[kept], self.text_size[kept], self.ids_size[kept], np.zeros(len(kept), bool)
+        self.text_at, self.ids_at = ((np.cumsum(x) - x).astype(np.int32) for x in (self.text_size, self.ids_size))
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All indices of the spans, one span behind the other."""
+    stop = np.cumsum(sizes, dtype=np.int64)
+    return np.repeat(starts - (stop - sizes), sizes) + np.arange(int(stop[-1]) if len(stop) else 0)
+
+
 class PieceEncoder:
-    """The tokenizer behind a table of pieces that it has already seen, cleared when it grows too large."""
+    """The tokenizer behind a table of pieces. Tokenizers whose normaliser or pre-tokenizer are not those that the cuts were made
+    for get whole texts.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.used, self.ends = np.empty(1 << 16, self.wide), 0, [0]
-
-    def add(self, keys: list[int], texts: list[bytes], single: list[bool]) -> None:
-        found: list[list[int] | None] = [None] * len(keys)
+        parts = json.loads(self.tokenizer.to_str())
+        self.by_piece = [parts["normalizer"], parts["pre_tokenizer"]] == CUT_FOR
+        self.kind = id_kind(self.tokenizer.get_vocab_size())
+        self.table = PieceTable(self.kind)
+
+    def ids_of(self, texts: list[bytes], single: list[bool]) -> list[list[int]]:
+        """The tokenizer's ids of some pieces."""
+        found: list[list[int] | None] = [None] * len(texts)
         joined = [k for k, x in enumerate(single) if x]
         for low in range(0, len(joined), 256):  # pieces of letters only: many in one call, told apart by their word number
             group = joined[low : low + 256]
             done = self.tokenizer.encode(b" ".join(texts[k] for k in group).decode(), add_special_tokens=False)
             number, ids = done.word_ids, done.ids
             if ids and number[-1] == len(group) - 1:
-                bounds = np.searchsorted(np.array(number), np.arange(len(group) + 1))
-                for k, a, b in zip(group, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                bounds = np.searchsorted(np.array(number), np.arange(len(group) + 1)).tolist()
+                for k, a, b in zip(group, bounds[:-1], bounds[1:], strict=True):
                     found[k] = ids[a:b]
         alone = [k for k, x in enumerate(found) if x is None]
         for k, x in zip(alone, self.tokenizer.encode_batch([texts[k].decode() for k in alone], add_special_tokens=False), strict=True):
             found[k] = x.ids
-        new = [i for x in found for i in x]
-        while self.used + len(new) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[self.used : self.used + len(new)] = new
-        at = self.used
-        self.used += len(new)
-        for key, x in zip(keys, found, strict=True):
-            self.known[key] = len(self.ends) - 1
-            at += len(x)
-            self.ends.append(at)
+        return found
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and the number of ids of each."""
-        import pandas as pd
-
+        if not self.by_piece:
+            texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            found = [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, self.kind), *found]), np.array([len(x) for x in found], np.int64)
         data, starts, ends, heads, single = cut(data, offsets)
         if not len(starts):
-            return np.zeros(0, self.wide), np.zeros(len(offsets) - 1, np.int64)
-        keys = span_hashes(data, starts, ends)
-        codes, distinct = pd.factorize(keys)
-        if len(self.known) > MOST_PIECES:
-            self.clear()
-        names = distinct.tolist()
-        missing = [k for k, x in enumerate(names) if x not in self.known]
-        if missing:
-            first = np.full(len(distinct), -1)
+            return np.zeros(0, self.kind), np.zeros(len(offsets) - 1, np.int64)
+        # pieces are all that is no white space, so they lie one behind the other once that is taken out
+        bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+        column = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[~SPACE[data]])]).dictionary_encode()
+        codes, (names, at) = column.indices.to_numpy(), column_bytes(column.dictionary)
+        self.table.sweep()
+        key = span_hashes(names, at[:-1], at[1:])
+        missing = np.flatnonzero(self.table.find(key, names, at) < 0)
+        extra: list[list[int]] = []
+        if len(missing):
+            first = np.empty(len(key), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
-            at = first[missing]
-            self.add([names[k] for k in missing], [data[a:b].tobytes() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], single[at].tolist())
-        place = np.array([self.known[x] for x in names])
-        bounds = np.array(self.ends)
-        own_start, own_length = bounds[place], bounds[place + 1] - bounds[place]
+            texts = column.dictionary.take(pa.array(missing)).to_pylist()
+            extra = self.ids_of(texts, single[first[missing]].tolist())
+            short = [k for k, x in enumerate(texts) if len(x) <= LONGEST_PIECE]
+            self.table.add(key[missing[short]], [texts[k] for k in short], [extra[k] for k in short])
+        place = self.table.find(key, names, at, asked=False)
+        found = place >= 0
+        own_start, own_length = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+        own_start[found], own_length[found] = self.table.ids_at[place[found]], self.table.ids_size[place[found]]
+        pool = self.table.ids
+        if not found.all():  # pieces too long for the table, or of another's hash
+            spare = [extra[k] for k in np.searchsorted(missing, np.flatnonzero(~found)).tolist()]
+            size = np.array([len(x) for x in spare], np.int64)
+            own_length[~found], own_start[~found] = size, len(pool) + np.cumsum(size) - size
+            pool = np.concatenate([pool, np.array([i for x in spare for i in x], self.kind)])
         length = own_length[codes]
-        stop = np.cumsum(length)
-        out = self.ids[np.repeat(own_start[codes] - (stop - length), length) + np.arange(stop[-1])]
-        totals = np.concatenate([[0], stop])[heads]
-        return out, np.diff(totals)
+        out = pool[ranges(own_start[codes], length)]
+        return out, np.diff(np.concatenate([[0], np.cumsum(length)])[heads])
 
 
 def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,8 +210,7 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         kept[ends[whole]] -= 1
         kept = np.cumsum(kept[:-1]).astype(bool)
         lowered[kept] = data[kept]
-    all_starts = np.sort(np.concatenate([starts, inner]))
-    all_ends = np.sort(np.concatenate([ends, inner]))
+    all_starts, all_ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
     letters = kind[all_starts] == 1
     if whole.any():
         letters &= ~np.isin(all_starts, starts[whole])
@@ -149,8 +229,13 @@ def encoder(path: str) -> PieceEncoder:
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in pieces(batches, "text", 2 << 20):
-            ids, counts = own.encode(*column_bytes(batch.column("text")))
+        for batch in pieces(batches, "text", PART):
+            data, offsets = column_bytes(batch.column("text"))
+            if len(offsets) == 2 and len(data) > 2 * PART and own.by_piece:
+                ids = np.concatenate([own.encode(x, np.array([0, len(x)]))[0] for x in parts_of(data, PART)])
+                counts = np.array([len(ids)])
+            else:
+                ids, counts = own.encode(data, offsets)
             ends = np.cumsum(counts)
             full = np.insert(ids, ends, end_id)
             bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * full.itemsize
@@ -166,6 +251,18 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(_encode(path, end_id), "id long, ids binary, n long")
 
 
+def id_kind(ids: int) -> str:
+    """The integers that hold this many ids."""
+    return "<u2" if ids <= 1 << 16 else "<u4"
+
+
+def is_wide(path: str) -> bool:
+    """Whether a tokenizer's ids need 32 bits."""
+    from tokenizers import Tokenizer
+
+    return id_kind(Tokenizer.from_file(path).get_vocab_size()) == "<u4"
+
+
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Bits of each symbol (of positive counts) in the best prefix code with at most ``most`` bits: package-merge."""
     n = len(counts)
@@ -208,22 +305,38 @@ class Codebook:
         self.symbol_at[: room.sum()], self.bits_at[: room.sum()] = np.repeat(self.ids, room), np.repeat(self.bits, room)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The bits of the ids, and the bit offset of every STEP-th of them."""
-        length = self.length[ids]
-        end = np.cumsum(length)
-        start = end - length
-        value = self.code[ids] << (32 - length - (start & 7))
-        at, size = start >> 3, (int(end[-1]) >> 3) + 4 if len(end) else 0
-        out = np.zeros(size, np.uint8)
-        for k in range((self.most + 7) // 8 + 1):  # the bits of different ids never meet, so sums are unions
-            out += np.bincount(at + k, ((value >> (24 - 8 * k)) & 255), size).astype(np.uint8)
-        return out[: (int(end[-1]) + 7) >> 3 if len(end) else 0].tobytes(), start[::STEP]
+        """The bits of the ids, and the bit offset of every STEP-th of them; a slice of the ids at a time."""
+        slices = [ids[k : k + SLICE] for k in range(0, len(ids), SLICE)]
+        total = sum(int(self.length[x].sum()) for x in slices)
+        out, starts, done = np.zeros((total >> 3) + 5, np.uint8), [np.zeros(0, np.int64)], 0
+        for own in slices:
+            length = self.length[own]
+            end = np.cumsum(length) + done
+            start = end - length
+            value = self.code[own] << (32 - length - (start & 7))
+            base, size = done >> 3, (int(end[-1]) >> 3) - (done >> 3) + 4
+            for k in range((self.most + 7) // 8 + 1):  # the bits of different ids never meet, so sums are unions
+                out[base : base + size] += np.bincount((start >> 3) - base + k, (value >> (24 - 8 * k)) & 255, size)[:size].astype(np.uint8)
+            starts.append(start[::STEP])
+            done = int(end[-1])
+        return out[: (total + 7) >> 3].tobytes(), np.concatenate(starts)
 
     def decode(self, payload: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Ids from every bit offset in ``starts``, so many of each, all side by side."""
+        """Ids from every bit offset in ``starts`` (ascending), so many of each, SLICE // STEP of them side by side."""
+        out = np.empty(int(counts.sum()), np.int32)
+        ends = np.cumsum(counts)
+        side = SLICE // STEP
+        for low in range(0, len(starts), side):
+            high = min(low + side, len(starts))
+            first = int(starts[low]) >> 3
+            last = (int(starts[high]) >> 3) + 1 if high < len(starts) else len(payload)
+            a, b = int(ends[low] - counts[low]), int(ends[high - 1])
+            self._decode(payload[first:last], starts[low:high] - first * 8, counts[low:high], out[a:b])
+        return out
+
+    def _decode(self, payload: np.ndarray, starts: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
         data = np.concatenate([payload, np.zeros(4, np.uint8)]).astype(np.uint32)
         window = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
-        out = np.empty(int(counts.sum()), np.int32)
         to, at = np.cumsum(counts) - counts, starts.astype(np.int64)
         by = np.argsort(-counts, kind="stable")
         at, to, counts = at[by], to[by], counts[by]
@@ -234,7 +347,6 @@ class Codebook:
             code = (window[at >> 3] >> (32 - self.most - (at & 7)).astype(np.uint32)) & mask
             out[to + k] = self.symbol_at[code]
             at = at + self.bits_at[code]
-        return out
 
 
 def _count(kind: str):
