@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import written
+from tracelake.llm.shared import spent, written
 
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -27,7 +27,11 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         large = both.filter("v > u").join(lowest, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         moved = large.join(least, F.col("u") == F.col("w")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = written(moved.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "stars")
+        last, stars = stars, written(moved.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "stars")
+        spent(last)
     else:
         raise RuntimeError(f"links still change after {most_rounds} rounds")
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = written(out, "components")
+    spent(stars)
+    return out

@@ -5,24 +5,30 @@ what a source cannot take is reshared by weight among the others. With r = targe
 its documents has floor(r) certain whole copies, and a further copy with inclusion probability p = r - floor(r).
 Documents are ranked by the Pareto variable (u / (1 - u)) / (p / (1 - p)), u a hash of the id, and the lowest
 ranks are taken until their words fill what is left of the target: a sample of fixed size, measured in words.
-Where the next document would pass the mark, later ones that still fit fill the room that is left.
+In the order of ranks a document that would pass the mark is left out, and later ones that still fit fill the room that is
+left, over the whole source. If room remains, the smallest document left out is taken where that lands nearer to the mark.
 
-The mark is found without sorting a source in one task: words are summed per slice of the rank, the slice that
-holds the mark is found from these sums, and only its documents are put in order.
+The mark is found without sorting a source in one task: words that still fit are summed per slice of the rank, the slice
+that holds the mark is found from these sums, and only its documents are put in order. A step ends at the first document
+that does not fit; steps follow until none fits. A step is one row a source: from where to where, and up to which size.
 
-Defined results: null text has size 0; null is a source of its own, last; a source without words has target 0;
-repeated rows share their rank and follow one another; an empty table gives an empty result; other columns are ignored.
+Defined results: null text has size 0; null is a source of its own, last; a source without words has target 0; rows of
+null id are ranked by their text; rows of one rank go by a hash of their text, so that reruns agree whatever the order of
+rows; equal rows follow one another; very long texts count whole; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import written
+from tracelake.llm.shared import spent, written
 
 SLICE_ROWS, MOST_SLICES = 2000, 1 << 16
-FILLS = 4
+MOST_STEPS = 200
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3) -> DataFrame:
@@ -44,10 +50,47 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
     )
 
 
+def _steps(ranked: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From documents (source, slice, size, at) and (source, room): the steps (s, room, after, before), and the room left at the end (s, room).
+
+    A step takes the documents of at most ``room`` words behind ``after`` and ahead of ``before`` (null: to the end).
+    """
+    state = written(marks.select(F.col("source").alias("s"), "room", F.lit(None).cast(ranked.schema["at"].dataType).alias("before")), "mix-step")
+    steps, ends = [], []
+    for _ in range(MOST_STEPS):
+        open_ = state.filter("room > 0")
+        now = open_.select("s", "room", F.col("before").alias("after"))
+        live = ranked.join(now, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("room")) & (F.col("after").isNull() | (F.col("at") > F.col("after")))).drop("source")
+        sums = live.groupBy("s", "slice").agg(F.sum("size").alias("words"))
+        before = F.coalesce(F.sum("words").over(Window.partitionBy("s").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = sums.select("s", "slice", before.alias("ahead"), "words")
+        total = placed.groupBy("s").agg(F.sum("words").alias("fit"))
+        # the one slice of each source where the mark is passed, its documents in order
+        edge = placed.join(now.withColumnRenamed("s", "z"), F.col("s").eqNullSafe(F.col("z"))).filter("ahead <= room and ahead + words > room").select(F.col("z").alias("e"), F.col("slice").alias("k"), "ahead")
+        inside = live.join(edge, F.col("s").eqNullSafe(F.col("e")) & (F.col("slice") == F.col("k")))
+        inside = inside.withColumn("end", F.col("ahead") + F.sum("size").over(Window.partitionBy("s").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        cut = inside.groupBy("s").agg(F.min(F.when(F.col("end") > F.col("room"), F.struct("at", "end", "size"))).alias("first")).select("s", F.col("first.at").alias("before"), (F.col("first.end") - F.col("first.size")).alias("took"))
+        named = lambda df, name: df.withColumnRenamed("s", name)
+        joined = now.join(named(total, "t"), F.col("s").eqNullSafe(F.col("t")), "left").join(named(cut, "c"), F.col("s").eqNullSafe(F.col("c")), "left")
+        step = written(joined.select("s", "room", "after", "before", F.coalesce("took", "fit", F.lit(0)).alias("took")), "mix-step")
+        steps.append(step)
+        ends.append(state.filter("room <= 0").select("s", "room"))
+        left = step.select("s", (F.col("room") - F.col("took")).alias("room"), "before")
+        state = left.filter("before is not null")
+        ends.append(left.filter("before is null").select("s", "room"))
+        if state.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"documents still fit after {MOST_STEPS} steps")
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return written(union([x.select("s", "room", "after", "before") for x in steps]), "mix-steps"), union(ends)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3) -> DataFrame:
     """One row per document: id, source, size, source_size, target, copies (whole copies that the mix takes)."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sizes")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    size = F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+    rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.md5(text).alias("tie"), F.monotonically_increasing_id().alias("row")), "sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # The sources' table stays a small side: a row a source, which Spark broadcasts only below its own threshold.
@@ -56,34 +99,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("certain", F.floor(ratio).cast("long"))
         .withColumn("odds", (ratio - F.col("certain")) / (F.lit(1.0) - (ratio - F.col("certain"))))
         .withColumn("slices", F.least(F.floor(F.col("source_rows") / SLICE_ROWS) + 1, F.lit(MOST_SLICES)))
-        .withColumn("mark", F.col("target") - F.col("certain") * F.col("source_size")),
+        .withColumn("room", F.col("target") - F.col("certain") * F.col("source_size")),
         "targets",
     )
-    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 13)
-    rows = rows.withColumn("u", (F.conv(digest, 16, 10).cast("double") + 0.5) / F.lit(float(2**52)))
-    plan = plan.withColumnRenamed("source", "s")
-    ranked = (
-        rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
-        .drop("s")
-        .withColumn("rank", F.when(F.col("odds") > 0, F.col("u") / (F.lit(1.0) - F.col("u")) / F.col("odds")).otherwise(F.col("u")))
-        .withColumn("slice", F.floor(F.col("u") * F.col("slices")).cast("int"))
-    )
-    sliced = ranked.groupBy("source", "slice").agg(F.sum("size").alias("words"), F.max("mark").alias("mark"))
-    up_to = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("words").over(up_to), F.lit(0))
-    edge = sliced.select(
-        F.col("source").alias("s"), F.col("slice").alias("k"), (F.col("mark") - before).alias("room"), (before + F.col("words") <= F.col("mark")).alias("all_in")
-    )
-    placed = ranked.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("k"))).drop("s", "k")
-    cut = ~F.col("all_in") & (F.col("room") > 0)
-    near = placed.filter(cut).withColumn("extra", F.lit(0).cast("long"))
-    in_order = Window.partitionBy("source").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for _ in range(FILLS):  # in the order of ranks, what still fits: first up to the mark, then into the room that is left
-        near = near.withColumn("wants", F.when((F.col("extra") == 0) & (F.col("size") <= F.col("room")), F.col("size")).otherwise(F.lit(0)))
-        near = near.withColumn("end", F.sum("wants").over(in_order))
-        near = near.withColumn("extra", F.when((F.col("wants") > 0) & (F.col("end") <= F.col("room")), F.lit(1).cast("long")).otherwise(F.col("extra")))
-        taken = F.sum(F.when((F.col("wants") > 0) & (F.col("extra") == 1), F.col("size")).otherwise(F.lit(0))).over(Window.partitionBy("source"))
-        near = near.withColumn("room", F.col("room") - taken)
-    rest = placed.filter(~cut).withColumn("extra", (F.col("all_in") & (F.col("odds") > 0)).cast("long"))
-    columns = [F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("certain") + F.col("extra")).alias("copies")]
-    return near.select(*columns).unionByName(rest.select(*columns))
+    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.col("tie")))), 1, 13)
+    u = (F.conv(digest, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
+    # within a source the Pareto variable grows with u alone; it is the rank that the order goes by
+    rank = F.when(F.col("odds") > 0, u / (F.lit(1.0) - u) / F.col("odds")).otherwise(u)
+    named = plan.select(F.col("source").alias("s"), "slices", "odds")
+    ranked = rows.join(named, F.col("source").eqNullSafe(F.col("s"))).select("source", "row", "size", F.floor(u * F.col("slices")).cast("int").alias("slice"), F.struct(rank.alias("rank"), "tie", "row").alias("at"))
+    ranked = written(ranked.filter("size > 0"), "ranked")
+    steps, ends = _steps(ranked, plan.filter("odds > 0"))
+    chosen = ranked.join(steps, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("room")) & (F.col("after").isNull() | (F.col("at") > F.col("after"))) & (F.col("before").isNull() | (F.col("at") < F.col("before"))), "left_semi")
+    chosen = written(chosen.select("source", "row"), "chosen")
+    # what was left out is larger than the room that is left, if any is: the smallest of it may still land nearer
+    over = ranked.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("room") > 0) & (F.col("size") > F.col("room")) & (F.col("size") < 2 * F.col("room")))
+    over = over.join(chosen.select(F.col("row").alias("had")), F.col("row") == F.col("had"), "left_anti").groupBy("source").agg(F.min(F.struct("size", "at")).alias("least"))
+    extra = chosen.select("row").unionByName(over.select(F.col("least.at.row").alias("row"))).select(F.col("row").alias("r"), F.lit(1).cast("long").alias("extra"))
+    out = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).join(extra, F.col("row") == F.col("r"), "left")
+    out = written(out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("certain") + F.coalesce("extra", F.lit(0))).alias("copies")), "mixed")
+    spent(rows, ranked, chosen)
+    return out

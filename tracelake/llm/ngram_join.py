@@ -3,23 +3,25 @@
 A document is the set of its distinct five-word shingles (as 64-bit hashes). Shingles are hashed into groups; the counts of
 the groups are the document's point. For two points the sum of coordinate minima bounds the overlap from above, and the
 same holds for the maxima of two boxes of points; pairs of boxes, then of points, that cannot reach the similarity are cut.
-The more groups, the tighter the bound, and finer counts add up to coarser ones: the trees' boxes hold GROUPS groups, their
-leaves as many as shingles, for long texts a quarter as many; pairs that they leave are bounded once more with as many groups as shingles,
-and the pairs that survive are verified on the sets themselves. Counts are kept in a byte each; what exceeds it is added up
-apart, and added to the bound.
+The more groups, the tighter the bound, and finer counts add up to coarser ones: boxes hold GROUPS groups, a document's own
+vector at least half as many as it has shingles. Counts are kept in four bits each; what exceeds them is added up apart, and
+added to the bound. Pairs that the bound leaves are verified on the sets themselves, made anew from the two texts.
 
 Points of unlike texts lie too close for one tree over all of them to cut much (see the README), so trees stand on blocks:
 two sets as similar as asked for must share a shingle among the first ``n - ceil(t * n) + 1`` of each in any one order.
 The order puts common shingles last, so that blocks stay small; the order only affects speed, never the result. Blocks of
-the same documents are one.
+the same documents are one. A block of at most LEAF documents is a tree of a single leaf.
 
-Groups of near copies would make every pair of a block a link. Documents are therefore first compared with a few pivots
-of their blocks (PIVOTS each at most); verified links give provisional components, and the trees then search only pairs of
-different components. Every link between different components is found, so components are exact.
+Groups of near copies would make every pair of a block a link. Documents of larger blocks are therefore first compared with
+a few pivots of their blocks; verified links give provisional components, and the trees then search only pairs of different
+components. Every link between different components is found, so
+components are exact. A pair that meets in several blocks is told in the first; where it is not among the FIRSTS first
+blocks of both, it may be told again.
 
 Defined results: null or empty text has an empty set and links with nothing; shorter texts have one shingle, their whole
 word sequence; rows of equal sets are linked; rows that share an id are one document; rows of null id have a null
-component; an empty table gives an empty result; other columns are ignored.
+component; very long texts are hashed in parts, and their sets have to fit a task; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,21 +35,21 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.components import components
 from tracelake.llm.keybits import bits_of, has_bit
-from tracelake.llm.shared import written
-from tracelake.llm.textbytes import LOWER, column_bytes, mixed, pieces, shingle_rows, span_hashes, words
+from tracelake.llm.shared import spent, written
+from tracelake.llm.textbytes import LOWER, column_bytes, mixed, pieces, shingle_rows, word_hashes
 
-GROUPS, FANOUT, TILE, PIVOTS = 64, 8, 4096, 3
+GROUPS, FANOUT, LEAF, TILE, PIVOTS, FIRSTS = 64, 8, 16, 4096, 6, 8
 SHINGLE = 5
-COMMON_SHARE, COMMON_LEAST, SEEN_LEAST, FLUSH = 0.001, 32, 4, 4_000_000
+COMMON_SHARE, COMMON_LEAST, COMMON_MOST, SEEN_LEAST, FLUSH = 0.001, 32, 200_000, 3, 2_000_000
+PART, SEEN_MOST = 1 << 20, 200_000
 LINKS = "a long, b long"
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct shingles of each row, ascending, and how many."""
     data, offsets = column_bytes(column)
-    low = LOWER[data]
-    starts, ends, heads = words(low, offsets)
-    row, _, shingle = shingle_rows(span_hashes(low, starts, ends), heads, width)
+    hashes, heads = word_hashes(LOWER[data], offsets)
+    row, _, shingle = shingle_rows(hashes, heads, width)
     at = np.searchsorted(row, np.arange(len(column) + 1)).tolist()
     sets = []
     for a, b in zip(at[:-1], at[1:], strict=True):
@@ -57,7 +59,7 @@ def shingle_sets(column: pa.Array, width: int = SHINGLE) -> tuple[list[np.ndarra
 
 
 def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of about COMMON_SHARE of all rows or more, with their counts, ascending; their number is bounded by that share."""
+    """Shingles of about COMMON_SHARE of all rows or more, at most COMMON_MOST of them, with their counts, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, docs = [], 0, 0
@@ -67,7 +69,7 @@ def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
             often = counts >= max(SEEN_LEAST, int(docs * COMMON_SHARE / 2))
             return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often]), pa.array(np.zeros(int(often.sum()), np.int64))], ["s", "n", "docs"])
 
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PART):
             sets, sizes = shingle_sets(batch.column("text"), width)
             held += sets
             n += int(sizes.sum())
@@ -82,43 +84,67 @@ def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
     seen = written(rows.mapInArrow(run, "s long, n long, docs long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "common")
     total = seen.agg(F.sum("docs")).first()[0] or 0
-    found = seen.filter(F.col("n") >= max(COMMON_LEAST, int(total * COMMON_SHARE))).select("s", "n").toArrow()
+    found = seen.filter(F.col("n") >= max(COMMON_LEAST, int(total * COMMON_SHARE))).select("s", "n").orderBy(F.desc("n"), "s").limit(COMMON_MOST).toArrow()
+    spent(seen)
     shingles, counts = found["s"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(shingles)
     return shingles[order], counts[order]
 
 
 def counted(shingles: np.ndarray, groups: int) -> tuple[np.ndarray, int]:
-    """Counts of the groups, a byte each, and the sum of what exceeds it."""
+    """Counts of the groups, four bits each (those of the second half in the upper bits), and the sum of what exceeds them."""
     counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return np.minimum(counts, 255).astype(np.uint8), int(np.maximum(counts - 255, 0).sum())
+    low = np.minimum(counts, 15).astype(np.uint8)
+    return low[: groups // 2] | (low[groups // 2 :] << 4), int(np.maximum(counts - 15, 0).sum())
+
+
+def counts_of(point: bytes) -> np.ndarray:
+    x = np.frombuffer(point, np.uint8)
+    return np.concatenate([x & 15, x >> 4])
+
+
+def folded_counts(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The same counts in fewer groups."""
+    return counts.reshape(-1, groups).sum(0, dtype=np.int32)
 
 
 def groups_for(n: int) -> int:
-    """A power of two of at least n, from GROUPS to 65536."""
-    return min(max(1 << max(n - 1, 1).bit_length(), GROUPS), 1 << 16)
+    """A power of two of at least n / 2, from GROUPS to 32768."""
+    return min(max(1 << max(n // 2 - 1, 1).bit_length(), GROUPS), 1 << 15)
+
+
+PROFILE = "id long, n long, f1 long, f2 long, point binary, over long, prefix array<long>"
 
 
 def _profile(common, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, counts = common.value
-        for batch in pieces(batches, "text"):
+        seen: set[tuple[int, int, int]] = set()
+        for batch in pieces(batches, "text", PART):
             sets, n = shingle_sets(batch.column("text"), width)
-            coarse, fine, prefix, sums = [], [], [], []
+            point, prefix, sums = [], [], []
             first = n - -(-n * percent // 100) + 1
-            for own, size, k in zip(sets, n.tolist(), first.tolist(), strict=True):
-                coarse.append(counted(own, groups_for(max(size // 4, min(size, 512)))))
-                fine.append(counted(own, groups_for(size)))
+            known = batch.column("id").is_valid().to_pylist()
+            for own, size, k, has_id in zip(sets, n.tolist(), first.tolist(), known, strict=True):
+                point.append(counted(own, groups_for(size)))
                 sums.append([int(mixed(own ^ np.uint64(salt)).sum()) for salt in (0x51ED270B, 0xA5A5F00D1234567)])
-                if len(often) and size:
+                # a set that this task has just told under another id need not be told again: equal sets are linked apart
+                key = (size, *sums[-1])
+                if not size or not has_id or key in seen:
+                    prefix.append(None)
+                    continue
+                if len(seen) >= SEEN_MOST:
+                    seen.clear()
+                seen.add(key)
+                if len(often):
                     place = np.minimum(np.searchsorted(often, own), len(often) - 1)
                     weight = np.where(often[place] == own, counts[place], 0)
                     own = own[np.lexsort([own, weight])] if weight.any() else own
                 prefix.append(own[:k].view(np.int64))
             f1, f2 = (np.array([x[k] for x in sums], np.uint64).view(np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n), pa.array(f1), pa.array(f2), pa.array([x[0].tobytes() for x in coarse], pa.binary()), pa.array([x[1] for x in coarse], pa.int64()), pa.array([x[0].tobytes() for x in fine], pa.binary()), pa.array([x[1] for x in fine], pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["id", "n", "f1", "f2", "point", "over", "fine", "fine_over", "prefix"],
+                [batch.column("id"), pa.array(n), pa.array(f1), pa.array(f2), pa.array([x[0].tobytes() for x in point], pa.binary()), pa.array([x[1] for x in point], pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["id", "n", "f1", "f2", "point", "over", "prefix"],
             )
 
     return run
@@ -130,11 +156,11 @@ def bound_holds(overlap: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent:
 
 
 def overlap_bound(a: bytes | np.ndarray, b: bytes | np.ndarray, over: int) -> int:
-    """Summed minima of two count vectors, the finer one folded to the coarser."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    """Summed minima of two count vectors (packed or not), the finer one folded to the coarser."""
+    x, y = (counts_of(v) if isinstance(v, bytes) else v for v in (a, b))
     if len(x) != len(y):
         x, y = (x, y) if len(x) < len(y) else (y, x)
-        y = y.reshape(-1, len(x)).sum(0, dtype=np.int64)
+        y = folded_counts(y, len(x))
     return int(np.minimum(x, y).sum(dtype=np.int64)) + over
 
 
@@ -183,30 +209,29 @@ def tree_join(a: Tree, b: Tree, percent: int, own: bool) -> tuple[np.ndarray, np
 
 def _search(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over rows sorted by block (token, t, u) and side: the pairs that each block's tree (or two trees) leaves."""
+        """Over rows sorted by block (token, t, u): the pairs that each block's tree (or two trees) leaves."""
         held: list[pa.RecordBatch] = []
 
         def searched(rows: pa.Table) -> pa.RecordBatch:
-            ids, n, label = (rows[c].to_numpy() for c in ("id", "n", "component"))
-            leaf = [np.frombuffer(x, np.uint8) for x in rows["point"].to_pylist()]
-            points = np.array([x if len(x) == GROUPS else x.reshape(-1, GROUPS).sum(0, dtype=np.int64) for x in leaf], np.int32)
-            over = rows["over"].to_numpy()
+            ids, n, label, over, side = (rows[c].to_numpy() for c in ("id", "n", "component", "over", "side"))
+            fine = [counts_of(x) for x in rows["point"].to_pylist()]
+            points = np.array([folded_counts(x, GROUPS) for x in fine], np.int32)
             keys = np.stack([rows[c].to_numpy() for c in ("token", "t", "u")], 1)
             cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(ids)]])
-            side, a, b = rows["side"].to_numpy(), [], []
+            a, b = [], []
             sizes = np.diff(cuts)
-            # blocks of one or two pages: all of them at once, each row with the rows next to it
-            small = np.repeat((sizes <= 2 * FANOUT) & (keys[cuts[:-1], 1] == keys[cuts[:-1], 2]), sizes)
+            # trees of one leaf: all of them at once, each row with the rows next to it
+            leaf = np.repeat((sizes <= LEAF) & (keys[cuts[:-1], 1] == keys[cuts[:-1], 2]), sizes)
             block = np.repeat(np.arange(len(sizes)), sizes)
-            for away in range(1, 2 * FANOUT):
-                i = np.flatnonzero(small[:-away] & (block[:-away] == block[away:]) & (label[:-away] != label[away:])) if away < len(ids) else np.zeros(0, np.int64)
+            for away in range(1, LEAF):
+                i = np.flatnonzero(leaf[:-away] & (block[:-away] == block[away:]) & (label[:-away] != label[away:])) if away < len(ids) else np.zeros(0, np.int64)
                 j = i + away
                 near = (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
                 i, j = i[near], j[near]
                 ok = bound_holds(np.minimum(points[i], points[j]).sum(1, dtype=np.int64) + np.minimum(over[i], over[j]), n[i], n[j], percent)
                 a.append(i[ok])
                 b.append(j[ok])
-            for low, high in ((x, y) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if not small[x]):
+            for low, high in ((x, y) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if not leaf[x]):
                 order = low + np.lexsort([n[low:high], label[low:high]])
                 if keys[low, 1] == keys[low, 2]:
                     tree = Tree(points[order], over[order], n[order], label[order])
@@ -220,17 +245,15 @@ def _search(percent: int):
                         a.append(x[i])
                         b.append(y[j])
             i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-            pairs, first, of = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0, return_index=True, return_inverse=True)
-            x, y = i[first], j[first]
-            overlap = np.array([overlap_bound(leaf[p], leaf[q], int(min(over[p], over[q]))) for p, q in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
-            good = np.flatnonzero(bound_holds(overlap, n[x], n[y], percent))
-            # a pair that meets in several blocks is told by the first of them only
-            own = rows["tokens"]
-            home = np.zeros(len(pairs), np.int64)
-            for k in good.tolist():
-                home[k] = min(set(own[int(x[k])].as_py()) & set(own[int(y[k])].as_py()))
-            here = np.bincount(of.ravel(), keys[i, 0] == home[of.ravel()], len(pairs)) > 0 if len(pairs) else np.zeros(0, bool)
-            pairs = pairs[good[here[good]]]
+            firsts = [frozenset(x) for x in rows["firsts"].to_pylist()]
+            token, good = keys[:, 0].tolist(), []
+            for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                here = token[x]
+                if any(t < here for t in firsts[x] & firsts[y]):  # an earlier block has the pair too
+                    continue
+                if bound_holds(overlap_bound(fine[x], fine[y], int(min(over[x], over[y]))), n[x], n[y], percent):
+                    good.append(k)
+            pairs = np.unique(np.stack([np.minimum(ids[i[good]], ids[j[good]]), np.maximum(ids[i[good]], ids[j[good]])], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
@@ -253,52 +276,62 @@ def _search(percent: int):
     return run
 
 
-def _verify(percent: int):
+def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over rows sorted by (b, salt) with b's own set first: which of the following sets are similar enough to it."""
+        """Over rows sorted by (b, salt) with b's own text first: which of the following sets are similar enough to it."""
         now, lead = None, []
-        for batch in pieces(batches, "shingles"):
-            data, at = column_bytes(batch.column("shingles"))
-            sets, at = np.ascontiguousarray(data).view(np.uint64), at // 8
-            a, b, salt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "salt"))
+        for batch in pieces(batches, "text", PART):
+            sets, _ = shingle_sets(batch.column("text"), width)
+            a, b, salt = (batch.column(c).to_pylist() for c in ("a", "b", "salt"))
             good = np.zeros(len(a), bool)
-            for k in range(len(a)):
-                own = sets[at[k] : at[k + 1]]
+            for k, own in enumerate(sets):
                 if (b[k], salt[k]) != now:
                     now, lead = (b[k], salt[k]), []
                 if a[k] == b[k]:
-                    lead.append(own.copy())
+                    lead.append(own)
                     continue
                 for other in lead:
                     place = np.minimum(np.searchsorted(other, own), max(len(other) - 1, 0))
                     both = int((other[place] == own).sum()) if len(other) else 0
-                    good[k] |= (100 + percent) * both >= percent * (len(own) + len(other))
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+                    good[k] |= both > 0 and (100 + percent) * both >= percent * (len(own) + len(other))
+            keep = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     return run
 
 
 def verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int, salt_rows: int = 512) -> DataFrame:
-    """The pairs (a, b) whose sets are as similar as asked for; sets are made anew for the documents in question."""
+    """The pairs (a, b) whose sets are as similar as asked for; sets are made anew from the texts of the documents in question."""
     pairs = written(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     bits = rows.sparkSession.sparkContext.broadcast(bits_of(ends, "id"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            batch = batch.filter(pa.array(has_bit(bits.value, batch.column("id").to_numpy())))
-            if batch.num_rows:
-                column = pa.array([x.tobytes() for x in shingle_sets(batch.column("text"), width)[0]], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), column], ["id", "shingles"])
+    def asked_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has_bit(bits.value, batch.column("id").to_numpy())))
 
-    made = rows.mapInArrow(sets, "id long, shingles binary")
+    texts = rows.mapInArrow(asked_for, "id long, text string")
     # the second document of a pair leads its group; a group with many partners is dealt out, its lead copied to each part
     salts = pairs.groupBy("b").agg((F.floor(F.count(F.lit(1)) / salt_rows) + 1).cast("int").alias("salts"))
     dealt = pairs.join(salts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"))
     leads = salts.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     asked = dealt.unionByName(leads)
-    joined = asked.join(made, F.col("a") == F.col("id")).select("a", "b", "salt", "shingles")
-    return written(joined.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b")).mapInArrow(_verify(percent), LINKS), "links")
+    joined = asked.join(texts, F.col("a") == F.col("id")).select("a", "b", "salt", "text")
+    links = written(joined.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b")).mapInArrow(_verify(width, percent), LINKS), "links")
+    spent(pairs)
+    return links
+
+
+def _pivot_bounds(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs that sizes and the counts leave."""
+        for batch in batches:
+            over = np.minimum(*(batch.column(c).to_numpy() for c in ("oa", "o"))).tolist()
+            overlap = np.array([overlap_bound(x, y, z) for x, y, z in zip(batch.column("va").to_pylist(), batch.column("v").to_pylist(), over, strict=True)], np.int64)
+            ok = pa.array(bound_holds(overlap, batch.column("na").to_numpy(), batch.column("m").to_numpy(), percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+
+    return run
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -306,63 +339,53 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     common = spark.sparkContext.broadcast(common_shingles(rows, width))
-    profile = written(rows.mapInArrow(_profile(common, width, percent), "id long, n long, f1 long, f2 long, point binary, over long, fine binary, fine_over long, prefix array<long>"), "profiles")
+    profile = written(rows.mapInArrow(_profile(common, width, percent), PROFILE), "profiles")
     given = profile.filter("id is not null and n > 0")
     rows = rows.filter("id is not null")
     # rows of equal sets have one representative, the smallest id
     same = ["n", "f1", "f2"]
     reps = given.groupBy(*same).agg(F.min("id").alias("rep"))
     narrow = written(given.select("id", *same).join(reps, same).select("id", "rep", "n").distinct(), "representatives")
-    single = given.join(narrow.filter("id = rep").select(F.col("id").alias("i"), F.col("n").alias("m")), (F.col("id") == F.col("i")) & (F.col("n") == F.col("m")), "left_semi").dropDuplicates(["id", *same])
     # blocks: the prefix shingles that several documents share; of blocks with the same documents one
-    prefix = single.select(F.explode("prefix").alias("token"), "id", "n").repartition("token")
-    marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    prefix = given.select(F.explode("prefix").alias("token"), "id").repartition("token")
+    marks = [F.sum(F.xxhash64("id", F.lit(k)).bitwiseAND(0x7FFFFFFF)).alias(f"m{k}") for k in (1, 2)]
+    shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), *marks, F.min(F.xxhash64("id", F.lit(3))).alias("m3")).filter("docs > 1")
+    shared = shared.groupBy("docs", "m1", "m2", "m3").agg(F.min("token").alias("token")).select("token")
+    members = prefix.join(shared.hint("shuffle_hash"), "token")
+    block = written(members.join(narrow, "id").select("token", F.col("rep").alias("id"), "n").distinct(), "blocks")
+    points = given.join(narrow.filter("id = rep").select(F.col("id").alias("r"), F.col("n").alias("m")), (F.col("id") == F.col("r")) & (F.col("n") == F.col("m")), "left_semi")
+    points = written(points.select(F.col("id").alias("i"), F.col("n").alias("m"), F.col("point").alias("v"), F.col("over").alias("o")).distinct(), "points")
+
+    # first links: each document of a larger block with the first of its blocks' pivots, in each of a few orders
     pivots = [F.min(F.struct(F.xxhash64("id", F.lit(10 + k)).alias("h"), "id", "n")).alias(f"p{k}") for k in range(PIVOTS)]
-    shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), *marks, *pivots).filter("docs > 1").dropDuplicates(["docs", "m1", "m2"])
-    block = written(prefix.join(shared.drop("m1", "m2", "docs"), "token"), "blocks")
-    points = single.select(F.col("id").alias("i"), F.col("n").alias("m"), F.col("point").alias("v"), F.col("over").alias("o"))
-    fine = single.select(F.col("id").alias("i"), F.col("n").alias("m"), F.col("fine").alias("v"), F.col("fine_over").alias("o"))
-
-    def left_by(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-        """Pairs that sizes and the counts leave."""
-
-        def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                over = np.minimum(*(batch.column(c).to_numpy() for c in ("oa", "o"))).tolist()
-                overlap = np.array([overlap_bound(x, y, z) for x, y, z in zip(batch.column("va").to_pylist(), batch.column("v").to_pylist(), over, strict=True)], np.int64)
-                ok = pa.array(bound_holds(overlap, batch.column("na").to_numpy(), batch.column("m").to_numpy(), percent))
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
-
-        ends = pairs.join(vectors, F.col("a") == F.col("i")).select("a", "b", F.col("m").alias("na"), F.col("v").alias("va"), F.col("o").alias("oa"))
-        ends = ends.join(vectors, F.col("b") == F.col("i")).filter(f"100 * na >= {percent} * m and 100 * m >= {percent} * na")
-        return ends.select("a", "b", "na", "m", "va", "oa", "v", "o").mapInArrow(bounded, LINKS)
-
-    # first links: each document with the first of its blocks' pivots, in each of a few orders
+    led = block.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), *pivots).filter(f"docs > {LEAF // 4}").drop("docs")
     near = lambda p: (F.col("id") != F.col(f"{p}.id")) & (100 * F.col("n") >= percent * F.col(f"{p}.n")) & (100 * F.col(f"{p}.n") >= percent * F.col("n"))
-    firsts = block.groupBy(F.col("id").alias("a")).agg(*[F.min(F.when(near(f"p{k}"), F.col(f"p{k}"))).alias(f"p{k}") for k in range(PIVOTS)])
+    firsts = block.join(led, "token").groupBy(F.col("id").alias("a")).agg(*[F.min(F.when(near(f"p{k}"), F.col(f"p{k}"))).alias(f"p{k}") for k in range(PIVOTS)])
     stars = firsts.select("a", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}.id") for k in range(PIVOTS)]))).alias("b")).filter("b is not null")
-    first = verified(left_by(written(left_by(stars, points), "near-stars"), fine), rows, width, percent)
+    ends = stars.join(points, F.col("a") == F.col("i")).select("a", "b", F.col("m").alias("na"), F.col("v").alias("va"), F.col("o").alias("oa"))
+    ends = ends.join(points, F.col("b") == F.col("i")).filter(f"100 * na >= {percent} * m and 100 * m >= {percent} * na")
+    ends = ends.select("a", "b", "na", "m", "va", "oa", "v", "o").mapInArrow(_pivot_bounds(percent), LINKS)
+    first = verified(ends, rows, width, percent)
     so_far = components(first)
 
     # then the trees: blocks whose documents are of several components, large ones in tiles
-    labelled = block.select("token", "id", "n").join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = written(block.join(so_far.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
     several = labelled.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("docs")).filter("c1 <> c2")
-    tiles = F.ceil(F.col("docs") / TILE).cast("int")
-    tiled = labelled.join(several.select("token", tiles.alias("tiles")), "token").withColumn("side", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = labelled.join(several.select("token", F.ceil(F.col("docs") / TILE).cast("int").alias("tiles")), "token")
+    # with the first blocks of each document among those that are searched: by them a pair is told in one block only
+    held = tiled.groupBy(F.col("id").alias("h")).agg(F.slice(F.array_sort(F.collect_set("token")), 1, FIRSTS).alias("firsts"))  # a prefix at most
+    held = held.join(points, F.col("h") == F.col("i")).select("h", "firsts", "m", F.col("v").alias("point"), F.col("o").alias("over"))
+    tiled = tiled.withColumn("side", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("token", "id", "n", "component", "side", F.least("side", "other").alias("t"), F.greatest("side", "other").alias("u"))
-    held = tiled.groupBy(F.col("id").alias("h")).agg(F.collect_set("token").alias("tokens"))  # at most a prefix
-    tiled = tiled.join(held, F.col("id") == F.col("h"))
-    leaves = tiled.join(points, (F.col("id") == F.col("i")) & (F.col("n") == F.col("m"))).select("token", "t", "u", "side", "id", "n", "component", "tokens", F.col("v").alias("point"), F.col("o").alias("over"))
+    leaves = tiled.join(held, (F.col("id") == F.col("h")) & (F.col("n") == F.col("m"))).select("token", "t", "u", "side", "id", "n", "component", "point", "over", "firsts")
     pairs = leaves.repartition("token", "t", "u").sortWithinPartitions("token", "t", "u").mapInArrow(_search(percent), LINKS)
-    second = verified(left_by(written(pairs, "near-pairs"), fine), rows, width, percent)
-    final = components(first.unionByName(second)).select(F.col("node").alias("rep"), "component")
+    second = verified(pairs.distinct(), rows, width, percent)
+    linked = so_far.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
     # rows that share an id are one document: link their representatives
     of_id = narrow.groupBy("id").agg(F.min("rep").alias("r1"), F.max("rep").alias("r2"))
-    twice = of_id.filter("r1 <> r2")
-    if not twice.isEmpty():
-        several = narrow.join(twice, "id").select(F.col("rep").alias("a"), F.col("r1").alias("b"))
-        final = components(first.unionByName(second).unionByName(several)).select(F.col("node").alias("rep"), "component")
-    of_id = of_id.select(F.col("id").alias("i"), F.col("r1").alias("rep")).join(final, "rep", "left").select("i", F.coalesce("component", "rep").alias("c"))
-    out = profile.select("id", "n").join(of_id, F.col("id") == F.col("i"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
+    twice = of_id.filter("r1 <> r2").select("id", "r1")
+    linked = linked.unionByName(narrow.join(twice, "id").select(F.col("rep").alias("a"), F.col("r1").alias("b")))
+    final = written(of_id.select(F.col("id").alias("i"), F.col("r1").alias("rep")).join(components(linked).select(F.col("node").alias("rep"), "component"), "rep", "left").select("i", F.coalesce("component", "rep").alias("c")), "components")
+    out = written(profile.select("id", "n").join(final, F.col("id") == F.col("i"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id")), "classes")
+    spent(profile, narrow, block, points, first, so_far, labelled, second, final)
+    return out
