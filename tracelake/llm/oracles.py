@@ -1,7 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from tracelake.llm.licenses import THRESHOLD, templates
-from tracelake.llm.mixing import FILLS, MOST_SLICES, SLICE_ROWS
 
 EXACT_DEDUP = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -11,20 +10,10 @@ FROM documents
 WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-_FILL = """
-f{k} AS (
-  SELECT * EXCLUDE (room, extra, wants, ends),
-         CASE WHEN wants > 0 AND ends <= room THEN 1 ELSE extra END AS extra,
-         room - sum(CASE WHEN wants > 0 AND ends <= room THEN size ELSE 0 END) OVER (PARTITION BY source) AS room
-  FROM (SELECT *, sum(wants) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) AS ends
-        FROM (SELECT *, CASE WHEN extra = 0 AND size <= room THEN size ELSE 0 END AS wants FROM {before}))
-)"""
-_FILLS = ",".join(_FILL.format(k=k + 1, before=f"f{k}" if k else "(SELECT *, 0 AS extra FROM placed WHERE NOT all_in AND room > 0)") for k in range(FILLS))
-
-MIXING = f"""
+MIXING = """
 WITH docs AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         (('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  SELECT doc_id, source, row_number() OVER () AS i, md5(coalesce(text, '')) AS tie, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         (('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_rows FROM docs GROUP BY source),
 weighed AS (
@@ -36,21 +25,18 @@ levels AS (
 aimed AS (SELECT *, least(cap, coalesce((max(level) FILTER (WHERE level * weight <= cap) OVER ()) * weight, cap)) AS target FROM levels),
 plan AS (
   SELECT source AS s, source_size, target, floor(ratio)::BIGINT AS certain, (ratio - floor(ratio)) / (1::DOUBLE - (ratio - floor(ratio))) AS odds,
-         target - floor(ratio)::BIGINT * source_size AS mark, least(floor(source_rows / {SLICE_ROWS}) + 1, {MOST_SLICES}) AS slices
+         target - floor(ratio)::BIGINT * source_size AS room
   FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0::DOUBLE END AS ratio FROM aimed)),
-ranked AS (
-  SELECT *, CASE WHEN odds > 0 THEN u / (1::DOUBLE - u) / odds ELSE u END AS rank, floor(u * slices)::INT AS slice
-  FROM docs JOIN plan ON source IS NOT DISTINCT FROM s),
-edges AS (
-  SELECT s1, k, mark - coalesce(sum(words) OVER w, 0) AS room, coalesce(sum(words) OVER w, 0) + words <= mark AS all_in
-  FROM (SELECT source AS s1, slice AS k, sum(size) AS words, max(mark) AS mark FROM ranked GROUP BY ALL)
-  WINDOW w AS (PARTITION BY s1 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-placed AS (SELECT * FROM ranked JOIN edges ON source IS NOT DISTINCT FROM s1 AND slice = k),
-{_FILLS.strip()}
-SELECT doc_id, size, source_size, target, ((certain + extra) * size)::BIGINT AS taken FROM (
-  SELECT doc_id, size, source_size, target, certain, extra FROM f{FILLS}
+ranked AS (SELECT *, CASE WHEN odds > 0 THEN u / (1::DOUBLE - u) / odds ELSE u END AS rank FROM docs JOIN plan ON source IS NOT DISTINCT FROM s),
+-- in the order of ranks whatever fits, then the smallest of the rest if it lands nearer to the mark
+filled AS (
+  SELECT source AS f, list_reduce(list({'i': i, 'size': size} ORDER BY rank, tie, i), lambda a, x: CASE WHEN x.size <= a.room THEN {'room': a.room - x.size, 'took': list_append(a.took, x.i)} ELSE a END, {'room': max(room), 'took': []::BIGINT[]}) AS done
+  FROM ranked WHERE odds > 0 AND size > 0 GROUP BY source),
+chosen AS (
+  SELECT unnest(done.took) AS c FROM filled
   UNION ALL
-  SELECT doc_id, size, source_size, target, certain, all_in::INT FROM placed WHERE all_in OR room <= 0)
+  SELECT arg_min(i, (size, rank, tie, i)) FROM ranked JOIN filled ON source IS NOT DISTINCT FROM f WHERE size > done.room AND size < 2 * done.room AND NOT list_contains(done.took, i) GROUP BY source)
+SELECT doc_id, size, source_size, target, ((certain + (i IN (SELECT c FROM chosen))::INT) * size)::BIGINT AS taken FROM ranked
 """
 
 CHAT_FORMAT = r"""
