@@ -9,8 +9,8 @@ In the order of ranks a document that would pass the mark is left out, and later
 left, over the whole source. If room remains, the smallest document left out is taken where that lands nearer to the mark.
 
 The mark is found without sorting a source in one task: words that still fit are summed per slice of the rank, the slice
-that holds the mark is found from these sums, and only its documents are put in order. A step ends at the first document
-that does not fit; steps follow until none fits. A step is one row a source: from where to where, and up to which size.
+that holds the mark is found from these sums, and only its documents are put in order. The room behind the mark is filled in
+steps of BATCH documents that fit, until none does.
 
 Defined results: null text has size 0; null is a source of its own, last; a source without words has target 0; rows of
 null id are ranked by their text; rows of one rank go by a hash of their text, so that reruns agree whatever the order of
@@ -27,8 +27,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.shared import spent, written
 
-SLICE_ROWS, MOST_SLICES = 2000, 1 << 16
-MOST_STEPS = 200
+SLICE_ROWS, MOST_SLICES, BATCH = 2000, 1 << 20, 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3) -> DataFrame:
@@ -50,43 +49,49 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
     )
 
 
-def _steps(ranked: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From documents (source, slice, size, at) and (source, room): the steps (s, room, after, before), and the room left at the end (s, room).
+def _upto_mark(ranked: DataFrame, marks: DataFrame) -> DataFrame:
+    """(s, room, before, left): documents of at most ``room`` words ahead of ``before`` (null: to the end) are taken, and ``left`` is over."""
+    now = marks.select(F.col("source").alias("s"), "room")
+    live = ranked.join(now, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("room"))).drop("source")
+    ahead = F.coalesce(F.sum("words").over(Window.partitionBy("s").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = live.groupBy("s", "slice").agg(F.sum("size").alias("words")).withColumn("ahead", ahead)
+    total = placed.groupBy("s").agg(F.sum("words").alias("fit"))
+    # the one slice of each source where the mark is passed, its documents in order
+    edge = placed.join(now.withColumnRenamed("s", "z"), F.col("s").eqNullSafe(F.col("z"))).filter("ahead <= room and ahead + words > room").select(F.col("z").alias("e"), F.col("slice").alias("k"), "ahead")
+    inside = live.join(edge, F.col("s").eqNullSafe(F.col("e")) & (F.col("slice") == F.col("k")))
+    inside = inside.withColumn("end", F.col("ahead") + F.sum("size").over(Window.partitionBy("s").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    cut = inside.groupBy("s").agg(F.min(F.when(F.col("end") > F.col("room"), F.struct("at", "end", "size"))).alias("first")).select(F.col("s").alias("c"), F.col("first.at").alias("before"), (F.col("first.end") - F.col("first.size")).alias("took"))
+    joined = now.join(total.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t")), "left").join(cut, F.col("s").eqNullSafe(F.col("c")), "left")
+    return written(joined.select("s", "room", "before", (F.col("room") - F.coalesce("took", "fit", F.lit(0))).alias("left")), "mix-marks")
 
-    A step takes the documents of at most ``room`` words behind ``after`` and ahead of ``before`` (null: to the end).
+
+def _into_room(ranked: DataFrame, first: DataFrame, batch: int) -> tuple[list[DataFrame], DataFrame]:
+    """What fills the room behind the mark: tables of (row), and the room left at the end (s, room).
+
+    A step takes, per source, the next ``batch`` documents or so that fit the room, and fills in their order. The first of them
+    always fits, and few have room after thousands of others, so that steps are few.
     """
-    state = written(marks.select(F.col("source").alias("s"), "room", F.lit(None).cast(ranked.schema["at"].dataType).alias("before")), "mix-step")
-    steps, ends = [], []
-    for _ in range(MOST_STEPS):
-        open_ = state.filter("room > 0")
-        now = open_.select("s", "room", F.col("before").alias("after"))
-        live = ranked.join(now, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("room")) & (F.col("after").isNull() | (F.col("at") > F.col("after")))).drop("source")
-        sums = live.groupBy("s", "slice").agg(F.sum("size").alias("words"))
-        before = F.coalesce(F.sum("words").over(Window.partitionBy("s").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        placed = sums.select("s", "slice", before.alias("ahead"), "words")
-        total = placed.groupBy("s").agg(F.sum("words").alias("fit"))
-        # the one slice of each source where the mark is passed, its documents in order
-        edge = placed.join(now.withColumnRenamed("s", "z"), F.col("s").eqNullSafe(F.col("z"))).filter("ahead <= room and ahead + words > room").select(F.col("z").alias("e"), F.col("slice").alias("k"), "ahead")
-        inside = live.join(edge, F.col("s").eqNullSafe(F.col("e")) & (F.col("slice") == F.col("k")))
-        inside = inside.withColumn("end", F.col("ahead") + F.sum("size").over(Window.partitionBy("s").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        cut = inside.groupBy("s").agg(F.min(F.when(F.col("end") > F.col("room"), F.struct("at", "end", "size"))).alias("first")).select("s", F.col("first.at").alias("before"), (F.col("first.end") - F.col("first.size")).alias("took"))
-        named = lambda df, name: df.withColumnRenamed("s", name)
-        joined = now.join(named(total, "t"), F.col("s").eqNullSafe(F.col("t")), "left").join(named(cut, "c"), F.col("s").eqNullSafe(F.col("c")), "left")
-        step = written(joined.select("s", "room", "after", "before", F.coalesce("took", "fit", F.lit(0)).alias("took")), "mix-step")
-        steps.append(step)
-        ends.append(state.filter("room <= 0").select("s", "room"))
-        left = step.select("s", (F.col("room") - F.col("took")).alias("room"), "before")
-        state = left.filter("before is not null")
-        ends.append(left.filter("before is null").select("s", "room"))
-        if state.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"documents still fit after {MOST_STEPS} steps")
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    return written(union([x.select("s", "room", "after", "before") for x in steps]), "mix-steps"), union(ends)
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3) -> DataFrame:
+    state = first.filter("before is not null").select("s", F.col("left").alias("room"), "before")
+    took, ends = [], [first.filter("before is null").select("s", F.col("left").alias("room"))]
+    start = F.struct(F.col("room").alias("room"), F.array().cast("array<bigint>").alias("rows"))
+    fill = lambda a, x: F.when(x["size"] <= a["room"], F.struct((a["room"] - x["size"]).alias("room"), F.array_append(a["rows"], x["at"]["row"]).alias("rows"))).otherwise(a)
+    while not state.filter("room > 0").isEmpty():
+        live = ranked.join(state, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("room")) & (F.col("at") > F.col("before"))).select("s", "slice", "size", "at")
+        ahead = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        slices = live.groupBy("s", "slice").agg(F.count(F.lit(1)).alias("n")).withColumn("ahead", ahead)
+        more = slices.groupBy("s").agg(F.max("ahead").alias("most")).select(F.col("s").alias("m"), (F.col("most") >= batch).alias("more"))
+        near = slices.filter(F.col("ahead") < batch).select(F.col("s").alias("e"), F.col("slice").alias("k"))
+        rows = live.join(near, F.col("s").eqNullSafe(F.col("e")) & (F.col("slice") == F.col("k"))).groupBy("s").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("rows"))
+        joined = state.join(rows.withColumnRenamed("s", "r"), F.col("s").eqNullSafe(F.col("r")), "left").join(more, F.col("s").eqNullSafe(F.col("m")), "left")
+        filled = F.aggregate(F.coalesce("rows", F.array()), start, fill)
+        step = written(joined.select("s", filled.alias("done"), F.element_at("rows", -1)["at"].alias("before"), F.coalesce("more", F.lit(False)).alias("more")), "mix-step")
+        took.append(step.select(F.explode("done.rows").alias("row")))
+        ends.append(step.filter("not more").select("s", F.col("done.room").alias("room")))
+        state = step.filter("more").select("s", F.col("done.room").alias("room"), "before")
+    return took, reduce(DataFrame.unionByName, [*ends, state.select("s", "room")])
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, batch: int = BATCH) -> DataFrame:
     """One row per document: id, source, size, source_size, target, copies (whole copies that the mix takes)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
@@ -109,9 +114,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     named = plan.select(F.col("source").alias("s"), "slices", "odds")
     ranked = rows.join(named, F.col("source").eqNullSafe(F.col("s"))).select("source", "row", "size", F.floor(u * F.col("slices")).cast("int").alias("slice"), F.struct(rank.alias("rank"), "tie", "row").alias("at"))
     ranked = written(ranked.filter("size > 0"), "ranked")
-    steps, ends = _steps(ranked, plan.filter("odds > 0"))
-    chosen = ranked.join(steps, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("room")) & (F.col("after").isNull() | (F.col("at") > F.col("after"))) & (F.col("before").isNull() | (F.col("at") < F.col("before"))), "left_semi")
-    chosen = written(chosen.select("source", "row"), "chosen")
+    first = _upto_mark(ranked, plan.filter("odds > 0"))
+    ahead = ranked.join(first, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("room")) & (F.col("before").isNull() | (F.col("at") < F.col("before"))), "left_semi").select("row")
+    took, ends = _into_room(ranked, first, batch)
+    chosen = written(reduce(DataFrame.unionByName, [ahead, *took]), "chosen")
     # what was left out is larger than the room that is left, if any is: the smallest of it may still land nearer
     over = ranked.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("room") > 0) & (F.col("size") > F.col("room")) & (F.col("size") < 2 * F.col("room")))
     over = over.join(chosen.select(F.col("row").alias("had")), F.col("row") == F.col("had"), "left_anti").groupBy("source").agg(F.min(F.struct("size", "at")).alias("least"))
