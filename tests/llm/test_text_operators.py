@@ -128,6 +128,20 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def test_ngram_join_of_rows_that_share_ids(spark):
+    """Other texts under one id, of equal and of unequal sizes: the id has the links of all of them."""
+    draw = np.random.default_rng(8)
+    base = [[f"v{k}" for k in draw.integers(0, 300, n)] for n in (30, 30, 31, 34, 60, 61)]
+    rows = []
+    for k in range(160):
+        own = list(base[k % 6])
+        for _ in range(int(draw.integers(0, 3))):
+            own[int(draw.integers(0, len(own)))] = "y%d" % draw.integers(0, 4)
+        rows.append((int(draw.integers(0, 110)) if k % 5 else 200 + k, " ".join(own)))
+    got = sorted(tuple(r) for r in ngram_join.ngram_components(documents(spark, rows)).collect())
+    assert got == brute_classes(rows)
+
+
 def test_ngram_join_boundary(spark):
     shared = [f"s{k}" for k in range(44)]  # 40 shingles; 50 in the union are exactly 80 in 100
     rows = [(1, " ".join(shared)), (2, " ".join(shared + [f"a{k}" for k in range(10)])), (3, " ".join(shared + [f"b{k}" for k in range(11)]))]
@@ -378,6 +392,23 @@ def test_code_lengths_are_best_within_the_limit(monkeypatch):
     assert (book.decode(np.frombuffer(payload, np.uint8), starts, sizes) == ids).all()
 
 
+def test_long_texts_in_parts_score_as_a_whole(monkeypatch):
+    from tracelake.llm import quality_cnn, toxicity_gru
+
+    draw = np.random.default_rng(4)
+    names = ["".join(draw.choice(list("abc.!"), draw.integers(1, 12))) for _ in range(200)]
+    bytes_net, window_net = quality_cnn.ByteNet(1), toxicity_gru.WindowNet(1)
+    for n in (1, 31, 32, 33, 56, 57, 3000):
+        data, at = textbytes.column_bytes(pa.array([" ".join(draw.choice(names, n))]))
+        whole = bytes_net.score(data, at, bytes_net.tables()), window_net.score(data, at)
+        with monkeypatch.context() as m:
+            m.setattr(quality_cnn, "PART", 1024)
+            m.setattr(toxicity_gru, "LONG", 1)
+            m.setattr(toxicity_gru, "PART", 3)
+            parts = bytes_net.score(data, at, bytes_net.tables()), window_net.score(data, at)
+        assert np.allclose(whole, parts, atol=1e-6)
+
+
 # --- WARC ---
 
 def test_warc_round_trip(spark, tmp_path):

@@ -26,6 +26,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from tracelake.llm.textbytes import LOWER, column_bytes, mixed, pieces, shingle_
 GROUPS, FANOUT, LEAF, TILE, PIVOTS, FIRSTS = 64, 8, 16, 4096, 6, 8
 SHINGLE = 5
 COMMON_SHARE, COMMON_LEAST, COMMON_MOST, SEEN_LEAST, FLUSH = 0.001, 32, 200_000, 3, 2_000_000
-PART, SEEN_MOST = 1 << 20, 200_000
+PART, SEEN_MOST = 1 << 19, 50_000
 LINKS = "a long, b long"
 
 
@@ -342,9 +343,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     profile = written(rows.mapInArrow(_profile(common, width, percent), PROFILE), "profiles")
     given = profile.filter("id is not null and n > 0")
     rows = rows.filter("id is not null")
-    # rows of equal sets have one representative, the smallest id
+    # rows of equal sets have one representative, the smallest id; settled first, so that Spark can split a hot set's rows in the join
     same = ["n", "f1", "f2"]
-    reps = given.groupBy(*same).agg(F.min("id").alias("rep"))
+    reps = written(given.groupBy(*same).agg(F.min("id").alias("rep")), "sets")
     narrow = written(given.select("id", *same).join(reps, same).select("id", "rep", "n").distinct(), "representatives")
     # blocks: the prefix shingles that several documents share; of blocks with the same documents one
     prefix = given.select(F.explode("prefix").alias("token"), "id").repartition("token")
@@ -355,6 +356,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     block = written(members.join(narrow, "id").select("token", F.col("rep").alias("id"), "n").distinct(), "blocks")
     points = given.join(narrow.filter("id = rep").select(F.col("id").alias("r"), F.col("n").alias("m")), (F.col("id") == F.col("r")) & (F.col("n") == F.col("m")), "left_semi")
     points = written(points.select(F.col("id").alias("i"), F.col("n").alias("m"), F.col("point").alias("v"), F.col("over").alias("o")).distinct(), "points")
+    sizes = written(profile.select("id", "n"), "set-sizes")
+    # rows of one id may have several sets of one size, which (id, n) does not tell apart
+    alike = written(reps.groupBy(F.col("rep").alias("h"), F.col("n").alias("m")).count().filter("count > 1").select("h", "m", F.lit(True).alias("alike")), "alike")
+    spent(profile, reps)
 
     # first links: each document of a larger block with the first of its blocks' pivots, in each of a few orders
     pivots = [F.min(F.struct(F.xxhash64("id", F.lit(10 + k)).alias("h"), "id", "n")).alias(f"p{k}") for k in range(PIVOTS)]
@@ -369,12 +374,21 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     so_far = components(first)
 
     # then the trees: blocks whose documents are of several components, large ones in tiles
-    labelled = written(block.join(so_far.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
-    several = labelled.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("docs")).filter("c1 <> c2")
-    tiled = labelled.join(several.select("token", F.ceil(F.col("docs") / TILE).cast("int").alias("tiles")), "token")
+    labels = written(block.join(so_far.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
+    # of a block only documents go on that have one of another component in their own or a neighbouring band of sizes
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) * 1.001)).cast("int") if percent < 100 else F.col("n")
+    labelled = labels.withColumn("band", band)
+    seen = [F.min("c1").alias("c1"), F.max("c2").alias("c2")]
+    bands = labelled.groupBy("token", "band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("docs"))
+    about = bands.select("token", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), "c1", "c2")
+    about = about.groupBy("token", "band").agg(*seen).filter("c1 <> c2").select("token", "band")
+    open_ = written(bands.select("token", "band", "docs").join(about, ["token", "band"], "left_semi"), "bands")
+    several = open_.groupBy("token").agg(F.ceil(F.sum("docs") / TILE).cast("int").alias("tiles"))
+    tiled = labelled.join(open_.select("token", "band"), ["token", "band"], "left_semi").join(several, "token")
     # with the first blocks of each document among those that are searched: by them a pair is told in one block only
-    held = tiled.groupBy(F.col("id").alias("h")).agg(F.slice(F.array_sort(F.collect_set("token")), 1, FIRSTS).alias("firsts"))  # a prefix at most
-    held = held.join(points, F.col("h") == F.col("i")).select("h", "firsts", "m", F.col("v").alias("point"), F.col("o").alias("over"))
+    held = tiled.groupBy(F.col("id").alias("h"), F.col("n").alias("m")).agg(F.slice(F.array_sort(F.collect_set("token")), 1, FIRSTS).alias("firsts"))  # a prefix at most
+    held = held.join(alike, ["h", "m"], "left").withColumn("firsts", F.when(F.col("alike"), F.array().cast("array<long>")).otherwise(F.col("firsts")))
+    held = held.join(points.withColumnsRenamed({"i": "h"}), ["h", "m"]).select("h", "firsts", "m", F.col("v").alias("point"), F.col("o").alias("over"))
     tiled = tiled.withColumn("side", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("token", "id", "n", "component", "side", F.least("side", "other").alias("t"), F.greatest("side", "other").alias("u"))
     leaves = tiled.join(held, (F.col("id") == F.col("h")) & (F.col("n") == F.col("m"))).select("token", "t", "u", "side", "id", "n", "component", "point", "over", "firsts")
@@ -386,6 +400,6 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     twice = of_id.filter("r1 <> r2").select("id", "r1")
     linked = linked.unionByName(narrow.join(twice, "id").select(F.col("rep").alias("a"), F.col("r1").alias("b")))
     final = written(of_id.select(F.col("id").alias("i"), F.col("r1").alias("rep")).join(components(linked).select(F.col("node").alias("rep"), "component"), "rep", "left").select("i", F.coalesce("component", "rep").alias("c")), "components")
-    out = written(profile.select("id", "n").join(final, F.col("id") == F.col("i"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id")), "classes")
-    spent(profile, narrow, block, points, first, so_far, labelled, second, final)
+    out = written(sizes.join(final, F.col("id") == F.col("i"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id")), "classes")
+    spent(sizes, alike, narrow, block, points, first, so_far, labels, open_, second, final)
     return out

@@ -5,8 +5,8 @@ that overlap by half, so that every window of the text is in some chunk; a hidde
 and the maximum of the chunks' hidden values give one probability. Bytes are looked up in pairs: a filter's sum over
 four bytes is one row of a table for its first two bytes plus one for its last two.
 
-Defined results: null and empty texts are scored as four zero bytes; repeated rows get equal scores; an empty
-table gives an empty result; without examples of both classes the score is the share of label 1 (0.5 without any).
+Defined results: null and empty texts are scored as four zero bytes; very long texts are read PART bytes at a time, with
+the same result; repeated rows get equal scores; an empty table gives an empty result; without examples of both classes the score is the share of label 1 (0.5 without any).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from tracelake.llm.textbytes import column_bytes, pieces
 from tracelake.llm.training import Adam, fold, labelled_sample, sigmoid
 
 WIDTH, FILTERS, HIDDEN, BLOCK = 4, 24, 16, 128
-LEAST_STEPS = 200
+LEAST_STEPS, PART = 200, 1 << 18
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 
 
@@ -97,8 +97,14 @@ class ByteNet:
     def score(self, data: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(offsets) - 1, self.constant)
-        padded, bounds = _padded(data, offsets)
-        best, heads, _ = self.pooled(padded, bounds, tables)
+        if len(offsets) == 2 and len(data) > PART:  # a long text: PART windows at a time, whole blocks each
+            padded = np.concatenate([data, np.zeros(WIDTH - 1, np.uint8)])
+            parts = (padded[k : k + PART + WIDTH - 1] for k in range(0, len(data), PART))
+            best = np.concatenate([self.pooled(x, np.array([0, len(x)]), tables)[0] for x in parts])
+            heads = np.array([0, len(best)])
+        else:
+            padded, bounds = _padded(data, offsets)
+            best, heads, _ = self.pooled(padded, bounds, tables)
         return sigmoid(self.head(best, heads)[-1].astype(np.float64))
 
     def slopes(self, data: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -142,7 +148,7 @@ def train(texts: pa.Array, y: np.ndarray, epochs: int = 6, batch: int = 48, rate
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, tables = shared.value, shared.value.tables()
-        for batch in pieces(batches, "text", 1 << 18):
+        for batch in pieces(batches, "text", PART):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(net.score(*column_bytes(batch.column("text")), tables))], ["id", "score"])
 
     return run
@@ -174,7 +180,7 @@ def keep(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value.tables()
-        for batch in pieces(batches, text_col, 1 << 18):
+        for batch in pieces(batches, text_col, PART):
             good = shared.value.score(*column_bytes(batch.column(text_col)), tables) >= THRESHOLD
             yield batch.filter(pa.array(good))
 

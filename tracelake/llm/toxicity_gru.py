@@ -6,10 +6,11 @@ gated recurrent networks read forth and back, attention weighs their states, and
 window's logit; the text's score is that of its highest window. In training, windows share a text's
 slope in proportion to how high they are (a soft maximum).
 
-Words are cut at white space, with ASCII letters lowered and ASCII punctuation taken off both ends.
+Words are cut at white space, with ASCII letters lowered and ASCII punctuation taken off both ends; of a word of
+punctuation alone the last character stays.
 
-Defined results: null text, empty text and text of white space have one window without words; repeated rows get equal
-scores; an empty table gives an empty result; without examples of both classes the score is the share of label 1
+Defined results: null text, empty text and text of white space have one window without words; very long texts are scored
+PART windows at a time, with the same result; repeated rows get equal scores; an empty table gives an empty result; without examples of both classes the score is the share of label 1
 (0.5 without any).
 """
 
@@ -28,6 +29,7 @@ from tracelake.llm.training import Adam, fold, labelled_sample, sigmoid
 WINDOW, STRIDE, SIZE, HIDDEN, ATTENTION = 32, 24, 16, 8, 8
 WORD_BITS, GRAM_BITS = 14, 14
 LEAST_STEPS = 200
+PART, LONG = 1 << 12, 1 << 21
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[k for k in range(33, 127) if not chr(k).isalnum()]] = True
@@ -39,11 +41,12 @@ def vocabulary(data: np.ndarray, offsets: np.ndarray):
 
     low = LOWER[data]
     starts, ends, heads = words(data, offsets)
-    for _ in range(8):
-        inside = ends - starts > 1
-        starts = starts + (inside & _PUNCTUATION[low[starts]])
-        inside = ends - starts > 1
-        ends = ends - (inside & _PUNCTUATION[low[ends - 1]])
+    if len(starts):
+        at, bare = np.arange(len(low)), ~_PUNCTUATION[low]
+        after = np.minimum.accumulate(np.where(bare, at, len(low))[::-1])[::-1]
+        before = np.maximum.accumulate(np.where(bare, at, -1))
+        starts = np.minimum(after[starts], ends - 1)
+        ends = np.maximum(before[ends - 1] + 1, starts + 1)
     keys = span_hashes(low, starts, ends)
     codes, distinct = pd.factorize(keys)
     first = np.zeros(len(distinct), np.int64)
@@ -74,6 +77,16 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(base, n) + place, np.minimum(np.repeat(counts, n) - place, WINDOW), heads
 
 
+def window_parts(data: np.ndarray) -> Iterator[np.ndarray]:
+    """One text's bytes in parts that together have the windows of the whole, at most PART windows each."""
+    starts, ends, _ = words(data, np.array([0, len(data)]))
+    low = 0
+    while low == 0 or low + WINDOW - STRIDE < len(starts):  # else the last part has its end
+        high = min(low + PART * STRIDE + WINDOW - STRIDE, len(starts))
+        yield data[starts[low] : ends[high - 1]] if high > low else data[:0]
+        low += PART * STRIDE
+
+
 def _segment_sum(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((n, values.shape[1]), values.dtype)
     if len(owner):
@@ -139,6 +152,11 @@ class WindowNet:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(offsets) - 1, self.constant)
+        if len(offsets) == 2 and len(data) > LONG:
+            return np.maximum.reduce([self._score(x, np.array([0, len(x)])) for x in window_parts(data)])
+        return self._score(data, offsets)
+
+    def _score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         codes, counts, word, gram, owner = vocabulary(data, offsets)
         first, size, heads = windows(counts)
         x, _ = self.vectors(word, gram, owner)

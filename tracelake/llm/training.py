@@ -20,11 +20,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: i
     thing that reaches the driver; its size is bounded by the parameters.
     """
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & (fold("i", folds) != held_out))
-    known = known.groupBy("i").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("i"))
+    given = docs.select(F.col(id_col).alias("j"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).filter(F.octet_length("t") <= most_bytes)
+    # the limit counts only rows that are examples: labels of other rows must not take their places
+    known = known.groupBy("i").agg(F.max("y").alias("y")).join(given.select(F.col("j").alias("i")), "i", "left_semi").withColumn("h", F.xxhash64("i"))
     chosen = [known.filter(F.col("y") == k).orderBy("h", "i").limit(per_class) for k in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])
-    texts = docs.select(F.col(id_col).alias("j"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).filter(F.octet_length("t") <= most_bytes)
-    rows = texts.join(F.broadcast(chosen), F.col("i") == F.col("j")).select("h", "i", "t", "y").toArrow()
+    rows = given.join(F.broadcast(chosen), F.col("i") == F.col("j")).select("h", "i", "t", "y").toArrow()
     rows = rows.sort_by([("h", "ascending"), ("i", "ascending"), ("t", "ascending")])
     return rows["t"].combine_chunks(), rows["y"].to_numpy()
 
