@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.shared import small_batches
 from tracelake.llm.textbytes import code_points, column_bytes, pieces, shingle_rows, span_hashes, unicode_words
 
 MATCH, THRESHOLD = 5, 0.5
@@ -125,7 +126,7 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> list:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per document and item that it holds: id, item_id, tiles, covered, item_words, coverage."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     out = rows.sparkSession.createDataFrame([], "id long, " + FOUND)
 
     def search(shared):
@@ -159,5 +160,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", thresho
         return run
 
     for shared in blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(search(shared), docs.schema)
+        docs = small_batches(docs).mapInArrow(search(shared), docs.schema)
     return docs

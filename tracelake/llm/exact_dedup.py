@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.keybits import bits_of, has_bit
-from tracelake.llm.shared import written
+from tracelake.llm.shared import small_batches, written
 from tracelake.llm.textbytes import column_bytes, pieces
 
 MODULI = (2147483647, 2147483629)
@@ -101,7 +101,7 @@ def _same_as_first(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Ite
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", moduli: tuple[int, int] = MODULI, salt_rows: int = 512) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256 (of the UTF-8 text as it is)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     run = _key_of("text", moduli)
     keyed = rows.mapInArrow(lambda b: run(b, None, True), f"id {id_type}, text string, key long, size long")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.components import components
 from tracelake.llm.keybits import bits_of, has_bit
-from tracelake.llm.shared import spent, written
+from tracelake.llm.shared import small_batches, spent, written
 from tracelake.llm.textbytes import LOWER, column_bytes, mixed, pieces, shingle_rows, word_hashes
 
 GROUPS, FANOUT, LEAF, TILE, PIVOTS, FIRSTS = 64, 8, 16, 4096, 6, 8
@@ -337,7 +337,7 @@ def _pivot_bounds(percent: int):
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id that it reaches by links)."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     common = spark.sparkContext.broadcast(common_shingles(rows, width))
     profile = written(rows.mapInArrow(_profile(common, width, percent), PROFILE), "profiles")

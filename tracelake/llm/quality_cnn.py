@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.shared import small_batches
 from tracelake.llm.textbytes import column_bytes, pieces
 from tracelake.llm.training import Adam, fold, labelled_sample, sigmoid
 
@@ -161,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, most_bytes: i
 
 def score(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row: the probability of good quality."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_score(shared), f"id {kind}, score double").withColumnRenamed("id", id_col)
@@ -184,4 +185,4 @@ def keep(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFram
             good = shared.value.score(*column_bytes(batch.column(text_col)), tables) >= THRESHOLD
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

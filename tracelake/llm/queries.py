@@ -39,7 +39,7 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     staged = new_path(spark, "tokens")
     token_ids.tokenize(docs, path).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(staged)
     folder = token_ids.write_ids(spark.read.parquet(staged), wide=token_ids.is_wide(path))
-    return token_ids.checksums(token_ids.read_ids(spark, folder))
+    return token_ids.read_checksums(spark, folder)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Row groups of intermediate tables: small, as several tasks of an executor buffer one each.
 BLOCK_BYTES = 16 << 20
+#: Rows of an Arrow batch. Rows with texts are wide, and a batch exists several times: in the JVM, on the way, in the worker.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,5 +44,13 @@ def spent(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table; from here on its session hands at most BATCH_ROWS rows at a time to Python workers (or fewer, where set so)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

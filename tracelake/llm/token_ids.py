@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import new_path
+from tracelake.llm.shared import new_path, small_batches
 from tracelake.llm.textbytes import LOWER, SPACE, column_bytes, parts_of, pieces, span_hashes, words
 
 STEP = 1024
@@ -247,7 +247,7 @@ def _encode(path: str, end_id: int):
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
     """(id, ids, n): the ids of each whole text with ``end_id`` behind, as little-endian 16-bit (or 32-bit) integers."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(_encode(path, end_id), "id long, ids binary, n long")
 
 
@@ -383,7 +383,7 @@ def _pack(book, kind: str):
 
 def write_ids(tokens: DataFrame, path: str | None = None, wide: bool = False, most_bits: int = 16, shard_tokens: int = 16 << 20) -> str:
     """Write (id, ids, n) rows in the format above, in ascending order of id; returns the folder."""
-    spark, kind = tokens.sparkSession, "<u4" if wide else "<u2"
+    spark, kind = small_batches(tokens).sparkSession, "<u4" if wide else "<u2"
     path = path or new_path(spark, "token-ids")
     # one row per id of the vocabulary: bounded by the tokenizer, whatever the corpus
     counts = tokens.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toArrow()
@@ -401,7 +401,7 @@ def write_ids(tokens: DataFrame, path: str | None = None, wide: bool = False, mo
     return path
 
 
-def _unpack(book):
+def _unpack(book, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "payload", 2 << 20):
             payload, at = column_bytes(batch.column("payload"))
@@ -418,19 +418,34 @@ def _unpack(book):
             starts = checkpoints.flatten().to_numpy() + np.repeat(at[:-1] * 8, per_block)
             ids = book.value.decode(payload, starts, counts)
             base = np.repeat(batch.column("first_token").to_numpy() - doc_bounds[np.concatenate([[0], block_ends[:-1]])], per_docs) + doc_bounds[:-1]
-            column = pa.BinaryArray.from_buffers(pa.binary(), len(n_docs), [None, pa.py_buffer((doc_bounds * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_ids").flatten(), pa.array(base), pa.array(n_docs), column], ["doc_id", "start", "n_tokens", "ids"])
+            ids = np.ascontiguousarray(ids, "<u4")
+            if check:
+                raw, last = memoryview(ids).cast("B"), (doc_bounds * 4).tolist()
+                column = pa.array([zlib.crc32(raw[a:b]) for a, b in zip(last[:-1], last[1:], strict=True)], pa.int64())
+            else:
+                column = pa.BinaryArray.from_buffers(pa.binary(), len(n_docs), [None, pa.py_buffer((doc_bounds * 4).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_ids").flatten(), pa.array(base), pa.array(n_docs), column], ["doc_id", "start", "n_tokens", "ids_crc32" if check else "ids"])
 
     return run
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) from a written folder; ``ids`` are little-endian 32-bit integers."""
+def _read(spark: SparkSession, path: str, check: bool) -> DataFrame:
     table = spark.read.parquet(f"{path}/codebook").toArrow()
     book = spark.sparkContext.broadcast(Codebook(table["id"].to_numpy(), table["bits"].to_numpy()))
     shards = spark.read.parquet(f"{path}/shards").select("shard", F.col("first_token").alias("base"))
-    blocks = spark.read.parquet(f"{path}/blocks").join(shards, "shard").withColumn("first_token", F.col("first_token") + F.col("base"))
-    return blocks.select("first_token", "doc_ids", "doc_tokens", "checkpoints", "payload").mapInArrow(_unpack(book), "doc_id long, start long, n_tokens long, ids binary")
+    blocks = small_batches(spark.read.parquet(f"{path}/blocks")).join(shards, "shard").withColumn("first_token", F.col("first_token") + F.col("base"))
+    blocks = blocks.select("first_token", "doc_ids", "doc_tokens", "checkpoints", "payload")
+    return blocks.mapInArrow(_unpack(book, check), "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if check else "ids binary"))
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) from a written folder; ``ids`` are little-endian 32-bit integers."""
+    return _read(spark, path, False)
+
+
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) from a written folder: the checksum of what ``read_ids`` gives as ``ids``."""
+    return _read(spark, path, True)
 
 
 def _checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.shared import small_batches
 from tracelake.llm.textbytes import LOWER, column_bytes, pieces, span_hashes, words
 from tracelake.llm.training import Adam, fold, labelled_sample, sigmoid
 
@@ -251,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 800, most_bytes: in
 
 def score(docs: DataFrame, net: WindowNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row: the probability of toxicity."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_score(shared), f"id {kind}, score double").withColumnRenamed("id", id_col)
