@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import decontaminate, mixing, ngram_join, quality_cnn, token_ids
-from tracelake.llm.shared import new_path, table, written
+from tracelake.llm.shared import BLOCK_BYTES, new_path, table, written
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -51,8 +51,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token ids in the binary format, read back: (doc_id, start, n_tokens, ids_crc32)."""
     staged = new_path(spark, "tokens")
-    token_ids.tokenize(docs, public_tokenizers.path(TOKENIZER)).write.option("compression", "zstd").parquet(staged)
-    return token_ids.checksums(token_ids.read_ids(spark, token_ids.write_ids(spark.read.parquet(staged))))
+    path = public_tokenizers.path(TOKENIZER)
+    token_ids.tokenize(docs, path).write.option("compression", "zstd").option("parquet.block.size", BLOCK_BYTES).parquet(staged)
+    return token_ids.read_checksums(spark, token_ids.write_ids(spark.read.parquet(staged), wide=token_ids.is_wide(path)))
 
 
 STAGES = [
