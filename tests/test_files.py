@@ -57,6 +57,28 @@ def test_extraction(spark):
     assert [(r["line"], r["message"]) for r in found.collect()] == [(9, "Attribute 'lost' does not exist on model 'User'")]
 
 
+def test_prefixes_beside_other_arguments(spark):
+    """Calls among the arguments, imports over several lines, routers named by their module, nested and circular includes."""
+    app = (
+        "from fastapi import FastAPI\nfrom .routers import (\n    users as people,  # one\n    teams,\n)\nfrom routers.deep.items import (router as items_router)\n"
+        "app = FastAPI()\nv1: APIRouter = fastapi.APIRouter(dependencies=[Depends(auth(1))], prefix=BASE)\n"
+        'v2 = APIRouter(prefix="/v2/", dependencies=[Depends(auth)])\nouter = APIRouter(prefix="/outer")\nouter.include_router(v2, dependencies=[Depends(f())])\nv2.include_router(outer)\n'
+        'app.include_router(people.router, dependencies=[Depends(auth)], prefix="/api")\nv2.include_router(\n    items_router,\n    prefix="/shop",\n)\napp.include_router(router=teams.router)\n'
+    )
+    users = 'router = APIRouter(prefix="/users", dependencies=[Depends(auth)])\n@router.get("/{id}")\ndef one(id): pass\n'
+    items = 'router = APIRouter()\n@router.get("/all")\ndef many(): pass\n'
+    files = spark.createDataFrame([("r", "src/app.py", app), ("r", "src/routers/users.py", users), ("r", "src/routers/teams.py", items), ("r", "src/routers/deep/items.py", items)], FILES)
+    facts = extract.python_facts(files)
+    for given in (files, facts):
+        prefixes = {(r["path"], r["router"]): r["prefix"] for r in extract.router_prefixes(given).filter("path = 'src/app.py'").collect()}
+        assert {k[1]: v for k, v in prefixes.items()} == {"app": "", "v1": "", "v2": "/outer/v2", "outer": "/v2/outer", "people.router": "/api", "items_router": "/outer/v2/shop", "teams.router": ""}
+        imports, includes = extract.imports_and_includes(given)
+        assert {(r["name"], r["module"]) for r in imports.collect()} == {("FastAPI", "fastapi"), ("people", ".routers"), ("teams", ".routers"), ("items_router", "routers.deep.items")}
+        assert [(r["parent"], r["target"], r["prefix"]) for r in includes.orderBy("ordinal").collect()] == [("outer", "v2", ""), ("v2", "outer", ""), ("app", "people.router", "/api"), ("v2", "items_router", "/shop"), ("app", "teams.router", "")]
+        routes = extract.resolve_router_prefix(extract.extract_routes(given), given)
+        assert {(r["path"], r["norm_path"]) for r in routes.collect()} == {("src/routers/users.py", "/api/users/{id}"), ("src/routers/teams.py", "/all"), ("src/routers/deep/items.py", "/outer/v2/shop/all")}
+
+
 def test_client_calls(spark):
     text = "/* fetch('/no') */\nconst u = 'http://x/y' // fetch('/no')\nawait fetch(\n  `/api/${ org.id }/x`, {method: \"delete\", body: f(1)})\nhttp.get<Foo>('/a')\nfetch(url)\nrequest('plain')\naxios.request('/r', {method: 'PATCH'})\n"
     got = extract.extract_calls(spark.createDataFrame([("r", "a.tsx", text)], FILES)).orderBy("ordinal")

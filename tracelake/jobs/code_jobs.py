@@ -21,27 +21,41 @@ def _client(s: SparkSession, d: str) -> DataFrame:
 
 
 def _server(s: SparkSession, d: str) -> DataFrame:
-    """A handler file per part, a model file per part, and an application file per hundred parts that includes their routers."""
-    part = table(s, d, "SELECT * FROM {part}")
+    """A handler file per part, a model file per part, and an application file per hundred parts that includes their routers.
+
+    Routers, imports and includes are written in three ways: short, with calls among the arguments, and over several lines or by module.
+    """
+    part = table(s, d, "SELECT *, CAST(floor(p_partkey / 3) % 3 AS INT) AS way, CAST(p_partkey AS STRING) AS k FROM {part}")
     repo = (F.col("p_partkey") % 3).cast("string").alias("repo_id")
+    of_way = lambda way, *texts: F.when(way == 0, texts[0]).when(way == 1, texts[1]).otherwise(texts[2])
+    router = of_way(F.col("way"), F.lit("APIRouter(prefix='/parts')"), F.lit('APIRouter(prefix="/parts", dependencies=[Depends(auth)], tags=["a", "b"])'), F.lit("APIRouter(\n    dependencies=[Depends(auth(1))],\n    prefix='/parts',\n)"))
     handlers = F.concat(
-        F.lit("from models.m"), "p_partkey", F.lit(" import Part"), "p_partkey", F.lit("\nrouter = APIRouter(prefix='/parts')\n\n@router.get('/{part_id}/"), "p_size", F.lit("', response_model=PartOut)\n@limit(3)\ndef read_"), "p_partkey",
-        F.lit("(part_id, db):\n    row = db.query(Part"), "p_partkey", F.lit(")\n    return row.plan, row.name, row.absent_"), "p_size", F.lit("\n\n@mcp.tool()\ndef tool_"), "p_partkey", F.lit("():\n    \"Counts.\"\n    return 1\n"),
+        F.lit("from models.m"), "k", F.lit(" import Part"), "k", F.lit("\nrouter = "), router, F.lit("\n\n@router.get('/{part_id}/"), "p_size", F.lit("', response_model=PartOut)\n@limit(3)\ndef read_"), "k",
+        F.lit("(part_id, db):\n    row = db.query(Part"), "k", F.lit(")\n    return row.plan, row.name, row.absent_"), "p_size", F.lit("\n\n@mcp.tool()\ndef tool_"), "k", F.lit("():\n    \"Counts.\"\n    return 1\n"),
     )
     models = F.concat(
         F.lit("class Part"), "p_partkey", F.lit("(Base):\n    __tablename__ = 'parts_"), "p_size", F.lit("'\n    id = Column(String, primary_key=True)\n    name = Column(String, nullable=False)\n    plan = mapped_column(Integer)\n    owner_id = Column(String, ForeignKey('owners.id'))\n    owner = relationship('Owner')\n"),
     )
-    app = part.groupBy(repo, F.floor(F.col("p_partkey") / 100).alias("k")).agg(F.sort_array(F.collect_list("p_partkey")).alias("keys")).select(
-        "repo_id", F.concat(F.lit("app"), "k", F.lit(".py")).alias("path"),
-        F.concat(F.lit("app = FastAPI()\n"), F.array_join(F.transform("keys", lambda k: F.concat(F.lit("from routers.h"), k.cast("string"), F.lit(" import router as r"), k.cast("string"), F.lit("\napp.include_router(r"), k.cast("string"), F.lit(", prefix='/api')\n"))), "")).alias("content"),
+    added = lambda way, k: of_way(
+        way,
+        F.concat(F.lit("from routers.h"), k, F.lit(" import router as r"), k, F.lit("\napp.include_router(r"), k, F.lit(", prefix='/api')\n")),
+        F.concat(F.lit("from routers.h"), k, F.lit(" import (\n    router as r"), k, F.lit(",\n    extra as x"), k, F.lit(",\n)\napp.include_router(r"), k, F.lit(', dependencies=[Depends(auth)], prefix="/api")\n')),
+        F.concat(F.lit("from routers import h"), k, F.lit(" as r"), k, F.lit("\napp.include_router(\n    r"), k, F.lit(".router,\n    prefix='/api',\n    tags=['x'],\n)\n")),
+    )
+    app = part.groupBy(repo, F.floor(F.col("p_partkey") / 100).alias("h")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", "way", "k"))).alias("keys")).select(
+        "repo_id", F.concat(F.lit("app"), "h", F.lit(".py")).alias("path"), F.concat(F.lit("app = FastAPI()\n"), F.array_join(F.transform("keys", lambda x: added(x["way"], x["k"])), "")).alias("content")
     )
     one = part.select(repo, F.concat(F.lit("routers/h"), "p_partkey", F.lit(".py")).alias("path"), handlers.alias("content"))
     two = part.select(repo, F.concat(F.lit("models/m"), "p_partkey", F.lit(".py")).alias("path"), models.alias("content"))
     return one.unionByName(two).unionByName(app)
 
 
+def _facts(s: SparkSession, d: str) -> DataFrame:
+    return extract.python_facts(_server(s, d))
+
+
 def _models(s: SparkSession, d: str) -> DataFrame:
-    return extract.extract_models(_server(s, d))
+    return extract.extract_models(_facts(s, d))
 
 
 def _fields(s: SparkSession, d: str) -> DataFrame:
@@ -54,35 +68,44 @@ def _named(models: DataFrame) -> DataFrame:
 
 
 def _routes(s: SparkSession, d: str) -> DataFrame:
-    out = extract.resolve_router_prefix(extract.extract_routes(_server(s, d)), _server(s, d))
+    facts = _facts(s, d)
+    out = extract.resolve_router_prefix(extract.extract_routes(facts), facts)
     return out.select("repo_id", "path", "line", "handler", "norm_path", F.array_join("methods", ",").alias("methods"), F.array_join("path_params", ",").alias("params"), "response_model", F.array_join("model_refs", ",").alias("model_refs"))
 
 
 def _missing(s: SparkSession, d: str) -> DataFrame:
-    files = _server(s, d)
-    bindings, accesses = extract.extract_attribute_uses(files)
-    return checks.missing_attributes(accesses, bindings, _named(extract.extract_models(files)))
+    facts = _facts(s, d)
+    bindings, accesses = extract.extract_attribute_uses(facts)
+    return checks.missing_attributes(accesses, bindings, _named(extract.extract_models(facts)))
+
+
+def _linked(s: SparkSession, d: str) -> DataFrame:
+    facts = _facts(s, d)
+    return graph.link_routes_to_models(extract.extract_routes(facts), _named(extract.extract_models(facts)))
 
 
 _REPO = "(p_partkey % 3)::VARCHAR AS repo_id"
+_WAY = "p_partkey // 3 % 3"
+_MORE = f"CASE WHEN {_WAY} = 2 THEN 3 ELSE 0 END"  # lines of the long router
 ENTRIES = {
     "e1_e4_calls": (lambda s, d: extract.extract_calls(_client(s, d)).select("repo_id", "path", "line", "norm_path", "method", F.array_join("path_params", ",").alias("params"), "is_template"), f"""
       SELECT {_REPO}, 'web/p' || p_partkey || '.tsx' AS path, 2 AS line, '/api/parts/{{partId}}/' || p_size AS norm_path, CASE WHEN p_size % 2 = 0 THEN 'PUT' ELSE 'POST' END AS method, 'partId' AS params, true AS is_template FROM part
       UNION ALL SELECT {_REPO}, 'web/p' || p_partkey || '.tsx', 3, '/api/parts/' || p_partkey, 'GET', '', false FROM part"""),
     "e5_e9_routes_j4_prefix": (_routes, f"""
-      SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, 4 AS line, 'read_' || p_partkey AS handler, '/api/parts/{{part_id}}/' || p_size AS norm_path, 'GET' AS methods, 'part_id' AS params, 'PartOut' AS response_model, 'Part' || p_partkey AS model_refs FROM part
-      UNION ALL SELECT {_REPO}, 'routers/h' || p_partkey || '.py', 10, 'tool_' || p_partkey, 'tools/tool_' || p_partkey, 'MCP_TOOL', '', 'Counts.', '' FROM part"""),
+      SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, 4 + {_MORE} AS line, 'read_' || p_partkey AS handler, '/api/parts/{{part_id}}/' || p_size AS norm_path, 'GET' AS methods, 'part_id' AS params, 'PartOut' AS response_model, 'Part' || p_partkey AS model_refs FROM part
+      UNION ALL SELECT {_REPO}, 'routers/h' || p_partkey || '.py', 10 + {_MORE}, 'tool_' || p_partkey, 'tools/tool_' || p_partkey, 'MCP_TOOL', '', 'Counts.', '' FROM part"""),
     "e10_imports": (lambda s, d: extract.imports_and_includes(_server(s, d))[0].select("repo_id", "path", "name", "module"), f"""
       SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, 'Part' || p_partkey AS name, 'models.m' || p_partkey AS module FROM part
-      UNION ALL SELECT {_REPO}, 'app' || p_partkey // 100 || '.py', 'r' || p_partkey, 'routers.h' || p_partkey FROM part"""),
-    "e10_includes": (lambda s, d: extract.imports_and_includes(_server(s, d))[1].drop("ordinal"), f"SELECT {_REPO}, 'app' || p_partkey // 100 || '.py' AS path, 'app' AS parent, 'r' || p_partkey AS target, '/api' AS prefix FROM part"),
+      UNION ALL SELECT {_REPO}, 'app' || p_partkey // 100 || '.py', 'r' || p_partkey, CASE WHEN {_WAY} = 2 THEN 'routers' ELSE 'routers.h' || p_partkey END FROM part
+      UNION ALL SELECT {_REPO}, 'app' || p_partkey // 100 || '.py', 'x' || p_partkey, 'routers.h' || p_partkey FROM part WHERE {_WAY} = 1"""),
+    "e10_includes": (lambda s, d: extract.imports_and_includes(_server(s, d))[1].drop("ordinal"), f"SELECT {_REPO}, 'app' || p_partkey // 100 || '.py' AS path, 'app' AS parent, 'r' || p_partkey || CASE WHEN {_WAY} = 2 THEN '.router' ELSE '' END AS target, '/api' AS prefix FROM part"),
     "e11_e12_models": (_fields, f"""
       SELECT {_REPO}, 'Part' || p_partkey AS class_name, 'parts_' || p_size AS table_name, 'Owner' AS relationships, name, data_type, is_primary_key, is_nullable, foreign_key
       FROM part, (VALUES ('id', 'String', true, false, NULL), ('name', 'String', false, false, NULL), ('plan', 'Integer', false, true, NULL), ('owner_id', 'String', false, true, 'owners.id')) AS v(name, data_type, is_primary_key, is_nullable, foreign_key)"""),
     "e13_attribute_uses": (lambda s, d: extract.extract_attribute_uses(_server(s, d))[1].filter("obj = 'row'").select("repo_id", "path", "line", "obj", "attr"), f"""
-      SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, 8 AS line, 'row' AS obj, unnest(['plan', 'name', 'absent_' || p_size]) AS attr FROM part"""),
+      SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, 8 + {_MORE} AS line, 'row' AS obj, unnest(['plan', 'name', 'absent_' || p_size]) AS attr FROM part"""),
     "u3_valid_attributes": (lambda s, d: checks.valid_attributes(_named(_models(s, d))), f"SELECT {_REPO}, 'Part' || p_partkey AS class_name, unnest(['id', 'name', 'plan', 'owner_id', 'Owner', '__tablename__', 'metadata']) AS attr FROM part"),
     "j13_missing_attributes": (_missing, f"""
-      SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, 8 AS line, 'Attribute ''absent_' || p_size || ''' does not exist on model ''Part' || p_partkey || '''' AS message, 'error' AS severity, 'schema-attribute-missing' AS rule, 'python' AS source FROM part"""),
-    "j5_extracted_links": (lambda s, d: graph.link_routes_to_models(extract.extract_routes(_server(s, d)), _named(_models(s, d))), f"SELECT {_REPO}, 'routers/h' || p_partkey || '.py::read_' || p_partkey AS source, 'models/m' || p_partkey || '.py::Part' || p_partkey AS target FROM part"),
+      SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, 8 + {_MORE} AS line, 'Attribute ''absent_' || p_size || ''' does not exist on model ''Part' || p_partkey || '''' AS message, 'error' AS severity, 'schema-attribute-missing' AS rule, 'python' AS source FROM part"""),
+    "j5_extracted_links": (_linked, f"SELECT {_REPO}, 'routers/h' || p_partkey || '.py::read_' || p_partkey AS source, 'models/m' || p_partkey || '.py::Part' || p_partkey AS target FROM part"),
 }

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.paths import join_prefix, normalize_template, path_params, symbol_id, template_params
+from tracelake.sources.tables import written
 
 # Names that mark a client call, a route decorator, a tool, and what is no model.
 CALLEES = ("fetch", "axios", "apiclient", "client", "request", "http")
@@ -24,12 +25,11 @@ ROUTE_VERBS = ("get", "post", "put", "delete", "patch", "options", "head")
 TOOLS = {"tool": "MCP_TOOL", "call_tool": "MCP_TOOL", "resource": "MCP_RESOURCE"}
 NOT_MODELS = ("db", "session", "select", "query")
 BASES = ("Base", "DeclarativeBase")
+ROUTERS = ("APIRouter", "FastAPI")
+PYTHON = r"(?i)\.py$"
 
 CALL_ROWS = "repo_id string, path string, line int, ordinal int, raw_url string, is_template boolean, verb string, options string"
-ROUTE_ROWS = "repo_id string, path string, line int, ordinal int, handler string, router string, raw_path string, method string, response_model string, body string"
-CLASS_ROWS = "repo_id string, path string, line int, ordinal int, class_name string, table_name string, field string, expr string, relationship string"
-USE_ROWS = "repo_id string, path string, line int, col int, kind string, name string, detail string"
-ROUTER_ROWS = "repo_id string, path string, ordinal int, router string, prefix string"
+FACT_ROWS = "repo_id string, path string, kind string, line int, col int, ordinal int, name string, owner string, value string, detail string, extra string, body string"
 
 
 def _per_file(one: Callable[[str], Iterator[tuple]], schema: str):
@@ -37,7 +37,7 @@ def _per_file(one: Callable[[str], Iterator[tuple]], schema: str):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(repo, path, *row) for repo, path, text in batch.itertuples(index=False) if text for row in one(text)]
+            rows = [(repo, path, *row) for repo, path, text in zip(batch["repo_id"], batch["path"], batch["content"], strict=True) for row in one(text or "")]
             yield pd.DataFrame(rows, columns=names)
 
     return run
@@ -48,6 +48,18 @@ def _records(files: DataFrame, pattern: str, one, schema: str) -> DataFrame:
     return own.mapInPandas(_per_file(one, schema), schema)
 
 
+def python_facts(files: DataFrame) -> DataFrame:
+    """All that is read off the Python files, in one pass and written once: a tagged row per file, route, router, import, include,
+    model attribute, binding and access. The functions below take this table, or the files themselves.
+    """
+    return written(_records(files, PYTHON, _facts, FACT_ROWS), "facts")
+
+
+def _of_kind(files: DataFrame, *kinds: str) -> DataFrame:
+    rows = files if "kind" in files.columns else _records(files, PYTHON, _facts, FACT_ROWS)
+    return rows.filter(F.col("kind").isin(*kinds))
+
+
 _STRING = r"""'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`"""
 _HEAD = re.compile(rf"(?:(?<![\w.$])(?P<callee>{'|'.join(CALLEES)})|\.\s*(?P<verb>{'|'.join(VERBS)}|request))\s*(?:<[^<>()]*>)?\(\s*(?P<first>{_STRING})", re.I)
 _SKIP = re.compile(rf"(?P<keep>{_STRING})|//[^\n]*|/\*.*?\*/", re.S)
@@ -98,48 +110,95 @@ def _text(node: ast.expr | None) -> str | None:
     return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
 
 
-def _routes(text: str) -> Iterator[tuple]:
-    tree, k = _tree(text), 0
-    for node in tree.body if tree else []:
-        if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            continue
+def _name(node: ast.expr) -> str:
+    """The last part of a dotted name, or nothing."""
+    return node.attr if isinstance(node, ast.Attribute) else node.id if isinstance(node, ast.Name) else ""
+
+
+def _options(call: ast.Call) -> dict[str, ast.expr]:
+    return {x.arg: x.value for x in call.keywords if x.arg}
+
+
+def _row(kind: str, **values) -> tuple:
+    return (kind, *(values.get(c) for c in ("line", "col", "ordinal", "name", "owner", "value", "detail", "extra", "body")))
+
+
+def _facts(text: str) -> Iterator[tuple]:
+    yield _row("file")
+    tree = _tree(text)
+    if tree is None:
+        return
+    lines = _LINE.findall(text)
+    source = lambda node: "".join(lines[node.lineno - 1 : node.end_lineno])
+    functions = [x for x in tree.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    yield from _routes(functions, source)
+    yield from _models([x for x in tree.body if isinstance(x, ast.ClassDef)], source)
+    routers, includes, imports = {}, [], []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name):
+            yield _row("access", line=node.lineno, col=node.col_offset + 1, name=node.value.id, detail=node.attr)
+        elif isinstance(node, (ast.Assign, ast.AnnAssign)):
+            to = node.targets if isinstance(node, ast.Assign) else [node.target]
+            if isinstance(node, ast.Assign) and len(to) == 1 and isinstance(to[0], ast.Name):
+                yield _row("binding", line=node.lineno, col=node.col_offset + 1, name=to[0].id, detail=ast.unparse(node.value))
+            if isinstance(node.value, ast.Call) and _name(node.value.func) in ROUTERS:
+                routers |= {x.id: (_text(_options(node.value).get("prefix")) or "").strip() for x in to if isinstance(x, ast.Name)}
+        elif isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "include_router" and isinstance(node.func.value, ast.Name):
+            options = _options(node)
+            target = node.args[0] if node.args else options.get("router")
+            if isinstance(target, (ast.Name, ast.Attribute)):
+                includes.append((node.lineno, node.col_offset, node.func.value.id, ast.unparse(target), _text(options.get("prefix")) or ""))
+        elif isinstance(node, ast.ImportFrom):
+            imports += [(node.lineno, x.asname or x.name, "." * node.level + (node.module or ""), x.name) for x in node.names]
+    includes.sort()
+    yield from (_row("router", ordinal=k, name=name, value=prefix) for k, (name, prefix) in enumerate(_gathered(routers, includes)))
+    yield from (_row("include", ordinal=k, line=line, owner=parent, name=target, value=prefix) for k, (line, _, parent, target, prefix) in enumerate(includes))
+    yield from (_row("import", ordinal=k, line=line, name=name, value=module, detail=original) for k, (line, name, module, original) in enumerate(sorted(imports, key=lambda x: x[0])))
+
+
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
+
+
+def _routes(functions: list, source: Callable[[ast.AST], str]) -> Iterator[tuple]:
+    k = 0
+    for node in functions:
         line = min([node.lineno, *(d.lineno for d in node.decorator_list)])
-        body = ast.get_source_segment(text, node) or ""
+        body = None
         for d in node.decorator_list:
             call = d if isinstance(d, ast.Call) else None
             head = call.func if call else d
             if not isinstance(head, ast.Attribute):
                 continue
             router = head.value.id if isinstance(head.value, ast.Name) else ast.unparse(head.value)
-            options = {x.arg: x.value for x in call.keywords} if call else {}
+            options = _options(call) if call else {}
             first = _text(call.args[0]) if call and call.args else None
             if head.attr in ROUTE_VERBS and (first is not None or "path" in options):
+                body = body or source(node)
                 model = options.get("response_model")
-                yield line, k, node.name, router, first if first is not None else _text(options["path"]) or "", head.attr.upper(), ast.unparse(model) if model else None, body
+                yield _row("route", line=line, ordinal=k, name=node.name, owner=router, value=first if first is not None else _text(options["path"]) or "", detail=head.attr.upper(), extra=ast.unparse(model) if model else None, body=body)
                 k += 1
             elif head.attr in TOOLS:
-                yield line, k, node.name, "", "tools/" + (_text(options.get("name")) or first or node.name), TOOLS[head.attr], ast.get_docstring(node), body
+                body = body or source(node)
+                yield _row("route", line=line, ordinal=k, name=node.name, owner="", value="tools/" + (_text(options.get("name")) or first or node.name), detail=TOOLS[head.attr], extra=ast.get_docstring(node), body=body)
                 k += 1
 
 
-def _routers(text: str) -> Iterator[tuple]:
-    """Each router with the prefix that it has gathered within the file."""
-    own = {m[1]: (re.search(r"""\bprefix\s*=\s*["']([^"']*)["']""", m[2]) or ["", ""])[1].strip() for m in re.finditer(r"(\w+)\s*=\s*(?:APIRouter|FastAPI)\s*\(([^()]*)\)", text)}
-    links = [x[1:] for x in _includes(text)]
-    whole = dict(own)
-    joined = lambda *parts: "".join("/" + p.strip("/") for p in parts if p.strip("/"))
-    for _ in range(len(links) + 1):
-        for parent, target, prefix in links:
-            whole[target] = joined(whole.get(parent, ""), prefix, own.get(target, "")) or whole.get(target, "")
-    for k, (name, prefix) in enumerate(whole.items()):
-        yield k, name, prefix
-
+def _gathered(own: dict[str, str], includes: list[tuple]) -> Iterator[tuple[str, str]]:
+    """Each router of a file with the prefixes on its way from the outermost one: the last include that gives any decides."""
+    into: dict[str, list[tuple[str, str]]] = {}
+    for _, _, parent, target, prefix in includes:
+        into.setdefault(target, []).insert(0, (parent, prefix))
 
-_INCLUDE = re.compile(r"""(\w+)\.include_router\s*\(\s*(\w+)([^()]*)\)""")
+    def whole(name: str, below: frozenset[str]) -> str:
+        mine = own.get(name, "")
+        for parent, prefix in into.get(name, []):
+            outer = whole(parent, below | {name}) if parent not in below | {name} else ""
+            if parts := [x for p in (outer, prefix, mine) if (x := p.strip("/"))]:
+                return "/" + "/".join(parts)
+        return mine
 
-
-def _includes(text: str) -> list[tuple[int, str, str, str]]:
-    return [(k, m[1], m[2], (re.search(r"""\bprefix\s*=\s*["']([^"']+)["']""", m[3]) or ["", ""])[1]) for k, m in enumerate(_INCLUDE.finditer(text))]
+    for name in dict.fromkeys([*own, *into]):
+        yield name, whole(name, frozenset())
 
 
 def model_refs(body: Column) -> Column:
@@ -150,12 +209,12 @@ def model_refs(body: Column) -> Column:
 
 def router_prefixes(files: DataFrame) -> DataFrame:
     """(repo_id, path, ordinal, router, prefix)."""
-    return _records(files, r"(?i)\.py$", _routers, ROUTER_ROWS)
+    return _of_kind(files, "router").select("repo_id", "path", "ordinal", F.col("name").alias("router"), F.col("value").alias("prefix"))
 
 
 def extract_routes(files: DataFrame) -> DataFrame:
     """Routes of decorated functions and tools, with the prefix of a router of the same file."""
-    rows = _records(files, r"(?i)\.py$", _routes, ROUTE_ROWS)
+    rows = _of_kind(files, "route").select("repo_id", "path", "line", "ordinal", F.col("name").alias("handler"), F.col("owner").alias("router"), F.col("value").alias("raw_path"), F.col("detail").alias("method"), F.col("extra").alias("response_model"), "body")
     prefixes = router_prefixes(files).groupBy("repo_id", "path", "router").agg(F.max_by("prefix", "ordinal").alias("prefix"))
     rows = rows.join(prefixes, ["repo_id", "path", "router"], "left")
     tool = F.col("method").startswith("MCP_")
@@ -165,30 +224,34 @@ def extract_routes(files: DataFrame) -> DataFrame:
     )
 
 
+def _imports(files: DataFrame) -> DataFrame:
+    """Of imports of one name in a file the last: (repo_id, path, name, module, original)."""
+    rows = _of_kind(files, "import").groupBy("repo_id", "path", "name").agg(F.max(F.struct("ordinal", "value", "detail")).alias("x"))
+    return rows.select("repo_id", "path", "name", F.col("x.value").alias("module"), F.col("x.detail").alias("original"))
+
+
 def imports_and_includes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Imports (repo_id, path, name, module) and includes (repo_id, path, ordinal, parent, target, prefix), in DataFrame functions."""
-    own = files.filter(F.col("path").rlike(r"(?i)\.py$"))
-    lines = own.select("repo_id", "path", F.posexplode(F.regexp_extract_all("content", F.lit(r"from\s+[\w.]+\s+import\s+[^\n#]+"), F.lit(0))).alias("k", "text"))
-    names = lines.select("repo_id", "path", "k", F.regexp_extract("text", r"from\s+([\w.]+)", 1).alias("module"), F.explode(F.split(F.regexp_extract("text", r"import\s+(.*)", 1), ",")).alias("item"))
-    imports = names.select("repo_id", "path", "k", F.element_at(F.split(F.trim(F.regexp_replace("item", "[()]", "")), r"\s+as\s+"), -1).alias("name"), "module").filter("name <> ''")
-    imports = imports.groupBy("repo_id", "path", "name").agg(F.max_by("module", "k").alias("module"))
-    found = own.select("repo_id", "path", F.posexplode(F.regexp_extract_all("content", F.lit(r"\w+\.include_router\s*\([^()]*\)"), F.lit(0))).alias("ordinal", "text"))
-    includes = found.select("repo_id", "path", "ordinal", F.regexp_extract("text", r"(\w+)\.include_router", 1).alias("parent"), F.regexp_extract("text", r"include_router\s*\(\s*([\w.]+)", 1).alias("target"), F.regexp_extract("text", r"""prefix\s*=\s*["']([^"']+)["']""", 1).alias("prefix"))
-    return imports, includes
+    """Imports (repo_id, path, name, module) and includes (repo_id, path, ordinal, parent, target, prefix)."""
+    includes = _of_kind(files, "include").select("repo_id", "path", "ordinal", F.col("owner").alias("parent"), F.col("name").alias("target"), F.col("value").alias("prefix"))
+    return _imports(files).drop("original"), includes
 
 
 def resolve_router_prefix(routes: DataFrame, files: DataFrame) -> DataFrame:
     """Routes of files whose router another file includes get that file's prefix in front, unless it is there already.
 
-    The included name leads to its module, the module to the files that end with its path: an equi-join on path endings.
+    The included name leads to its module (``users.router`` to the module that was imported as ``users``), the module to the files that
+    end with its path: an equi-join on path endings.
     """
-    imports, includes = imports_and_includes(files)
+    imports, includes = _imports(files), imports_and_includes(files)[1]
     parents = router_prefixes(files).groupBy("repo_id", "path", "router").agg(F.max_by("prefix", "ordinal").alias("own")).withColumnRenamed("router", "parent")
     linked = includes.withColumn("name", F.substring_index("target", ".", 1)).join(imports, ["repo_id", "path", "name"]).join(parents, ["repo_id", "path", "parent"], "left")
-    ends = linked.select("repo_id", F.regexp_replace("module", r"^\.+", "").alias("module"), join_prefix(F.col("own"), F.col("prefix")).alias("added"), F.struct("path", "ordinal").alias("order"))
+    module = F.regexp_replace("module", r"^\.+", "")
+    inner = F.when(F.contains("target", F.lit(".")), F.concat_ws(".", F.when(module != "", module), "original"))
+    ends = linked.select("repo_id", F.explode(F.array_compact(F.array(F.when(module != "", module), inner))).alias("module"), join_prefix(F.col("own"), F.col("prefix")).alias("added"), F.struct("path", "ordinal").alias("order"))
     ends = ends.withColumn("ending", F.concat(F.replace("module", F.lit("."), F.lit("/")), F.lit(".py")))
     parts = F.split("path", "/")
-    endings = files.select("repo_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("ending"))
+    known = _of_kind(files, "file") if "kind" in files.columns else files
+    endings = known.select("repo_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("ending"))
     added = endings.join(ends, ["repo_id", "ending"]).groupBy("repo_id", "path").agg(F.max_by("added", "order").alias("added"))
     out = routes.join(added, ["repo_id", "path"], "left")
     tool = F.exists("methods", lambda m: m.startswith("MCP_"))
@@ -196,12 +259,10 @@ def resolve_router_prefix(routes: DataFrame, files: DataFrame) -> DataFrame:
     return out.withColumn("norm_path", F.when(there, F.col("norm_path")).otherwise(join_prefix(F.col("added"), F.col("norm_path")))).drop("added")
 
 
-def _classes(text: str) -> Iterator[tuple]:
-    tree, k = _tree(text), 0
-    for node in tree.body if tree else []:
-        if not isinstance(node, ast.ClassDef):
-            continue
-        head = (ast.get_source_segment(text, node) or "")[:500]
+def _models(classes: list[ast.ClassDef], source: Callable[[ast.AST], str]) -> Iterator[tuple]:
+    k = 0
+    for node in classes:
+        head = source(node)[:500]
         if not ("__tablename__" in head or "Column(" in head or "mapped_column(" in head or any(isinstance(b, ast.Name) and b.id in BASES for b in node.bases)):
             continue
         table, rows = None, []
@@ -212,15 +273,12 @@ def _classes(text: str) -> Iterator[tuple]:
             if target.id == "__tablename__":
                 table = _text(x.value)
             elif isinstance(x.value, ast.Call):
-                name = x.value.func.attr if isinstance(x.value.func, ast.Attribute) else getattr(x.value.func, "id", "")
-                if name in ("Column", "mapped_column"):
-                    rows.append((target.id, ast.unparse(x.value), None))
-                elif name == "relationship":
-                    to = _text(x.value.args[0]) if x.value.args else None
-                    rows.append((None, None, to or (ast.unparse(x.value.args[0]) if x.value.args else None)))
+                if _name(x.value.func) in ("Column", "mapped_column"):
+                    rows.append({"value": target.id, "detail": ast.unparse(x.value)})
+                elif _name(x.value.func) == "relationship":
+                    rows.append({"extra": _text(x.value.args[0]) or ast.unparse(x.value.args[0]) if x.value.args else None})
         if table is not None or rows:
-            for row in rows or [(None, None, None)]:
-                yield node.lineno, k, node.name, table, *row
+            yield from (_row("model", line=node.lineno, ordinal=k, name=node.name, owner=table, **row) for row in rows or [{}])
             k += 1
 
 
@@ -236,24 +294,14 @@ def parse_field(name: Column, expr: Column) -> Column:
 
 def extract_models(files: DataFrame) -> DataFrame:
     """A row per model with its fields and relationships."""
-    rows = _records(files, r"(?i)\.py$", _classes, CLASS_ROWS)
+    rows = _of_kind(files, "model").select("repo_id", "path", "line", "ordinal", F.col("name").alias("class_name"), F.col("owner").alias("table_name"), F.col("value").alias("field"), F.col("detail").alias("expr"), F.col("extra").alias("relationship"))
     field = F.when(F.col("field").isNotNull(), parse_field(F.col("field"), F.col("expr")))
     return rows.groupBy("repo_id", "path", "line", "ordinal", "class_name", "table_name").agg(F.collect_list(field).alias("fields"), F.array_sort(F.collect_set("relationship")).alias("relationships"))
 
 
-def _uses(text: str) -> Iterator[tuple]:
-    tree = _tree(text)
-    for node in ast.walk(tree) if tree else []:
-        if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
-            yield node.lineno, node.col_offset + 1, "binding", node.targets[0].id, ast.unparse(node.value)
-        elif isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name):
-            yield node.lineno, node.col_offset + 1, "access", node.value.id, node.attr
-
-
 def extract_attribute_uses(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bindings (repo_id, path, line, var, rhs) and accesses (repo_id, path, line, col, obj, attr)."""
-    rows = _records(files, r"(?i)\.py$", _uses, USE_ROWS)
     return (
-        rows.filter("kind = 'binding'").select("repo_id", "path", "line", F.col("name").alias("var"), F.col("detail").alias("rhs")),
-        rows.filter("kind = 'access'").select("repo_id", "path", "line", "col", F.col("name").alias("obj"), F.col("detail").alias("attr")),
+        _of_kind(files, "binding").select("repo_id", "path", "line", F.col("name").alias("var"), F.col("detail").alias("rhs")),
+        _of_kind(files, "access").select("repo_id", "path", "line", "col", F.col("name").alias("obj"), F.col("detail").alias("attr")),
     )
