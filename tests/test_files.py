@@ -184,3 +184,13 @@ def test_resolve_target_ranks(spark):
     asked = spark.createDataFrame([("r", x) for x in ("User", "b.py", "Profile", "a.py::User", "none")], "repo_id string, target string")
     got = {r["target"]: r["id"] for r in graph.resolve_target(nodes, asked).collect()}
     assert got == {"User": "a.py::User", "b.py": "b.py::UserProfile", "Profile": "b.py::UserProfile", "a.py::User": "a.py::User"}
+
+
+def test_resolve_target_by_ends_and_by_path_with_symbol(spark):
+    nodes = spark.createDataFrame(
+        [("r", "a.tsx::fetch::261", "a.tsx", None), ("r", "b.tsx::fetch::26", "b.tsx", None), ("r", "src/api/u.py::get", "src/api/u.py", "get"), ("r", "src/web/u.py::get", "src/web/u.py", "get"), ("q", "b.tsx::fetch::26", "b.tsx", None)],
+        "repo_id string, id string, path string, symbol string",
+    )
+    want = {"fetch::26": "b.tsx::fetch::26", "26": "b.tsx::fetch::26", "api/u.py::get": "src/api/u.py::get", "web\\u.py::get": "src/web/u.py::get", "get": "src/api/u.py::get", "fetch::2": "a.tsx::fetch::261", "eb": "src/web/u.py::get", "61": "a.tsx::fetch::261"}
+    asked = spark.createDataFrame([("r", x) for x in [*want, "", "zz", "fetchx"]] + [("q", "get")], "repo_id string, target string")
+    assert {(r["repo_id"], r["target"]): r["id"] for r in graph.resolve_target(nodes, asked).collect()} == {("r", k): v for k, v in want.items()}

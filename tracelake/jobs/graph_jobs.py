@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.jobs.adapters import GEO_EDGES, GEO_NODES, TRADE_EDGES, TRADE_NODES, TRADE_SEEDS, duck, table
+from tracelake.jobs import match_jobs
+from tracelake.jobs.adapters import CALLS, GEO_EDGES, GEO_NODES, ROUTES, TRADE_EDGES, TRADE_NODES, TRADE_SEEDS, duck, table
 from tracelake.operators import graph
 
 DEPTH = 3
@@ -43,6 +44,15 @@ def _chains(s: SparkSession, d: str) -> DataFrame:
     return graph.trace_chains(_geo_paths(s, d).filter("depth >= 1"), table(s, d, GEO_NODES))
 
 
+# of calls the last parts, of routes a part of the path with the handler, the handler, the file, a piece of the id
+_CALL_TARGETS = """
+SELECT repo_id, 'fetch::' || CAST(line AS STRING) AS target FROM ({calls}) AS c
+UNION SELECT repo_id, substr(path, 5, 20) || '::fetch' FROM ({calls}) AS c
+UNION SELECT repo_id, substr(path, 5, 20) || '::' || handler FROM ({routes}) AS r
+UNION SELECT repo_id, handler FROM ({routes}) AS r UNION SELECT repo_id, path FROM ({routes}) AS r UNION SELECT repo_id, substr(handler, 2, 9) FROM ({routes}) AS r
+UNION SELECT repo_id, 'api' || chr(92) || substr(path, 5, 20) FROM ({routes}) AS r UNION SELECT repo_id, '' FROM ({routes}) AS r UNION SELECT repo_id, 'none' || handler FROM ({routes}) AS r""".replace("{calls}", CALLS).replace("{routes}", ROUTES)
+
+
 _TARGETS = "SELECT 'geo' AS repo_id, n_name AS target FROM {nation} UNION SELECT 'geo', 's::' || CAST(s_suppkey AS STRING) FROM {supplier} UNION SELECT 'geo', CAST(n_nationkey AS STRING) FROM {nation} UNION SELECT 'geo', 'models/regions.py' FROM {region} UNION SELECT 'geo', ':1' FROM {region} UNION SELECT 'geo', 'nowhere' FROM {region}"
 
 _WALK = """
@@ -78,6 +88,18 @@ ENTRIES = {
     "f9_nodes_by_type": (lambda s, d: graph.nodes_by_type(_trade(s, d)[0], "route").groupBy("repo_id").agg(F.count(F.lit(1)).alias("routes"), F.count_distinct("path").alias("files")), f"SELECT repo_id, count(*) AS routes, count(DISTINCT path) AS files FROM ({duck(TRADE_NODES)}) WHERE node_type = 'api_route' GROUP BY repo_id"),
     "j18_resolve_target": (lambda s, d: graph.resolve_target(table(s, d, GEO_NODES), table(s, d, _TARGETS)), f"""
       WITH nodes AS ({duck(GEO_NODES)}), targets AS ({duck(_TARGETS)}),
-      tried AS (SELECT n.repo_id, target, id, CASE WHEN id = target THEN 1 WHEN ends_with(id, '::' || target) THEN 2 WHEN symbol = target THEN 4 WHEN path = target THEN 5 WHEN contains(id, target) THEN 6 END AS rank FROM nodes n JOIN targets t ON n.repo_id = t.repo_id)
+      tried AS (SELECT n.repo_id, target, id, CASE WHEN id = target THEN 1 WHEN ends_with(id, ':' || target) THEN 2 WHEN symbol = target THEN 4 WHEN path = target THEN 5 WHEN contains(id, target) THEN 6 END AS rank FROM nodes n JOIN targets t ON n.repo_id = t.repo_id)
       SELECT repo_id, target, arg_min(id, (rank, id)) AS id FROM tried WHERE rank IS NOT NULL GROUP BY ALL"""),
+    "j18_resolve_call_targets": (lambda s, d: graph.resolve_target(match_jobs.nodes_of(s, d), table(s, d, _CALL_TARGETS)), f"""
+      WITH {match_jobs.BASE}, targets AS (SELECT *, replace(target, chr(92), '/') AS t FROM ({duck(_CALL_TARGETS)}) WHERE target <> ''),
+      nodes AS (SELECT repo_id, call_id AS id, path, NULL AS symbol FROM calls UNION SELECT repo_id, route_id, path, handler FROM routes UNION SELECT repo_id, path || '::' || class_name, path, class_name FROM classes),
+      ends AS (SELECT repo_id, id, unnest(list_transform(range(2, len(string_split(id, ':')) + 1), lambda k: array_to_string(string_split(id, ':')[k:], ':'))) AS t FROM nodes),
+      named AS (
+        SELECT t.repo_id, target, id, 1 AS rank FROM targets t JOIN nodes n ON t.repo_id = n.repo_id AND t.t = id
+        UNION ALL SELECT t.repo_id, target, id, 2 FROM targets t JOIN ends n ON t.repo_id = n.repo_id AND t.t = n.t
+        UNION ALL SELECT t.repo_id, target, id, 3 FROM targets t JOIN nodes n ON t.repo_id = n.repo_id AND symbol = split_part(t.t, '::', -1) WHERE contains(t.t, '::') AND contains(id, split_part(t.t, '::', 1))
+        UNION ALL SELECT t.repo_id, target, id, 4 FROM targets t JOIN nodes n ON t.repo_id = n.repo_id AND symbol = t.t
+        UNION ALL SELECT t.repo_id, target, id, 5 FROM targets t JOIN nodes n ON t.repo_id = n.repo_id AND path = t.t),
+      inside AS (SELECT t.repo_id, target, id, 6 AS rank FROM targets t JOIN nodes n ON t.repo_id = n.repo_id AND contains(id, t.t) WHERE (t.repo_id, target) NOT IN (SELECT (repo_id, target) FROM named))
+      SELECT repo_id, target, arg_min(id, (rank, id)) AS id FROM (SELECT * FROM named UNION ALL SELECT * FROM inside) GROUP BY ALL"""),
 }

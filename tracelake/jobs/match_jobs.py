@@ -43,9 +43,9 @@ def _params(c: str) -> F.Column:
 _PARTS = "list_filter(string_split({0}, '/'), lambda s: s <> '')"
 _IS = "regexp_matches({0}, '^(\\{{.*\\}}|:.*)$')"
 _NAME = "CASE WHEN " + _IS + " THEN trim({0}, '{{}}:') ELSE {0} END"
-_BASE = f"calls AS ({duck(CALLS)}), routes AS ({duck(ROUTES)}), classes AS ({duck(CLASSES)})"
+BASE = f"calls AS ({duck(CALLS)}), routes AS ({duck(ROUTES)}), classes AS ({duck(CLASSES)})"
 # the pairwise rule, every call with every route of its repository, method and length
-_PAIRS = f"""{_BASE},
+_PAIRS = f"""{BASE},
 c AS (SELECT *, {_PARTS.format("norm_path")} AS cs FROM calls),
 r AS (SELECT * EXCLUDE (methods), unnest(string_split(methods, ',')) AS m, {_PARTS.format("norm_path")} AS rs FROM routes),
 z AS (SELECT c.repo_id, call_id, route_id, r.ordinal AS route_ordinal, c.method, c.is_template, cs, rs, list_zip(cs, rs) AS z FROM c JOIN r ON c.repo_id = r.repo_id AND c.method = r.m AND len(cs) = len(rs)),
@@ -145,7 +145,7 @@ ENTRIES = {
       SELECT *, row_number() OVER (PARTITION BY repo_id, call_id ORDER BY confidence DESC, route_ordinal, route_id) AS nth FROM (
         SELECT repo_id, call_id, route_id, route_ordinal, CASE WHEN t THEN 0.88::DOUBLE ELSE 1::DOUBLE END AS confidence, CASE WHEN t THEN 'template_slug_alignment' ELSE 'exact_static_match' END AS strategy
         FROM (SELECT *, is_template OR list_bool_or(list_transform(rs, lambda x: {_IS.format("x")})) AS t FROM fits))) WHERE nth = 1""")),
-    "c_route_scalars": (_scalars, _with(_BASE, r"""SELECT repo_id, route_id, '^' || regexp_replace(norm_path, '\{([a-z_]+)\}', '(?P<\1>[^/]+)', 'g') || '$' AS regex, array_to_string(regexp_extract_all(norm_path, '\{([a-z_]+)\}', 1), ',') AS params,
+    "c_route_scalars": (_scalars, _with(BASE, r"""SELECT repo_id, route_id, '^' || regexp_replace(norm_path, '\{([a-z_]+)\}', '(?P<\1>[^/]+)', 'g') || '$' AS regex, array_to_string(regexp_extract_all(norm_path, '\{([a-z_]+)\}', 1), ',') AS params,
       '/v2' || norm_path AS prefixed, len(string_split(norm_path, '/')) - 1 AS n_segments, path AS file FROM routes""")),
     "g1_build_nodes": (nodes_of, _with(_GRAPH, "SELECT * FROM nodes")),
     "g2_build_edges": (edges_of, _with(_GRAPH, "SELECT * FROM edges")),

@@ -143,16 +143,36 @@ def induced_edges(reached: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def resolve_target(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(repo_id, target, id): the node that a text names. Ranked: id, end of id, symbol, file path, containment; then the
-    smallest id. The first four are equi-joins on ends of the id; only targets that they leave are searched by containment.
+    """(repo_id, target, id): the node that a text names. Ranked: id (1), end of the id behind a colon (2), path and symbol (3), symbol (4),
+    file path (5), containment (6); then the smallest id. An empty text names nothing. The first five are equi-joins; targets that they
+    leave are searched by containment.
     """
-    asked = targets.select("repo_id", "target").distinct()
-    names = nodes.select("repo_id", "id", F.element_at(F.split("id", "::"), -1).alias("tail"), "path", "symbol")
-    kinds = [("id", 1), ("tail", 2), ("symbol", 4), ("path", 5)]
-    tried = None
-    for column, rank in kinds:
-        hit = names.select("repo_id", F.col(column).alias("target"), "id", F.lit(rank).alias("rank")).join(asked, ["repo_id", "target"])
-        tried = hit if tried is None else tried.unionByName(hit)
-    rest = asked.join(tried.select("repo_id", "target").distinct(), ["repo_id", "target"], "left_anti")
-    inside = rest.join(names.select("repo_id", "id"), "repo_id").filter(F.contains("id", "target")).select("repo_id", "target", "id", F.lit(6).alias("rank"))
-    return tried.unionByName(inside).groupBy("repo_id", "target").agg(F.min(F.struct("rank", "id")).alias("best")).select("repo_id", "target", F.col("best.id").alias("id"))
+    asked = targets.select("repo_id", "target").distinct().withColumn("wanted", F.replace("target", F.lit("\\"), F.lit("/"))).filter("wanted <> ''")
+    names = nodes.select("repo_id", "id", F.replace("id", F.lit("\\"), F.lit("/")).alias("own"), "path", "symbol")
+    parts = F.split("own", ":")
+    ends = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), ":"))).otherwise(F.array().cast("array<string>"))
+    keys = [names.select("repo_id", "id", F.col("own").alias("wanted"), F.lit(1).alias("rank")), names.select("repo_id", "id", F.explode(ends).alias("wanted"), F.lit(2).alias("rank"))]
+    keys += [names.select("repo_id", "id", F.col(c).alias("wanted"), F.lit(rank).alias("rank")) for c, rank in (("symbol", 4), ("path", 5))]
+    pairs = asked.filter(F.contains("wanted", F.lit("::"))).withColumn("symbol", F.element_at(F.split("wanted", "::"), -1)).withColumn("place", F.substring_index("wanted", "::", 1))
+    tried = names.join(pairs, ["repo_id", "symbol"]).filter(F.contains("own", "place")).select("repo_id", "target", "id", F.lit(3).alias("rank"))
+    for key in keys:
+        tried = tried.unionByName(key.join(asked, ["repo_id", "wanted"]).select("repo_id", "target", "id", "rank"))
+    found = written(tried.groupBy("repo_id", "target").agg(F.min(F.struct("rank", "id")).alias("best")), "named")
+    rest = written(asked.join(found.select("repo_id", "target"), ["repo_id", "target"], "left_anti"), "unnamed")
+    inside = _containing(names, rest).groupBy("repo_id", "target").agg(F.min(F.struct(F.lit(6).alias("rank"), "id")).alias("best"))
+    return found.unionByName(inside).select("repo_id", "target", F.col("best.id").alias("id"))
+
+
+def _containing(names: DataFrame, rest: DataFrame, width: int = 3) -> DataFrame:
+    """(repo_id, target, id) where the id contains the target: met at the target's rarest piece of ``width`` characters (or the whole
+    of a shorter target), then compared.
+    """
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda k: F.substr(c, k, n)))
+    asked = rest.withColumn("width", F.least(F.lit(width), F.length("wanted")))
+    asked = asked.select("repo_id", "target", "wanted", F.explode(grams(F.col("wanted"), F.col("width"))).alias("gram"))
+    wanted = asked.select("repo_id", "gram").distinct()
+    widths = names.withColumn("width", F.explode(F.array(*[F.lit(k) for k in range(1, width + 1)]))).filter(F.length("own") >= F.col("width"))
+    held = widths.select("repo_id", "id", "own", F.explode(grams(F.col("own"), F.col("width"))).alias("gram")).join(wanted, ["repo_id", "gram"], "left_semi")
+    counts = held.groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    best = asked.join(counts, ["repo_id", "gram"], "left").groupBy("repo_id", "target", "wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x")).filter("x.n > 0")
+    return held.join(best.select("repo_id", "target", "wanted", F.col("x.gram").alias("gram")), ["repo_id", "gram"]).filter(F.contains("own", "wanted")).select("repo_id", "target", "id")
