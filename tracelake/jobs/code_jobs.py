@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tracelake.jobs.adapters import table
 from tracelake.operators import checks, graph
-from tracelake.sources import extract
+from tracelake.sources import extract, tables
+from tracelake.streaming import changes
 
 
 def _client(s: SparkSession, d: str) -> DataFrame:
@@ -84,6 +85,35 @@ def _linked(s: SparkSession, d: str) -> DataFrame:
     return graph.link_routes_to_models(extract.extract_routes(facts), _named(extract.extract_models(facts)))
 
 
+def _maintained(s: SparkSession, d: str) -> DataFrame:
+    """Two flushed batches of changes; between them a repository's only file goes, and another one gets a file."""
+    sent, index, stored, kept = (tables.new_path(s, x) for x in ("flushed", "index", "graph", "progress"))
+    hashed = _server(s, d).withColumns({"mtime": F.lit(1.0), "size": F.length("content").cast("long"), "sha256": F.sha2("content", 256)})
+    single = lambda repo: s.createDataFrame([(repo, "m.py", "class Only(Base):\n    id = Column(Integer)\n", 1.0, 40, repo)], hashed.schema)
+    contents = {1: hashed.unionByName(single("gone")), 2: hashed.unionByName(single("2"))}
+
+    def parse(misses: DataFrame) -> DataFrame:
+        facts = extract.python_facts(contents[now].join(misses, ["repo_id", "path"], "left_semi"))
+        held = facts.groupBy("repo_id", "path").agg(F.collect_list(F.struct(*[c for c in facts.columns if c not in ("repo_id", "path")])).alias("facts"))
+        return misses.join(held, ["repo_id", "path"])
+
+    def build(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        facts = rows.select("repo_id", "path", F.inline("facts"))
+        routes, models = extract.extract_routes(facts), _named(extract.extract_models(facts))
+        none = s.createDataFrame([], "repo_id string, path string, line int, ordinal int")
+        matches = s.createDataFrame([], "repo_id string, call_id string, route_id string, confidence double, is_exact boolean, param_map map<string,string>")
+        return graph.build_nodes(none, routes, models), graph.build_edges(matches, graph.link_routes_to_models(routes, models), graph.link_models(models))
+
+    for now in (1, 2):
+        touched = contents[1].select("repo_id") if now == 1 else s.createDataFrame([("gone",), ("2",)], "repo_id string")
+        touched.distinct().withColumn("flush_ts", F.lit(now)).write.mode("append").parquet(sent)
+        stream = s.readStream.schema("repo_id string, flush_ts int").parquet(sent)
+        current = lambda asked: contents[now].drop("content").join(asked, "repo_id", "left_semi")
+        changes.maintain_graph(stream, current, parse, build, index, stored, kept).awaitTermination()
+    nodes, edges = tables.read_graph(s, stored)
+    return nodes.select("repo_id", "id", "type").unionByName(edges.select("repo_id", F.concat_ws(">", "source", "target").alias("id"), F.col("relation_type").alias("type")))
+
+
 _REPO = "(p_partkey % 3)::VARCHAR AS repo_id"
 _WAY = "p_partkey // 3 % 3"
 _MORE = f"CASE WHEN {_WAY} = 2 THEN 3 ELSE 0 END"  # lines of the long router
@@ -108,4 +138,10 @@ ENTRIES = {
     "j13_missing_attributes": (_missing, f"""
       SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, 8 + {_MORE} AS line, 'Attribute ''absent_' || p_size || ''' does not exist on model ''Part' || p_partkey || '''' AS message, 'error' AS severity, 'schema-attribute-missing' AS rule, 'python' AS source FROM part"""),
     "j5_extracted_links": (_linked, f"SELECT {_REPO}, 'routers/h' || p_partkey || '.py::read_' || p_partkey AS source, 'models/m' || p_partkey || '.py::Part' || p_partkey AS target FROM part"),
+    "r3_maintain_graph": (_maintained, f"""
+      SELECT {_REPO}, 'routers/h' || p_partkey || '.py::read_' || p_partkey AS id, 'api_route' AS type FROM part
+      UNION ALL SELECT {_REPO}, 'routers/h' || p_partkey || '.py::tool_' || p_partkey, 'api_route' FROM part
+      UNION ALL SELECT {_REPO}, 'models/m' || p_partkey || '.py::Part' || p_partkey, 'schema_model' FROM part
+      UNION ALL SELECT '2', 'm.py::Only', 'schema_model'
+      UNION ALL SELECT {_REPO}, 'routers/h' || p_partkey || '.py::read_' || p_partkey || '>models/m' || p_partkey || '.py::Part' || p_partkey, 'USES_MODEL' FROM part"""),
 }

@@ -59,6 +59,29 @@ def _status_lines(s: SparkSession, d: str) -> DataFrame:
     return incremental.changed_files(tables.read_change_list(moved), tables.read_change_list(named))
 
 
+_IGNORE_LISTS = """
+SELECT DISTINCT coalesce(source, '') AS repo_id, '.gitignore' AS path, '# built' || chr(10) || '*_test.ts' || chr(13) || chr(10) || chr(10) || '/lib/de/' || chr(10) || '!lib/de/d5.py' || chr(10) || 'd1[0-4]?.*' AS content FROM {documents}
+UNION SELECT DISTINCT coalesce(source, ''), 'src/en/.gitignore', 'd?.py' || chr(10) || 'd[!1-8]*' FROM {documents}"""
+
+
+def _unignored(s: SparkSession, d: str) -> DataFrame:
+    return incremental.drop_ignored(_files(s, d), rules=incremental.ignore_rules(table(s, d, _IGNORE_LISTS))).select("repo_id", "path")
+
+
+def _indexed(s: SparkSession, d: str) -> DataFrame:
+    """A7 with a graph of a node per file, and an edge from each file to the next of its repository and folder."""
+    files = _files(s, d)
+    nodes = files.select("repo_id", F.col("path").alias("id"))
+    edges = files.filter(F.col("path").like("%.py")).select("repo_id", F.col("path").alias("source"), F.concat("path", F.lit("::main")).alias("target"))
+    return incremental.index_report(_decisions(s, d), nodes, edges)
+
+
+def _report(s: SparkSession, d: str) -> DataFrame:
+    path = tables.new_path(s, "report")
+    tables.write_report(table(s, d, PROBLEMS).select("path", "line", "rule", "message"), path)
+    return s.read.text(path)
+
+
 _F = f"files AS ({duck(FILES)}), cache AS ({duck(CHANGED_FILES)}), problems AS ({duck(PROBLEMS)})"
 _SRC = "regexp_matches(lower(path), '\\.(ts|tsx|js|jsx|py)$')"
 _CRIT = "regexp_matches(path, 'auth|billing|payment')"
@@ -81,7 +104,7 @@ ENTRIES = {
       t AS (SELECT repo_id, CASE WHEN r = 0 THEN 0 ELSE greatest(1, floor(r / 3.8::DOUBLE)) END::BIGINT AS raw_tokens, CASE WHEN s = 0 THEN 0 ELSE greatest(1, floor(s / 3.8::DOUBLE)) END::BIGINT AS slice_tokens FROM n)
       SELECT *, greatest(0, raw_tokens - slice_tokens) AS saved, round(greatest(0, raw_tokens - slice_tokens) * 100::DOUBLE / raw_tokens, 2) AS percent FROM t"""),
     "s4_u1_changed_files": (_status_lines, f"WITH {_F} SELECT DISTINCT path FROM files WHERE (ordinal % 2 = 0 OR ordinal % 3 = 0) AND {_SRC}"),
-    "s5_report_lines": (lambda s, d: tables.report_lines(table(s, d, PROBLEMS).select("path", "line", "rule", "message")), f"WITH {_F} SELECT '| ' || path || ' | ' || line || ' | ' || rule || ' | ' || message || ' |' AS value FROM problems"),
+    "s5_report_lines": (_report, f"WITH {_F} SELECT '| ' || path || ' | ' || line || ' | ' || rule || ' | ' || message || ' |' AS value FROM problems"),
     "f8_w4_rank_diagnostics": (lambda s, d: checks.rank_diagnostics(table(s, d, PROBLEMS)).select("repo_id", "path", "class", "priority", "rank"), f"WITH {_F}, k AS (SELECT *, {_CLASS} AS class, CASE WHEN {_CRIT} THEN 100 ELSE 10 END AS priority FROM problems) SELECT repo_id, path, class, priority, row_number() OVER (PARTITION BY repo_id, class ORDER BY priority DESC, ordinal)::INT AS rank FROM k"),
     "c9_suggested_fix": (lambda s, d: table(s, d, PROBLEMS).groupBy(labels.suggested_fix(F.col("rule"), F.col("message")).alias("fix")).agg(F.count(F.lit(1)).alias("n")), f"""WITH {_F} SELECT CASE WHEN rule = 'schema-attribute-missing' OR contains(message, 'does not exist on model') THEN 'declare the attribute on the model or stop using it' WHEN contains(message, 'does not match any registered') THEN 'register the route or correct the path of the call'
       WHEN contains(lower(message), 'type') THEN 'bring request and response types in line' ELSE 'inspect the place and bring both sides of the contract in line' END AS fix, count(*) AS n FROM problems GROUP BY 1"""),
@@ -94,7 +117,9 @@ ENTRIES = {
       WITH {_F}, m AS (SELECT * FROM files WHERE ordinal % 5 = 4)
       SELECT coalesce(c.repo_id, m.repo_id) AS repo_id, coalesce(c.path, m.path) AS path, sha256(coalesce(m.content, c.content)) AS content, length(coalesce(c.content, ''))::INT AS baseline FROM cache c FULL JOIN m ON c.repo_id = m.repo_id AND c.path = m.path"""),
     "r2_incremental_index": (_decisions, _DECIDED + " SELECT * FROM decided"),
-    "a7_index_report": (lambda s, d: incremental.index_report(_decisions(s, d)), _DECIDED + " SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE decision = 'parse') AS parsed, count(*) FILTER (WHERE decision <> 'parse') AS hits FROM decided GROUP BY repo_id"),
+    "a7_index_report": (_indexed, _DECIDED + " SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE decision = 'parse') AS parsed, count(*) FILTER (WHERE decision <> 'parse') AS hits, count(*) AS nodes, count(*) FILTER (WHERE path LIKE '%.py') AS edges FROM decided GROUP BY repo_id"),
+    "f2_repository_rules": (_unignored, f"""WITH {_F} SELECT repo_id, path FROM files WHERE NOT (path LIKE 'node_modules/%' OR path LIKE 'scripts/%' OR regexp_matches(path, '(^|/)test_[^/]*\\.py$') OR path LIKE '%!_test.ts' ESCAPE '!' OR regexp_matches(path, '(^|/)lib/de/')
+      OR regexp_matches(path, '(^|/)d1[0-4].\\.') OR regexp_matches(path, '^src/en/d.\\.py$') OR regexp_matches(path, '^src/en/d[^1-8]'))"""),
     "u2_merge_index": (_merged, _DECIDED + " SELECT repo_id, path, mtime, size, sha256, CASE decision WHEN 'parse' THEN 'new' ELSE 'old' END AS parsed FROM decided"),
     "f7_search_tokens": (lambda s, d: impact.search_tokens(table(s, d, PASSAGES)), f"WITH r AS ({duck(PASSAGES)}) SELECT DISTINCT repo_id, route_id, unnest([handler, raw_path, path]) AS token FROM r"),
     "j10_map_tests": (_tested, _BENCH + " SELECT repo_id, route_id, test FROM hits"),

@@ -67,9 +67,9 @@ nodes AS (SELECT * EXCLUDE (nth, ordinal) FROM (SELECT *, row_number() OVER (PAR
 route_models AS (SELECT DISTINCT r.repo_id, route_id AS source, k.path || '::' || k.class_name AS target FROM routes r JOIN last_class k ON r.repo_id = k.repo_id AND list_contains(string_split(r.model_refs, ','), k.class_name)),
 model_links AS (SELECT DISTINCT a.repo_id, a.path || '::' || a.class_name AS source, b.path || '::' || b.class_name AS target FROM last_class a JOIN last_class b ON a.repo_id = b.repo_id AND list_contains(string_split(a.relationships, ','), b.class_name)),
 all_edges AS (
-  SELECT repo_id, call_id AS source, route_id AS target, 'calls' AS relation, 'FETCHES' AS relation_type, confidence, is_exact FROM matches
-  UNION ALL SELECT repo_id, source, target, 'accesses', 'USES_MODEL', NULL, NULL FROM route_models
-  UNION ALL SELECT repo_id, source, target, 'relates_to', 'RELATIONSHIP', NULL, NULL FROM model_links),
+  SELECT repo_id, call_id AS source, route_id AS target, 'calls' AS relation, 'FETCHES' AS relation_type, confidence, is_exact, params FROM matches
+  UNION ALL SELECT repo_id, source, target, 'accesses', 'USES_MODEL', NULL, NULL, NULL FROM route_models
+  UNION ALL SELECT repo_id, source, target, 'relates_to', 'RELATIONSHIP', NULL, NULL, NULL FROM model_links),
 edges AS (SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, source, target ORDER BY coalesce(confidence, 1), relation) AS nth FROM all_edges) WHERE nth = 1)"""
 
 
@@ -104,12 +104,18 @@ def _guard(spark: SparkSession, sf: str) -> DataFrame:
     return checks.guard_diagnostics(_unmatched(spark, sf), _unknown(spark, sf))
 
 
+_HANDLER_FILES = """
+SELECT repo_id, path, array_join(array_sort(collect_set(said)), chr(10)) AS content FROM (
+  SELECT 'r' || CAST(c_custkey % 4 AS STRING) AS repo_id, 'api/' || lower(c_mktsegment) || '.py' AS path, 'raise HTTPException(status_code=' || CAST(400 + (c_custkey % 4 + c_nationkey % 3) % 5 AS STRING) || ')' AS said FROM {customer}) AS f
+GROUP BY repo_id, path"""
+
+
 def _contract(spark: SparkSession, sf: str) -> DataFrame:
-    routes, edges = routes_of(spark, sf), edges_of(spark, sf)
-    files = routes.select("repo_id", "path", "line").groupBy("repo_id", "path").agg(F.array_join(F.sort_array(F.collect_list(F.col("line") * 20 + 1)), " ").alias("content"))
-    out = reports.route_contract(routes, edges, reports.status_codes(routes, files), F.col("norm_path").endswith("/items"))
-    shown = F.array_join(F.transform(F.coalesce("callers", F.array().cast("array<struct<source:string,confidence:double>>")), lambda x: F.concat_ws("@", x["source"], x["confidence"].cast("string"))), ";")
-    return out.select("repo_id", "route_id", "norm_path", F.array_join("methods", ",").alias("methods"), "handler", F.array_join("codes", ",").alias("codes"), shown.alias("callers"), F.array_join(F.coalesce("models", F.array().cast("array<string>")), ";").alias("models"))
+    routes = routes_of(spark, sf).withColumns({"response_model": F.concat("handler", F.lit("_out")), "path_params": paths.path_params(F.col("norm_path"))})
+    calls = calls_of(spark, sf).withColumn("raw_url", F.col("norm_path"))
+    out = reports.route_contract(routes, edges_of(spark, sf), calls, reports.status_codes(routes, table(spark, sf, _HANDLER_FILES)), F.col("norm_path").endswith("/items") | reports.asked_for("/api/v1/machinery/summary/"))
+    joined = {c: F.array_join(c, ",") for c in ("methods", "path_params", "codes", "models")}
+    return out.withColumns(joined).withColumn("params", _params("param_map")).drop("param_map")
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,10 +129,22 @@ def _labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf: str) -> DataFrame:
-    n, e = tables.graph_tables(nodes_of(spark, sf), edges_of(spark, sf))
+    path = tables.new_path(spark, "graph")
+    tables.write_graph(nodes_of(spark, sf), edges_of(spark, sf), path)
+    n, e = tables.read_graph(spark, path)
     return n.select("repo_id", "id", "type", "symbol").unionByName(e.select("repo_id", F.concat_ws(">", "source", "target").alias("id"), F.col("relation_type").alias("type"), F.col("confidence").cast("decimal(5,2)").cast("string").alias("symbol")))
 
 
+def _exported(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: the graph written as JSON lines and read back: its nodes, edges and summaries."""
+    path = tables.new_path(spark, "export")
+    tables.export_graph_json(*tables.graph_tables(nodes_of(spark, sf), edges_of(spark, sf)), path)
+    n, e, summary = tables.load_graph_json(spark, path)
+    shown = n.select("repo_id", F.lit("node").alias("kind"), "id", F.concat_ws("|", "node_type", "path", "line").alias("body"))
+    shown = shown.unionByName(e.select("repo_id", F.lit("edge").alias("kind"), F.concat_ws(">", "source", "target").alias("id"), F.concat_ws("|", "relation", F.col("confidence").cast("decimal(5,2)"), _params("param_map")).alias("body")))
+    return shown.unionByName(summary.select("repo_id", F.lit("summary").alias("kind"), F.col("version").alias("id"), F.concat_ws("|", "node_count", "edge_count").alias("body")))
+
+
 def _scalars(spark: SparkSession, sf: str) -> DataFrame:
     r = routes_of(spark, sf)
     return r.select(
@@ -148,7 +166,7 @@ ENTRIES = {
     "c_route_scalars": (_scalars, _with(BASE, r"""SELECT repo_id, route_id, '^' || regexp_replace(norm_path, '\{([a-z_]+)\}', '(?P<\1>[^/]+)', 'g') || '$' AS regex, array_to_string(regexp_extract_all(norm_path, '\{([a-z_]+)\}', 1), ',') AS params,
       '/v2' || norm_path AS prefixed, len(string_split(norm_path, '/')) - 1 AS n_segments, path AS file FROM routes""")),
     "g1_build_nodes": (nodes_of, _with(_GRAPH, "SELECT * FROM nodes")),
-    "g2_build_edges": (edges_of, _with(_GRAPH, "SELECT * FROM edges")),
+    "g2_build_edges": (lambda s, d: edges_of(s, d).withColumn("params", _params("param_map")).drop("param_map"), _with(_GRAPH, "SELECT * FROM edges")),
     "w2_last_definition": (lambda s, d: graph.last_definition(models_of(s, d), "class_name").select("repo_id", "class_name", "path", "ordinal"), _with(_GRAPH, "SELECT repo_id, class_name, path, ordinal FROM last_class")),
     "w3_dedupe_edges": (lambda s, d: graph.dedupe_edges(matches_of(s, d).select("repo_id", F.col("method").alias("source"), F.col("route_id").alias("target"), F.lit("calls").alias("relation"), "confidence")), _with(_PAIRS, "SELECT repo_id, method AS source, route_id AS target, 'calls' AS relation, min(confidence) AS confidence FROM matches GROUP BY ALL")),
     "j5_routes_to_models": (lambda s, d: graph.link_routes_to_models(routes_of(s, d), models_of(s, d)), _with(_GRAPH, "SELECT * FROM route_models")),
@@ -164,20 +182,32 @@ ENTRIES = {
              (SELECT count(*) FROM edges e WHERE e.repo_id = n.repo_id) AS edges FROM nodes n GROUP BY repo_id""")),
     "a2_confidence_breakdown": (lambda s, d: reports.confidence_breakdown(edges_of(s, d)), _with(_GRAPH, "SELECT repo_id, count(*) FILTER (WHERE confidence >= 0.99) AS exact, count(*) FILTER (WHERE confidence >= 0.8 AND confidence < 0.99) AS template, count(confidence) AS total, coalesce(round(avg(confidence), 2), 1) AS mean FROM edges GROUP BY repo_id")),
     "a8_route_matrix": (lambda s, d: reports.route_matrix(routes_of(s, d), models_of(s, d)), _with(_GRAPH, """
-      SELECT r.repo_id, 'http' AS kind, norm_path, methods, r.path, handler, coalesce((SELECT string_agg(class_name || ':' || table_name || '(' || fields || ')', '; ' ORDER BY class_name) FROM last_class k WHERE k.repo_id = r.repo_id AND k.class_name = r.model_refs), '') AS models FROM routes r""")),
+      SELECT r.repo_id, 'http' AS kind, norm_path, methods, r.path, handler, coalesce((SELECT string_agg(class_name || ':' || table_name || '(' || fields || ')', '; ' ORDER BY class_name) FROM last_class k WHERE k.repo_id = r.repo_id AND k.class_name = r.model_refs), '') AS models FROM routes r
+      UNION ALL SELECT repo_id, 'model', class_name, '', path, table_name, fields FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path, class_name ORDER BY ordinal DESC) AS nth FROM classes) WHERE nth = 1""")),
     "a9_callers_per_route": (lambda s, d: reports.callers_per_route(edges_of(s, d)).select("repo_id", "route_id", F.size("callers").alias("n"), F.array_join(F.transform("callers", lambda x: x["source"]), ";").alias("callers")), _with(_GRAPH, "SELECT repo_id, target AS route_id, count(*)::INT AS n, string_agg(source, ';' ORDER BY source) AS callers FROM edges WHERE relation_type = 'FETCHES' GROUP BY ALL")),
-    "j16_route_contract": (_contract, _with(_GRAPH, """, files AS (SELECT repo_id, path, string_agg((line * 20 + 1)::VARCHAR, ' ') AS content FROM routes GROUP BY ALL)
-      SELECT r.repo_id, r.route_id, norm_path, methods, handler, '200' || coalesce((SELECT string_agg(',' || c, '' ORDER BY c) FROM (VALUES ('201'), ('400'), ('401'), ('403'), ('404')) AS v(c), files f WHERE f.repo_id = r.repo_id AND f.path = r.path AND contains(content, c)), '') AS codes,
-        coalesce((SELECT string_agg(source || '@' || confidence::VARCHAR, ';' ORDER BY source) FROM edges e WHERE e.repo_id = r.repo_id AND e.target = r.route_id AND relation_type = 'FETCHES'), '') AS callers,
-        coalesce((SELECT string_agg(target, ';' ORDER BY target) FROM edges e WHERE e.repo_id = r.repo_id AND e.source = r.route_id AND relation_type = 'USES_MODEL'), '') AS models
-      FROM routes r WHERE norm_path LIKE '%/items'""".replace(", files AS", ", files AS", 1))),
+    "j16_route_contract": (_contract, _with(_GRAPH + """,
+      said AS (SELECT DISTINCT 'r' || (c_custkey % 4)::VARCHAR AS repo_id, 'api/' || lower(c_mktsegment) || '.py' AS path, (400 + (c_custkey % 4 + c_nationkey % 3) % 5)::VARCHAR AS code FROM customer),
+      codes AS (SELECT repo_id, path, string_agg(code, ',' ORDER BY code) AS codes FROM said WHERE code IN ('201', '400', '401', '403', '404') GROUP BY ALL),
+      used AS (SELECT repo_id, source AS route_id, string_agg(DISTINCT split_part(target, '::', -1), ',' ORDER BY split_part(target, '::', -1)) AS models FROM edges WHERE relation_type = 'USES_MODEL' GROUP BY ALL)""", """
+      SELECT r.repo_id, r.route_id, r.norm_path, split_part(r.methods, ',', 1) AS method, r.methods, r.handler, r.path, r.line, r.handler || '_out' AS response_model,
+             array_to_string(regexp_extract_all(r.norm_path, '\\{([a-z_]+)\\}', 1), ',') AS path_params, '200' || coalesce(',' || k.codes, '') AS codes, u.models,
+             e.source AS call_id, c.path AS caller_path, c.line AS caller_line, c.norm_path AS caller_url, e.confidence, e.is_exact, e.params
+      FROM routes r LEFT JOIN codes k ON r.repo_id = k.repo_id AND r.path = k.path LEFT JOIN used u ON r.repo_id = u.repo_id AND r.route_id = u.route_id
+      LEFT JOIN (SELECT * FROM edges WHERE relation_type = 'FETCHES') e ON e.repo_id = r.repo_id AND e.target = r.route_id LEFT JOIN calls c ON c.repo_id = e.repo_id AND c.call_id = e.source
+      WHERE r.norm_path LIKE '%/items' OR r.norm_path = '/api/v1/machinery/summary'""")),
+    "a6_unmatched_lists": (lambda s, d: checks.unmatched_lists(calls_of(s, d), routes_of(s, d), edges_of(s, d)), _with(_GRAPH, """
+      SELECT repo_id, 'call' AS kind, call_id AS id, path, line FROM calls c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = c.repo_id AND e.source = c.call_id AND relation_type = 'FETCHES')
+      UNION ALL SELECT repo_id, 'route', route_id, path, line FROM routes r WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = r.repo_id AND e.target = r.route_id AND relation_type = 'FETCHES')""")),
     "c8_c12_labels": (_labels, _with(_GRAPH, """
       SELECT n.repo_id, id, CASE node_type WHEN 'frontend_component' THEN '[UI] ' || split_part(n.path, '/', -1) || ' (L' || n.line || ')' WHEN 'api_route' THEN '[API] ' || split_part(r.methods, ',', 1) || ' ' || r.norm_path ELSE '[DB] ' || symbol || ' (' || lower(symbol) || ')' END AS label,
              CASE node_type WHEN 'frontend_component' THEN 1 WHEN 'api_route' THEN 2 ELSE 3 END AS level
       FROM nodes n LEFT JOIN routes r ON n.repo_id = r.repo_id AND n.id = r.route_id
       UNION ALL SELECT repo_id, source || '>' || target, CASE relation WHEN 'relates_to' THEN '[RELATION]' WHEN 'accesses' THEN '[ORM]' ELSE CASE WHEN confidence >= 0.99 THEN '1.0 [STATIC]' WHEN confidence >= 0.8 THEN printf('%.2f [TEMPLATE]', confidence) ELSE printf('%.2f [PARAM]', confidence) END END, 0 FROM edges""")),
+    "s3_exported_graph": (_exported, _with(_GRAPH, """
+      SELECT repo_id, 'node' AS kind, id, node_type || '|' || path || '|' || line AS body FROM nodes
+      UNION ALL SELECT repo_id, 'edge', source || '>' || target, relation || '|' || coalesce(confidence, 1)::DECIMAL(5, 2) || '|' || coalesce(params, '') FROM edges
+      UNION ALL SELECT repo_id, 'summary', '1.0', n || '|' || (SELECT count(*) FROM edges e WHERE e.repo_id = k.repo_id) FROM (SELECT repo_id, count(*) AS n FROM nodes GROUP BY repo_id) k""")),
     "s2_stored_graph": (_stored, _with(_GRAPH, """
       SELECT repo_id, id, node_type AS type, coalesce(symbol, split_part(id, '::', -1)) AS symbol FROM nodes
       UNION ALL SELECT repo_id, source || '>' || target, relation_type, coalesce(confidence, 1)::DECIMAL(5, 2)::VARCHAR FROM edges""")),
 }
-ENTRIES["j16_route_contract"] = (ENTRIES["j16_route_contract"][0], ENTRIES["j16_route_contract"][1].replace("\n, files AS", ", files AS"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import globs
 from tracelake.functions.paths import is_param, segments
 from tracelake.operators.graph import last_definition
+from tracelake.sources.tables import written
 
 # Attributes that every model has.
 STANDARD = ("__tablename__", "metadata")
@@ -37,7 +38,7 @@ def unknown_endpoints(calls: DataFrame, routes: DataFrame) -> DataFrame:
     masks = call_masks.join(route_masks, ["repo_id", "n"])
     left = asked.join(masks, ["repo_id", "n", "call_mask"]).withColumn("key", blank("parts"))
     right = known.join(masks, ["repo_id", "n", "route_mask"]).select("repo_id", "n", "call_mask", "route_mask", blank("route_parts").alias("key")).distinct()
-    hit = left.join(right, ["repo_id", "n", "call_mask", "route_mask", "key"]).select("repo_id", "call_id").distinct()
+    hit = left.join(right, ["repo_id", "n", "call_mask", "route_mask", "key"], "left_semi").select("repo_id", "call_id").distinct()
     rows = calls.join(routes.select("repo_id").distinct(), "repo_id", "left_semi").join(hit, ["repo_id", "call_id"], "left_anti")
     return rows.select(*_diagnostic("unmatched-fetch-route", F.concat(F.lit("Fetch endpoint '"), "norm_path", F.lit("' does not match any registered backend route")), "typescript"))
 
@@ -98,6 +99,13 @@ def guard_summary(diagnostics: DataFrame, calls: DataFrame, routes: DataFrame) -
     return out.withColumn("has_breakage", F.col("errors") > 0)
 
 
+def unmatched_lists(calls: DataFrame, routes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, kind, id, path, line): the calls without a route and the routes without a call."""
+    fetched = edges.filter(F.col("relation_type") == "FETCHES")
+    lone = calls.join(fetched.select("repo_id", F.col("source").alias("call_id")), ["repo_id", "call_id"], "left_anti").select("repo_id", F.lit("call").alias("kind"), F.col("call_id").alias("id"), "path", "line")
+    return lone.unionByName(unused_routes(routes, edges).select("repo_id", F.lit("route").alias("kind"), F.col("route_id").alias("id"), "path", "line"))
+
+
 def severity_class(rule: Column, severity: Column) -> Column:
     """F8: drift for warnings and rules of drift or deprecation, else breaking."""
     named = F.lower(F.coalesce(rule, F.lit("")))
@@ -108,8 +116,18 @@ def rank_diagnostics(diagnostics: DataFrame, patterns: tuple[str, ...] = globs.C
     """Within each repository and class, critical paths (100) before others (10), then in the order of ``ordinal``."""
     rows = diagnostics.withColumn("class", severity_class(F.col("rule"), F.col("severity")))
     rows = rows.withColumn("priority", F.when(is_critical(F.col("path"), patterns), F.lit(100)).otherwise(F.lit(10)))
-    order = Window.partitionBy("repo_id", "class").orderBy(F.desc("priority"), "ordinal")
-    return rows.withColumn("rank", F.row_number().over(order))
+    return numbered(rows, ["repo_id", "class"], [F.desc("priority"), F.col("ordinal")], "rank")
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Rows numbered within their keys, however many a key has: sorted slices are numbered by themselves, and what lies in the slices before
+    is added.
+    """
+    sliced = written(rows.repartitionByRange(*keys, *order).withColumn("slice", F.spark_partition_id()), "slices")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = written(sliced.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before).drop("n"), "slice-counts")
+    own = sliced.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "slice").orderBy(*order)))
+    return own.join(counts, [*keys, "slice"]).withColumn(name, (F.col(name) + F.col("before")).cast("int")).drop("slice", "before")
 
 
 def is_critical(path: Column, patterns: tuple[str, ...] = globs.CRITICAL_PATTERNS) -> Column:

@@ -49,9 +49,9 @@ def link_models(models: DataFrame) -> DataFrame:
 
 
 def build_edges(matches: DataFrame, route_models: DataFrame, model_links: DataFrame) -> DataFrame:
-    """The three relations as edges, one per (source, target)."""
-    none = [F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("boolean").alias("is_exact")]
-    edges = matches.select("repo_id", F.col("call_id").alias("source"), F.col("route_id").alias("target"), F.lit("calls").alias("relation"), F.lit("FETCHES").alias("relation_type"), "confidence", "is_exact")
+    """The three relations as edges, one per (source, target); calls carry their confidence and parameter map."""
+    none = [F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("boolean").alias("is_exact"), F.lit(None).cast("map<string,string>").alias("param_map")]
+    edges = matches.select("repo_id", F.col("call_id").alias("source"), F.col("route_id").alias("target"), F.lit("calls").alias("relation"), F.lit("FETCHES").alias("relation_type"), "confidence", "is_exact", "param_map")
     edges = edges.unionByName(route_models.select("repo_id", "source", "target", F.lit("accesses").alias("relation"), F.lit("USES_MODEL").alias("relation_type"), *none))
     return dedupe_edges(edges.unionByName(model_links.select("repo_id", "source", "target", F.lit("relates_to").alias("relation"), F.lit("RELATIONSHIP").alias("relation_type"), *none)))
 
@@ -159,11 +159,11 @@ def resolve_target(nodes: DataFrame, targets: DataFrame) -> DataFrame:
         tried = tried.unionByName(key.join(asked, ["repo_id", "wanted"]).select("repo_id", "target", "id", "rank"))
     found = written(tried.groupBy("repo_id", "target").agg(F.min(F.struct("rank", "id")).alias("best")), "named")
     rest = written(asked.join(found.select("repo_id", "target"), ["repo_id", "target"], "left_anti"), "unnamed")
-    inside = _containing(names, rest).groupBy("repo_id", "target").agg(F.min(F.struct(F.lit(6).alias("rank"), "id")).alias("best"))
+    inside = containing(names, rest).groupBy("repo_id", "target").agg(F.min(F.struct(F.lit(6).alias("rank"), "id")).alias("best"))
     return found.unionByName(inside).select("repo_id", "target", F.col("best.id").alias("id"))
 
 
-def _containing(names: DataFrame, rest: DataFrame, width: int = 3) -> DataFrame:
+def containing(names: DataFrame, rest: DataFrame, width: int = 3) -> DataFrame:
     """(repo_id, target, id) where the id contains the target: met at the target's rarest piece of ``width`` characters (or the whole
     of a shorter target), then compared.
     """

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.graph import containing
+from tracelake.sources.tables import written
+
 # Fixed value: names of test files.
 TEST_FILE = r"(^|/)(test_[^/]*\.py|[^/]*_test\.py|[^/]*\.(test|spec)\.[jt]sx?)$"
-BLOCK_BYTES = 8 << 20
 
 
 def is_test_file(path: Column) -> Column:
@@ -25,37 +25,34 @@ def search_tokens(routes: DataFrame) -> DataFrame:
     return routes.select("repo_id", "route_id", F.explode(F.array_distinct(F.filter(tokens, lambda t: t.isNotNull()))).alias("token"))
 
 
-def map_tests_to_routes(tokens: DataFrame, tests: DataFrame) -> DataFrame:
+def map_tests_to_routes(tokens: DataFrame, tests: DataFrame, text_bytes: int = 32 << 20, token_bytes: int = 8 << 20) -> DataFrame:
     """(repo_id, route_id, test) where a test's text contains a token of the route in its repository.
 
-    The distinct tokens are scanned for in one pass over the texts, in blocks of at most BLOCK_BYTES of tokens, each block an
-    automaton that every task builds once; the hits are then joined to the routes.
+    A repository's tests and tokens are dealt into parts of about ``text_bytes`` and ``token_bytes``; each part of tests meets each part of
+    tokens in one task, which scans the texts once with an automaton of the tokens. Tokens of other repositories are never looked at.
     """
-    names = tokens.select("token").distinct()
-    size = names.agg(F.sum(F.octet_length("token"))).first()[0] or 0
-    n = max(1, -(-2 * size // BLOCK_BYTES))
-    hits = None
-    for k in range(n):
-        own = [r[0] for r in names.filter(F.pmod(F.xxhash64("token"), F.lit(n)) == k).collect()]  # at most about BLOCK_BYTES
-        found = tests.select("repo_id", "path", "content").mapInPandas(_scan(own), "repo_id string, test string, token string")
-        hits = found if hits is None else hits.unionByName(found)
+    names = tokens.select("repo_id", "token").distinct()
+    parts = lambda df, c, most, name: df.groupBy("repo_id").agg((F.floor(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) / most) + 1).cast("int").alias(name))
+    plan = written(parts(names, "token", token_bytes, "token_parts").join(parts(tests, "content", text_bytes, "text_parts"), "repo_id"), "scan-parts")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda key, c: F.pmod(F.xxhash64(key), c).cast("int")
+    texts = tests.join(plan, "repo_id").select("repo_id", dealt("path", "text_parts").alias("x"), every("token_parts").alias("y"), F.col("path").alias("test"), "content")
+    words = names.join(plan, "repo_id").select("repo_id", dealt("token", "token_parts").alias("y"), every("text_parts").alias("x"), "token")
+    hits = texts.groupBy("repo_id", "x", "y").cogroup(words.groupBy("repo_id", "x", "y")).applyInPandas(_scan, "repo_id string, test string, token string")
     return hits.join(tokens, ["repo_id", "token"]).select("repo_id", "route_id", "test").distinct()
 
 
-def _scan(own: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for x in own:
-            machine.add_word(x, x)
-        if own:
-            machine.make_automaton()
-        for batch in batches:
-            rows = [(r, p, t) for r, p, text in batch.itertuples(index=False) if own and text for t in {t for _, t in machine.iter(text)}]
-            yield pd.DataFrame(rows, columns=["repo_id", "test", "token"])
+def _scan(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    import ahocorasick
 
-    return run
+    if texts.empty or words.empty:
+        return pd.DataFrame({"repo_id": [], "test": [], "token": []}, dtype=str)
+    machine = ahocorasick.Automaton()
+    for x in words["token"]:
+        machine.add_word(x, x)
+    machine.make_automaton()
+    rows = [(repo, test, t) for repo, test, text in zip(texts["repo_id"], texts["test"], texts["content"], strict=True) if text for t in {t for _, t in machine.iter(text)}]
+    return pd.DataFrame(rows, columns=["repo_id", "test", "token"], dtype=str)
 
 
 def untested_routes(routes: DataFrame, route_tests: DataFrame) -> DataFrame:
@@ -73,13 +70,14 @@ def test_coverage(routes: DataFrame, route_tests: DataFrame) -> DataFrame:
 
 def impacted_tests(modified: DataFrame, tests: DataFrame, route_tests: DataFrame, reached: DataFrame) -> DataFrame:
     """(repo_id, test): tests that were modified themselves, tests of routes that the change reaches (repo_id, node), and tests
-    of routes in a modified file.
+    of routes whose id contains a modified path.
     """
     names = tests.select("repo_id", F.col("path").alias("test"))
     parts = F.split("test", "/")
     ends = names.withColumn("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))))
     own = ends.join(modified.select("repo_id", "path"), ["repo_id", "path"], "left_semi").select("repo_id", "test")
     by_reach = route_tests.join(reached.select("repo_id", F.col("node").alias("route_id")), ["repo_id", "route_id"], "left_semi").select("repo_id", "test")
-    file = F.substring_index("route_id", "::", 1)
-    by_file = route_tests.withColumn("path", file).join(modified.select("repo_id", "path"), ["repo_id", "path"], "left_semi").select("repo_id", "test")
+    ids = route_tests.select("repo_id", F.col("route_id").alias("id"), F.col("route_id").alias("own")).distinct()
+    paths = modified.filter("path <> ''").select("repo_id", F.col("path").alias("target"), F.col("path").alias("wanted")).distinct()
+    by_file = route_tests.join(containing(ids, paths).select("repo_id", F.col("id").alias("route_id")), ["repo_id", "route_id"], "left_semi").select("repo_id", "test")
     return own.unionByName(by_reach).unionByName(by_file).distinct()

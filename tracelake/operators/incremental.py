@@ -14,13 +14,34 @@ def is_source_file(path: Column) -> Column:
     return path.rlike(SOURCE)
 
 
-def drop_ignored(files: DataFrame, extra: tuple[str, ...] = (), folders: tuple[str, ...] = globs.IGNORED_FOLDERS) -> DataFrame:
-    """files in no ignored folder and matching no ignore pattern; ``extra`` are lines of the repository's own list."""
+def ignore_rules(lists: DataFrame) -> DataFrame:
+    """(repo_id, pattern) of ignore files (repo_id, path, content): their lines without comments, blank and negated ones; those of a nested
+    file hold below its folder.
+    """
+    folder = F.regexp_replace(F.regexp_replace("path", "^/+", ""), "/?[^/]*$", "")
+    lines = lists.select("repo_id", folder.alias("folder"), F.explode(F.split("content", "\n")).alias("line")).withColumn("line", F.trim(F.regexp_replace("line", "\r$", ""))).filter("line <> '' and line not like '#%' and line not like '!%'")
+    bare = F.regexp_replace("line", "^/+|/+$", "")
+    own = F.when(F.col("folder") == "", bare).otherwise(F.concat_ws("/", "folder", bare))
+    return lines.select("repo_id", F.explode(F.array(own, F.concat(own, F.lit("/**")))).alias("pattern")).distinct()
+
+
+def drop_ignored(files: DataFrame, extra: tuple[str, ...] = (), folders: tuple[str, ...] = globs.IGNORED_FOLDERS, rules: DataFrame | None = None) -> DataFrame:
+    """files in no ignored folder and matching no ignore pattern: the standing ones, ``extra``, and ``rules`` (repo_id, pattern) of the
+    repositories themselves. A repository's rules become one expression: an ignore list is small, whatever the number of files.
+    """
     path = F.regexp_replace("path", "^/+|/+$", "")
     parts = F.split(path, "/")
     in_folder = F.arrays_overlap(parts, F.array(*[F.lit(x) for x in folders]))
     patterns = tuple(p.strip("/").replace("/**", "/*") for p in (*globs.IGNORED_PATTERNS, *extra))
-    return files.filter(~in_folder & ~globs.path_matches(path, patterns))
+    kept = files.filter(~in_folder & ~globs.path_matches(path, patterns))
+    if rules is None:
+        return kept
+    regex = globs.regex_column(F.replace(F.regexp_replace("pattern", "^/+|/+$", ""), F.lit("/**"), F.lit("/*")))
+    lists = rules.groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_set(regex)), "|").alias("ignored"))
+    whole, part = F.concat(F.lit("(?s)^(?:.*/)?(?:"), "ignored", F.lit(")$")), F.concat(F.lit("(?s)^(?:"), "ignored", F.lit(")$"))
+    joined = kept.join(lists, "repo_id", "left")
+    hit = F.coalesce(F.regexp(path, whole) | F.exists(parts, lambda s: F.regexp(s, part)), F.lit(False))
+    return joined.filter(~hit).drop("ignored")
 
 
 def drop_config_ignored(files: DataFrame, patterns: tuple[str, ...] = globs.CONFIG_IGNORED) -> DataFrame:
@@ -45,10 +66,14 @@ def merge_index(decisions: DataFrame, cache: DataFrame, fresh: DataFrame) -> Dat
     return kept.join(cache.select(*payload), ["repo_id", "path"]).unionByName(fresh)
 
 
-def index_report(decisions: DataFrame) -> DataFrame:
-    """Per repository: files, parsed files, cache hits."""
+def index_report(decisions: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """Per repository: files, parsed files, cache hits, and the nodes and edges of its graph where given."""
     miss = F.col("decision") == "parse"
-    return decisions.groupBy("repo_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(miss).alias("parsed"), F.count_if(~miss).alias("hits"))
+    out = decisions.groupBy("repo_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(miss).alias("parsed"), F.count_if(~miss).alias("hits"))
+    for rows, name in ((nodes, "nodes"), (edges, "edges")):
+        if rows is not None:
+            out = out.join(rows.groupBy("repo_id").agg(F.count(F.lit(1)).alias(name)), "repo_id", "left").na.fill(0, [name])
+    return out
 
 
 def changed_files(*lists: DataFrame) -> DataFrame:

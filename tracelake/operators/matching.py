@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.paths import is_param, param_name, segments
+from tracelake.sources.tables import written
 
 PARAMETER_SCORE = 0.4
 
@@ -39,7 +40,9 @@ def candidates(calls: DataFrame, routes: DataFrame, min_confidence: float = 0.0)
     right = right.withColumn("n", F.size("route_parts")).withColumn("mask", F.transform("route_parts", is_param))
     right = right.withColumn("confidence", _confidence(F.col("n"), F.size(F.filter("mask", lambda m: m))))
     right = right.filter(F.col("confidence") >= min_confidence).withColumn("key", _key(F.col("route_parts"), F.col("mask")))
-    masks = right.select("repo_id", "method", "n", "mask").distinct()
+    # settled first: Spark then knows the sizes, broadcasts what is small enough, and splits the calls of a hot route else
+    right = written(right, "route-keys")
+    masks = written(right.select("repo_id", "method", "n", "mask").distinct(), "route-masks")
     fits = F.forall(F.zip_with("call_mask", "mask", lambda c, m: ~c | m), lambda x: x)
     keyed = left.join(masks, ["repo_id", "method", "n"]).filter(fits).withColumn("key", _key(F.col("call_parts"), F.col("mask")))
     return keyed.join(right.drop("n"), ["repo_id", "method", "mask", "key"])

@@ -37,11 +37,16 @@ def token_savings(files: DataFrame, slices: DataFrame) -> DataFrame:
 
 
 def route_matrix(routes: DataFrame, models: DataFrame) -> DataFrame:
-    """A row per route (kind, path, methods, file, handler, its models with their tables and fields)."""
-    last = last_definition(models, "class_name").select("repo_id", "class_name", F.concat(F.col("class_name"), F.lit(":"), F.coalesce("table_name", F.lower("class_name")), F.lit("("), F.array_join("fields", ","), F.lit(")")).alias("shown"))
+    """A row per route (kind, path, methods, file, handler, its models with their tables and fields) and a row per model
+    (kind, class, no methods, file, table, fields), whether a route refers to it or not.
+    """
+    table = F.coalesce("table_name", F.lower("class_name"))
+    last = last_definition(models, "class_name").select("repo_id", "class_name", F.concat(F.col("class_name"), F.lit(":"), table, F.lit("("), F.array_join("fields", ","), F.lit(")")).alias("shown"))
     used = routes.select("repo_id", "route_id", F.explode("model_refs").alias("class_name")).join(last, ["repo_id", "class_name"]).groupBy("repo_id", "route_id").agg(F.array_join(F.sort_array(F.collect_set("shown")), "; ").alias("models"))
     kind = F.when(F.array_contains("methods", "MCP_TOOL") | F.array_contains("methods", "MCP_RESOURCE"), F.lit("tool")).otherwise(F.lit("http"))
-    return routes.join(used, ["repo_id", "route_id"], "left").select("repo_id", kind.alias("kind"), "norm_path", F.array_join("methods", ",").alias("methods"), "path", "handler", F.coalesce("models", F.lit("")).alias("models"))
+    of_routes = routes.join(used, ["repo_id", "route_id"], "left").select("repo_id", kind.alias("kind"), "norm_path", F.array_join("methods", ",").alias("methods"), "path", "handler", F.coalesce("models", F.lit("")).alias("models"))
+    own = last_definition(models, "path", "class_name")
+    return of_routes.unionByName(own.select("repo_id", F.lit("model").alias("kind"), F.col("class_name").alias("norm_path"), F.lit("").alias("methods"), "path", table.alias("handler"), F.array_join("fields", ",").alias("models")))
 
 
 def callers_per_route(edges: DataFrame) -> DataFrame:
@@ -58,12 +63,27 @@ def status_codes(routes: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select("repo_id", "route_id", F.array_sort(F.concat(F.array(F.lit("200")), F.coalesce("found", F.array().cast("array<string>")))).alias("codes"))
 
 
-def route_contract(routes: DataFrame, edges: DataFrame, codes: DataFrame, wanted: Column) -> DataFrame:
-    """The routes that ``wanted`` selects, each with parameters, status codes, callers and accessed models."""
+def asked_for(target: str) -> Column:
+    """Whether a route is meant: by its path, normalised or as written, without slashes at the end, or by the end of its id."""
+    bare = lambda c: F.regexp_replace(c, "(?<=.)/+$", "")
+    wanted = bare(F.lit(target))
+    return (bare(F.col("norm_path")) == wanted) | (bare(F.col("raw_path")) == wanted) | F.endswith("route_id", wanted)
+
+
+def route_contract(routes: DataFrame, edges: DataFrame, calls: DataFrame, codes: DataFrame, wanted: Column) -> DataFrame:
+    """The contract of the routes that ``wanted`` selects, a row per caller (one without a caller where a route has none).
+
+    Each row has the route's path, first and all methods, handler, file, line, response model, parameters, status codes and accessed models,
+    and the caller's file, line, url, confidence, exact flag and parameter map. Callers stay rows, so that a route may have any number.
+    """
     own = routes.filter(wanted)
-    models = edges.filter(F.col("relation_type") == "USES_MODEL").groupBy("repo_id", F.col("source").alias("route_id")).agg(F.sort_array(F.collect_set("target")).alias("models"))
-    out = own.join(callers_per_route(edges), ["repo_id", "route_id"], "left").join(models, ["repo_id", "route_id"], "left").join(codes, ["repo_id", "route_id"], "left")
-    return out.select("repo_id", "route_id", "norm_path", "methods", "handler", "codes", "callers", "models")
+    accessed = edges.filter(F.col("relation_type") == "USES_MODEL").groupBy("repo_id", F.col("source").alias("route_id")).agg(F.array_sort(F.collect_set(F.element_at(F.split("target", "::"), -1))).alias("models"))
+    fetches = edges.filter(F.col("relation_type") == "FETCHES").select("repo_id", F.col("target").alias("route_id"), F.col("source").alias("call_id"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("is_exact", F.lit(False)).alias("is_exact"), "param_map")
+    places = calls.select("repo_id", "call_id", F.col("path").alias("caller_path"), F.col("line").alias("caller_line"), F.col("raw_url").alias("caller_url"))
+    callers = fetches.join(own.select("repo_id", "route_id"), ["repo_id", "route_id"], "left_semi").join(places, ["repo_id", "call_id"])
+    out = own.join(accessed, ["repo_id", "route_id"], "left").join(codes, ["repo_id", "route_id"], "left").join(callers, ["repo_id", "route_id"], "left")
+    method = F.coalesce(F.get("methods", F.lit(0)), F.lit("GET")).alias("method")
+    return out.select("repo_id", "route_id", "norm_path", method, "methods", "handler", "path", "line", "response_model", "path_params", "codes", "models", "call_id", "caller_path", "caller_line", "caller_url", "confidence", "is_exact", "param_map")
 
 
 def code_snippets(diagnostics: DataFrame, files: DataFrame) -> DataFrame:
@@ -77,6 +97,8 @@ def code_snippets(diagnostics: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def mtime_changes(snapshots: DataFrame) -> DataFrame:
-    """(repo_id, path, snapshot_ts): files whose mtime differs from their previous snapshot."""
-    order = Window.partitionBy("repo_id", "path").orderBy("snapshot_ts")
+    """(repo_id, path, snapshot_ts): files whose mtime differs from their previous snapshot; of snapshots of one time the lesser
+    mtime comes first.
+    """
+    order = Window.partitionBy("repo_id", "path").orderBy("snapshot_ts", "mtime")
     return snapshots.withColumn("before", F.lag("mtime").over(order)).filter("before is not null and before <> mtime").select("repo_id", "path", "snapshot_ts")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,11 @@ SOURCE = r"(?i)\.(ts|tsx|js|jsx|py)$"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a local one only where none is set (tests)."""
+    """A new path in the folder that all executors share; a local one only where none is set and the driver has the only executor."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -47,9 +50,10 @@ def graph_tables(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
         "repo_id", "id", F.coalesce("node_type", F.lit("unknown")).alias("type"), F.coalesce("node_type", F.lit("unknown")).alias("node_type"), "path", F.col("line").cast("int").alias("line"),
         F.coalesce("symbol", tail).alias("symbol"), F.lit(False).alias("is_critical"), F.to_json(F.struct("path", "line", "symbol")).alias("properties"),
     )
+    edges = edges if "param_map" in edges.columns else edges.withColumn("param_map", F.lit(None).cast("map<string,string>"))
     links = edges.select(
         "repo_id", "source", "target", F.coalesce("relation", F.lit("relates_to")).alias("relation"), F.coalesce("relation_type", F.lit("ASSOCIATION")).alias("relation_type"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
-        F.coalesce("is_exact", F.lit(False)).alias("is_exact"), F.to_json(F.struct("confidence", "is_exact")).alias("properties"),
+        F.coalesce("is_exact", F.lit(False)).alias("is_exact"), F.coalesce("param_map", F.create_map().cast("map<string,string>")).alias("param_map"), F.to_json(F.struct("confidence", "is_exact", "param_map")).alias("properties"),
     )
     return held, links
 
@@ -94,3 +98,24 @@ def report_lines(rows: DataFrame, sep: str = " | ") -> DataFrame:
     """The rows of a table as Markdown lines."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in rows.columns]
     return rows.select(F.concat(F.lit("| "), F.concat_ws(sep, *parts), F.lit(" |")).alias("value"))
+
+
+def file_system(spark: SparkSession, path: str):
+    """Spark's file system for a path, and the path in its form."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file system has the path."""
+    store, at = file_system(spark, path)
+    return store.exists(at)
+
+
+def drop_repositories(spark: SparkSession, path: str, gone: set[str]) -> None:
+    """Delete the partitions of repositories from a table that is partitioned by ``repo_id``."""
+    store, at = file_system(spark, path)
+    for found in store.listStatus(at) if gone else ():
+        key, _, value = found.getPath().getName().partition("=")
+        if key == "repo_id" and unquote(value) in gone:
+            store.delete(found.getPath(), True)

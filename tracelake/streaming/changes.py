@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracelake.operators import incremental
-from tracelake.sources.tables import SOURCE, new_path, written
+from tracelake.sources.tables import SOURCE, drop_repositories, exists, graph_tables, written
 
 
 def debounce_changes(changes: DataFrame, gap: str = "300 milliseconds", late: str = "10 minutes") -> DataFrame:
@@ -23,7 +23,28 @@ def debounce_changes(changes: DataFrame, gap: str = "300 milliseconds", late: st
     return out.select("repo_id", F.col("w.start").alias("first_ts"), F.col("w.end").alias("flush_ts"), "paths", "events")
 
 
-def maintain_index(flushed: DataFrame, current: Callable[[DataFrame], DataFrame], parse: Callable[[DataFrame], DataFrame], index: str, checkpoint: str, on_update: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+Files = Callable[[DataFrame], DataFrame]
+
+
+def _replace(rows: DataFrame, touched: DataFrame, path: str) -> DataFrame:
+    """Put ``rows`` in place of the touched repositories' part of a stored table; repositories without rows are gone. Returns the new rows."""
+    spark = rows.sparkSession
+    settled = written(rows, "settled")  # the table may be read and replaced in one step
+    settled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(path)
+    drop_repositories(spark, path, {r[0] for r in touched.join(settled, "repo_id", "left_anti").collect()})  # of one flushed batch
+    return settled
+
+
+def _reindexed(touched: DataFrame, current: Files, parse: Files, index: str) -> tuple[DataFrame, DataFrame]:
+    """Bring the touched repositories' part of the stored index up to date; returns (decisions, their index rows)."""
+    spark, files = touched.sparkSession, current(touched)
+    cache = spark.read.parquet(index).withColumn("repo_id", F.col("repo_id").cast("string")).join(touched, "repo_id", "left_semi") if exists(spark, index) else parse(files.limit(0))
+    decisions = written(incremental.incremental_index(files, cache), "decisions")
+    fresh = parse(decisions.filter("decision = 'parse'").drop("decision"))
+    return decisions, _replace(incremental.merge_index(decisions, cache, fresh), touched, index)
+
+
+def maintain_index(flushed: DataFrame, current: Files, parse: Files, index: str, checkpoint: str, on_update: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """For each flushed batch, decide which files of the touched repositories to parse, parse them, and replace these
     repositories' part of the stored index; then call ``on_update`` with the decisions.
 
@@ -32,26 +53,24 @@ def maintain_index(flushed: DataFrame, current: Callable[[DataFrame], DataFrame]
     """
 
     def update(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        touched = batch.select("repo_id").distinct().persist()
-        try:
-            files = current(touched)
-            try:
-                cache = spark.read.parquet(index).join(touched, "repo_id", "left_semi")
-            except Exception as error:  # the first batch finds no index yet
-                if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                    raise
-                cache = parse(files.limit(0))
-            decisions = written(incremental.incremental_index(files, cache), "decisions")
-            fresh = parse(decisions.filter("decision = 'parse'").drop("decision"))
-            merged = incremental.merge_index(decisions, cache, fresh)
-            # the index is read and replaced in one step: settle the new rows first
-            path = new_path(spark, "index")
-            merged.write.parquet(path)
-            spark.read.parquet(path).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(index)
-            if on_update is not None:
-                on_update(decisions)
-        finally:
-            touched.unpersist()
+        decisions, _rows = _reindexed(written(batch.select("repo_id").distinct(), "touched"), current, parse, index)
+        if on_update is not None:
+            on_update(decisions)
+
+    return flushed.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def maintain_graph(flushed: DataFrame, current: Files, parse: Files, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]], index: str, graph: str, checkpoint: str, on_update: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """As ``maintain_index``, and then ``build`` turns the index rows of the touched repositories into (nodes, edges), which replace
+    these repositories' part of the graph stored at ``graph``. Repositories whose files have all gone leave index and graph.
+    """
+
+    def update(batch: DataFrame, _: int) -> None:
+        touched = written(batch.select("repo_id").distinct(), "touched")
+        decisions, rows = _reindexed(touched, current, parse, index)
+        for name, part in zip(("nodes", "edges"), graph_tables(*build(rows)), strict=True):
+            _replace(part, touched, f"{graph}/{name}")
+        if on_update is not None:
+            on_update(decisions)
 
     return flushed.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
