@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.llm import chat_format, decontaminate, exact_dedup, licenses, mixing, ngram_join, textbytes, token_ids, warc
 
@@ -434,6 +435,30 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archive(warc.write_archive(pages.limit(0), "file://" + str(tmp_path / "none"))).count() == 0
 
 
+def test_warc_of_distant_and_null_ids(spark, tmp_path):
+    """Ids at both ends of long and many without any: ranges of about equal bytes, in the order of ids and digests, rolled within."""
+    draw = np.random.default_rng(6)
+    ids = [-(2**63), 2**63 - 1, 0, -1, 10**15, *range(500, 600), *[None] * 80]
+    rows = [(i, f"u{k}", " ".join(map(str, draw.integers(0, 10**9, 60)))) for k, i in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    narrow = warc.records(pages).select("id", "digest", F.length("body").cast("long").alias("size"))
+    keys = warc.cuts(narrow, 10000)
+    assert keys == sorted(keys) == warc.cuts(narrow.repartition(7), 10000)
+    placed = narrow.withColumn("key", warc._key()).withColumn("range", warc.range_of(keys)).collect()
+    order = sorted(placed, key=lambda r: (r["id"] is not None, r["id"] or 0, r["digest"]))
+    assert [r["range"] for r in order] == sorted(r["range"] for r in placed)
+    sums = {}
+    for r in placed:
+        sums[r["range"]] = sums.get(r["range"], 0) + r["size"] + 512
+    assert len(sums) == len(keys) + 1 > 15 and max(sums.values()) < 12000
+    manifest = warc.write_archive(pages, "file://" + str(tmp_path / "w"), range_bytes=20000, roll=2000)
+    got = warc.read_archive(manifest).collect()
+    assert sorted((r["page_id"], r["payload"].decode()) for r in got if r["page_id"] is not None) == sorted((i, h) for i, _, h in rows if i is not None) and len(got) == len(rows)
+    parts = [r["name"].split("-")[2] for r in manifest.collect()]
+    assert len(set(parts)) > 2 and all(r["bytes"] < 4000 for r in manifest.collect())  # the limit on compressed bytes is what ends files
+    assert len(warc.cuts(narrow, 1, most=8)) <= 8
+
+
 def test_words_and_shingles_equal_python():
     texts = ["", " a  b\n", "A b c d e f", "é x y", None, "x"]
     data, offsets = textbytes.column_bytes(pa.array(texts))
