@@ -206,6 +206,38 @@ def test_tiling_against_the_definition():
         assert abs(got[1] - want[1]) <= 4  # equally long runs may be taken in another order
 
 
+def test_tiling_equals_the_definition_on_repetitive_texts():
+    draw = np.random.default_rng(12)
+    for k in range(80):
+        a = draw.integers(0, 2 + k % 3, 24).tolist() if k % 4 else [1] * 12 + [2] * 8
+        b = draw.integers(0, 2 + k % 3, 60).tolist() if k % 5 else ([1] * 9 + [2]) * 5 + [1, 2] * 4
+        items = decontaminate.Items([1], pa.array([" ".join(f"w{x}" for x in a)]))
+        text = pa.array(["w9", " ".join(f"w{x}" for x in b)])
+        got = items.matches(text, 0.0)
+        want = brute_tiling(a, b)
+        assert [(r[0], *r[2:]) for r in got] == ([(1, *want)] if want[0] else [])
+        seeds = [(i, j) for i in range(len(a) - 4) for j in range(len(b) - 4) if a[i : i + 5] == b[j : j + 5]]
+        if seeds:
+            first, second = (np.array(x) for x in zip(*seeds, strict=True))
+            at = np.unique(second)
+            kinds = [tuple(first[second == j].tolist()) for j in at]
+            places = sorted(set(kinds))
+            listed = decontaminate.runs_of_groups(at, np.array([places.index(x) for x in kinds]), [np.array(x) for x in places], 5)
+            assert sorted(zip(*(x.tolist() for x in listed), strict=True)) == sorted(zip(*(x.tolist() for x in decontaminate.runs(first, second, 5)), strict=True))
+
+
+def test_equal_words_by_the_hundred_thousand():
+    items = decontaminate.Items([1, 2], pa.array(["same " * 1000, "one two three four five six"]))
+    got = items.matches(pa.array(["same " * 200_000, "x " * 300_000 + "one two three four five six " + "y " * 2_000_000]), 0.5)
+    assert got == [(0, 0, 1, 1000), (1, 1, 1, 6)]
+
+
+def test_matches_of_other_words_are_cut():
+    own, text = np.arange(20, dtype=np.uint64), np.arange(20, dtype=np.uint64)
+    text[9] = 77  # as if hashes of seeds had been equal
+    assert decontaminate.tiles(np.array([0]), np.array([0]), np.array([20]), own, text, 5) == (2, 19)
+
+
 def test_decontamination_finds_reordered_passages(spark):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
     plain = " ".join(item)

@@ -3,14 +3,14 @@
 Documents and benchmark items are sequences of words (Unicode letters, their marks, and digits, lowered; in scripts
 without spaces each character is a word). Windows of MATCH words are hashed
 Karp-Rabin style; windows that a document shares with an item are the seeds, and neighbouring seeds of one diagonal
-form a match. The longest match that is still unmarked on both sides is marked as a tile, what marks cut
+form a match, whose words are compared before it counts. The longest match that is still unmarked on both sides is marked as a tile, what marks cut
 off is put back, and so on until no match of MATCH words is left. An item's coverage is the share of its
 words under tiles; tiles may lie in any order, so reordered passages count in full. A document with any item at
 ``threshold`` or more is contaminated. An item of fewer than MATCH words has its whole sequence as its one seed.
 
 Items are held by every task, in blocks of at most ``block_bytes`` of text: a larger benchmark takes several passes.
 
-Defined results: null or empty texts match nothing; items of fewer than LEAST words match nothing; repeated rows give
+Defined results: null or empty texts match nothing; very long texts are read in parts and count whole; items of fewer than LEAST words match nothing; repeated rows give
 equal rows; empty tables give an empty result; other columns are ignored.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.shared import small_batches
-from tracelake.llm.textbytes import code_points, column_bytes, pieces, shingle_rows, span_hashes, unicode_words
+from tracelake.llm.textbytes import code_points, column_bytes, parts_of, pieces, shingle_rows, span_hashes, unicode_words
 
 MATCH, THRESHOLD = 5, 0.5
 LEAST = 2
@@ -33,41 +33,84 @@ SIEVE_BITS = 22
 FOUND = "item_id long, tiles long, covered long, item_words long, coverage double"
 
 
-def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of the rows, and each row's first word (one more entry at the end)."""
-    points, starts, ends, heads = unicode_words(*column_bytes(column))
+def token_hashes(column: pa.Array, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the rows, and each row's first word (one more entry at the end); a single long text is read in parts."""
+    data, offsets = column_bytes(column)
+    if len(offsets) == 2 and len(data) > most:
+        made = [_token_hashes(x, np.array([0, len(x)]))[0] for x in parts_of(data, most // 2)]
+        return np.concatenate(made), np.array([0, sum(map(len, made))])
+    return _token_hashes(data, offsets)
+
+
+def _token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    points, starts, ends, heads = unicode_words(data, offsets)
     return span_hashes(points, starts, ends, code_points()[1]), heads
 
 
-def tiling(first: np.ndarray, second: np.ndarray, n_first: int, n_second: int, least: int = MATCH) -> tuple[int, int]:
-    """Tiles and words covered, from the seeds (place in the item, place in the document) of ``least`` equal words."""
+def runs(first: np.ndarray, second: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches (place in the item, place in the document, words) of the seeds of ``least`` words: neighbours on a diagonal are one."""
     order = np.lexsort([first, second - first])
     first, second = first[order], second[order]
     new = np.ones(len(first), bool)
     new[1:] = (second[1:] - first[1:] != second[:-1] - first[:-1]) | (first[1:] != first[:-1] + 1)
     begin = np.flatnonzero(new)
-    length = np.diff(np.append(begin, len(first))) + least - 1
-    heap = [(-n, i, j) for n, i, j in zip(length.tolist(), first[begin].tolist(), second[begin].tolist(), strict=True)]
+    return first[begin], second[begin], np.diff(np.append(begin, len(first))) + least - 1
+
+
+def runs_of_groups(at: np.ndarray, group: np.ndarray, places: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for repetitive texts, where ``places[group[k]]`` are the item's places that the document's place ``at[k]`` meets.
+
+    A match begins where the diagonal's place before is no seed, and ends where the one behind is none. Which places these are depends on
+    two neighbouring groups alone, so that seeds inside of matches are never listed.
+    """
+    known: dict[tuple[int, int, int], np.ndarray] = {}
+
+    def bare(k: int, other: int, away: int) -> np.ndarray:
+        own, near = int(group[k]), int(group[other]) if 0 <= other < len(at) and at[other] == at[k] + away else -1
+        if (own, near, away) not in known:
+            known[own, near, away] = places[own] if near < 0 else np.setdiff1d(places[own], places[near] - away, assume_unique=True)
+        return known[own, near, away]
+
+    sides = []
+    for away in (-1, 1):
+        found = [bare(k, k + away, away) for k in range(len(at))]
+        place, own = np.concatenate(found), np.repeat(at, [len(x) for x in found])
+        order = np.lexsort([place, own - place])
+        sides.append((place[order], own[order]))
+    (i, j), (last, _) = sides
+    return i, j, last - i + least
+
+
+def tiling(first: np.ndarray, second: np.ndarray, n_first: int, n_second: int, least: int = MATCH) -> tuple[int, int]:
+    """Tiles and words covered, from the seeds (place in the item, place in the document) of ``least`` equal words."""
+    return tiles(*runs(first, second, least), np.zeros(n_first, bool), np.zeros(n_second, bool), least)
+
+
+def tiles(first: np.ndarray, second: np.ndarray, size: np.ndarray, own: np.ndarray, text: np.ndarray, least: int) -> tuple[int, int]:
+    """Greedy tiles of the matches: how many, and words covered. Of equally long matches that of the first place in the item, then in the
+    document, goes first. ``own`` and ``text`` are the words; where they differ in a match (equal hashes of other words), it is cut.
+    """
+    heap = [(-n, i, j) for n, i, j in zip(size.tolist(), first.tolist(), second.tolist(), strict=True)]
     heapq.heapify(heap)
-    taken_first, taken_second = np.zeros(n_first, bool), np.zeros(n_second, bool)
-    tiles = covered = 0
-    while heap and covered < n_first:
+    taken_first, taken_second = np.zeros(len(own), bool), np.zeros(len(text), bool)
+    count = covered = 0
+    while heap and covered < len(own):
         n, i, j = heapq.heappop(heap)
         n = -n
-        blocked = taken_first[i : i + n] | taken_second[j : j + n]
+        blocked = taken_first[i : i + n] | taken_second[j : j + n] | (own[i : i + n] != text[j : j + n])
         if not blocked.any():
             taken_first[i : i + n] = taken_second[j : j + n] = True
-            tiles, covered = tiles + 1, covered + n
+            count, covered = count + 1, covered + n
             continue
         edges = np.flatnonzero(np.diff(np.concatenate([[True], blocked, [True]]).astype(np.int8)))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if b - a >= least:
                 heapq.heappush(heap, (a - b, i + a, j + a))
-    return tiles, covered
+    return count, covered
 
 
 class Items:
-    """The seeds of a block of items: sorted hashes, and the item and place of each."""
+    """The seeds of a block of items: sorted hashes, and of each the items that have it, with its places there."""
 
     def __init__(self, ids: list[int | None], texts: pa.Array):
         tokens, heads = token_hashes(texts)
@@ -76,8 +119,13 @@ class Items:
         full = self.sizes[row] >= LEAST
         row, place, seed = row[full], place[full], seed[full]
         self.widths = np.unique(np.minimum(self.sizes[row], MATCH)).tolist()
-        order = np.argsort(seed, kind="stable")
-        self.seed, self.row, self.place = seed[order], row[order], place[order]
+        order = np.lexsort([place, row, seed])
+        seed, row, self.place = seed[order], row[order], place[order]
+        new = np.ones(len(seed), bool)
+        new[1:] = (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])
+        self.first = np.append(np.flatnonzero(new), len(seed))  # of each group of one seed in one item
+        self.seed, self.row = seed[self.first[:-1]], row[self.first[:-1]]
+        self.words = [tokens[a:b] for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True)]
         self.sieve = np.zeros(1 << SIEVE_BITS, bool)
         self.sieve[(self.seed >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
 
@@ -96,21 +144,30 @@ class Items:
         low, high = np.searchsorted(self.seed, seed, "left"), np.searchsorted(self.seed, seed, "right")
         n = high - low
         own = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        doc, second, item, first = np.repeat(row, n), np.repeat(place, n), self.row[own], self.place[own]
-        order = np.lexsort([item, doc])
-        doc, second, item, first = doc[order], second[order], item[order], first[order]
+        doc, second, item = np.repeat(row, n), np.repeat(place, n), self.row[own]
+        order = np.lexsort([second, item, doc])
+        doc, second, item, own = doc[order], second[order], item[order], own[order]
         cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), [True]])) if len(doc) else []
         out = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            size = int(self.sizes[item[a]])
-            width = min(size, MATCH)
+            words = self.words[item[a]]
+            size, width = len(words), min(len(words), MATCH)
             if width * (b - a) < threshold * size:  # every seed covers so many words at most
                 continue
-            tiles, covered = tiling(first[a:b], second[a:b], size, int(sizes[doc[a]]), width)
+            count, covered = tiles(*self.found(second[a:b], own[a:b], width), words, tokens[heads[doc[a]] : heads[doc[a] + 1]], width)
             if covered >= threshold * size:
-                out.append((int(doc[a]), int(item[a]), tiles, covered))
+                out.append((int(doc[a]), int(item[a]), count, covered))
         return out
 
+    def found(self, at: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The matches of a document's places, ascending, with an item, each with its group of the item's places."""
+        n = self.first[group + 1] - self.first[group]
+        if n.sum() <= 4 * len(at):
+            place = np.repeat(self.first[group], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            return runs(self.place[place], np.repeat(at, n), width)
+        kinds, group = np.unique(group, return_inverse=True)
+        return runs_of_groups(at, group, [self.place[self.first[k] : self.first[k + 1]] for k in kinds], width)
+
 
 def blocks(benchmark: DataFrame, block_bytes: int) -> list:
     """The benchmark's items in blocks of bounded size, each broadcast by itself."""
