@@ -3,10 +3,12 @@
 A text's fingerprint is a polynomial in its bytes, modulo two primes. Texts are cut in chunks; chunk hashes
 are computed side by side and combined as H(ab) = H(a) * B**len(b) + H(b), so that a huge text needs no
 serial pass. Texts with equal fingerprints and lengths are then compared with their group's first text, chunk
-by chunk, so that the result does not rest on the fingerprint.
+by chunk, so that the result does not rest on the fingerprint; those that differ (fingerprints collided) are told apart by
+their SHA-256. A large group is dealt out over tasks, the first text copied to each.
 
 Defined results: null text counts as empty; of equal texts the row with the largest id stays (null ids rank
-lowest); of repeated rows with one id and one text exactly one is kept; an empty table gives an empty result;
+lowest); of repeated rows with one id and one text exactly one is kept; very long texts are hashed in chunks, and two of them have
+to fit a task; an empty table gives an empty result;
 other columns are ignored, whatever their names.
 """
 
@@ -17,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.keybits import bits_of, has_bit
@@ -112,15 +114,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Only texts whose fingerprint recurs are read on and moved.
     wanted = docs.sparkSession.sparkContext.broadcast(bits_of(shared, "key", "size"))
 
-    texts = rows.mapInArrow(lambda b: run(b, wanted.value, True), f"id {id_type}, text string, key long, size long")
+    texts = rows.mapInArrow(lambda b: run(b, wanted.value, True), f"id {id_type}, text string, key long, size long").withColumn("row", F.monotonically_increasing_id())  # tells rows of one id apart
     members = texts.join(shared, ["key", "size"])
     salts = F.ceil(F.col("n") / salt_rows).cast("int")
     leads = (
         members.filter(F.col("id").eqNullSafe(F.col("top")))
-        .dropDuplicates(["key", "size"])
+        .groupBy("key", "size")
+        .agg(F.min("text").alias("text"), F.max("id").alias("id"), F.max("n").alias("n"))  # the least text: the same in every attempt
         .select("id", "text", "key", "size", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("copy"))
     )
-    own = members.select("id", "text", "key", "size", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.lit(False).alias("copy"))
+    own = members.select("id", "text", "key", "size", F.pmod(F.xxhash64("id", "row"), salts).cast("int").alias("salt"), F.lit(False).alias("copy"))
     compared = (
         own.unionByName(leads)
         .withColumn("sha", F.sha2("text", 256))
@@ -130,12 +133,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .filter("not copy")
         .withColumn("form", F.when(F.col("same"), F.lit("")).otherwise(F.col("sha")))
         .drop("copy", "same")
+        .withColumn("nth", F.monotonically_increasing_id())
     )
     compared = written(compared, "compared")
-    classes = compared.groupBy("key", "size", "form").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
-    again = Window.partitionBy("key", "size", "form", "id").orderBy("sha")
-    copies = compared.withColumn("nth", F.row_number().over(again)).join(classes, ["key", "size", "form"])
-    out = copies.select("id", F.col("top").alias("keep_id"), F.col("n").alias("group_size"), (F.col("id").eqNullSafe(F.col("top")) & (F.col("nth") == 1)).alias("kept"), "sha")
+    # settled first, so that Spark can split a large class's rows in the joins
+    classes = written(compared.groupBy("key", "size", "form").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")), "classes")
+    tops = compared.join(classes, ["key", "size", "form"]).withColumn("is_top", F.col("id").eqNullSafe(F.col("top")))
+    # of the rows of the id that stays one does, the first by its number; the others are not numbered
+    one = written(tops.filter("is_top").groupBy("key", "size", "form").agg(F.min("nth").alias("one")), "kept")
+    copies = tops.join(one, ["key", "size", "form"])
+    out = copies.select("id", F.col("top").alias("keep_id"), F.col("n").alias("group_size"), (F.col("is_top") & (F.col("nth") == F.col("one"))).alias("kept"), "sha")
     alone = narrow.join(shared.select("key", "size"), ["key", "size"], "left_anti")
     out = out.unionByName(alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))

@@ -7,7 +7,11 @@ before their bigrams are made, and templates outside are dropped in the join. On
 go on. Each unit counts for its best template (on ties the first licence name). Texts without any of the words that every
 match must have (``anchors``) are skipped before anything is made of them.
 
-Defined results: null and empty texts give no rows; a unit of one word has no bigrams and matches nothing; rows that share
+Notices inside of a line, and texts wrapped over several lines, are found by windows: where a text has bigrams of a
+template in their order, the window of the template's length is a unit too, unless a matching line covers it or the whole
+text matched. Windows that overlap are one unit, with the best score.
+
+Defined results: null and empty texts give no rows; very long texts are compared whole, and their words have to fit a task; a unit of one word has no bigrams and matches nothing; rows that share
 an id are counted together; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -18,10 +22,14 @@ import re
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelake.llm.shared import written
+
 THRESHOLD = 0.8
+#: Stands for a matching line among the words of a text; no normalised word looks like it.
+BARRIER = "-"
 
 # Public names of licences, and the usual forms of a notice.
 NAMES = {
@@ -53,11 +61,26 @@ TEXTS = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+_WARRANTY = "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+# Whole texts, without the lines that name the holder.
+WHOLE = {
+    "Apache-2.0": TEXTS["Apache-2.0"] + ' Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "BSD-2-Clause": f"{_BSD} {_AS_IS} {_WARRANTY}",
+    "BSD-3-Clause": f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_AS_IS} {_WARRANTY}",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "ISC": TEXTS["ISC"] + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "MIT": TEXTS["MIT"] + ' The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "Unlicense": TEXTS["Unlicense"] + ' Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+}
+
 
 def templates() -> list[tuple[str, str]]:
     """(licence, text) of all templates."""
     made = [(name, form.format(title)) for name, titles in NAMES.items() for title in titles for form in FORMS]
-    return sorted({*made, *TEXTS.items()})
+    return sorted({*made, *TEXTS.items(), *WHOLE.items()})
 
 
 def anchors(given: list[tuple[str, str]], threshold: float) -> list[str] | None:
@@ -92,35 +115,70 @@ def bigrams(parts: F.Column) -> F.Column:
     return F.array_distinct(pairs)
 
 
-def template_table(spark: SparkSession, given: list[tuple[str, str]]) -> DataFrame:
-    """(template, license, size, bigram): a row per bigram of each template; fixed in size by the list."""
+def template_words(spark: SparkSession, given: list[tuple[str, str]]) -> DataFrame:
+    """(template, license, words, grams, size): a row per template; fixed in size by the list."""
     quoted = ", ".join("({}, {}, {})".format(k, *("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in row)) for k, row in enumerate(given))
     rows = spark.sql(f"SELECT * FROM VALUES {quoted} AS t(template, license, text)")
-    made = rows.select("template", "license", bigrams(F.split(F.trim(normalised(F.col("text"))), " ")).alias("grams"))
-    return made.select("template", "license", F.size("grams").alias("size"), F.explode("grams").alias("bigram"))
+    words = F.split(F.trim(F.regexp_replace(normalised(F.col("text")), "\\s+", " ")), " ")
+    return rows.select("template", "license", words.alias("words")).withColumn("grams", bigrams(F.col("words"))).withColumn("size", F.size("grams"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, given: list[tuple[str, str]] | None = None) -> DataFrame:
-    """One row per document and licence: id, license, score (the best Dice coefficient), units (how many lines matched)."""
-    table = template_table(docs.sparkSession, templates() if given is None else given)
-    low, high = table.agg(F.min("size"), F.max("size")).first()
-    if low is None:
-        return docs.select(F.col(id_col), F.lit("").alias("license"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("units")).limit(0)
+def _units(texts: DataFrame, given: DataFrame, threshold: float) -> DataFrame:
+    """(id, row, place, license, dice) of the lines of (id, row, text), and of whole texts as their last line, that reach the threshold."""
+    low, high = given.agg(F.min("size"), F.max("size")).first()
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
-    words = anchors(templates() if given is None else given, threshold)
-    if words is not None:
-        lowered = F.lower(F.col(text_col).cast("string"))
-        docs = docs.filter(reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words]))
-    text = normalised(F.col(text_col).cast("string"))
-    whole = F.when(F.contains(text, F.lit("\n")), F.array(F.translate(text, "\n", " "))).otherwise(F.array().cast("array<string>"))
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.concat(F.split(text, "\n"), whole)).alias("place", "unit"))
+    whole = F.when(F.contains("text", F.lit("\n")), F.array(F.translate("text", "\n", " "))).otherwise(F.array().cast("array<string>"))
+    rows = texts.select("id", "row", F.posexplode(F.concat(F.split("text", "\n"), whole)).alias("place", "unit"))
     # n words have at most n - 1 bigrams, and at least one less than there are distinct words
     rows = rows.withColumn("unit", F.trim(F.regexp_replace("unit", " +", " "))).withColumn("parts", F.split("unit", " "))
     rows = rows.filter((F.size("parts") - 1 >= F.lit(max(1, low * least))) & (F.size(F.array_distinct("parts")) - 1 <= F.lit(high * most)))
     rows = rows.withColumn("grams", bigrams(F.col("parts"))).withColumn("n", F.size("grams")).filter((F.col("n") >= low * least) & (F.col("n") <= high * most))
     parts = rows.select("id", "row", "place", "n", F.explode("grams").alias("bigram"))
+    table = given.select("template", "license", "size", F.explode("grams").alias("bigram"))
     hits = parts.join(F.broadcast(table), "bigram").filter((F.col("size") >= F.col("n") * least) & (F.col("size") <= F.col("n") * most))
     dice = hits.groupBy("row", "place", "template").agg(F.first("id").alias("id"), F.first("license").alias("license"), (F.count(F.lit(1)) * 2.0 / (F.first("n") + F.first("size"))).alias("dice"))
     good = dice.filter(F.col("dice") >= threshold)
-    best = good.groupBy("row", "place").agg(F.first("id").alias("id"), F.min_by("license", F.struct(-F.col("dice"), "license")).alias("license"), F.max("dice").alias("dice"))
-    return best.groupBy(F.col("id").alias(id_col), "license").agg(F.max("dice").alias("score"), F.count(F.lit(1)).alias("units"))
+    return good.groupBy("row", "place").agg(F.first("id").alias("id"), F.min_by("license", F.struct(-F.col("dice"), "license")).alias("license"), F.max("dice").alias("dice"))
+
+
+def _windows(texts: DataFrame, matched: DataFrame, given: DataFrame, threshold: float) -> DataFrame:
+    """(id, license, dice) of the windows of words, in what no matching line covers, that reach the threshold; of windows that overlap the best.
+
+    A bigram of the text that a template has too lays the template over the text. Where at least half of what the threshold asks for lies on
+    one such place, the window of the template's length there is compared as a set.
+    """
+    lines = F.split("text", "\n")
+    taken = matched.groupBy(F.col("row").alias("r")).agg(F.collect_set("place").alias("taken"))
+    open_ = texts.join(taken, F.col("row") == F.col("r"), "left").filter(F.coalesce(~F.array_contains("taken", F.size(lines)), F.lit(True)))  # no whole text
+    rest = F.transform(lines, lambda x, k: F.when(F.coalesce(F.array_contains("taken", k), F.lit(False)), F.lit(BARRIER)).otherwise(x))
+    words = F.split(F.trim(F.regexp_replace(F.array_join(rest, " "), " +", " ")), " ")
+    open_ = written(open_.select("id", "row", words.alias("words")).filter(F.size("words") > 1), "license-texts")
+    pairs = open_.select("row", F.posexplode(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))).alias("at", "bigram"))
+    sizes = F.size("words")
+    own = given.filter(sizes > 1).select("template", sizes.alias("k"), F.posexplode(F.zip_with(F.slice("words", 1, sizes - 1), F.slice("words", 2, sizes), lambda a, b: F.concat(a, F.lit(" "), b))).alias("o", "bigram"))
+    laid = pairs.join(F.broadcast(own), "bigram").groupBy("row", "template", (F.col("at") - F.col("o")).alias("start")).agg(F.count(F.lit(1)).alias("m"), F.first("k").alias("k"))
+    laid = laid.filter(F.col("m") >= (F.col("k") - 1) * (threshold / 2)).groupBy("row").agg(F.collect_list(F.struct("template", F.greatest("start", F.lit(0)).alias("start"), (F.col("start") + F.col("k")).alias("stop"))).alias("windows"))
+    cut = open_.join(laid, "row").select("id", "row", F.explode(F.transform("windows", lambda x: F.struct(x["template"].alias("template"), x["start"].alias("start"), F.least(x["stop"], F.size("words")).alias("stop"), F.slice("words", x["start"] + 1, x["stop"] - x["start"]).alias("words")))).alias("w"))
+    cut = cut.select("id", "row", "w.template", "w.start", "w.stop", bigrams(F.col("w.words")).alias("own")).join(F.broadcast(given.select("template", "license", "grams", "size")), "template")
+    good = cut.withColumn("dice", F.size(F.array_intersect("own", "grams")) * 2.0 / (F.size("own") + F.col("size"))).filter(F.col("dice") >= threshold)
+    order = Window.partitionBy("row").orderBy("start", "stop", "template")
+    reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = good.withColumn("new", F.coalesce((F.col("start") >= reached).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order))
+    return islands.groupBy("row", "island").agg(F.first("id").alias("id"), F.min_by("license", F.struct(-F.col("dice"), "license")).alias("license"), F.max("dice").alias("dice")).select("id", "license", "dice")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, given: list[tuple[str, str]] | None = None) -> DataFrame:
+    """One row per document and licence: id, license, score (the best Dice coefficient), units (how many lines, whole texts and windows matched)."""
+    listed = templates() if given is None else given
+    table = template_words(docs.sparkSession, listed).filter("size > 0")
+    if table.isEmpty():
+        return docs.select(F.col(id_col), F.lit("").alias("license"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("units")).limit(0)
+    words = anchors(listed, threshold)
+    if words is not None:
+        lowered = F.lower(F.col(text_col).cast("string"))
+        docs = docs.filter(reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words]))
+    text = normalised(F.col(text_col).cast("string"))
+    texts = written(docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text")), "license-candidates")
+    units = written(_units(texts, table, threshold), "license-lines")
+    found = units.select("id", "license", "dice").unionByName(_windows(texts, units, table, threshold))
+    return found.groupBy(F.col("id").alias(id_col), "license").agg(F.max("dice").alias("score"), F.count(F.lit(1)).alias("units"))
