@@ -4,7 +4,7 @@ A document is the set of its distinct five-word shingles (as 64-bit hashes). Shi
 the groups are the document's point. For two points the sum of coordinate minima bounds the overlap from above, and the
 same holds for the maxima of two boxes of points; pairs of boxes, then of points, that cannot reach the similarity are cut.
 The more groups, the tighter the bound, and finer counts add up to coarser ones: boxes hold GROUPS groups, a document's own
-vector at least half as many as it has shingles. Counts are kept in four bits each; what exceeds them is added up apart, and
+vector at least a quarter as many as it has shingles. Counts are kept in four bits each; what exceeds them is added up apart, and
 added to the bound. Pairs that the bound leaves are verified on the sets themselves, made anew from the two texts.
 
 Points of unlike texts lie too close for one tree over all of them to cut much (see the README), so trees stand on blocks:
@@ -40,6 +40,7 @@ from tracelake.llm.shared import small_batches, spent, written
 from tracelake.llm.textbytes import LOWER, column_bytes, mixed, pieces, shingle_rows, word_hashes
 
 GROUPS, FANOUT, LEAF, TILE, PIVOTS, FIRSTS = 64, 8, 16, 4096, 6, 8
+OPENED = 1 << 12
 SHINGLE = 5
 COMMON_SHARE, COMMON_LEAST, COMMON_MOST, SEEN_LEAST, FLUSH = 0.001, 32, 200_000, 3, 2_000_000
 PART, SEEN_MOST = 1 << 19, 50_000
@@ -110,8 +111,8 @@ def folded_counts(counts: np.ndarray, groups: int) -> np.ndarray:
 
 
 def groups_for(n: int) -> int:
-    """A power of two of at least n / 2, from GROUPS to 32768."""
-    return min(max(1 << max(n // 2 - 1, 1).bit_length(), GROUPS), 1 << 15)
+    """A power of two of at least n / 4, from GROUPS to 16384."""
+    return min(max(1 << max(n // 4 - 1, 1).bit_length(), GROUPS), 1 << 14)
 
 
 PROFILE = "id long, n long, f1 long, f2 long, point binary, over long, prefix array<long>"
@@ -178,21 +179,11 @@ class Tree:
 
 def tree_join(a: Tree, b: Tree, percent: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of points (of one tree with itself if ``own``, i < j) of different labels that the bound leaves."""
-    depth = max(len(a.levels), len(b.levels)) - 1
     level = lambda t, k: t.levels[min(k, len(t.levels) - 1)]
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    for k in range(depth, -1, -1):
-        if k < depth:  # open the boxes that are left
-            for tree, side in ((a, 0), (b, 1)):
-                if k + 1 <= len(tree.levels) - 1:
-                    size = len(tree.levels[k][0])
-                    box = (i, j)[side]
-                    fan = np.minimum(size - box * FANOUT, FANOUT)
-                    away = np.arange(int(fan.sum())) - np.repeat(np.cumsum(fan) - fan, fan)
-                    opened = np.repeat(box * FANOUT, fan) + away
-                    i, j = (opened, np.repeat(j, fan)) if side == 0 else (np.repeat(i, fan), opened)
-            if own:
-                i, j = i[i <= j], j[i <= j]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = [(max(len(a.levels), len(b.levels)) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while waiting:  # pairs of boxes of one level, few at a time, so that what they open to stays small
+        k, i, j = waiting.pop()
         (pa_, oa, la, ha, fa, za), (pb_, ob, lb, hb, fb, zb) = level(a, k), level(b, k)
         ok = (100 * ha[i] >= percent * lb[j]) & (100 * hb[j] >= percent * la[i])
         ok &= ~((fa[i] == za[i]) & (fb[j] == zb[j]) & (fa[i] == fb[j]))
@@ -200,12 +191,28 @@ def tree_join(a: Tree, b: Tree, percent: int, own: bool) -> tuple[np.ndarray, np
             ok &= i != j
         i, j = i[ok], j[ok]
         kept = np.zeros(len(i), bool)
-        for s in range(0, len(i), 1 << 15):
-            x, y = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
+        for s in range(0, len(i), 1 << 14):
+            x, y = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
             overlap = np.minimum(pa_[x], pb_[y]).sum(1, dtype=np.int64) + np.minimum(oa[x], ob[y])
-            kept[s : s + (1 << 15)] = bound_holds(overlap, la[x], lb[y], percent)
+            kept[s : s + (1 << 14)] = bound_holds(overlap, la[x], lb[y], percent)
         i, j = i[kept], j[kept]
-    return i, j
+        if k == 0:
+            found.append((i, j))
+            continue
+        for s in range(0, len(i), OPENED):
+            x, y = i[s : s + OPENED], j[s : s + OPENED]
+            for tree, side in ((a, 0), (b, 1)):
+                if k <= len(tree.levels) - 1:
+                    box = (x, y)[side]
+                    fan = np.minimum(len(tree.levels[k - 1][0]) - box * FANOUT, FANOUT)
+                    away = np.arange(int(fan.sum())) - np.repeat(np.cumsum(fan) - fan, fan)
+                    opened = np.repeat(box * FANOUT, fan) + away
+                    x, y = (opened, np.repeat(y, fan)) if side == 0 else (np.repeat(x, fan), opened)
+            if own:
+                x, y = x[x <= y], y[x <= y]
+            if len(x):
+                waiting.append((k - 1, x, y))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
 
 def _search(percent: int):
@@ -348,7 +355,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reps = written(given.groupBy(*same).agg(F.min("id").alias("rep")), "sets")
     narrow = written(given.select("id", *same).join(reps, same).select("id", "rep", "n").distinct(), "representatives")
     # blocks: the prefix shingles that several documents share; of blocks with the same documents one
-    prefix = given.select(F.explode("prefix").alias("token"), "id").repartition("token")
+    prefix = given.select(F.explode("prefix").alias("token"), "id").filter("token is not null").repartition("token")
     marks = [F.sum(F.xxhash64("id", F.lit(k)).bitwiseAND(0x7FFFFFFF)).alias(f"m{k}") for k in (1, 2)]
     shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), *marks, F.min(F.xxhash64("id", F.lit(3))).alias("m3")).filter("docs > 1")
     shared = shared.groupBy("docs", "m1", "m2", "m3").agg(F.min("token").alias("token")).select("token")
