@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 NODES = "repo_id string, id string, type string, node_type string, path string, line int, symbol string, is_critical boolean, properties string"
 EDGES = "repo_id string, source string, target string, relation string, relation_type string, confidence double, is_exact boolean, param_map map<string,string>, properties string"
+#: Row groups of intermediate tables: small, as several tasks of an executor buffer one each.
+BLOCK_BYTES = 16 << 20
 SOURCE = r"(?i)\.(ts|tsx|js|jsx|py)$"
 
 
@@ -28,8 +30,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: loops over it keep a short lineage and survive lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more: what was made of them is written itself."""
+    for df in tables:
+        store, at = file_system(df.sparkSession, df.written_to)
+        store.delete(at, True)
 
 
 def read_source_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
