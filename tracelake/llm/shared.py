@@ -1,49 +1,17 @@
-"""Where jobs keep intermediate tables, and small helpers that all operators share."""
+"""What all operators share: intermediate tables, batches of bounded size, the given tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tracelake.sources.tables import BLOCK_BYTES, new_path, spent, written
+
+__all__ = ["BATCH_ROWS", "BLOCK_BYTES", "new_path", "small_batches", "spent", "table", "written"]
 
-#: Row groups of intermediate tables: small, as several tasks of an executor buffer one each.
-BLOCK_BYTES = 16 << 20
 #: Rows of an Arrow batch. Rows with texts are wide, and a batch exists several times: in the JVM, on the way, in the worker.
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def spent(*tables: DataFrame) -> None:
-    """Delete tables of ``written`` that nothing reads any more: what was made of them is written itself."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """The same table; from here on its session hands at most BATCH_ROWS rows at a time to Python workers (or fewer, where set so)."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
