@@ -75,6 +75,57 @@ def test_window_network_slopes():
     slopes_agree(net, net.slopes(data, at, y, Keep()), loss, ["look", "ask", "out", "bias", "in_f", "own_f", "bias_f", "in_b", "own_b", "gram", "word"])
 
 
+def test_byte_network_by_plain_loops():
+    """Every window of four bytes by itself, the overlapping chunks one by one."""
+    net, w = quality_cnn.ByteNet(5), quality_cnn.ByteNet(5).w
+    for text in ("", "ab", good(60), good(200).upper()):
+        raw = list(text.encode() or b"\0") + [0, 0, 0]
+        windows = [sum(w["bytes"][k, raw[i + k]].astype(float) for k in range(4)) for i in range(len(raw) - 3)]
+        blocks = [np.max(windows[k : k + quality_cnn.BLOCK], axis=0) for k in range(0, len(windows), quality_cnn.BLOCK)]
+        chunks = [np.maximum(x, blocks[min(k + 1, len(blocks) - 1)]) for k, x in enumerate(blocks)]
+        hidden = [np.maximum(x @ w["hidden"] + w["bias"], 0) for x in chunks]
+        z = np.mean(hidden, axis=0) @ w["mean"] + np.max(hidden, axis=0) @ w["top"] + w["out"][0]
+        assert abs(net.score(*column_bytes(pa.array([text])), net.tables())[0] - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_window_network_by_plain_loops():
+    """Word by word: vectors, gates and attention of each window by themselves."""
+    net = toxicity_gru.WindowNet(5)
+    w, h = net.w, toxicity_gru.HIDDEN
+    squash = lambda x: 1 / (1 + np.exp(-x))
+    for text in ("one", good(20), "(" + good(90) + ") ???!!!!!!!!!!!!!!? ..........end.........."):
+        spelled = []
+        for raw in text.lower().split(" "):
+            bare = raw.strip("".join(chr(k) for k in range(33, 127) if not chr(k).isalnum())) or raw[-1]
+            _, _, word, gram, _ = toxicity_gru.vocabulary(*column_bytes(pa.array([bare])))
+            spelled.append(w["word"][word[0]] + w["gram"][gram].sum(0) / np.sqrt(len(gram)))
+        logits = []
+        for start in range(0, max(1, len(spelled) - toxicity_gru.WINDOW + toxicity_gru.STRIDE), toxicity_gru.STRIDE):
+            own = spelled[start : start + toxicity_gru.WINDOW]
+            ways = []
+            for way, order in (("f", range(len(own))), ("b", range(len(own) - 1, -1, -1))):
+                state, states = np.zeros(h), [None] * len(own)
+                for t in order:
+                    x, r = own[t] @ w[f"in_{way}"] + w[f"bias_{way}"], state @ w[f"own_{way}"]
+                    update, reset = squash(x[:h] + r[:h]), squash(x[h : 2 * h] + r[h : 2 * h])
+                    state = state + update * (np.tanh(x[2 * h :] + reset * r[2 * h :]) - state)
+                    states[t] = state
+                ways.append(np.array(states))
+            both = np.concatenate(ways, 1)
+            weight = np.exp(np.tanh(both @ w["look"]) @ w["ask"])
+            logits.append((weight / weight.sum()) @ both @ w["out"] + w["bias"][0])
+        assert abs(net.score(*column_bytes(pa.array([text])))[0] - squash(max(logits))) < 1e-5
+
+
+def test_samples_are_limited_after_long_texts_are_left_out(spark):
+    from tracelake.llm.training import labelled_sample
+
+    docs = spark.createDataFrame([(k, "x" * (5000 if k % 2 else 10)) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2 if k < 390 else 1, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    texts, y = labelled_sample(docs, labels, "quality", 5, 0, 3, 100)
+    assert {len(x) for x in texts.to_pylist()} == {10} and sorted(y.tolist()) == [0, 0, 0, 1, 1, 1]
+
+
 def test_windows_cover_every_word():
     counts = np.array([0, 1, 31, 32, 33, 56, 57, 1000])
     first, size, heads = toxicity_gru.windows(counts)

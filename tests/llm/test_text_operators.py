@@ -313,6 +313,55 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan(documents(spark, rows), given=[("X", "one")]).count() == 0
 
 
+def brute_windows(text, given, t=0.8):
+    """(licence, score) of the windows by the definition: every place of every template, what matching lines cover left out."""
+    norm = lambda s: re.sub(" +", " ", re.sub(r"[\W_]+", " ", s.lower())).strip().split(" ")
+    grams = lambda w: set(zip(w[:-1], w[1:], strict=True))
+    known = [(k, n, norm(x)) for k, (n, x) in enumerate(given)]
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a and b else 0
+    matches = lambda line: any(dice(grams(norm(line)), grams(w)) >= t for _, _, w in known)
+    if "\n" in text and matches(text):
+        return []
+    words = [w for line in text.split("\n") for w in (["-"] if matches(line) else norm(line)) if w]
+    hits = []
+    for k, name, own in known:
+        for start in range(1 - len(own), len(words)):
+            m = sum(words[start + o : start + o + 2] == own[o : o + 2] for o in range(len(own) - 1) if 0 <= start + o and start + o + 1 < len(words))
+            d = dice(grams(words[max(start, 0) : start + len(own)]), grams(own))
+            if m and m >= (len(own) - 1) * t / 2 and d >= t:
+                hits.append((max(start, 0), min(start + len(own), len(words)), k, -d, name))
+    out, stop = [], -1
+    for a, z, _, d, name in sorted(hits):
+        if a >= stop:
+            out.append((d, name))
+        out[-1] = min(out[-1], (d, name))
+        stop = max(stop, z)
+    return sorted((name, round(-d, 9)) for d, name in out)
+
+
+def test_licenses_over_lines_and_within_them(spark):
+    import textwrap
+
+    given = licenses.templates()
+    body = "\n".join(f"def f{k}(x): return x + {k}" for k in range(30))
+    wrapped = {n: textwrap.fill(x, 78) for n, x in licenses.WHOLE.items()}
+    rows = [
+        (1, body + "\n" + wrapped["MIT"] + "\n" + body), (2, "Copyright (c) 2020 A. Person\n" + wrapped["BSD-3-Clause"]), (3, "We like it. It is released under the MIT License. Enjoy it, all of you."), (4, "Some words first. This work is licensed under the Creative Commons\nAttribution 4.0 International License. And some words behind."),
+        (5, body), (6, "Released under the MIT License.\n" + body + "\n# " + wrapped["Zlib"].replace("\n", "\n# ")), (7, wrapped["ISC"].replace("distribute", "share", 1) + " " + body.replace("\n", " ")), (8, "the license of the world under the license"), (9, wrapped["Apache-2.0"] + "\n" + body + "\n" + wrapped["GPL-3.0"]), (10, None), (10, "MIT"),
+    ]
+    got = {}
+    for r in licenses.scan(documents(spark, rows)).collect():
+        got.setdefault(r["doc_id"], set()).add((r["license"], round(r["score"], 9), r["units"]))
+    for i, text in rows:
+        if text is not None:
+            lines = {(n, s): c for _, n, s, c in brute_licenses([(i, text)], given)}
+            best, units = {}, {}
+            for n, s, c in [(n, s, c) for (n, s), c in lines.items()] + [(n, s, 1) for n, s in brute_windows(text, given)]:
+                best[n], units[n] = max(best.get(n, 0), s), units.get(n, 0) + c
+            assert got.get(i, set()) == {(n, best[n], units[n]) for n in best}, i
+    assert {i: {x[0] for x in v} for i, v in got.items()} == {1: {"MIT"}, 2: {"BSD-3-Clause"}, 3: {"MIT"}, 4: {"CC-BY-4.0"}, 6: {"MIT", "Zlib"}, 7: {"ISC"}, 9: {"Apache-2.0", "GPL-3.0"}}
+
+
 # --- chat ---
 
 TURNS = "conv_id long, turn long, role string, text string, id string, n_turns string"

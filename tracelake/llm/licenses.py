@@ -126,7 +126,8 @@ def template_words(spark: SparkSession, given: list[tuple[str, str]]) -> DataFra
 def _units(texts: DataFrame, given: DataFrame, threshold: float) -> DataFrame:
     """(id, row, place, license, dice) of the lines of (id, row, text), and of whole texts as their last line, that reach the threshold."""
     low, high = given.agg(F.min("size"), F.max("size")).first()
-    least, most = threshold / (2 - threshold), (2 - threshold) / threshold
+    # a little wider than exact, as rounding must not cut what just reaches the threshold
+    least, most = threshold / (2 - threshold) * (1 - 1e-9), (2 - threshold) / threshold * (1 + 1e-9)
     whole = F.when(F.contains("text", F.lit("\n")), F.array(F.translate("text", "\n", " "))).otherwise(F.array().cast("array<string>"))
     rows = texts.select("id", "row", F.posexplode(F.concat(F.split("text", "\n"), whole)).alias("place", "unit"))
     # n words have at most n - 1 bigrams, and at least one less than there are distinct words

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from tracelake.llm.licenses import THRESHOLD, templates
+from tracelake.llm.licenses import BARRIER, THRESHOLD, templates
 
 EXACT_DEDUP = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -80,17 +80,38 @@ SELECT doc_id, n::BIGINT AS n_shingles, component_id FROM sizes JOIN (SELECT a,
 
 _TEMPLATES = ", ".join("({}, '{}', '{}')".format(k, *(x.replace("'", "''") for x in row)) for k, row in enumerate(templates()))
 _GRAMS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+_PAIRS = "unnest(list_transform(range(1, len({0})), lambda i: {{'i': i - 1, 'b': {0}[i] || ' ' || {0}[i + 1]}}))"
+_CLEAN = "regexp_replace(lower(text), '[^\\p{L}\\p{N}\\n]+', ' ', 'g')"
+_BEST = "arg_min(license, (-d, license)) AS license, max(d) AS d"
+# more bigrams than any template can match
+_MOST = 2 * max(len(text.split()) for _, text in templates())
 LICENSES = f"""
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_CLEAN} AS t FROM documents WHERE text IS NOT NULL),
+given AS (SELECT template, license, string_split(trim(regexp_replace({_CLEAN}, '\\s+', ' ', 'g')), ' ') AS w FROM (VALUES {_TEMPLATES}) AS v(template, license, text)),
+wanted AS (SELECT template, license, len(w) AS k, {_GRAMS.format("w")} AS g FROM given),
+-- lines, and the whole text as one more
 units AS (
   SELECT r, doc_id, u.k AS k, string_split(trim(regexp_replace(u.x, ' +', ' ', 'g')), ' ') AS w
   FROM (SELECT r, doc_id, unnest(list_transform(list_concat(string_split(t, chr(10)), CASE WHEN contains(t, chr(10)) THEN [replace(t, chr(10), ' ')] ELSE [] END), lambda x, i: {{'k': i, 'x': x}})) AS u FROM docs)),
 grams AS (SELECT r, doc_id, k, {_GRAMS.format("w")} AS g FROM units WHERE len(w) >= 2),
-given AS (SELECT template, license, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')), ' ') AS w FROM (VALUES {_TEMPLATES}) AS v(template, license, text)),
-wanted AS (SELECT template, license, len(g) AS size, unnest(g) AS b FROM (SELECT template, license, {_GRAMS.format("w")} AS g FROM given)),
 dice AS (
-  SELECT r, doc_id, k, license, template, count(*) * 2::DOUBLE / (max(n) + max(size)) AS d
-  FROM (SELECT r, doc_id, k, len(g) AS n, unnest(g) AS b FROM grams WHERE len(g) <= 150) JOIN wanted USING (b) GROUP BY ALL),
-best AS (SELECT r, doc_id, k, arg_min(license, (-d, license)) AS license, max(d) AS d FROM dice WHERE d >= {THRESHOLD}::DOUBLE GROUP BY r, doc_id, k)
-SELECT doc_id, license, max(d) AS score, count(*) AS units FROM best GROUP BY ALL
+  SELECT r, doc_id, x.k, license, template, count(*) * 2::DOUBLE / (max(n) + max(size)) AS d
+  FROM (SELECT r, doc_id, k, len(g) AS n, unnest(g) AS b FROM grams WHERE len(g) <= {_MOST}) x JOIN (SELECT template, license, len(g) AS size, unnest(g) AS b FROM wanted) USING (b) GROUP BY ALL),
+best AS (SELECT r, doc_id, k, {_BEST} FROM dice WHERE d >= {THRESHOLD}::DOUBLE GROUP BY r, doc_id, k),
+-- windows in what no matching line covers
+taken AS (SELECT r, list(k) AS ks FROM best GROUP BY r),
+open_docs AS (
+  SELECT r, doc_id, string_split(trim(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x, i: CASE WHEN list_contains(coalesce(ks, []), i) THEN '{BARRIER}' ELSE x END), ' '), ' +', ' ', 'g')), ' ') AS w
+  FROM docs LEFT JOIN taken USING (r) WHERE NOT list_contains(coalesce(ks, []), len(string_split(t, chr(10))) + 1)),
+laid AS (
+  SELECT r, template, p.i - o.i AS start, k FROM (SELECT r, {_PAIRS.format("w")} AS p FROM open_docs) JOIN (SELECT template, len(w) AS k, {_PAIRS.format("w")} AS o FROM given) ON p.b = o.b
+  GROUP BY ALL HAVING count(*) >= (k - 1) * {THRESHOLD / 2}::DOUBLE),
+windows AS (SELECT r, doc_id, template, greatest(start, 0) AS a, least(start + k, len(w)) AS z, w[greatest(start, 0) + 1:start + k] AS own FROM laid JOIN open_docs USING (r)),
+good AS (
+  SELECT r, doc_id, template, license, a, z, len(list_intersect({_GRAMS.format("own")}, g)) * 2::DOUBLE / (len({_GRAMS.format("own")}) + len(g)) AS d
+  FROM windows JOIN wanted USING (template) WHERE len(own) >= 2),
+marked AS (SELECT *, CASE WHEN a < max(z) OVER (PARTITION BY r ORDER BY a, z, template ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM good WHERE d >= {THRESHOLD}::DOUBLE),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY a, z, template) AS island FROM marked),
+everything AS (SELECT doc_id, license, d FROM best UNION ALL SELECT doc_id, license, d FROM (SELECT r, doc_id, island, {_BEST} FROM islands GROUP BY r, doc_id, island))
+SELECT doc_id, license, max(d) AS score, count(*) AS units FROM everything GROUP BY ALL
 """
