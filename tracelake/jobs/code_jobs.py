@@ -51,6 +51,14 @@ def _server(s: SparkSession, d: str) -> DataFrame:
     return one.unionByName(two).unionByName(app)
 
 
+def _tree(s: SparkSession, d: str) -> DataFrame:
+    """The client files as a tree in the shared folder, with a note beside each that is no source, read back."""
+    root = tables.new_path(s, "tree")
+    files = _client(s, d)
+    tables.write_source_files(files.unionByName(files.withColumn("path", F.replace("path", F.lit(".tsx"), F.lit(".md")))), root if "://" in root else f"file://{root.removeprefix('file:')}")
+    return tables.read_source_files(s, root, "tree").select("repo_id", "path", "size", "sha256")
+
+
 def _facts(s: SparkSession, d: str) -> DataFrame:
     return extract.python_facts(_server(s, d))
 
@@ -117,7 +125,11 @@ def _maintained(s: SparkSession, d: str) -> DataFrame:
 _REPO = "(p_partkey % 3)::VARCHAR AS repo_id"
 _WAY = "p_partkey // 3 % 3"
 _MORE = f"CASE WHEN {_WAY} = 2 THEN 3 ELSE 0 END"  # lines of the long router
+_CLIENT = """
+  '// fetch(''/api/skip'')' || chr(10) || 'const a = await fetch(`/api/parts/${ partId }/' || p_size || '`, { method: ''' || CASE WHEN p_size % 2 = 0 THEN 'put' ELSE 'POST' END || ''' });' || chr(10)
+  || 'api.get("/api/parts/' || p_partkey || '");' || chr(10) || 'fetch(url);' || chr(10) || 'client(''plain'');' || chr(10)"""
 ENTRIES = {
+    "s1_source_tree": (_tree, f"SELECT 'tree' AS repo_id, 'web/p' || p_partkey || '.tsx' AS path, strlen({_CLIENT}) AS size, sha256({_CLIENT}) AS sha256 FROM part"),
     "e1_e4_calls": (lambda s, d: extract.extract_calls(_client(s, d)).select("repo_id", "path", "line", "norm_path", "method", F.array_join("path_params", ",").alias("params"), "is_template"), f"""
       SELECT {_REPO}, 'web/p' || p_partkey || '.tsx' AS path, 2 AS line, '/api/parts/{{partId}}/' || p_size AS norm_path, CASE WHEN p_size % 2 = 0 THEN 'PUT' ELSE 'POST' END AS method, 'partId' AS params, true AS is_template FROM part
       UNION ALL SELECT {_REPO}, 'web/p' || p_partkey || '.tsx', 3, '/api/parts/' || p_partkey, 'GET', '', false FROM part"""),

@@ -184,7 +184,7 @@ ENTRIES = {
     "a8_route_matrix": (lambda s, d: reports.route_matrix(routes_of(s, d), models_of(s, d)), _with(_GRAPH, """
       SELECT r.repo_id, 'http' AS kind, norm_path, methods, r.path, handler, coalesce((SELECT string_agg(class_name || ':' || table_name || '(' || fields || ')', '; ' ORDER BY class_name) FROM last_class k WHERE k.repo_id = r.repo_id AND k.class_name = r.model_refs), '') AS models FROM routes r
       UNION ALL SELECT repo_id, 'model', class_name, '', path, table_name, fields FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path, class_name ORDER BY ordinal DESC) AS nth FROM classes) WHERE nth = 1""")),
-    "a9_callers_per_route": (lambda s, d: reports.callers_per_route(edges_of(s, d)).select("repo_id", "route_id", F.size("callers").alias("n"), F.array_join(F.transform("callers", lambda x: x["source"]), ";").alias("callers")), _with(_GRAPH, "SELECT repo_id, target AS route_id, count(*)::INT AS n, string_agg(source, ';' ORDER BY source) AS callers FROM edges WHERE relation_type = 'FETCHES' GROUP BY ALL")),
+    "a9_callers_per_route": (lambda s, d: reports.callers_per_route(edges_of(s, d)), _with(_GRAPH, "SELECT repo_id, target AS route_id, source, confidence, row_number() OVER (PARTITION BY repo_id, target ORDER BY source)::INT AS nth FROM edges WHERE relation_type = 'FETCHES'")),
     "j16_route_contract": (_contract, _with(_GRAPH + """,
       said AS (SELECT DISTINCT 'r' || (c_custkey % 4)::VARCHAR AS repo_id, 'api/' || lower(c_mktsegment) || '.py' AS path, (400 + (c_custkey % 4 + c_nationkey % 3) % 5)::VARCHAR AS code FROM customer),
       codes AS (SELECT repo_id, path, string_agg(code, ',' ORDER BY code) AS codes FROM said WHERE code IN ('201', '400', '401', '403', '404') GROUP BY ALL),

@@ -68,17 +68,19 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(repo_id, seed, node, depth, path): every node that a seed reaches over edges in either direction, once, with the
-    smallest of its shortest paths. Seeds are (repo_id, node). One join per hop; each hop is written, so lineage stays short.
+    smallest of its shortest paths. Seeds are (repo_id, node). One join per hop; each hop is written, so lineage stays short. As edges
+    go both ways, a hop leads to the next depth or to the two last ones, so that only these are left out of it.
     """
     near = written(_both_ways(edges), "near")
     front = written(seeds.select("repo_id", F.col("node").alias("seed"), "node", F.lit(0).alias("depth"), F.array("node").alias("path")).distinct(), "hop")
-    seen, depth = front, 0
+    seen, last, depth = front, None, 0
     while (max_depth is None or depth < max_depth) and not front.isEmpty():
         depth += 1
         reached = front.select("repo_id", "seed", "node", "path").join(near, ["repo_id", "node"])
         reached = reached.groupBy("repo_id", "seed", F.col("next").alias("node")).agg(F.min("path").alias("before"))
-        reached = reached.join(seen.select("repo_id", "seed", "node"), ["repo_id", "seed", "node"], "left_anti")
-        front = written(reached.select("repo_id", "seed", "node", F.lit(depth).alias("depth"), F.array_append("before", F.col("node")).alias("path")), "hop")
+        known = front if last is None else front.unionByName(last)
+        reached = reached.join(known.select("repo_id", "seed", "node"), ["repo_id", "seed", "node"], "left_anti")
+        last, front = front, written(reached.select("repo_id", "seed", "node", F.lit(depth).alias("depth"), F.array_append("before", F.col("node")).alias("path")), "hop")
         seen = seen.unionByName(front)
     return seen
 

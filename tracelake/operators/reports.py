@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.labels import CALLS, MODELS, ROUTES, tokens_of_length
+from tracelake.operators.checks import numbered
 from tracelake.operators.graph import last_definition
 
 # Status codes looked for in a handler's file, beside 200.
@@ -50,9 +51,9 @@ def route_matrix(routes: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def callers_per_route(edges: DataFrame) -> DataFrame:
-    """Per route its callers with their confidence, in the order of their ids."""
-    fetches = edges.filter(F.col("relation_type") == "FETCHES")
-    return fetches.groupBy("repo_id", F.col("target").alias("route_id")).agg(F.sort_array(F.collect_list(F.struct("source", "confidence"))).alias("callers"))
+    """Per route its callers with their confidence, a row each, numbered in the order of their ids."""
+    fetches = edges.filter(F.col("relation_type") == "FETCHES").select("repo_id", F.col("target").alias("route_id"), "source", "confidence")
+    return numbered(fetches, ["repo_id", "route_id"], [F.col("source")], "nth")
 
 
 def status_codes(routes: DataFrame, files: DataFrame) -> DataFrame:

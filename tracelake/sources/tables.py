@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +50,28 @@ def spent(*tables: DataFrame) -> None:
 def read_source_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     """source_files of a tree: relative path, content, mtime, size, sha256."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("path").rlike(SOURCE))
-    base = F.lit(root.removeprefix("file:").rstrip("/") + "/")
-    relative = F.element_at(F.split(F.col("path"), r"^file:/*"), -1)
-    relative = F.substring(F.concat(F.lit("/"), relative), F.length(base) + 1, 1 << 20)
+    base = re.sub(r"^\w+:/*|^/+", "", root).rstrip("/") + "/"  # Spark may write scheme and slashes in another way
+    relative = F.substring("path", F.instr("path", base) + len(base), 1 << 20)
     return files.select(
         F.lit(repo_id).alias("repo_id"), relative.alias("path"), F.decode("content", "utf-8").alias("content"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")
     )
 
 
+def write_source_files(files: DataFrame, root: str) -> None:
+    """The files (path, content) as files below ``root``, which Arrow has to know how to reach; each task writes its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                store.create_dir(f"{base}/{path.rpartition('/')[0]}".rstrip("/"), recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as out:
+                    out.write((content or "").encode())
+            yield batch.select(["path"])
+
+    files.select("path", "content").mapInArrow(run, "path string").agg(F.count(F.lit(1))).collect()
+
+
 def graph_tables(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges with the stored columns: derived type, symbol, relation, and JSON properties."""
     tail = F.element_at(F.split("id", "::"), -1)
