@@ -177,10 +177,9 @@ class Tree:
             self.levels.append((*(np.maximum.reduceat(x, cuts) for x in (top, over)), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.minimum.reduceat(first, cuts), np.maximum.reduceat(last, cuts)))
 
 
-def tree_join(a: Tree, b: Tree, percent: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points (of one tree with itself if ``own``, i < j) of different labels that the bound leaves."""
+def tree_pairs(a: Tree, b: Tree, percent: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of points (of one tree with itself if ``own``, i < j) of different labels that the bound leaves, some at a time."""
     level = lambda t, k: t.levels[min(k, len(t.levels) - 1)]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     waiting = [(max(len(a.levels), len(b.levels)) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while waiting:  # pairs of boxes of one level, few at a time, so that what they open to stays small
         k, i, j = waiting.pop()
@@ -197,7 +196,8 @@ def tree_join(a: Tree, b: Tree, percent: int, own: bool) -> tuple[np.ndarray, np
             kept[s : s + (1 << 14)] = bound_holds(overlap, la[x], lb[y], percent)
         i, j = i[kept], j[kept]
         if k == 0:
-            found.append((i, j))
+            if len(i):
+                yield i, j
             continue
         for s in range(0, len(i), OPENED):
             x, y = i[s : s + OPENED], j[s : s + OPENED]
@@ -212,7 +212,33 @@ def tree_join(a: Tree, b: Tree, percent: int, own: bool) -> tuple[np.ndarray, np
                 x, y = x[x <= y], y[x <= y]
             if len(x):
                 waiting.append((k - 1, x, y))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def tree_join(a: Tree, b: Tree, percent: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``tree_pairs``."""
+    found = [(np.zeros(0, np.int64),) * 2, *tree_pairs(a, b, percent, own)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+class FineCounts:
+    """Documents' own count vectors; a pair is bounded at the length of the shorter one, the other one folded to it."""
+
+    def __init__(self, points: list[bytes], over: np.ndarray, n: np.ndarray):
+        self.counts, self.over, self.n = [counts_of(x) for x in points], over, n
+        self.length = np.array([len(x) for x in self.counts])
+
+    def leave(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the pairs the bound leaves."""
+        length, ok = np.minimum(self.length[i], self.length[j]), np.zeros(len(i), bool)
+        for groups in np.unique(length).tolist():
+            own = np.flatnonzero(length == groups)
+            rows = np.unique(np.concatenate([i[own], j[own]]))
+            vectors = np.stack([folded_counts(self.counts[r], groups) for r in rows]).astype(np.uint16)
+            for s in range(0, len(own), step := max(1, (1 << 22) // groups)):
+                k = own[s : s + step]
+                overlap = np.minimum(vectors[np.searchsorted(rows, i[k])], vectors[np.searchsorted(rows, j[k])]).sum(1, dtype=np.int64) + np.minimum(self.over[i[k]], self.over[j[k]])
+                ok[k] = bound_holds(overlap, self.n[i[k]], self.n[j[k]], percent)
+        return ok
 
 
 def _search(percent: int):
@@ -220,49 +246,47 @@ def _search(percent: int):
         """Over rows sorted by block (token, t, u): the pairs that each block's tree (or two trees) leaves."""
         held: list[pa.RecordBatch] = []
 
-        def searched(rows: pa.Table) -> pa.RecordBatch:
-            ids, n, label, over, side = (rows[c].to_numpy() for c in ("id", "n", "component", "over", "side"))
-            fine = [counts_of(x) for x in rows["point"].to_pylist()]
-            points = np.array([folded_counts(x, GROUPS) for x in fine], np.int32)
-            keys = np.stack([rows[c].to_numpy() for c in ("token", "t", "u")], 1)
-            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(ids)]])
-            a, b = [], []
+        def candidates(points, n, label, over, side, keys) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
             sizes = np.diff(cuts)
             # trees of one leaf: all of them at once, each row with the rows next to it
             leaf = np.repeat((sizes <= LEAF) & (keys[cuts[:-1], 1] == keys[cuts[:-1], 2]), sizes)
             block = np.repeat(np.arange(len(sizes)), sizes)
-            for away in range(1, LEAF):
-                i = np.flatnonzero(leaf[:-away] & (block[:-away] == block[away:]) & (label[:-away] != label[away:])) if away < len(ids) else np.zeros(0, np.int64)
+            for away in range(1, min(LEAF, len(keys))):
+                i = np.flatnonzero(leaf[:-away] & (block[:-away] == block[away:]) & (label[:-away] != label[away:]))
                 j = i + away
                 near = (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
                 i, j = i[near], j[near]
                 ok = bound_holds(np.minimum(points[i], points[j]).sum(1, dtype=np.int64) + np.minimum(over[i], over[j]), n[i], n[j], percent)
-                a.append(i[ok])
-                b.append(j[ok])
+                yield i[ok], j[ok]
             for low, high in ((x, y) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if not leaf[x]):
                 order = low + np.lexsort([n[low:high], label[low:high]])
                 if keys[low, 1] == keys[low, 2]:
                     tree = Tree(points[order], over[order], n[order], label[order])
-                    i, j = tree_join(tree, tree, percent, True)
-                    a.append(order[i])
-                    b.append(order[j])
+                    yield from ((order[i], order[j]) for i, j in tree_pairs(tree, tree, percent, True))
                 else:
                     x, y = (order[side[order] == keys[low, k]] for k in (1, 2))
                     if len(x) and len(y):
-                        i, j = tree_join(*(Tree(points[z], over[z], n[z], label[z]) for z in (x, y)), percent, False)
-                        a.append(x[i])
-                        b.append(y[j])
-            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-            firsts = [frozenset(x) for x in rows["firsts"].to_pylist()]
-            token, good = keys[:, 0].tolist(), []
-            for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                here = token[x]
-                if any(t < here for t in firsts[x] & firsts[y]):  # an earlier block has the pair too
-                    continue
-                if bound_holds(overlap_bound(fine[x], fine[y], int(min(over[x], over[y]))), n[x], n[y], percent):
-                    good.append(k)
-            pairs = np.unique(np.stack([np.minimum(ids[i[good]], ids[j[good]]), np.maximum(ids[i[good]], ids[j[good]])], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                        yield from ((x[i], y[j]) for i, j in tree_pairs(*(Tree(points[z], over[z], n[z], label[z]) for z in (x, y)), percent, False))
+
+        def searched(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            ids, n, label, over, side = (rows[c].to_numpy() for c in ("id", "n", "component", "over", "side"))
+            fine = FineCounts(rows["point"].to_pylist(), over, n)
+            points = np.array([folded_counts(x, GROUPS) for x in fine.counts], np.int32)
+            keys = np.stack([rows[c].to_numpy() for c in ("token", "t", "u")], 1)
+            firsts = np.full((len(ids), FIRSTS), np.iinfo(np.int64).max)
+            for k, x in enumerate(rows["firsts"].to_pylist()):
+                firsts[k, : len(x)] = x
+            for i, j in candidates(points, n, label, over, side, keys):
+                good = fine.leave(i, j, percent)
+                i, j = i[good], j[good]
+                new = np.ones(len(i), bool)
+                for s in range(0, len(i), 1 << 13):  # an earlier block has the pair too: a token of both that is less than this block's
+                    x, y = firsts[i[s : s + (1 << 13)]], firsts[j[s : s + (1 << 13)]]
+                    new[s : s + (1 << 13)] = ~((x[:, :, None] == y[:, None, :]) & (x < keys[i[s : s + (1 << 13)], :1])[:, :, None]).any((1, 2))
+                pairs = np.unique(np.stack([np.minimum(ids[i[new]], ids[j[new]]), np.maximum(ids[i[new]], ids[j[new]])], 1), axis=0)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -270,16 +294,16 @@ def _search(percent: int):
             keys = np.stack([batch.column(c).to_numpy() for c in ("token", "t", "u")], 1)
             changes = np.flatnonzero((keys[1:] != keys[:-1]).any(1))
             if held and [held[-1].column(c)[-1].as_py() for c in ("token", "t", "u")] != keys[0].tolist():
-                yield searched(pa.Table.from_batches(held))
+                yield from searched(pa.Table.from_batches(held))
                 held = []
             if len(changes):
                 cut = int(changes[-1]) + 1
-                yield searched(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield from searched(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = [batch.slice(cut)]
             else:
                 held.append(batch)
         if held:
-            yield searched(pa.Table.from_batches(held))
+            yield from searched(pa.Table.from_batches(held))
 
     return run
 
