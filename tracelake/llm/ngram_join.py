@@ -4,7 +4,7 @@ A document is the set of its distinct five-word shingles (as 64-bit hashes). Shi
 the groups are the document's point. For two points the sum of coordinate minima bounds the overlap from above, and the
 same holds for the maxima of two boxes of points; pairs of boxes, then of points, that cannot reach the similarity are cut.
 The more groups, the tighter the bound, and finer counts add up to coarser ones: boxes hold GROUPS groups, a document's own
-vector at least a quarter as many as it has shingles. Counts are kept in four bits each; what exceeds them is added up apart, and
+vector at least as many as it has shingles. Counts are kept in two bits each; what exceeds them is added up apart, and
 added to the bound. Pairs that the bound leaves are verified on the sets themselves, made anew from the two texts.
 
 Points of unlike texts lie too close for one tree over all of them to cut much (see the README), so trees stand on blocks:
@@ -94,15 +94,15 @@ def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def counted(shingles: np.ndarray, groups: int) -> tuple[np.ndarray, int]:
-    """Counts of the groups, four bits each (those of the second half in the upper bits), and the sum of what exceeds them."""
+    """Counts of the groups, two bits each (those of the later quarters in the upper bits), and the sum of what exceeds them."""
     counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    low = np.minimum(counts, 15).astype(np.uint8)
-    return low[: groups // 2] | (low[groups // 2 :] << 4), int(np.maximum(counts - 15, 0).sum())
+    low = np.minimum(counts, 3).astype(np.uint8).reshape(4, -1)
+    return low[0] | (low[1] << 2) | (low[2] << 4) | (low[3] << 6), int(np.maximum(counts - 3, 0).sum())
 
 
 def counts_of(point: bytes) -> np.ndarray:
     x = np.frombuffer(point, np.uint8)
-    return np.concatenate([x & 15, x >> 4])
+    return np.concatenate([x & 3, (x >> 2) & 3, (x >> 4) & 3, x >> 6])
 
 
 def folded_counts(counts: np.ndarray, groups: int) -> np.ndarray:
@@ -111,8 +111,8 @@ def folded_counts(counts: np.ndarray, groups: int) -> np.ndarray:
 
 
 def groups_for(n: int) -> int:
-    """A power of two of at least n / 4, from GROUPS to 16384."""
-    return min(max(1 << max(n // 4 - 1, 1).bit_length(), GROUPS), 1 << 14)
+    """A power of two of at least n, from GROUPS to 131072."""
+    return min(max(1 << max(n - 1, 1).bit_length(), GROUPS), 1 << 17)
 
 
 PROFILE = "id long, n long, f1 long, f2 long, point binary, over long, prefix array<long>"

@@ -8,15 +8,20 @@ from tracelake.sources.tables import BLOCK_BYTES, new_path, spent, written
 
 __all__ = ["BATCH_ROWS", "BLOCK_BYTES", "new_path", "small_batches", "spent", "table", "written"]
 
-#: Rows of an Arrow batch. Rows with texts are wide, and a batch exists several times: in the JVM, on the way, in the worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch. Rows with texts are wide, and a batch exists several times: in the JVM, on the way, in the worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """The same table; from here on its session hands at most BATCH_ROWS rows at a time to Python workers (or fewer, where set so)."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    """The same table; from here on its session hands at most BATCH_ROWS rows, or about BATCH_BYTES, at a time to Python workers (or
+    less, where set so).
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    most = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")
+    if not most.isdigit() or int(most) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
