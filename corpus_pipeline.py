@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's documents. All but the last return the columns of ``documents``.
+
+Defined results, in every stage: each row is a document of its own, also where ids are null or repeated; null texts count
+as empty, and stay unless the classifier rejects them; equal rows are near duplicates of each other, of which one stays
+(texts without words are linked with nothing, so that each of them stays); very long texts are read whole; an empty table
+gives an empty table; further columns pass through, whatever their names, up to the last stage, which has its own.
 """
 
 from __future__ import annotations
