@@ -223,3 +223,62 @@ def test_pipeline_rows_without_or_with_shared_ids(spark):
     assert {times[x[4]] for x in many if x[3] == "t"} == {3}
     taken = [times[x[4]] for x in many if x[3] == "s"]
     assert set(taken) == {0, 1} and sum(taken) == 200
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """What each stage keeps of what its predecessor kept, by plain Python; rows read from files, with further columns of clashing names."""
+    pipeline, tokenizers = pytest.importorskip("corpus_pipeline"), pytest.importorskip("tokenizers")
+    from tests.llm.test_text_operators import brute_classes, brute_tiling
+    from tracelake.llm import decontaminate, mixing, quality_cnn
+
+    extra = DOCS + ", row string, row_key long, file string, copies int, bucket string, i long"
+    rows, labels = corpus(160)
+    item = "seven lean cows walked slowly over the wide green hill and back again before noon"
+    rows += [(None, rows[0][1], "en", "u", 0), (None, rows[0][1] + " x", "en", "u", 0), (4, good(), "en", "t", 0), (4, rows[6][1], "en", "t", 0), (300, good() + " " + item, "en", "t", 0), (301, item[:40] + good(), "en", "t", 0), (None, None, None, None, None), (302, "", "en", "t", 0)]
+    for name, df in {
+        "documents": spark.createDataFrame([(*r, "a", k, "b", 9, "c", k) for k, r in enumerate(rows)], extra).repartition(5),
+        "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, item)], "item_id long, text string"),
+    }.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    given = {}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    given[0] = docs.collect()
+    for k, (_, stage) in enumerate(pipeline.STAGES[:-1], 1):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"out{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"out{k}"))
+        assert docs.columns == [x.split()[0] for x in extra.split(", ")]
+        given[k] = docs.collect()
+    of = lambda k: sorted(r["i"] for r in given[k])
+
+    net = quality_cnn.fit(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet")))
+    scores = {r["i"]: net.score(*column_bytes(pa.array([r["text"] or ""])), net.tables())[0] for r in given[0]}
+    assert of(1) == sorted(i for i, s in scores.items() if s >= quality_cnn.THRESHOLD)
+
+    classes, groups = {i: c for i, _, c in brute_classes([(r["i"], r["text"]) for r in given[1]])}, {}
+    for r in given[1]:
+        groups.setdefault(classes[r["i"]], []).append(r)
+    order = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
+    assert sorted(str((r["doc_id"], r["text"])) for r in given[2]) == sorted(str((x["doc_id"], x["text"])) for own in groups.values() for x in [min(own, key=order)])
+
+    words = item.split()
+    held = lambda text: brute_tiling(words, (text or "").lower().split())[1] >= decontaminate.THRESHOLD * len(words)
+    assert of(3) == sorted(r["i"] for r in given[2] if not held(r["text"]))
+
+    size = {r["i"]: len((r["text"] or "").split()) for r in given[3]}
+    mixed = mixing.mix(spark.createDataFrame([(r["i"], r["text"], r["source"]) for r in given[3]], "doc_id long, text string, source string")).collect()
+    taken, times = {}, {}
+    for i in of(4):
+        times[i] = times.get(i, 0) + 1
+    assert set(times) <= set(of(3)) and max(times.values()) <= 3
+    for r in given[3]:
+        taken[r["source"]] = taken.get(r["source"], 0) + size[r["i"]] * times.get(r["i"], 0)
+    for r in mixed:
+        assert abs(taken[r["source"]] - r["target"]) <= max(0.03 * r["target"], 30)
+
+    tokenizer = tokenizers.Tokenizer.from_file(pytest.importorskip("public_tokenizers").path(pipeline.TOKENIZER))
+    want, start = [], 0
+    for i, ids in sorted(((r["doc_id"], [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2]) for r in given[4]), key=lambda x: (x[0] is not None, x[0] or 0, np.array(x[1], "<u2").tobytes())):
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, pipeline.tokens(spark, docs, str(tmp_path)).collect()), key=lambda x: x[1]) == want
