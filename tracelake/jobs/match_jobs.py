@@ -36,6 +36,21 @@ def edges_of(spark: SparkSession, sf: str) -> DataFrame:
     return graph.build_edges(matches_of(spark, sf), graph.link_routes_to_models(routes, models), graph.link_models(models))
 
 
+#: Routes that grow with the tables: one per part with a parameter, one per brand with two; and a call per part and line number.
+PART_ROUTES = """
+SELECT 'p' || CAST(p_partkey % 4 AS STRING) AS repo_id, 'part_' || CAST(p_partkey AS STRING) AS route_id, CAST(p_partkey AS INT) AS ordinal, 'GET,PUT' AS methods,
+       '/api/' || lower(p_brand) || '/parts/' || CAST(p_partkey AS STRING) || '/{{view}}' AS norm_path FROM {part}
+UNION ALL SELECT DISTINCT 'p' || CAST(p_partkey % 4 AS STRING), 'any_' || lower(p_brand), 0, 'GET', '/api/' || lower(p_brand) || '/parts/{{id}}/{{view}}' FROM {part}"""
+PART_CALLS = """
+SELECT DISTINCT 'p' || CAST(p_partkey % 4 AS STRING) AS repo_id, CAST(p_partkey AS STRING) || '::' || CAST(l_linenumber AS STRING) AS call_id, CASE WHEN l_linenumber % 2 = 0 THEN 'get' ELSE 'PUT' END AS method,
+       '/api/' || lower(p_brand) || '/parts/' || CAST(p_partkey AS STRING) || '/l' || CAST(l_linenumber AS STRING) || '?q=1' AS norm_path, false AS is_template FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"""
+
+
+def _of_parts(spark: SparkSession, sf: str) -> DataFrame:
+    matches = matching.match_routes(table(spark, sf, PART_CALLS), table(spark, sf, PART_ROUTES, split="methods"))
+    return matching.rank_matches(matches).select("repo_id", "call_id", "route_id", "confidence", _params("param_map").alias("params"), "rank")
+
+
 def _params(c: str) -> F.Column:
     return F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ";")
 
@@ -155,6 +170,12 @@ def _scalars(spark: SparkSession, sf: str) -> DataFrame:
 
 ENTRIES = {
     "j1_match_routes": (lambda s, d: matches_of(s, d).select("repo_id", "call_id", "route_id", "method", "confidence", "is_exact", _params("param_map").alias("params")), _with(_PAIRS, "SELECT repo_id, call_id, route_id, method, confidence, is_exact, params FROM matches")),
+    "j1_w1_routes_of_parts": (_of_parts, f"""
+      WITH calls AS (SELECT DISTINCT l_partkey AS k, l_linenumber AS n, lower(p_brand) AS brand FROM lineitem JOIN part ON l_partkey = p_partkey),
+      pairs AS (
+        SELECT k, n, 'part_' || k AS route_id, 0.88::DOUBLE AS confidence, 'l' || n || '=view' AS params, 1 AS rank FROM calls
+        UNION ALL SELECT k, n, 'any_' || brand, 0.76::DOUBLE, k || '=id;l' || n || '=view', 2 FROM calls WHERE n % 2 = 0)
+      SELECT 'p' || (k % 4) AS repo_id, k || '::' || n AS call_id, route_id, confidence, params, rank FROM pairs"""),
     "j2_param_map": (lambda s, d: matches_of(s, d).select("repo_id", "call_id", "route_id", F.explode("param_map").alias("call_param", "route_param")), _with(_PAIRS, "SELECT repo_id, call_id, route_id, split_part(p, '=', 1) AS call_param, split_part(p, '=', 2) AS route_param FROM (SELECT *, unnest(string_split(params, ';')) AS p FROM matches) WHERE p <> ''")),
     "f6_filter_confidence": (lambda s, d: matching.filter_confidence(matches_of(s, d), 0.85).select("repo_id", "call_id", "route_id", "confidence"), _with(_PAIRS, "SELECT repo_id, call_id, route_id, confidence FROM matches WHERE confidence >= 0.85")),
     "w1_rank_matches": (lambda s, d: matching.rank_matches(matches_of(s, d)).select("repo_id", "call_id", "route_id", "confidence", "rank"), _with(_PAIRS, "SELECT repo_id, call_id, route_id, confidence, rank::INT AS rank FROM ranked")),
