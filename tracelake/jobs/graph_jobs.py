@@ -37,7 +37,7 @@ def _geo_paths(s: SparkSession, d: str) -> DataFrame:
 
 
 def _modified(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "SELECT repo_id, path FROM (" + TRADE_NODES + ") AS n WHERE node_type = 'frontend_component' AND line % 97 = 1 UNION SELECT 'n1', 'docs/new.md' FROM {region}")
+    return table(s, d, "SELECT repo_id, path FROM (" + TRADE_NODES + ") AS n WHERE node_type = 'frontend_component' UNION SELECT 'n1', 'docs/new.md' FROM {region}")
 
 
 def _chains(s: SparkSession, d: str) -> DataFrame:
@@ -75,7 +75,7 @@ ENTRIES = {
     "g5_blast_summary": (lambda s, d: graph.blast_summary(_blast(s, d), _trade(s, d)[0]).withColumn("files", F.array_join("files", ";")), _TRADE + _SUMMARY),
     "g6_impacted_files": (lambda s, d: graph.impacted_files(_modified(s, d), *_trade(s, d)[:2], max_depth=2), f"""
       WITH RECURSIVE nodes AS ({duck(TRADE_NODES)}), edges AS ({duck(TRADE_EDGES)}),
-      modified AS (SELECT repo_id, path FROM nodes WHERE node_type = 'frontend_component' AND line % 97 = 1 UNION SELECT 'n1', 'docs/new.md'),
+      modified AS (SELECT repo_id, path FROM nodes WHERE node_type = 'frontend_component' UNION SELECT 'n1', 'docs/new.md'),
       near AS (SELECT repo_id, source AS node, target AS next FROM edges UNION SELECT repo_id, target, source FROM edges),
       walk AS (SELECT n.repo_id, n.id AS node, 0 AS depth FROM nodes n JOIN modified m ON n.repo_id = m.repo_id AND n.path = m.path
                UNION SELECT w.repo_id, next, depth + 1 FROM walk w JOIN near USING (repo_id, node) WHERE depth < 2)
