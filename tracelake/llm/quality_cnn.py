@@ -23,7 +23,7 @@ from tracelake.llm.textbytes import column_bytes, pieces
 from tracelake.llm.training import Adam, fold, labelled_sample, sigmoid
 
 WIDTH, FILTERS, HIDDEN, BLOCK = 4, 24, 16, 128
-LEAST_STEPS, PART = 200, 1 << 18
+LEAST_STEPS, PART = 200, 1 << 16
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 
 
