@@ -177,7 +177,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     words = anchors(listed, threshold)
     if words is not None:
         lowered = F.lower(F.col(text_col).cast("string"))
-        docs = docs.filter(reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words]))
+        # an array of one, so that a text is lowered once and not for every word
+        docs = docs.filter(F.exists(F.array(lowered), lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in words])))
     text = normalised(F.col(text_col).cast("string"))
     texts = written(docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text")), "license-candidates")
     units = written(_units(texts, table, threshold), "license-lines")
