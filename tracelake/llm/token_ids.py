@@ -89,6 +89,8 @@ class PieceTable:
 
     def add(self, key: np.ndarray, texts: list[bytes], ids: list[list[int]]) -> None:
         """Add pieces of distinct new keys; a piece whose key another one has stays out."""
+        if not texts:
+            return
         order = np.argsort(key, kind="stable")
         order = order[np.concatenate([[True], key[order[1:]] != key[order[:-1]]])]
         to = np.searchsorted(self.key, key[order])
@@ -194,6 +196,7 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     kind = _KIND[data]
     lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC9)) if len(data) else np.zeros(0, np.int64)
     lead = lead[(data[lead] != 0xC3) | ((data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7))]
+    lead = lead[(data[lead] != 0xC4) | (data[lead + 1] != 0xB0)]  # the dotted capital I, whose dot is no letter once lowered
     kind[lead] = kind[lead + 1] = 1
     starts, ends, heads = words(data, offsets)
     odd = kind == 3
