@@ -13,6 +13,7 @@ QUERIES = {
     "op8_exact_dedup": queries.op8_exact_dedup,
     "op9_mixing": queries.op9_mixing,
     "op10_ngram_join": queries.op10_ngram_join,
+    "op12_bpe": queries.op12_bpe,
 }
 ORACLES = {
     "op1_chat_format": oracles.CHAT_FORMAT,
