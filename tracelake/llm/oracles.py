@@ -115,3 +115,43 @@ islands AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY a, z, template) AS
 everything AS (SELECT doc_id, license, d FROM best UNION ALL SELECT doc_id, license, d FROM (SELECT r, doc_id, island, {_BEST} FROM islands GROUP BY r, doc_id, island))
 SELECT doc_id, license, max(d) AS score, count(*) AS units FROM everything GROUP BY ALL
 """
+
+_STEP = "{{'c': ({0}).c + {1}, 'a': ({0}).a || '{2}', 'r': ({0}).r || {3}}}"
+_DELETED = [_STEP.format(f"s{k}", "2", "D", "''") for k in range(4)]
+_HELD = {k + c: f"CASE WHEN fault IN ('', 'truncated') AND role LIKE '{c}%' THEN {_STEP.format('s' + k, 'more', 'K', 'line')} ELSE none END" for k in "0123" for c in "sua"}
+_TURNED = ["CASE WHEN fault IN ('', 'truncated') THEN " + _STEP.format(f"s{k}", "more + 1", "R", f"chr(10) || '{'assistant' if k == 2 else 'user'}:' || text") + " ELSE none END" for k in range(4)]
+_ADDED = [_STEP.format(x, "5", "I", f"chr(10) || '{'assistant' if x == 'm2' else 'user'}:'") for x in ("m0", "m1", "m2", "m3")]
+# the best (cost, audit, text) of every state of the roles (none, s, u, a), carried from row to row; rows are inserted behind each
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+dealt AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS f FROM given, tab),
+broken AS (
+  SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE f WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM dealt WHERE f <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS solid FROM broken),
+judged AS (
+  SELECT conv_id, turn, role, text, k, n, chr(10) || role || ':' || text AS line,
+         CASE WHEN solid = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN NOT regexp_matches(solid, '[.!?]$') THEN 'truncated' ELSE '' END AS fault,
+         left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS pair FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS k, n, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS s0, {{'c': 1000000000::BIGINT, 'a': '', 'r': ''}} AS s1, {{'c': 5::BIGINT, 'a': 'I', 'r': chr(10) || 'user:'}} AS s2,
+         {{'c': 10::BIGINT, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3 FROM judged WHERE k = 1
+  UNION ALL
+  SELECT conv_id, k, n, m0, m1, u, least(m3, {_STEP.format("u", "5", "I", "chr(10) || 'assistant:'")}) FROM (
+    SELECT conv_id, k, n, m0, m1, m3, least(m2, {_ADDED[0]}, {_ADDED[1]}, {_ADDED[3]}) AS u FROM (
+      SELECT conv_id, k, n, {_DELETED[0]} AS m0, least({_DELETED[1]}, {_HELD["0s"]}) AS m1,
+             least({_DELETED[2]}, {", ".join(_HELD[j] for j in ("0u", "1u", "3u"))}, {", ".join(_TURNED[j] for j in (0, 1, 3))}) AS m2, least({_DELETED[3]}, {_HELD["2a"]}, {_TURNED[2]}) AS m3
+      FROM (SELECT dp.conv_id, j.k, j.n, s0, s1, s2, s3, role, text, line, fault, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS more, {{'c': 1000000000::BIGINT, 'a': '', 'r': ''}} AS none
+            FROM dp JOIN judged j ON j.conv_id IS NOT DISTINCT FROM dp.conv_id AND j.k = dp.k + 1)))),
+solved AS (SELECT conv_id, least(s0, s3) AS best FROM dp WHERE k = n)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts ON i.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN solved ON i.conv_id IS NOT DISTINCT FROM solved.conv_id
+"""

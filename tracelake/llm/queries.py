@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe_merges, chat_format, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality_cnn, token_ids, toxicity_gru, warc
+from tracelake.llm import bpe_merges, chat_format, conversation_repair, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality_cnn, token_ids, toxicity_gru, warc
 from tracelake.llm.shared import new_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,3 +72,7 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe_merges.decode(bpe_merges.encode(table(spark, sf_dir, "documents"), path), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return done.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audited(table(spark, sf_dir, "conversations"))

@@ -14,6 +14,7 @@ QUERIES = {
     "op9_mixing": queries.op9_mixing,
     "op10_ngram_join": queries.op10_ngram_join,
     "op12_bpe": queries.op12_bpe,
+    "op13_conversation_repair": queries.op13_conversation_repair,
 }
 ORACLES = {
     "op1_chat_format": oracles.CHAT_FORMAT,
@@ -22,4 +23,5 @@ ORACLES = {
     "op8_exact_dedup": oracles.EXACT_DEDUP,
     "op9_mixing": oracles.MIXING,
     "op10_ngram_join": oracles.NGRAM_JOIN,
+    "op13_conversation_repair": oracles.CONVERSATION_REPAIR,
 }
