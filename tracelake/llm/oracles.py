@@ -155,3 +155,18 @@ SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank
        coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts ON i.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN solved ON i.conv_id IS NOT DISTINCT FROM solved.conv_id
 """
+
+RANKED_SEARCH = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+asked AS (
+  SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+entries AS (SELECT q, item_id, term, count(*) AS repeats FROM asked GROUP BY ALL),
+sums AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM docs),
+held AS (SELECT r, doc_id, size, term, count(*) AS tf FROM (SELECT r, doc_id, len(w)::BIGINT AS size, unnest(w) AS term FROM docs) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, sums WHERE term IN (SELECT term FROM entries) GROUP BY term, n),
+scores AS (
+  SELECT q, item_id, r, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * size * n) // l))))::BIGINT AS score
+  FROM held JOIN weights USING (term) JOIN entries USING (term), sums GROUP BY q, item_id, r, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe_merges, chat_format, conversation_repair, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality_cnn, token_ids, toxicity_gru, warc
+from tracelake.llm import bpe_merges, chat_format, conversation_repair, decontaminate, exact_dedup, impact_index, licenses, mixing, ngram_join, quality_cnn, token_ids, toxicity_gru, warc
 from tracelake.llm.shared import new_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,11 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, docs = impact_index.build(table(spark, sf_dir, "documents"))
+    return impact_index.search(index, docs, table(spark, sf_dir, "benchmark"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     done = bpe_merges.decode(bpe_merges.encode(table(spark, sf_dir, "documents"), path), path)

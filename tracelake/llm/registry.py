@@ -13,6 +13,7 @@ QUERIES = {
     "op8_exact_dedup": queries.op8_exact_dedup,
     "op9_mixing": queries.op9_mixing,
     "op10_ngram_join": queries.op10_ngram_join,
+    "op11_ranked_search": queries.op11_ranked_search,
     "op12_bpe": queries.op12_bpe,
     "op13_conversation_repair": queries.op13_conversation_repair,
 }
@@ -23,5 +24,6 @@ ORACLES = {
     "op8_exact_dedup": oracles.EXACT_DEDUP,
     "op9_mixing": oracles.MIXING,
     "op10_ngram_join": oracles.NGRAM_JOIN,
+    "op11_ranked_search": oracles.RANKED_SEARCH,
     "op13_conversation_repair": oracles.CONVERSATION_REPAIR,
 }
