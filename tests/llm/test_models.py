@@ -126,6 +126,16 @@ def test_samples_are_limited_after_long_texts_are_left_out(spark):
     assert {len(x) for x in texts.to_pylist()} == {10} and sorted(y.tolist()) == [0, 0, 0, 1, 1, 1]
 
 
+def test_samples_have_one_text_of_an_id(spark):
+    from tracelake.llm.training import labelled_sample
+
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text")).unionByName(spark.createDataFrame([(k, f"other {k}") for k in range(2, 40)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(1, 0)], "doc_id long, quality int")
+    texts, y = labelled_sample(docs, labels, "quality", 5, 9, 100, 100)
+    assert len(texts) == 39 and len(set(texts.to_pylist())) == 39 and y.sum() == 20
+    assert "text 0" in texts.to_pylist()
+
+
 def test_windows_cover_every_word():
     counts = np.array([0, 1, 31, 32, 33, 56, 57, 1000])
     first, size, heads = toxicity_gru.windows(counts)

@@ -14,10 +14,10 @@ def fold(id_col: str, folds: int) -> F.Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, held_out: int, per_class: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[pa.Array, np.ndarray]:
-    """Texts and labels to learn from: at most ``per_class`` of each class, those of the smallest id hashes.
+    """Texts and labels to learn from: at most ``per_class`` ids of each class, those of the smallest id hashes, with one text each.
 
-    Rows of the held-out fold, of null label, and texts of over ``most_bytes`` are no examples. The sample is the only
-    thing that reaches the driver; its size is bounded by the parameters.
+    Rows of the held-out fold, of null label, and texts of over ``most_bytes`` are no examples. Of several texts of one id the smallest
+    one counts, of several labels the larger. The sample is the only thing that reaches the driver: at most 2 * per_class rows.
     """
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & (fold("i", folds) != held_out))
     given = docs.select(F.col(id_col).alias("j"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).filter(F.octet_length("t") <= most_bytes)
@@ -25,7 +25,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: i
     known = known.groupBy("i").agg(F.max("y").alias("y")).join(given.select(F.col("j").alias("i")), "i", "left_semi").withColumn("h", F.xxhash64("i"))
     chosen = [known.filter(F.col("y") == k).orderBy("h", "i").limit(per_class) for k in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])
-    rows = given.join(F.broadcast(chosen), F.col("i") == F.col("j")).select("h", "i", "t", "y").toArrow()
+    rows = given.join(F.broadcast(chosen), F.col("i") == F.col("j")).groupBy("h", "i", "y").agg(F.min("t").alias("t")).select("h", "i", "t", "y").toArrow()
     rows = rows.sort_by([("h", "ascending"), ("i", "ascending"), ("t", "ascending")])
     return rows["t"].combine_chunks(), rows["y"].to_numpy()
 
