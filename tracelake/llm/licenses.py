@@ -7,9 +7,10 @@ before their bigrams are made, and templates outside are dropped in the join. On
 go on. Each unit counts for its best template (on ties the first licence name). Texts without any of the words that every
 match must have (``anchors``) are skipped before anything is made of them.
 
-Notices inside of a line, and texts wrapped over several lines, are found by windows: where a text has bigrams of a
-template in their order, the window of the template's length is a unit too, unless a matching line covers it or the whole
-text matched. Windows that overlap are one unit, with the best score.
+Notices inside of a line, and texts wrapped over several lines, are found by windows of all lengths up to the template's times
+(2 - t) / t: from each place with a bigram of the template the best window is a unit too, unless a matching line covers it or the
+whole text matched. Windows that overlap are one unit, with the best score. What is inserted, dropped or changed inside a licence
+costs no more than it costs the coefficient.
 
 Defined results: null and empty texts give no rows; very long texts are compared whole, and their words have to fit a task; a unit of one word has no bigrams and matches nothing; rows that share
 an id are counted together; an empty table gives an empty result; other columns are ignored.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from tracelake.llm.shared import written
 
 THRESHOLD = 0.8
+#: Words of a text at which windows start in one piece.
+STEP = 4096
 #: Stands for a matching line among the words of a text; no normalised word looks like it.
 BARRIER = "-"
 
@@ -109,10 +112,14 @@ def normalised(text: F.Column) -> F.Column:
     return F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}\\n]+", " ")
 
 
+def _in_order(parts: F.Column) -> F.Column:
+    """The bigrams of a list of words, with repeats."""
+    return F.zip_with(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, 2, F.size(parts)), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def bigrams(parts: F.Column) -> F.Column:
     """The set of bigrams of a list of words."""
-    pairs = F.zip_with(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, 2, F.size(parts)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(pairs)
+    return F.array_distinct(_in_order(parts))
 
 
 def template_words(spark: SparkSession, given: list[tuple[str, str]]) -> DataFrame:
@@ -145,23 +152,52 @@ def _units(texts: DataFrame, given: DataFrame, threshold: float) -> DataFrame:
 def _windows(texts: DataFrame, matched: DataFrame, given: DataFrame, threshold: float) -> DataFrame:
     """(id, license, dice) of the windows of words, in what no matching line covers, that reach the threshold; of windows that overlap the best.
 
-    A bigram of the text that a template has too lays the template over the text. Where at least half of what the threshold asks for lies on
-    one such place, the window of the template's length there is compared as a set.
+    A window begins with a bigram of the template and has at most ``span`` bigrams: the template's length times (2 - t) / t. It needs ``need`` of the
+    template's bigrams, so only places with so many of them within a span ahead are starts. From a start the window grows from one of the
+    template's bigrams to the next, with a running count of distinct bigrams and of the template's, and the best end counts. Texts are cut into pieces of STEP starts, each with the
+    words of a span more.
     """
     lines = F.split("text", "\n")
     taken = matched.groupBy(F.col("row").alias("r")).agg(F.collect_set("place").alias("taken"))
     open_ = texts.join(taken, F.col("row") == F.col("r"), "left").filter(F.coalesce(~F.array_contains("taken", F.size(lines)), F.lit(True)))  # no whole text
     rest = F.transform(lines, lambda x, k: F.when(F.coalesce(F.array_contains("taken", k), F.lit(False)), F.lit(BARRIER)).otherwise(x))
     words = F.split(F.trim(F.regexp_replace(F.array_join(rest, " "), " +", " ")), " ")
-    open_ = written(open_.select("id", "row", words.alias("words")).filter(F.size("words") > 1), "license-texts")
-    pairs = open_.select("row", F.posexplode(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))).alias("at", "bigram"))
-    sizes = F.size("words")
-    own = given.filter(sizes > 1).select("template", sizes.alias("k"), F.posexplode(F.zip_with(F.slice("words", 1, sizes - 1), F.slice("words", 2, sizes), lambda a, b: F.concat(a, F.lit(" "), b))).alias("o", "bigram"))
-    laid = pairs.join(F.broadcast(own), "bigram").groupBy("row", "template", (F.col("at") - F.col("o")).alias("start")).agg(F.count(F.lit(1)).alias("m"), F.first("k").alias("k"))
-    laid = laid.filter(F.col("m") >= (F.col("k") - 1) * (threshold / 2)).groupBy("row").agg(F.collect_list(F.struct("template", F.greatest("start", F.lit(0)).alias("start"), (F.col("start") + F.col("k")).alias("stop"))).alias("windows"))
-    cut = open_.join(laid, "row").select("id", "row", F.explode(F.transform("windows", lambda x: F.struct(x["template"].alias("template"), x["start"].alias("start"), F.least(x["stop"], F.size("words")).alias("stop"), F.slice("words", x["start"] + 1, x["stop"] - x["start"]).alias("words")))).alias("w"))
-    cut = cut.select("id", "row", "w.template", "w.start", "w.stop", bigrams(F.col("w.words")).alias("own")).join(F.broadcast(given.select("template", "license", "grams", "size")), "template")
-    good = cut.withColumn("dice", F.size(F.array_intersect("own", "grams")) * 2.0 / (F.size("own") + F.col("size"))).filter(F.col("dice") >= threshold)
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    bounds = given.withColumn("need", F.ceil(F.col("size") * low - 1e-9).cast("int")).withColumn("span", F.floor((F.size("words") - 1) * high + 1e-9).cast("int"))
+    tail = bounds.agg(F.max("span")).first()[0]
+    open_ = open_.select("id", "row", words.alias("words")).filter(F.size("words") > 1)
+    cut = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - 1, F.lit(STEP)), lambda at: F.slice("words", at, STEP + tail)))
+    open_ = written(open_.select("id", "row", cut.alias("piece", "words")), "license-texts")
+    pairs = open_.select("row", "piece", F.posexplode(_in_order(F.col("words"))).alias("at", "bigram"))
+    hits = pairs.join(F.broadcast(bounds.select("template", "need", "span", F.posexplode("grams").alias("o", "bigram"))), "bigram")
+    found = hits.groupBy("row", "piece", "template").agg(F.first("need").alias("need"), F.first("span").alias("span"), F.size(F.collect_set("o")).alias("m"), F.sort_array(F.collect_list("at")).alias("at")).filter("m >= need")
+    dense = F.filter(F.sequence(F.lit(1), F.size("at") - F.col("need") + 1), lambda k: (F.element_at("at", k + F.col("need") - 1) - F.element_at("at", k) < F.col("span")) & (F.element_at("at", k) < STEP))
+    starts = F.transform(dense, lambda k: F.struct(F.element_at("at", k).alias("start"), F.filter(F.slice("at", k, F.col("span")), lambda x: x < F.element_at("at", k) + F.col("span")).alias("hits")))
+    found = found.select("row", "piece", F.struct("template", "span", starts.alias("starts")).alias("x")).filter(F.size("x.starts") > 0).groupBy("row", "piece").agg(F.collect_list("x").alias("x"))
+    # places of bigrams that came before, with the place where they did last
+    placed = F.array_sort(F.transform(_in_order(F.col("words")), lambda x, k: F.struct(x.alias("bigram"), k.alias("at"))))
+    again = F.filter(F.zip_with("placed", F.slice("placed", 2, F.size("placed")), lambda x, y: F.struct(F.when(x["bigram"] == y["bigram"], y["at"]).alias("at"), x["at"].alias("last"))), lambda x: x["at"].isNotNull())
+    seen = open_.join(found, ["row", "piece"]).select("id", "row", "piece", "x", placed.alias("placed")).select("id", "row", "piece", "x", again.alias("again"))
+
+    def window(x: F.Column, own: F.Column) -> F.Column:
+        start = own["start"]
+        repeats = F.transform(F.filter("again", lambda y: (y["last"] >= start) & (y["at"] < start + x["span"])), lambda y: y["at"])
+        return F.struct(x["template"].alias("template"), start.alias("start"), own["hits"].alias("hits"), repeats.alias("repeats"))
+
+    grown = seen.select("id", "row", "piece", F.explode(F.flatten(F.transform("x", lambda x: F.transform(x["starts"], lambda own: window(x, own))))).alias("w")).select("id", "row", "piece", "w.*")
+    grown = grown.join(F.broadcast(given.select("template", "license", "size")), "template")
+    none = F.struct(F.lit(0).alias("m"), F.lit(0.0).alias("dice"), F.lit(0).alias("stop"))
+
+    def grow(so_far: F.Column, hit: F.Column) -> F.Column:
+        m = so_far["m"] + (~F.array_contains("repeats", hit)).cast("int")
+        dice = m * 2.0 / (hit - F.col("start") + 1 - F.size(F.filter("repeats", lambda x: x <= hit)) + F.col("size"))
+        better = dice > so_far["dice"]
+        return F.struct(m.alias("m"), F.when(better, dice).otherwise(so_far["dice"]).alias("dice"), F.when(better, hit).otherwise(so_far["stop"]).alias("stop"))
+
+    grown = grown.select("id", "row", "piece", "template", "license", "start", F.explode(F.array(F.aggregate("hits", none, grow))).alias("best"))  # explode, so that the filter does not grow it again
+    base = F.col("piece") * STEP
+    best = grown.select("id", "row", "template", "license", (base + F.col("start")).alias("start"), (base + F.col("best.stop") + 2).alias("stop"), "best.dice")
+    good = best.filter(F.col("dice") >= threshold)
     order = Window.partitionBy("row").orderBy("start", "stop", "template")
     reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = good.withColumn("new", F.coalesce((F.col("start") >= reached).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order))

@@ -85,6 +85,7 @@ _CLEAN = "regexp_replace(lower(text), '[^\\p{L}\\p{N}\\n]+', ' ', 'g')"
 _BEST = "arg_min(license, (-d, license)) AS license, max(d) AS d"
 # more bigrams than any template can match
 _MOST = 2 * max(len(text.split()) for _, text in templates())
+_LOW = THRESHOLD / (2 - THRESHOLD)
 LICENSES = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_CLEAN} AS t FROM documents WHERE text IS NOT NULL),
 given AS (SELECT template, license, string_split(trim(regexp_replace({_CLEAN}, '\\s+', ' ', 'g')), ' ') AS w FROM (VALUES {_TEMPLATES}) AS v(template, license, text)),
@@ -103,13 +104,16 @@ taken AS (SELECT r, list(k) AS ks FROM best GROUP BY r),
 open_docs AS (
   SELECT r, doc_id, string_split(trim(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x, i: CASE WHEN list_contains(coalesce(ks, []), i) THEN '{BARRIER}' ELSE x END), ' '), ' +', ' ', 'g')), ' ') AS w
   FROM docs LEFT JOIN taken USING (r) WHERE NOT list_contains(coalesce(ks, []), len(string_split(t, chr(10))) + 1)),
-laid AS (
-  SELECT r, template, p.i - o.i AS start, k FROM (SELECT r, {_PAIRS.format("w")} AS p FROM open_docs) JOIN (SELECT template, len(w) AS k, {_PAIRS.format("w")} AS o FROM given) ON p.b = o.b
-  GROUP BY ALL HAVING count(*) >= (k - 1) * {THRESHOLD / 2}::DOUBLE),
-windows AS (SELECT r, doc_id, template, greatest(start, 0) AS a, least(start + k, len(w)) AS z, w[greatest(start, 0) + 1:start + k] AS own FROM laid JOIN open_docs USING (r)),
-good AS (
-  SELECT r, doc_id, template, license, a, z, len(list_intersect({_GRAMS.format("own")}, g)) * 2::DOUBLE / (len({_GRAMS.format("own")}) + len(g)) AS d
-  FROM windows JOIN wanted USING (template) WHERE len(own) >= 2),
+-- windows that begin with a bigram of the template, of all lengths; those without enough of its bigrams within the longest are left out
+asked AS (SELECT template, license, g AS own, len(g) AS size, ceil(len(g) * {_LOW}::DOUBLE - 1e-9)::BIGINT AS need, floor((k - 1) / {_LOW}::DOUBLE + 1e-9)::BIGINT AS span FROM wanted),
+begun AS (
+  SELECT r, doc_id, template, p.i AS a, count(*) OVER (PARTITION BY r, template ORDER BY p.i RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING) AS many, need, span
+  FROM (SELECT r, doc_id, {_PAIRS.format("w")} AS p FROM open_docs) JOIN (SELECT template, need, span, unnest(own) AS b FROM asked) ON p.b = b),
+grown AS (
+  SELECT r, doc_id, template, license, a, n, len(list_intersect(list_distinct(win), own)) * 2::DOUBLE / (len(list_distinct(win)) + size) AS d
+  FROM (SELECT r, begun.doc_id, begun.template, license, own, size, a, n, list_transform(range(a + 1, a + n + 1), lambda i: w[i] || ' ' || w[i + 1]) AS win
+        FROM (SELECT *, unnest(range(need, span + 1)) AS n FROM begun WHERE many >= need) begun JOIN asked USING (template) JOIN open_docs USING (r) WHERE a + n < len(w))),
+good AS (SELECT r, doc_id, template, license, a, a + 1 + arg_max(n, (d, -n)) AS z, max(d) AS d FROM grown GROUP BY r, doc_id, template, license, a),
 marked AS (SELECT *, CASE WHEN a < max(z) OVER (PARTITION BY r ORDER BY a, z, template ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM good WHERE d >= {THRESHOLD}::DOUBLE),
 islands AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY a, z, template) AS island FROM marked),
 everything AS (SELECT doc_id, license, d FROM best UNION ALL SELECT doc_id, license, d FROM (SELECT r, doc_id, island, {_BEST} FROM islands GROUP BY r, doc_id, island))
