@@ -1,7 +1,7 @@
 """Extraction: one source file to many records, by small helpers in the workers. The tables are the product.
 
-Python files are read with the standard library's syntax tree (files that do not parse give no records); client files
-with a scan that blanks comments and finds call heads, as offsets are needed for line numbers.
+Python files are read with the standard library's syntax tree (files that do not parse give no records but one that says
+so); client files as tokens (``client_lexer``).
 """
 
 from __future__ import annotations
@@ -14,12 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.paths import join_prefix, normalize_template, path_params, symbol_id, template_params
-from tracelake.sources.tables import written
+from tracelake.functions.paths import join_prefix, path_params, symbol_id
+from tracelake.sources.client_lexer import client_calls
+from tracelake.sources.tables import spent, written
 
-# Names that mark a client call, a route decorator, a tool, and what is no model.
-CALLEES = ("fetch", "axios", "apiclient", "client", "request", "http")
-VERBS = ("get", "post", "put", "delete", "patch", "head", "options")
+# Names that mark a route decorator, a tool, and what is no model.
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "OPTIONS", "HEAD")
 ROUTE_VERBS = ("get", "post", "put", "delete", "patch", "options", "head")
 TOOLS = {"tool": "MCP_TOOL", "call_tool": "MCP_TOOL", "resource": "MCP_RESOURCE"}
@@ -28,16 +27,16 @@ BASES = ("Base", "DeclarativeBase")
 ROUTERS = ("APIRouter", "FastAPI")
 PYTHON = r"(?i)\.py$"
 
-CALL_ROWS = "repo_id string, path string, line int, ordinal int, raw_url string, is_template boolean, verb string, options string"
+CALL_ROWS = "repo_id string, path string, ordinal int, line int, raw_url string, norm_path string, path_params array<string>, is_template boolean, verb string, option string"
 FACT_ROWS = "repo_id string, path string, kind string, line int, col int, ordinal int, name string, owner string, value string, detail string, extra string, body string"
 
 
-def _per_file(one: Callable[[str], Iterator[tuple]], schema: str):
+def _per_file(one: Callable[[str, str], Iterator[tuple]], schema: str):
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(repo, path, *row) for repo, path, text in zip(batch["repo_id"], batch["path"], batch["content"], strict=True) for row in one(text or "")]
+            rows = [(repo, path, *row) for repo, path, text in zip(batch["repo_id"], batch["path"], batch["content"], strict=True) for row in one(text or "", path)]
             yield pd.DataFrame(rows, columns=names)
 
     return run
@@ -60,50 +59,20 @@ def _of_kind(files: DataFrame, *kinds: str) -> DataFrame:
     return rows.filter(F.col("kind").isin(*kinds))
 
 
-_STRING = r"""'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`"""
-_HEAD = re.compile(rf"(?:(?<![\w.$])(?P<callee>{'|'.join(CALLEES)})|\.\s*(?P<verb>{'|'.join(VERBS)}|request))\s*(?:<[^<>()]*>)?\(\s*(?P<first>{_STRING})", re.I)
-_SKIP = re.compile(rf"(?P<keep>{_STRING})|//[^\n]*|/\*.*?\*/", re.S)
+def _calls(text: str, path: str) -> Iterator[tuple]:
+    return ((k, *call) for k, call in enumerate(client_calls(text, not path.lower().endswith(".ts"))))
 
 
-def _balanced(text: str, at: int) -> str:
-    """What follows up to the parenthesis that closes the call."""
-    depth, k = 1, at
-    while k < len(text) and depth:
-        depth += {"(": 1, ")": -1}.get(text[k], 0)
-        k += 1
-    return text[at : k - 1]
-
-
-def _calls(text: str) -> Iterator[tuple]:
-    clean = _SKIP.sub(lambda m: m.group(0) if m.group("keep") else re.sub(r"[^\n]", " ", m.group(0)), text)
-    for k, m in enumerate(_HEAD.finditer(clean)):
-        first = m.group("first")
-        inner, template = first[1:-1], first[0] == "`"
-        if template or "/" in inner or "http" in inner:
-            verb = (m.group("verb") or "").lower()
-            yield clean.count("\n", 0, m.start()) + 1, k, inner, template, verb if verb != "request" else "", _balanced(clean, m.end())
-
-
-def call_method(verb: Column, options: Column) -> Column:
-    """The verb of a member call, else ``method:`` among the options, else GET."""
-    named = F.upper(F.regexp_extract(options, r"""method['"]?\s*:\s*['"`](\w+)['"`]""", 1))
+def call_method(verb: Column, option: Column) -> Column:
+    """The verb of a member call, else the ``method`` among the options, else GET."""
+    named = F.upper(option)
     return F.when(verb != "", F.upper(verb)).when(named.isin(*METHODS), named).otherwise(F.lit("GET"))
 
 
 def extract_calls(files: DataFrame) -> DataFrame:
     """E1, E2, E4"""
     rows = _records(files, r"(?i)\.(ts|tsx|js|jsx)$", _calls, CALL_ROWS)
-    return rows.select(
-        "repo_id", "path", "line", "ordinal", "raw_url", F.when(F.col("is_template"), normalize_template(F.col("raw_url"))).otherwise(F.col("raw_url")).alias("norm_path"), call_method(F.col("verb"), F.col("options")).alias("method"),
-        F.when(F.col("is_template"), template_params(F.col("raw_url"))).otherwise(F.array().cast("array<string>")).alias("path_params"), F.array().cast("array<string>").alias("query_params"), "is_template", F.lit(None).cast("string").alias("body_type"),
-    )
-
-
-def _tree(text: str) -> ast.Module | None:
-    try:
-        return ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return None
+    return rows.select("repo_id", "path", "line", "ordinal", "raw_url", "norm_path", call_method(F.col("verb"), F.col("option")).alias("method"), "path_params", F.array().cast("array<string>").alias("query_params"), "is_template", F.lit(None).cast("string").alias("body_type"))
 
 
 def _text(node: ast.expr | None) -> str | None:
@@ -123,13 +92,35 @@ def _row(kind: str, **values) -> tuple:
     return (kind, *(values.get(c) for c in ("line", "col", "ordinal", "name", "owner", "value", "detail", "extra", "body")))
 
 
-def _facts(text: str) -> Iterator[tuple]:
+def skipped_files(files: DataFrame) -> DataFrame:
+    """(repo_id, path, reason): Python files that do not parse, and what else was left out of a file."""
+    return _of_kind(files, "skipped").select("repo_id", "path", F.col("detail").alias("reason"))
+
+
+class _Source:
+    """A text by the positions of its syntax tree, which count lines and UTF-8 bytes; nothing is written out again, so no depth of nesting matters."""
+
+    def __init__(self, text: str):
+        self.lines = [line.encode() for line in _LINE.findall(text)]
+
+    def lines_of(self, node: ast.AST) -> str:
+        return b"".join(self.lines[node.lineno - 1 : node.end_lineno]).decode()
+
+    def __call__(self, node: ast.AST) -> str:
+        own = self.lines[node.lineno - 1 : node.end_lineno]
+        own[-1] = own[-1][: node.end_col_offset]
+        own[0] = own[0][node.col_offset :]
+        return b"".join(own).decode()
+
+
+def _facts(text: str, path: str) -> Iterator[tuple]:
     yield _row("file")
-    tree = _tree(text)
-    if tree is None:
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
+        yield _row("skipped", detail=type(error).__name__)
         return
-    lines = _LINE.findall(text)
-    source = lambda node: "".join(lines[node.lineno - 1 : node.end_lineno])
+    source = _Source(text)
     functions = [x for x in tree.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))]
     yield from _routes(functions, source)
     yield from _models([x for x in tree.body if isinstance(x, ast.ClassDef)], source)
@@ -140,18 +131,23 @@ def _facts(text: str) -> Iterator[tuple]:
         elif isinstance(node, (ast.Assign, ast.AnnAssign)):
             to = node.targets if isinstance(node, ast.Assign) else [node.target]
             if isinstance(node, ast.Assign) and len(to) == 1 and isinstance(to[0], ast.Name):
-                yield _row("binding", line=node.lineno, col=node.col_offset + 1, name=to[0].id, detail=ast.unparse(node.value))
+                yield _row("binding", line=node.lineno, col=node.col_offset + 1, name=to[0].id, detail=source(node.value))
             if isinstance(node.value, ast.Call) and _name(node.value.func) in ROUTERS:
                 routers |= {x.id: (_text(_options(node.value).get("prefix")) or "").strip() for x in to if isinstance(x, ast.Name)}
         elif isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "include_router" and isinstance(node.func.value, ast.Name):
             options = _options(node)
             target = node.args[0] if node.args else options.get("router")
             if isinstance(target, (ast.Name, ast.Attribute)):
-                includes.append((node.lineno, node.col_offset, node.func.value.id, ast.unparse(target), _text(options.get("prefix")) or ""))
+                includes.append((node.lineno, node.col_offset, node.func.value.id, source(target), _text(options.get("prefix")) or ""))
         elif isinstance(node, ast.ImportFrom):
             imports += [(node.lineno, x.asname or x.name, "." * node.level + (node.module or ""), x.name) for x in node.names]
     includes.sort()
-    yield from (_row("router", ordinal=k, name=name, value=prefix) for k, (name, prefix) in enumerate(_gathered(routers, includes)))
+    try:
+        gathered = list(_gathered(routers, includes))
+    except RecursionError as error:
+        yield _row("skipped", detail=f"includes: {type(error).__name__}")
+        gathered = list(routers.items())
+    yield from (_row("router", ordinal=k, name=name, value=prefix) for k, (name, prefix) in enumerate(gathered))
     yield from (_row("include", ordinal=k, line=line, owner=parent, name=target, value=prefix) for k, (line, _, parent, target, prefix) in enumerate(includes))
     yield from (_row("import", ordinal=k, line=line, name=name, value=module, detail=original) for k, (line, name, module, original) in enumerate(sorted(imports, key=lambda x: x[0])))
 
@@ -159,7 +155,7 @@ def _facts(text: str) -> Iterator[tuple]:
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
 
 
-def _routes(functions: list, source: Callable[[ast.AST], str]) -> Iterator[tuple]:
+def _routes(functions: list, source: _Source) -> Iterator[tuple]:
     k = 0
     for node in functions:
         line = min([node.lineno, *(d.lineno for d in node.decorator_list)])
@@ -169,16 +165,16 @@ def _routes(functions: list, source: Callable[[ast.AST], str]) -> Iterator[tuple
             head = call.func if call else d
             if not isinstance(head, ast.Attribute):
                 continue
-            router = head.value.id if isinstance(head.value, ast.Name) else ast.unparse(head.value)
+            router = source(head.value)
             options = _options(call) if call else {}
             first = _text(call.args[0]) if call and call.args else None
             if head.attr in ROUTE_VERBS and (first is not None or "path" in options):
-                body = body or source(node)
+                body = body or source.lines_of(node)
                 model = options.get("response_model")
-                yield _row("route", line=line, ordinal=k, name=node.name, owner=router, value=first if first is not None else _text(options["path"]) or "", detail=head.attr.upper(), extra=ast.unparse(model) if model else None, body=body)
+                yield _row("route", line=line, ordinal=k, name=node.name, owner=router, value=first if first is not None else _text(options["path"]) or "", detail=head.attr.upper(), extra=source(model) if model else None, body=body)
                 k += 1
             elif head.attr in TOOLS:
-                body = body or source(node)
+                body = body or source.lines_of(node)
                 yield _row("route", line=line, ordinal=k, name=node.name, owner="", value="tools/" + (_text(options.get("name")) or first or node.name), detail=TOOLS[head.attr], extra=ast.get_docstring(node), body=body)
                 k += 1
 
@@ -189,16 +185,26 @@ def _gathered(own: dict[str, str], includes: list[tuple]) -> Iterator[tuple[str,
     for _, _, parent, target, prefix in includes:
         into.setdefault(target, []).insert(0, (parent, prefix))
 
-    def whole(name: str, below: frozenset[str]) -> str:
-        mine = own.get(name, "")
+    known: dict[str, str] = {}
+
+    def whole(name: str, below: set[str], tried: dict[str, str]) -> tuple[str, bool]:
+        """The prefix, and whether it holds from wherever it is asked for: no circle was cut on its way. In a circle each router is followed once."""
+        if name in known or name in tried:
+            return (known[name], True) if name in known else (tried[name], False)
+        mine, free = own.get(name, ""), True
+        below.add(name)
         for parent, prefix in into.get(name, []):
-            outer = whole(parent, below | {name}) if parent not in below | {name} else ""
+            outer, sure = whole(parent, below, tried) if parent not in below else ("", False)
+            free &= sure
             if parts := [x for p in (outer, prefix, mine) if (x := p.strip("/"))]:
-                return "/" + "/".join(parts)
-        return mine
+                mine = "/" + "/".join(parts)
+                break
+        below.discard(name)
+        (known if free else tried)[name] = mine
+        return mine, free
 
     for name in dict.fromkeys([*own, *into]):
-        yield name, whole(name, frozenset())
+        yield name, whole(name, set(), {})[0]
 
 
 def model_refs(body: Column) -> Column:
@@ -259,10 +265,10 @@ def resolve_router_prefix(routes: DataFrame, files: DataFrame) -> DataFrame:
     return out.withColumn("norm_path", F.when(there, F.col("norm_path")).otherwise(join_prefix(F.col("added"), F.col("norm_path")))).drop("added")
 
 
-def _models(classes: list[ast.ClassDef], source: Callable[[ast.AST], str]) -> Iterator[tuple]:
+def _models(classes: list[ast.ClassDef], source: _Source) -> Iterator[tuple]:
     k = 0
     for node in classes:
-        head = source(node)[:500]
+        head = source.lines_of(node)[:500]
         if not ("__tablename__" in head or "Column(" in head or "mapped_column(" in head or any(isinstance(b, ast.Name) and b.id in BASES for b in node.bases)):
             continue
         table, rows = None, []
@@ -274,9 +280,9 @@ def _models(classes: list[ast.ClassDef], source: Callable[[ast.AST], str]) -> It
                 table = _text(x.value)
             elif isinstance(x.value, ast.Call):
                 if _name(x.value.func) in ("Column", "mapped_column"):
-                    rows.append({"value": target.id, "detail": ast.unparse(x.value)})
+                    rows.append({"value": target.id, "detail": source(x.value)})
                 elif _name(x.value.func) == "relationship":
-                    rows.append({"extra": _text(x.value.args[0]) or ast.unparse(x.value.args[0]) if x.value.args else None})
+                    rows.append({"extra": _text(x.value.args[0]) or source(x.value.args[0]) if x.value.args else None})
         if table is not None or rows:
             yield from (_row("model", line=node.lineno, ordinal=k, name=node.name, owner=table, **row) for row in rows or [{}])
             k += 1
