@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import labels
 from tracelake.operators import checks, graph, impact, incremental, reports
-from tracelake.sources import extract, tables
+from tracelake.sources import extract, tables, tree
 from tracelake.streaming.changes import debounce_changes, maintain_index
 
 FILES = "repo_id string, path string, content string"
@@ -147,6 +147,35 @@ def test_source_tree_and_change_list(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "rep")).count() == 5
 
 
+def test_source_tree_opens_only_what_it_reads(spark, tmp_path, monkeypatch):
+    texts = {"a.py": "a", "x/b.ts": "b", "x/y/c.JSX": "c", "node_modules/z/d.js": "d", "x/venv/e.py": "e", "x/gone/f.py": "f", "gone/g.py": "g", "x/y/k.secret.py": "h", "tests/test_a.py": "i", "scripts/s.py": "j", "note.md": "k"}
+    for path, text in texts.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    (tmp_path / "x" / ".gitignore").write_text("# rules\n/gone/\n!kept\n\n*.secret.py\n")
+    (tmp_path / "x" / "latin.py").write_bytes("# caf\u00e9".encode("latin-1"))
+    with open(tmp_path / "x" / "artefact.bin", "wb") as file:
+        file.truncate(3 << 30)
+    want = {"a.py": "a", "x/b.ts": "b", "x/y/c.JSX": "c", "gone/g.py": "g", "x/latin.py": "# caf\ufffd"}
+    assert {r["path"]: r["content"] for r in tables.read_source_files(spark, str(tmp_path), "r").collect()} == want
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    assert {r["path"] for r in tables.read_source_files(spark, str(tmp_path), "r").filter(F.col("path").startswith("x/y")).collect()} == {"x/y/c.JSX"}
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    opened, listed, real, real_list = [], [], tree.Reader._open, tree.Reader._list
+    monkeypatch.setattr(tree.Reader, "_open", lambda self, store, path, info: opened.append(path) or real(self, store, path, info))
+    monkeypatch.setattr(tree.Reader, "_list", lambda self, store, base, folder: listed.append(folder.path) or real_list(self, store, base, folder))
+    for most, asked, files in ((64, None, set(want)), (2, None, set(want)), (64, tree.StringStartsWith(("path",), "x/y/"), {"x/y/c.JSX"}), (64, tree.EqualTo(("path",), "a.py"), {"a.py"}), (64, tree.In(("path",), ("x/b.ts", None)), {"x/b.ts"})):
+        monkeypatch.setattr(tree, "FOLDERS", most)
+        opened.clear(), listed.clear()
+        reader = tree.PushingReader({"path": f"file:{tmp_path}"})
+        assert not asked or list(reader.pushFilters([asked])) == [asked]
+        rows = [x for p in reader.partitions() for b in reader.read(p) for x in b.column("path").to_pylist()]
+        assert sorted(rows) == sorted(opened) == sorted(files)
+        assert not {x for x in listed if "node_modules" in x or "venv" in x or "x/gone" in x} and (asked is None or "tests" not in listed)
+    monkeypatch.setattr(tree, "MOST_BYTES", 0)
+    assert {r[2] for p in reader.partitions() for b in reader.read(p) for r in [list(x.values()) for x in b.to_pylist()]} == {None}
+
+
 def test_stream_equals_batch_and_gap_is_inclusive(spark, tmp_path):
     t = datetime(2024, 1, 1)
     rows = [("r", "a.ts", t), ("r", "b.ts", t + timedelta(seconds=1)), ("r", "a.ts", t + timedelta(seconds=2)), ("r", "c.ts", t + timedelta(seconds=9)), ("r", "x.md", t + timedelta(seconds=3)), ("q", "z.py", t + timedelta(days=1))]

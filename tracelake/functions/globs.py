@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +22,15 @@ def regex_of(pattern: str) -> str:
     return re.sub(r"^\(\?s:(.*)\)(?:\\Z|\\z)$", r"(?s:\1)", fnmatch.translate(pattern))
 
 
+@cache
+def matcher(patterns: tuple[str, ...]) -> Callable[[str, list[str]], bool]:
+    """A test of one path and its parts: the whole path, its end behind a slash, or a part matches a pattern."""
+    clean = [x.replace("\\", "/").strip("/").replace("/**", "/*") for x in patterns]
+    part = re.compile("|".join(regex_of(x) for x in dict.fromkeys(clean))) if clean else None
+    whole = re.compile("|".join(regex_of(x) for x in dict.fromkeys(y for x in clean for y in (x, f"*/{x}")))) if clean else None
+    return lambda path, parts: whole is not None and (whole.fullmatch(path) is not None or any(part.fullmatch(x) for x in parts))
+
+
 def regex_column(pattern: Column) -> Column:
     """The same for a column of patterns. A bracket that is not closed stands for itself."""
     plain = F.regexp_replace(pattern, r"([\\.^$+{}()|])", r"\\$1")

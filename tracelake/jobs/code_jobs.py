@@ -12,11 +12,14 @@ from tracelake.streaming import changes
 
 
 def _client(s: SparkSession, d: str) -> DataFrame:
-    """A client file per part: a template call with options, a member call, a commented call, a bare identifier."""
+    """A client file per part: a template call with options, a member call, a commented call, a bare identifier; a template in a template behind
+    nested type arguments, a call in markup among quotes, and one that does not close.
+    """
     part = table(s, d, "SELECT * FROM {part}")
     lines = F.concat(
         F.lit("// fetch('/api/skip')\nconst a = await fetch(`/api/parts/${ partId }/"), "p_size", F.lit("`, { method: '"), F.when(F.col("p_size") % 2 == 0, F.lit("put")).otherwise(F.lit("POST")), F.lit("' });\n"),
-        F.lit("api.get(\"/api/parts/"), "p_partkey", F.lit("\");\nfetch(url);\nclient('plain');\n"),
+        F.lit("api.get(\"/api/parts/"), "p_partkey", F.lit("\");\nfetch(url);\nclient('plain');\napi.get<Array<Part>>(`/api/${ a ? `x/${a}` : '' }/"), "p_size", F.lit("`);\n"),
+        F.lit("const v = <p title=\"it's\">it's {http.delete?.('/api/parts/"), "p_partkey", F.lit("/x')} that's</p>;\nopen('(', fetch('/api/open/"), "p_partkey", F.lit("', {method: 'patch'\n"),
     )
     return part.select((F.col("p_partkey") % 3).cast("string").alias("repo_id"), F.concat(F.lit("web/p"), "p_partkey", F.lit(".tsx")).alias("path"), lines.alias("content"))
 
@@ -52,10 +55,15 @@ def _server(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tree(s: SparkSession, d: str) -> DataFrame:
-    """The client files as a tree in the shared folder, with a note beside each that is no source, read back."""
+    """The client files as a tree in the shared folder, read back; beside each a note that is no source, a copy in an ignored folder, and one in a
+    folder that the tree's ignore file names.
+    """
     root = tables.new_path(s, "tree")
-    files = _client(s, d)
-    tables.write_source_files(files.unionByName(files.withColumn("path", F.replace("path", F.lit(".tsx"), F.lit(".md")))), root if "://" in root else f"file://{root.removeprefix('file:')}")
+    files = _client(s, d).select("path", "content")
+    moved = lambda old, new: files.withColumn("path", F.replace("path", F.lit(old), F.lit(new)))
+    rules = files.limit(1).select(F.lit(".gitignore").alias("path"), F.lit("# made\nmade/\n").alias("content"))
+    every = files.unionByName(moved(".tsx", ".md")).unionByName(moved("web/", "web/node_modules/")).unionByName(moved("web/", "web/made/")).unionByName(rules)
+    tables.write_source_files(every, root if "://" in root else f"file://{root.removeprefix('file:')}")
     return tables.read_source_files(s, root, "tree").select("repo_id", "path", "size", "sha256")
 
 
@@ -127,12 +135,17 @@ _WAY = "p_partkey // 3 % 3"
 _MORE = f"CASE WHEN {_WAY} = 2 THEN 3 ELSE 0 END"  # lines of the long router
 _CLIENT = """
   '// fetch(''/api/skip'')' || chr(10) || 'const a = await fetch(`/api/parts/${ partId }/' || p_size || '`, { method: ''' || CASE WHEN p_size % 2 = 0 THEN 'put' ELSE 'POST' END || ''' });' || chr(10)
-  || 'api.get("/api/parts/' || p_partkey || '");' || chr(10) || 'fetch(url);' || chr(10) || 'client(''plain'');' || chr(10)"""
+  || 'api.get("/api/parts/' || p_partkey || '");' || chr(10) || 'fetch(url);' || chr(10) || 'client(''plain'');' || chr(10)
+  || 'api.get<Array<Part>>(`/api/${ a ? `x/${a}` : '''' }/' || p_size || '`);' || chr(10) || 'const v = <p title="it''s">it''s {http.delete?.(''/api/parts/' || p_partkey || '/x'')} that''s</p>;' || chr(10)
+  || 'open(''('', fetch(''/api/open/' || p_partkey || ''', {method: ''patch''' || chr(10)"""
 ENTRIES = {
     "s1_source_tree": (_tree, f"SELECT 'tree' AS repo_id, 'web/p' || p_partkey || '.tsx' AS path, strlen({_CLIENT}) AS size, sha256({_CLIENT}) AS sha256 FROM part"),
     "e1_e4_calls": (lambda s, d: extract.extract_calls(_client(s, d)).select("repo_id", "path", "line", "norm_path", "method", F.array_join("path_params", ",").alias("params"), "is_template"), f"""
       SELECT {_REPO}, 'web/p' || p_partkey || '.tsx' AS path, 2 AS line, '/api/parts/{{partId}}/' || p_size AS norm_path, CASE WHEN p_size % 2 = 0 THEN 'PUT' ELSE 'POST' END AS method, 'partId' AS params, true AS is_template FROM part
-      UNION ALL SELECT {_REPO}, 'web/p' || p_partkey || '.tsx', 3, '/api/parts/' || p_partkey, 'GET', '', false FROM part"""),
+      UNION ALL SELECT {_REPO}, 'web/p' || p_partkey || '.tsx', 3, '/api/parts/' || p_partkey, 'GET', '', false FROM part
+      UNION ALL SELECT {_REPO}, 'web/p' || p_partkey || '.tsx', 6, '/api/{{a ? `x/${{a}}` : ''''}}/' || p_size, 'GET', 'a ? `x/${{a}}` : ''''', true FROM part
+      UNION ALL SELECT {_REPO}, 'web/p' || p_partkey || '.tsx', 7, '/api/parts/' || p_partkey || '/x', 'DELETE', '', false FROM part
+      UNION ALL SELECT {_REPO}, 'web/p' || p_partkey || '.tsx', 8, '/api/open/' || p_partkey, 'GET', '', false FROM part"""),
     "e5_e9_routes_j4_prefix": (_routes, f"""
       SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, 4 + {_MORE} AS line, 'read_' || p_partkey AS handler, '/api/parts/{{part_id}}/' || p_size AS norm_path, 'GET' AS methods, 'part_id' AS params, 'PartOut' AS response_model, 'Part' || p_partkey AS model_refs FROM part
       UNION ALL SELECT {_REPO}, 'routers/h' || p_partkey || '.py', 10 + {_MORE}, 'tool_' || p_partkey, 'tools/tool_' || p_partkey, 'MCP_TOOL', '', 'Counts.', '' FROM part"""),

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
+import json
 import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote
@@ -13,6 +12,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.sources.tree import SourceTree
+
 NODES = "repo_id string, id string, type string, node_type string, path string, line int, symbol string, is_critical boolean, properties string"
 EDGES = "repo_id string, source string, target string, relation string, relation_type string, confidence double, is_exact boolean, param_map map<string,string>, properties string"
 #: Row groups of intermediate tables: small, as several tasks of an executor buffer one each.
@@ -21,12 +22,12 @@ SOURCE = r"(?i)\.(ts|tsx|js|jsx|py)$"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a local one only where none is set and the driver has the only executor."""
+    """A new path in the folder that all executors share. Where none is set and there is but one machine, it is the warehouse's."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -47,14 +48,12 @@ def spent(*tables: DataFrame) -> None:
         store.delete(at, True)
 
 
-def read_source_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
-    """source_files of a tree: relative path, content, mtime, size, sha256."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("path").rlike(SOURCE))
-    base = re.sub(r"^\w+:/*|^/+", "", root).rstrip("/") + "/"  # Spark may write scheme and slashes in another way
-    relative = F.substring("path", F.instr("path", base) + len(base), 1 << 20)
-    return files.select(
-        F.lit(repo_id).alias("repo_id"), relative.alias("path"), F.decode("content", "utf-8").alias("content"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")
-    )
+def read_source_files(spark: SparkSession, root: str, repo_id: str, folders: tuple[str, ...] | None = None, patterns: tuple[str, ...] | None = None) -> DataFrame:
+    """source_files of a tree: relative path, content, mtime, size, sha256. Ignored folders (F2) are never entered, nor are other files opened."""
+    spark.dataSource.register(SourceTree)
+    given = {"folders": folders, "patterns": patterns}
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    return spark.read.format("source_tree").options(repo_id=repo_id, pushdown=pushdown, **{k: json.dumps(v) for k, v in given.items() if v is not None}).load(root)
 
 
 def write_source_files(files: DataFrame, root: str) -> None:
