@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import labels
 from tracelake.jobs.adapters import CHANGED_FILES, CHANGES, FILES, PASSAGES, PROBLEMS, SNAPSHOTS, TEST_FILES, duck, table
-from tracelake.operators import checks, impact, incremental, reports
+from tracelake.operators import checks, impact, incremental, reach, reports
 from tracelake.sources import tables
 from tracelake.streaming.changes import debounce_changes
 
@@ -37,11 +37,17 @@ def _tested(s: SparkSession, d: str) -> DataFrame:
     return impact.map_tests_to_routes(impact.search_tokens(table(s, d, PASSAGES)), table(s, d, TEST_FILES))
 
 
+_LENGTH = "'models/len_' || CAST(CAST(floor(length(text) / 20) AS INT) AS STRING) || '.py'"  # an item's model: those of like length share one
+_ROUTE_MODELS = "SELECT 'bench' AS repo_id, 'api/' || CAST(item_id AS STRING) || '.py::item_' || CAST(item_id AS STRING) AS source, " + _LENGTH + " || '::Item' AS target FROM {benchmark}"
+_MODIFIED = "SELECT 'bench' AS repo_id, CAST(doc_id AS STRING) || '.spec.ts' AS path FROM {documents} WHERE doc_id % 7 = 0 UNION SELECT 'bench', 'api/' || CAST(item_id AS STRING) || '.py' FROM {benchmark} WHERE item_id % 3 = 0 UNION SELECT 'bench', " + _LENGTH + " FROM {benchmark} WHERE item_id % 5 = 0"
+
+
 def _impacted(s: SparkSession, d: str) -> DataFrame:
-    routes, tests = table(s, d, PASSAGES), table(s, d, TEST_FILES)
-    modified = table(s, d, "SELECT 'bench' AS repo_id, CAST(doc_id AS STRING) || '.spec.ts' AS path FROM {documents} WHERE doc_id % 7 = 0 UNION ALL SELECT repo_id, path FROM (" + PASSAGES + ") AS p WHERE ordinal % 3 = 0")
-    reached = routes.filter("ordinal % 5 = 0").select("repo_id", F.col("route_id").alias("node"))
-    return impact.impacted_tests(modified, tests, _tested(s, d), reached)
+    """Tests and files of routes and models are modified; what these reach on the graph of routes and their models counts too."""
+    modified, edges = table(s, d, _MODIFIED), table(s, d, _ROUTE_MODELS)
+    ends = edges.select("repo_id", F.col("source").alias("node")).unionByName(edges.select("repo_id", F.col("target").alias("node"))).distinct()
+    seeds = ends.withColumn("path", F.substring_index("node", "::", 1)).join(modified, ["repo_id", "path"], "left_semi")
+    return impact.impacted_tests(modified, table(s, d, TEST_FILES), _tested(s, d), reach.reach_of_set(edges, seeds))
 
 
 def _snippets(s: SparkSession, d: str) -> DataFrame:
@@ -125,7 +131,7 @@ ENTRIES = {
     "j10_map_tests": (_tested, _BENCH + " SELECT repo_id, route_id, test FROM hits"),
     "j11_untested_routes": (lambda s, d: impact.untested_routes(table(s, d, PASSAGES), _tested(s, d)).select("repo_id", "route_id"), _BENCH + " SELECT repo_id, route_id FROM routes WHERE route_id NOT IN (SELECT route_id FROM hits)"),
     "a4_test_coverage": (lambda s, d: impact.test_coverage(table(s, d, PASSAGES), _tested(s, d)), _BENCH + " SELECT repo_id, count(*) AS routes, count(*) FILTER (WHERE route_id IN (SELECT route_id FROM hits)) AS tested_routes, round(count(*) FILTER (WHERE route_id IN (SELECT route_id FROM hits)) / count(*)::DOUBLE, 3) AS coverage FROM routes GROUP BY repo_id"),
-    "j12_impacted_tests": (_impacted, _BENCH + " SELECT 'bench' AS repo_id, path AS test FROM tests WHERE regexp_extract(path, '(\\d+)', 1)::BIGINT % 7 = 0 UNION SELECT repo_id, test FROM hits WHERE ordinal % 3 = 0 OR ordinal % 5 = 0"),
+    "j12_impacted_tests": (_impacted, _BENCH + " SELECT 'bench' AS repo_id, path AS test FROM tests WHERE regexp_extract(path, '(\\d+)', 1)::BIGINT % 7 = 0 UNION SELECT repo_id, test FROM hits WHERE floor(length((SELECT any_value(raw_path) FROM routes r WHERE r.route_id = hits.route_id)) / 20) IN (SELECT floor(length(raw_path) / 20) FROM routes WHERE ordinal % 5 = 0 OR ordinal % 3 = 0) OR ordinal % 3 = 0"),
     "r1_debounced_changes": (lambda s, d: debounce_changes(table(s, d, CHANGES), GAP).select("repo_id", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("first_ts"), F.array_join("paths", ";").alias("paths"), "events"), f"""
       WITH c AS (SELECT * FROM ({duck(CHANGES)}) WHERE {_SRC}), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL {GAP} THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY repo_id ORDER BY ts)),
       n AS (SELECT *, sum(new) OVER (PARTITION BY repo_id ORDER BY ts) AS island FROM g)

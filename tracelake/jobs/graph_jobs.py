@@ -1,7 +1,7 @@
 """Registered queries on reachability: the trade graph (three levels, hubs) and the geography tree.
 
-On the trade graph every customer is a seed, and reach ends at DEPTH hops (``max_depth`` of ``blast_radius``): a nation's
-customers are all linked through parts, so whole components would have a row per pair of nodes.
+On the trade graph every customer is a seed, and reach by seeds ends at DEPTH hops (``max_depth`` of ``blast_radius``): a nation's
+customers are all linked through parts, so whole components would have a row per pair of nodes. Components are given as classes.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelake.jobs import match_jobs
 from tracelake.jobs.adapters import CALLS, GEO_EDGES, GEO_NODES, ROUTES, TRADE_EDGES, TRADE_NODES, TRADE_SEEDS, duck, table
-from tracelake.operators import graph
+from tracelake.operators import graph, reach
 
 DEPTH = 3
 
@@ -25,10 +25,15 @@ def _blast(s: SparkSession, d: str) -> DataFrame:
     return graph.blast_radius(edges, seeds, DEPTH)
 
 
+def _reach(s: SparkSession, d: str) -> DataFrame:
+    _, edges, seeds = _trade(s, d)
+    return reach.reach(edges, seeds, DEPTH)
+
+
 def _component(s: SparkSession, d: str) -> DataFrame:
     """Unbounded reach on the geography tree: every node from every region."""
     nodes, edges = table(s, d, GEO_NODES), table(s, d, GEO_EDGES)
-    return graph.blast_radius(edges, graph.nodes_by_type(nodes, "model").select("repo_id", F.col("id").alias("node"))).select("repo_id", "seed", "node", "depth")
+    return reach.reach(edges, graph.nodes_by_type(nodes, "model").select("repo_id", F.col("id").alias("node")))
 
 
 def _geo_paths(s: SparkSession, d: str) -> DataFrame:
@@ -71,19 +76,25 @@ FROM (SELECT r.repo_id, seed, node, n.path, node_type FROM reached r JOIN nodes
 ENTRIES = {
     "g3_blast_radius": (lambda s, d: _blast(s, d).withColumn("path", F.array_join("path", ">")), _TRADE + " SELECT repo_id, seed, node, depth, array_to_string(path, '>') AS path FROM reached"),
     "g3_component": (_component, _GEO + " SELECT repo_id, seed, node, min(depth) AS depth FROM walk GROUP BY ALL"),
+    "g3_classes": (lambda s, d: reach.components(_trade(s, d)[1]), f"""
+      WITH RECURSIVE edges AS ({duck(TRADE_EDGES)}), near AS (SELECT repo_id, source AS node, target AS next FROM edges UNION SELECT repo_id, target, source FROM edges),
+      classes(repo_id, node, component) USING KEY (repo_id, node) AS (
+        SELECT DISTINCT repo_id, node, node FROM near
+        UNION SELECT n.repo_id, n.next, min(c.component) FROM classes c JOIN near n ON n.repo_id = c.repo_id AND n.node = c.node JOIN recurring.classes k ON k.repo_id = n.repo_id AND k.node = n.next WHERE c.component < k.component GROUP BY ALL)
+      SELECT * FROM classes"""),
     "g4_simple_paths": (lambda s, d: graph.paths_by_depth(_geo_paths(s, d)).withColumn("path", F.array_join("path", ">")), _GEO + " SELECT repo_id, seed, node, depth, array_to_string(path, '>') AS path FROM walk"),
-    "g5_blast_summary": (lambda s, d: graph.blast_summary(_blast(s, d), _trade(s, d)[0]).withColumn("files", F.array_join("files", ";")), _TRADE + _SUMMARY),
-    "g6_impacted_files": (lambda s, d: graph.impacted_files(_modified(s, d), *_trade(s, d)[:2], max_depth=2), f"""
+    "g4_trade_paths": (lambda s, d: graph.simple_paths(*_trade(s, d)[1:], max_depth=4).withColumn("path", F.array_join("path", ">")), _TRADE.replace(f"depth < {DEPTH}", "depth < 4") + " SELECT repo_id, seed, node, depth, array_to_string(path, '>') AS path FROM walk"),
+    "g5_blast_summary": (lambda s, d: graph.blast_summary(_reach(s, d), _trade(s, d)[0]).withColumn("files", F.array_join("files", ";")), _TRADE + _SUMMARY),
+    "g6_impacted_files": (lambda s, d: graph.impacted_files(_modified(s, d), *_trade(s, d)[:2]), f"""
       WITH RECURSIVE nodes AS ({duck(TRADE_NODES)}), edges AS ({duck(TRADE_EDGES)}),
       modified AS (SELECT repo_id, path FROM nodes WHERE node_type = 'frontend_component' UNION SELECT 'n1', 'docs/new.md'),
       near AS (SELECT repo_id, source AS node, target AS next FROM edges UNION SELECT repo_id, target, source FROM edges),
-      walk AS (SELECT n.repo_id, n.id AS node, 0 AS depth FROM nodes n JOIN modified m ON n.repo_id = m.repo_id AND n.path = m.path
-               UNION SELECT w.repo_id, next, depth + 1 FROM walk w JOIN near USING (repo_id, node) WHERE depth < 2)
+      walk AS (SELECT n.repo_id, n.id AS node FROM nodes n JOIN modified m ON n.repo_id = m.repo_id AND n.path = m.path UNION SELECT w.repo_id, next FROM walk w JOIN near USING (repo_id, node))
       SELECT DISTINCT n.repo_id, n.path FROM nodes n JOIN walk w ON n.repo_id = w.repo_id AND n.id = w.node UNION SELECT repo_id, path FROM modified"""),
     "g7_trace_chains": (_chains, _GEO + """, full_paths AS (SELECT w.repo_id, seed, path, list_extract(path, 3) AS s, list_extract(path, 2) AS n FROM walk w WHERE depth = 2)
       SELECT f.repo_id, seed, s.symbol || '.tsx -> ' || n.title || ' -> ' || r.symbol AS chain FROM full_paths f JOIN nodes s ON s.id = f.s JOIN nodes n ON n.id = f.n JOIN nodes r ON r.id = f.seed
       UNION SELECT w.repo_id, w.seed, r.symbol || ' -> ' || n.symbol FROM walk w JOIN nodes r ON r.id = w.seed JOIN nodes n ON n.id = w.node WHERE depth = 1 AND w.seed NOT IN (SELECT seed FROM full_paths)"""),
-    "g8_induced_edges": (lambda s, d: graph.induced_edges(_blast(s, d), _trade(s, d)[1]).select("repo_id", "seed", "source", "target"), _TRADE + """
+    "g8_induced_edges": (lambda s, d: graph.induced_edges(_reach(s, d), _trade(s, d)[1]).select("repo_id", "seed", "source", "target"), _TRADE + """
       SELECT e.repo_id, a.seed, source, target FROM edges e JOIN reached a ON a.repo_id = e.repo_id AND a.node = e.source JOIN reached b ON b.repo_id = e.repo_id AND b.node = e.target AND a.seed = b.seed"""),
     "f9_nodes_by_type": (lambda s, d: graph.nodes_by_type(_trade(s, d)[0], "route").groupBy("repo_id").agg(F.count(F.lit(1)).alias("routes"), F.count_distinct("path").alias("files")), f"SELECT repo_id, count(*) AS routes, count(DISTINCT path) AS files FROM ({duck(TRADE_NODES)}) WHERE node_type = 'api_route' GROUP BY repo_id"),
     "j18_resolve_target": (lambda s, d: graph.resolve_target(table(s, d, GEO_NODES), table(s, d, _TARGETS)), f"""

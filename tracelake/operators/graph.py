@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.labels import CALLS, MODELS, ROUTES
 from tracelake.functions.paths import call_id, symbol_id
-from tracelake.sources.tables import written
+from tracelake.operators.reach import both_ways, reach_of_set
+from tracelake.sources.tables import spent, written
 
 KIND = {"call": CALLS, "route": ROUTES, "model": MODELS}
 
@@ -61,19 +62,15 @@ def nodes_by_type(nodes: DataFrame, kind: str) -> DataFrame:
     return nodes.filter(F.col("node_type").isin(*KIND[kind]))
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    there = edges.select("repo_id", F.col("source").alias("node"), F.col("target").alias("next"))
-    return there.unionByName(edges.select("repo_id", F.col("target").alias("node"), F.col("source").alias("next"))).distinct()
-
-
 def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(repo_id, seed, node, depth, path): every node that a seed reaches over edges in either direction, once, with the
     smallest of its shortest paths. Seeds are (repo_id, node). One join per hop; each hop is written, so lineage stays short. As edges
-    go both ways, a hop leads to the next depth or to the two last ones, so that only these are left out of it.
+    go both ways, a hop leads to the next depth or to the two last ones, so that only these are left out of it. Where the paths are
+    not asked for, ``reach.reach`` finds the rest with a fraction of the rows.
     """
-    near = written(_both_ways(edges), "near")
+    near = written(both_ways(edges), "near")
     front = written(seeds.select("repo_id", F.col("node").alias("seed"), "node", F.lit(0).alias("depth"), F.array("node").alias("path")).distinct(), "hop")
-    seen, last, depth = front, None, 0
+    hops, last, depth = [front], None, 0
     while (max_depth is None or depth < max_depth) and not front.isEmpty():
         depth += 1
         reached = front.select("repo_id", "seed", "node", "path").join(near, ["repo_id", "node"])
@@ -81,22 +78,32 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int | None = Non
         known = front if last is None else front.unionByName(last)
         reached = reached.join(known.select("repo_id", "seed", "node"), ["repo_id", "seed", "node"], "left_anti")
         last, front = front, written(reached.select("repo_id", "seed", "node", F.lit(depth).alias("depth"), F.array_append("before", F.col("node")).alias("path")), "hop")
-        seen = seen.unionByName(front)
-    return seen
+        hops.append(front)
+    return _gathered(hops, near)
+
+
+def _gathered(hops: list[DataFrame], near: DataFrame) -> DataFrame:
+    """The rows of all hops as one table; theirs go."""
+    out = hops[0]
+    for hop in hops[1:]:
+        out = out.unionByName(hop)
+    out = written(out, "walked")
+    spent(near, *hops)
+    return out
 
 
 def simple_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 8) -> DataFrame:
     """(repo_id, seed, node, depth, path): every cycle-free path of up to so many edges."""
-    near = written(_both_ways(edges), "near")
+    near = written(both_ways(edges), "near")
     front = written(seeds.select("repo_id", F.col("node").alias("seed"), "node", F.lit(0).alias("depth"), F.array("node").alias("path")).distinct(), "hop")
-    found = front
+    hops = [front]
     for depth in range(1, max_depth + 1):
         if front.isEmpty():
             break
         longer = front.drop("depth").join(near, ["repo_id", "node"]).filter(~F.array_contains("path", F.col("next")))
         front = written(longer.select("repo_id", "seed", F.col("next").alias("node"), F.lit(depth).alias("depth"), F.array_append("path", F.col("next")).alias("path")), "hop")
-        found = found.unionByName(front)
-    return found
+        hops.append(front)
+    return _gathered(hops, near)
 
 
 def paths_by_depth(paths: DataFrame) -> DataFrame:
@@ -114,9 +121,9 @@ def blast_summary(reached: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def impacted_files(modified: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(repo_id, path): the modified files and those of all nodes that their nodes reach."""
+    """(repo_id, path): the modified files and those of all nodes that their nodes reach: of their components, or within ``max_depth`` hops."""
     seeds = nodes.join(modified.select("repo_id", "path").distinct(), ["repo_id", "path"]).select("repo_id", F.col("id").alias("node"))
-    reached = blast_radius(edges, seeds, max_depth).select("repo_id", F.col("node").alias("id")).distinct()
+    reached = reach_of_set(edges, seeds, max_depth).withColumnRenamed("node", "id")
     files = nodes.join(reached, ["repo_id", "id"], "left_semi").select("repo_id", "path")
     return files.unionByName(modified.select("repo_id", "path")).distinct()
 
