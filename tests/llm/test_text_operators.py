@@ -84,6 +84,25 @@ def test_mixing_meets_targets(spark):
         assert abs(taken - target) <= max(0.03 * target, 5)
 
 
+def test_copies_come_as_often_as_they_are_expected(spark):
+    """Many sources of like make are as many draws: copies by length class against the inclusion probabilities, unequal within a source."""
+    sizes = [2, 5, 12, 25, 40] * 50
+    rows = [(1000 * s + k, "w " * n, f"s{s:03}") for s in range(40) for k, n in enumerate(sizes)]
+    level = sum(sizes) / sum((8 + n.bit_length()) * n for n in sizes)
+    for share in (0.55, 1.7):
+        got = mixing.mix(documents(spark, rows), weights=(1,), share=share).collect()
+        means = [np.mean([r["copies"] for r in got if r["size"] == n]) for n in sizes[:5]]
+        want = [share * level * (8 + n.bit_length()) for n in sizes[:5]]
+        assert np.abs(np.array(means) - want).max() < 0.08 and means == sorted(means) and want[-1] > want[0] + 0.1
+        assert {r["copies"] for r in got} == {int(share), int(share) + 1}
+
+
+def test_many_sources_are_numbered_over_ranges(spark):
+    rows = spark.createDataFrame([(f"s{k * 7919 % 5000:04}",) for k in range(5000)] + [(None,), ("é",), ("Z",)], "source string").repartition(9)
+    got = {r["source"]: r["rank"] for r in mixing.numbered(rows, "source").collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == [*sorted((k for k in got if k is not None), key=lambda k: k.encode()), None] and sorted(got.values()) == list(range(5003))
+
+
 def test_mixing_empty_and_wordless(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     assert {tuple(r)[2:] for r in mixing.mix(documents(spark, [(1, None), (2, " ")])).collect()} == {(0, 0, 0.0, 0)}

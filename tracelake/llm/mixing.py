@@ -1,16 +1,18 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every source gets a target in words: a share of the whole by its weight, at most ``most`` times its own size;
-what a source cannot take is reshared by weight among the others. With r = target / size of the source, each of
-its documents has floor(r) certain whole copies, and a further copy with inclusion probability p = r - floor(r).
+what a source cannot take is reshared by weight among the others. Within a source, expected copies e grow with length: in
+proportion to LEAN + the bits of a document's size, at most ``most``, so that e times size sums up to the target. Each
+document has floor(e) certain whole copies, and a further copy with inclusion probability p = e - floor(e).
 Documents are ranked by the Pareto variable (u / (1 - u)) / (p / (1 - p)), u a hash of the id, and the lowest
 ranks are taken until their words fill what is left of the target: a sample of fixed size, measured in words.
 In the order of ranks a document that would pass the mark is left out, and later ones that still fit fill the room that is
 left, over the whole source. If room remains, the smallest document left out is taken where that lands nearer to the mark.
 
 The mark is found without sorting a source in one task: words that still fit are summed per slice of the rank, the slice
-that holds the mark is found from these sums, and only its documents are put in order. The room behind the mark is filled in
-steps of BATCH documents that fit, until none does.
+that holds the mark is found from these sums, and only its documents are put in order. The room that a document too large for it leaves is filled
+alike, MARKS times, and then in steps of BATCH documents that fit, until none does. Sources are numbered over ranges, and the level of
+their shares is found by sums over them, so that they may be many.
 
 Defined results: null text has size 0; null is a source of its own, last; a source without words has target 0; rows of
 null id are ranked by their text; rows of one rank go by a hash of their text, so that reruns agree whatever the order of
@@ -27,42 +29,73 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.shared import spent, written
 
-SLICE_ROWS, MOST_SLICES, BATCH = 2000, 1 << 20, 4096
+SLICE_ROWS, MOST_SLICES, BATCH, MARKS = 2000, 1 << 20, 4096, 3
+#: Expected copies go by this number plus the bits of the size: twice as many for 1,000 words as for one or two.
+LEAN = 8
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """The rows with ``rank``, their place in the order of ``key`` from 0, nulls last. Ranges are sorted side by side; only their sizes reach the driver."""
+    order = [F.col(key).isNull(), F.col(key)]
+    placed = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("own", F.monotonically_increasing_id()), "ranges")
+    part, size = F.shiftright("own", 33).cast("int"), {r[0]: r[1] for r in placed.groupBy(F.shiftright("own", 33)).count().collect()}
+    ahead = [sum(n for k, n in size.items() if k < part) for part in range(max(size, default=0) + 1)]
+    return placed.withColumn("rank", F.element_at(F.array(*[F.lit(x).cast("long") for x in ahead]), part + 1) + F.col("own").bitwiseAND((1 << 33) - 1)).drop("own")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3) -> DataFrame:
     """From (source, source_size), one row a source: its target, capped shares spread by weight over the rest."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    rank = F.row_number().over(order) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    capped = sizes.withColumn("weight", weight.cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    # Sources reach their caps in the order of cap / weight; the level is set by the first that does not, the highest that fits.
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    left = F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    open_weight = F.sum("weight").over(by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    level = capped.withColumn("level", left / open_weight)
-    first = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(whole)
-    return level.withColumn("found", first).select(
-        *sizes.columns, F.least(F.col("cap"), F.coalesce(F.col("found") * F.col("weight"), F.col("cap"))).alias("target")
-    )
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    capped = numbered(sizes, "source").withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    level, over = 0.0, -1
+    while True:  # the level rises with every source that stays below it; as they only become more, this ends soon
+        full = F.lit(level) * F.col("weight") > F.col("cap")
+        total, taken, free, now = capped.agg(F.sum("source_size"), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        if now == over or not free:
+            break
+        level, over = (float(total) * share - (taken or 0.0)) / free, now
+    target = F.least(F.col("cap"), F.lit(level) * F.col("weight")) if free else F.col("cap")
+    return capped.select(*sizes.columns, target.alias("target"))
+
+
+def plan_of(rows: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """From (source, size): for each source, and the ``bits`` of its sizes, the certain copies and the odds of one more; and the room of the source for these."""
+    bits = rows.groupBy("source", F.length(F.bin("size")).alias("bits")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    bits = written(bits, "bits")
+    sums = bits.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("source_rows"))
+    aimed = targets(sums, weights, share, most).withColumnsRenamed({"source": "s"})
+    lean = F.col("bits") + F.lit(LEAN)
+    own = bits.join(aimed, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # the longest texts are the first to reach the cap; the level is set by the first that does not
+    order = Window.partitionBy("source").orderBy(F.col("bits").desc())
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    level = (F.col("target") - F.coalesce(F.sum("words").over(before), F.lit(0)) * F.lit(float(most))) / F.sum(lean * F.col("words")).over(after)
+    own = own.withColumn("level", F.when(F.sum(lean * F.col("words")).over(after) > 0, level))
+    found = F.max(F.when(F.col("level") * lean <= most, F.col("level"))).over(Window.partitionBy("source"))
+    expected = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.coalesce(found * lean, F.lit(float(most))))).otherwise(F.lit(0.0))
+    own = own.withColumn("expected", expected).withColumn("certain", F.floor("expected").cast("long"))
+    own = own.withColumn("odds", (F.col("expected") - F.col("certain")) / (F.lit(1.0) - (F.col("expected") - F.col("certain"))))
+    room = F.col("target") - F.sum(F.col("certain") * F.col("words")).over(Window.partitionBy("source"))
+    slices = F.least(F.floor(F.col("source_rows") / SLICE_ROWS) + 1, F.lit(MOST_SLICES))
+    out = written(own.select("source", "bits", "source_size", "target", "expected", "certain", "odds", room.alias("room"), slices.alias("slices")), "targets")
+    spent(bits)
+    return out
 
 
 def _upto_mark(ranked: DataFrame, marks: DataFrame) -> DataFrame:
-    """(s, room, before, left): documents of at most ``room`` words ahead of ``before`` (null: to the end) are taken, and ``left`` is over."""
-    now = marks.select(F.col("source").alias("s"), "room")
-    live = ranked.join(now, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("room"))).drop("source")
+    """(s, room, after, before, left): documents of at most ``room`` words behind ``after`` and ahead of ``before`` (null: to the end) are taken, and ``left`` is over."""
+    now = marks.select("s", "room", "after")
+    live = ranked.join(now, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("room")) & (F.col("after").isNull() | (F.col("at") > F.col("after")))).drop("source")
     ahead = F.coalesce(F.sum("words").over(Window.partitionBy("s").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = live.groupBy("s", "slice").agg(F.sum("size").alias("words")).withColumn("ahead", ahead)
     total = placed.groupBy("s").agg(F.sum("words").alias("fit"))
     # the one slice of each source where the mark is passed, its documents in order
-    edge = placed.join(now.withColumnRenamed("s", "z"), F.col("s").eqNullSafe(F.col("z"))).filter("ahead <= room and ahead + words > room").select(F.col("z").alias("e"), F.col("slice").alias("k"), "ahead")
+    edge = placed.join(now.select(F.col("s").alias("z"), F.col("room").alias("room")), F.col("s").eqNullSafe(F.col("z"))).filter("ahead <= room and ahead + words > room").select(F.col("z").alias("e"), F.col("slice").alias("k"), "ahead")
     inside = live.join(edge, F.col("s").eqNullSafe(F.col("e")) & (F.col("slice") == F.col("k")))
     inside = inside.withColumn("end", F.col("ahead") + F.sum("size").over(Window.partitionBy("s").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     cut = inside.groupBy("s").agg(F.min(F.when(F.col("end") > F.col("room"), F.struct("at", "end", "size"))).alias("first")).select(F.col("s").alias("c"), F.col("first.at").alias("before"), (F.col("first.end") - F.col("first.size")).alias("took"))
     joined = now.join(total.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t")), "left").join(cut, F.col("s").eqNullSafe(F.col("c")), "left")
-    return written(joined.select("s", "room", "before", (F.col("room") - F.coalesce("took", "fit", F.lit(0))).alias("left")), "mix-marks")
+    return written(joined.select("s", "room", "after", "before", (F.col("room") - F.coalesce("took", "fit", F.lit(0))).alias("left")), "mix-marks")
 
 
 def _into_room(ranked: DataFrame, first: DataFrame, batch: int) -> tuple[list[DataFrame], DataFrame]:
@@ -96,33 +129,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
     rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.md5(text).alias("tie"), F.monotonically_increasing_id().alias("row")), "sizes")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    # The sources' table stays a small side: a row a source, which Spark broadcasts only below its own threshold.
-    plan = written(
-        targets(sums, weights, share, most)
-        .withColumn("certain", F.floor(ratio).cast("long"))
-        .withColumn("odds", (ratio - F.col("certain")) / (F.lit(1.0) - (ratio - F.col("certain"))))
-        .withColumn("slices", F.least(F.floor(F.col("source_rows") / SLICE_ROWS) + 1, F.lit(MOST_SLICES)))
-        .withColumn("room", F.col("target") - F.col("certain") * F.col("source_size")),
-        "targets",
-    )
+    # The plan stays a small side: a row for each source and length class, which Spark broadcasts only below its own threshold.
+    plan = plan_of(rows, weights, share, most)
     digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.col("tie")))), 1, 13)
     u = (F.conv(digest, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
-    # within a source the Pareto variable grows with u alone; it is the rank that the order goes by
-    rank = F.when(F.col("odds") > 0, u / (F.lit(1.0) - u) / F.col("odds")).otherwise(u)
-    named = plan.select(F.col("source").alias("s"), "slices", "odds")
-    ranked = rows.join(named, F.col("source").eqNullSafe(F.col("s"))).select("source", "row", "size", F.floor(u * F.col("slices")).cast("int").alias("slice"), F.struct(rank.alias("rank"), "tie", "row").alias("at"))
-    ranked = written(ranked.filter("size > 0"), "ranked")
-    first = _upto_mark(ranked, plan.filter("odds > 0"))
-    ahead = ranked.join(first, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("room")) & (F.col("before").isNull() | (F.col("at") < F.col("before"))), "left_semi").select("row")
+    rank = u / (F.lit(1.0) - u) / F.col("odds")
+    named = plan.select(F.col("source").alias("s"), F.col("bits").alias("b"), "slices", "odds").filter("odds > 0")
+    ranked = rows.filter("size > 0").join(named, F.col("source").eqNullSafe(F.col("s")) & (F.length(F.bin("size")) == F.col("b"))).withColumn("rank", rank)
+    slice_of = F.floor(F.col("rank") / (F.col("rank") + 1.0) * F.col("slices")).cast("int")  # grows with the rank
+    ranked = written(ranked.select("source", "row", "size", slice_of.alias("slice"), F.struct("rank", "tie", "row").alias("at")), "ranked")
+    marks = plan.groupBy("source").agg(F.max("room").alias("room"), F.max("odds").alias("odds")).filter("odds > 0")
+    marks = marks.select(F.col("source").alias("s"), "room", F.lit(None).cast(ranked.schema["at"].dataType).alias("after"))
+    ahead, settled = [], []  # settled: sources where all that fits is taken
+    for k in range(MARKS):
+        first = _upto_mark(ranked, marks)
+        fits = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("room")) & (F.col("after").isNull() | (F.col("at") > F.col("after"))) & (F.col("before").isNull() | (F.col("at") < F.col("before")))
+        ahead.append(ranked.join(first, fits, "left_semi").select("row"))
+        if k < MARKS - 1:
+            settled.append(first.filter("before is null").select("s", F.col("left").alias("room")))
+            marks = first.filter("before is not null").select("s", F.col("left").alias("room"), F.col("before").alias("after"))
     took, ends = _into_room(ranked, first, batch)
-    chosen = written(reduce(DataFrame.unionByName, [ahead, *took]), "chosen")
+    ends = reduce(DataFrame.unionByName, [*settled, ends])
+    chosen = written(reduce(DataFrame.unionByName, [*ahead, *took]), "chosen")
     # what was left out is larger than the room that is left, if any is: the smallest of it may still land nearer
     over = ranked.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("room") > 0) & (F.col("size") > F.col("room")) & (F.col("size") < 2 * F.col("room")))
     over = over.join(chosen.select(F.col("row").alias("had")), F.col("row") == F.col("had"), "left_anti").groupBy("source").agg(F.min(F.struct("size", "at")).alias("least"))
     extra = chosen.select("row").unionByName(over.select(F.col("least.at.row").alias("row"))).select(F.col("row").alias("r"), F.lit(1).cast("long").alias("extra"))
-    out = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).join(extra, F.col("row") == F.col("r"), "left")
+    own = plan.withColumnsRenamed({"source": "s", "bits": "b"})
+    out = rows.join(own, F.col("source").eqNullSafe(F.col("s")) & (F.length(F.bin("size")) == F.col("b"))).join(extra, F.col("row") == F.col("r"), "left")
     out = written(out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("certain") + F.coalesce("extra", F.lit(0))).alias("copies")), "mixed")
     spent(rows, ranked, chosen)
     return out

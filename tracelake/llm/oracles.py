@@ -23,11 +23,16 @@ levels AS (
             / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed),
 aimed AS (SELECT *, least(cap, coalesce((max(level) FILTER (WHERE level * weight <= cap) OVER ()) * weight, cap)) AS target FROM levels),
+classes AS (SELECT source AS c, length(bin(size)) AS b, sum(size)::BIGINT AS words, any_value(source_size) AS source_size, any_value(target) AS target FROM docs JOIN aimed USING (source) GROUP BY ALL
+            UNION ALL SELECT d.source, length(bin(size)), sum(size)::BIGINT, any_value(source_size), any_value(target) FROM docs d JOIN aimed a ON d.source IS NULL AND a.source IS NULL GROUP BY ALL),
+heights AS (
+  SELECT *, sum((8 + b) * words) OVER w AS rest, (target - coalesce(sum(words) OVER (PARTITION BY c ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT * 3::DOUBLE) AS open
+  FROM classes WINDOW w AS (PARTITION BY c ORDER BY b DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+grown AS (SELECT *, CASE WHEN rest > 0 THEN open / rest::BIGINT END AS height FROM heights),
+expected AS (SELECT *, CASE WHEN source_size > 0 THEN least(3::DOUBLE, coalesce((max(height) FILTER (WHERE height * (8 + b) <= 3) OVER (PARTITION BY c)) * (8 + b), 3::DOUBLE)) ELSE 0::DOUBLE END AS e FROM grown),
 plan AS (
-  SELECT source AS s, source_size, target, floor(ratio)::BIGINT AS certain, (ratio - floor(ratio)) / (1::DOUBLE - (ratio - floor(ratio))) AS odds,
-         target - floor(ratio)::BIGINT * source_size AS room
-  FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0::DOUBLE END AS ratio FROM aimed)),
-ranked AS (SELECT *, CASE WHEN odds > 0 THEN u / (1::DOUBLE - u) / odds ELSE u END AS rank FROM docs JOIN plan ON source IS NOT DISTINCT FROM s),
+  SELECT c AS s, b, source_size, target, floor(e)::BIGINT AS certain, (e - floor(e)) / (1::DOUBLE - (e - floor(e))) AS odds, target - sum(floor(e)::BIGINT * words) OVER (PARTITION BY c)::BIGINT AS room FROM expected),
+ranked AS (SELECT *, CASE WHEN odds > 0 THEN u / (1::DOUBLE - u) / odds ELSE u END AS rank FROM docs JOIN plan ON source IS NOT DISTINCT FROM s AND length(bin(size)) = b),
 -- in the order of ranks whatever fits, then the smallest of the rest if it lands nearer to the mark
 filled AS (
   SELECT source AS f, list_reduce(list({'i': i, 'size': size} ORDER BY rank, tie, i), lambda a, x: CASE WHEN x.size <= a.room THEN {'room': a.room - x.size, 'took': list_append(a.took, x.i)} ELSE a END, {'room': max(room), 'took': []::BIGINT[]}) AS done
