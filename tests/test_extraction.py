@@ -60,3 +60,27 @@ def test_files_of_any_depth_keep_their_records(spark):
     assert {(r["path"], r["var"]): r["rhs"] for r in bindings.collect()}["ü.py", "b"] == "f(\n  'ß')"
     assert {(r["path"], r["obj"], r["attr"]) for r in accesses.collect()} >= {("deep.py", "row", "name"), ("chain.py", "z", "a")}
     assert [r["norm_path"] for r in extract.extract_routes(facts).collect()] == ["/deep"]
+
+
+def test_prefixes_through_files_and_packages(spark):
+    """Four files deep, by a package that passes a router on, by relative modules, and in circles; each way ends before a file comes up again."""
+    texts = {
+        "src/main.py": "from api import router as everything\napp = FastAPI()\napp.include_router(everything, prefix='/root')\n",
+        "src/api/__init__.py": "from .v1 import router\nfrom . import extra\nother = APIRouter(prefix='/other')\nother.include_router(extra.router, prefix='/more')\n",
+        "src/api/v1.py": "from .routers import users, teams as crew\nrouter = APIRouter(prefix='/v1')\nrouter.include_router(users.router, prefix='/people')\nrouter.include_router(crew.router)\n",
+        "src/api/extra.py": "router = APIRouter()\n@router.get('/x')\ndef x(): pass\n",
+        "src/api/routers/users/__init__.py": "from ..deep.items import router as items\nrouter = APIRouter(prefix='/users')\nrouter.include_router(items, prefix='/{id}')\n@router.get('/me')\ndef me(): pass\n",
+        "src/api/routers/teams.py": "router = APIRouter(prefix='/teams')\n@router.get('/all')\ndef many(): pass\n",
+        "src/api/routers/deep/items.py": "router = APIRouter(prefix='/items')\n@router.get('/{item}')\ndef one(): pass\n",
+        "lib/routers/teams.py": "router = APIRouter()\n@router.get('/elsewhere')\ndef far(): pass\n",
+        "round/a.py": "from .b import router as b\nrouter = APIRouter(prefix='/a')\nrouter.include_router(b)\n@router.get('/in_a')\ndef in_a(): pass\n",
+        "round/b.py": "from .a import router as a\nrouter = APIRouter(prefix='/b')\nrouter.include_router(a)\n@router.get('/in_b')\ndef in_b(): pass\n",
+    }
+    chain = {f"chain/f{k}.py": f"from .f{k + 1} import router as below\nrouter = APIRouter()\nrouter.include_router(below, prefix='/p{k}')\n" for k in range(9)} | {"chain/f9.py": "router = APIRouter()\n@router.get('/end')\ndef end(): pass\n"}
+    files = spark.createDataFrame([("r", path, text) for path, text in (texts | chain).items()], FILES)
+    facts = extract.python_facts(files)
+    got = {r["handler"]: r["norm_path"] for r in extract.resolve_router_prefix(extract.extract_routes(facts), facts).collect()}
+    assert got == {
+        "me": "/root/v1/people/users/me", "many": "/root/v1/teams/all", "one": "/root/v1/people/users/{id}/items/{item}", "x": "/other/more/x", "far": "/elsewhere", "in_a": "/b/a/in_a", "in_b": "/a/b/in_b",
+        "end": "/" + "/".join(f"p{k}" for k in range(9)) + "/end",
+    }

@@ -26,6 +26,8 @@ NOT_MODELS = ("db", "session", "select", "query")
 BASES = ("Base", "DeclarativeBase")
 ROUTERS = ("APIRouter", "FastAPI")
 PYTHON = r"(?i)\.py$"
+#: A router's name is followed through at most so many packages that pass it on.
+PASSED_ON = 10
 
 CALL_ROWS = "repo_id string, path string, ordinal int, line int, raw_url string, norm_path string, path_params array<string>, is_template boolean, verb string, option string"
 FACT_ROWS = "repo_id string, path string, kind string, line int, col int, ordinal int, name string, owner string, value string, detail string, extra string, body string"
@@ -242,23 +244,84 @@ def imports_and_includes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _imports(files).drop("original"), includes
 
 
-def resolve_router_prefix(routes: DataFrame, files: DataFrame) -> DataFrame:
-    """Routes of files whose router another file includes get that file's prefix in front, unless it is there already.
+def _placed(rows: DataFrame, files: DataFrame, *names: str) -> DataFrame:
+    """Rows (repo_id, path, module, ...) with ``found``, each file that the module names: ``m.py`` or ``m/__init__.py``, below the folder that a
+    relative module starts from, else wherever a path ends so: an equi-join on path endings.
+    """
+    dots = F.length(F.regexp_extract("module", r"^\.*", 0))
+    own = F.split("path", "/")
+    folder = F.when(dots > 0, F.array_join(F.slice(own, 1, F.greatest(F.size(own) - dots, F.lit(0))), "/")).otherwise(F.lit(""))
+    place = F.replace(F.regexp_replace("module", r"^\.+", ""), F.lit("."), F.lit("/"))
+    whole = F.concat_ws("/", F.when(folder != "", folder), F.when(place != "", place))
+    ends = F.array(F.concat(whole, F.lit(".py")), F.concat_ws("/", F.when(whole != "", whole), F.lit("__init__.py")))
+    asked = rows.select("repo_id", "path", *names, (dots > 0).alias("exact"), F.explode(ends).alias("ending"))
+    parts = F.split("path", "/")
+    known = _of_kind(files, "file") if "kind" in files.columns else files
+    endings = known.select("repo_id", F.col("path").alias("found"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("ending"))
+    return asked.join(endings, ["repo_id", "ending"]).filter(~F.col("exact") | (F.col("found") == F.col("ending"))).drop("exact", "ending")
+
 
-    The included name leads to its module (``users.router`` to the module that was imported as ``users``), the module to the files that
-    end with its path: an equi-join on path endings.
+def included_files(files: DataFrame) -> DataFrame:
+    """(repo_id, file, parent, added): for each file with a router that another file includes, the last such include: the including file, and the
+    prefix of its router with that of the include. Names that a package only passes on lead to where they come from.
     """
     imports, includes = _imports(files), imports_and_includes(files)[1]
     parents = router_prefixes(files).groupBy("repo_id", "path", "router").agg(F.max_by("prefix", "ordinal").alias("own")).withColumnRenamed("router", "parent")
     linked = includes.withColumn("name", F.substring_index("target", ".", 1)).join(imports, ["repo_id", "path", "name"]).join(parents, ["repo_id", "path", "parent"], "left")
-    module = F.regexp_replace("module", r"^\.+", "")
-    inner = F.when(F.contains("target", F.lit(".")), F.concat_ws(".", F.when(module != "", module), "original"))
-    ends = linked.select("repo_id", F.explode(F.array_compact(F.array(F.when(module != "", module), inner))).alias("module"), join_prefix(F.col("own"), F.col("prefix")).alias("added"), F.struct("path", "ordinal").alias("order"))
-    ends = ends.withColumn("ending", F.concat(F.replace("module", F.lit("."), F.lit("/")), F.lit(".py")))
-    parts = F.split("path", "/")
-    known = _of_kind(files, "file") if "kind" in files.columns else files
-    endings = known.select("repo_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("ending"))
-    added = endings.join(ends, ["repo_id", "ending"]).groupBy("repo_id", "path").agg(F.max_by("added", "order").alias("added"))
+    # ``users.router`` is the router of the module ``users``, ``router`` that of the module it is imported from
+    inner = F.concat(F.col("module"), F.when(F.col("module").rlike(r"[^.]$"), F.lit(".")).otherwise(F.lit("")), "original")
+    of_module = F.contains("target", F.lit("."))
+    ways = F.array_compact(F.array(F.struct(F.col("module").alias("module"), F.when(~of_module, F.col("original")).alias("wanted")), F.when(of_module, F.struct(inner.alias("module"), F.lit(None).cast("string").alias("wanted")))))
+    asked = linked.select("repo_id", "path", F.col("path").alias("parent"), join_prefix(F.col("own"), F.col("prefix")).alias("added"), "ordinal", F.explode(ways).alias("way")).select("*", "way.module", "way.wanted")
+    front = written(_placed(asked, files, "parent", "added", "ordinal", "wanted"), "includes")
+    steps = [front]
+    passed = imports.select("repo_id", F.col("path").alias("found"), F.col("name").alias("wanted"), F.col("module"), F.col("original"))
+    for _ in range(PASSED_ON):
+        more = front.filter("wanted is not null").drop("path").join(passed, ["repo_id", "found", "wanted"]).select("repo_id", F.col("found").alias("path"), "parent", "added", "ordinal", F.col("original").alias("wanted"), "module")
+        front = written(_placed(more, files, "parent", "added", "ordinal", "wanted").filter("found <> path"), "includes")
+        if front.isEmpty():
+            break
+        steps.append(front)
+    every = steps[0]
+    for step in steps[1:]:
+        every = every.unionByName(step)
+    every = every.join(passed, ["repo_id", "found", "wanted"], "left_anti")  # a name that is passed on is included where it comes from
+    last = every.filter("found <> parent").groupBy("repo_id", F.col("found").alias("file")).agg(F.max(F.struct("parent", "ordinal", "added")).alias("x"))
+    out = written(last.select("repo_id", "file", "x.parent", "x.added"), "included")
+    spent(*dict.fromkeys([*steps, front]))
+    return out
+
+
+def file_prefixes(files: DataFrame) -> DataFrame:
+    """(repo_id, file, added): the prefix of each included file, through all the files on its way from the outermost one.
+
+    By pointer doubling: a file knows the files above it and the prefix that each adds; joined with what its topmost one knows it knows twice as
+    many, so that rounds grow with the logarithm of the depth. A way ends before a file comes up again.
+    """
+    links = included_files(files)
+    state = written(links.select("repo_id", "file", F.array(F.struct(F.col("parent").alias("path"), "added")).alias("way")), "ways")
+    spent(links)
+    while True:
+        top = F.element_at("way", -1)["path"]
+        above = state.select("repo_id", F.col("file").alias("top"), F.col("way").alias("more"))
+        joined = state.withColumn("top", top).join(above, ["repo_id", "top"])
+        paths = F.concat(F.array("file"), F.transform("way", lambda x: x["path"]))
+        again = F.filter(F.transform("more", lambda x, k: F.when(F.array_contains(paths, x["path"]), k + 1)), lambda k: k.isNotNull())
+        new = F.slice("more", 1, F.coalesce(F.try_element_at(again, F.lit(1)) - 1, F.size("more")))
+        longer = written(joined.select("repo_id", "file", F.concat("way", new).alias("longer"), (F.size(new) > 0).alias("grew")).filter("grew"), "longer")
+        if longer.isEmpty():
+            spent(longer)
+            break
+        merged = state.join(longer.select("repo_id", "file", "longer"), ["repo_id", "file"], "left").select("repo_id", "file", F.coalesce("longer", "way").alias("way"))
+        last, state = state, written(merged, "ways")
+        spent(last, longer)
+    bare = F.filter(F.transform(F.reverse("way"), lambda x: F.regexp_replace(x["added"], "^/+|/+$", "")), lambda x: x != "")
+    return state.select("repo_id", "file", F.concat(F.lit("/"), F.array_join(bare, "/")).alias("added"))
+
+
+def resolve_router_prefix(routes: DataFrame, files: DataFrame) -> DataFrame:
+    """Routes of files whose router another file includes get the prefixes from there up in front, unless they are there already."""
+    added = file_prefixes(files).withColumnRenamed("file", "path")
     out = routes.join(added, ["repo_id", "path"], "left")
     tool = F.exists("methods", lambda m: m.startswith("MCP_"))
     there = F.col("added").isNull() | (F.col("added") == "/") | F.startswith("norm_path", "added") | tool
