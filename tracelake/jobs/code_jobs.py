@@ -25,7 +25,8 @@ def _client(s: SparkSession, d: str) -> DataFrame:
 
 
 def _server(s: SparkSession, d: str) -> DataFrame:
-    """A handler file per part, a model file per part, and an application file per hundred parts that includes their routers.
+    """A handler file per part, a model file per part, and an application file per hundred parts that includes their routers; a package passes the
+    applications on to the main file, which includes them.
 
     Routers, imports and includes are written in three ways: short, with calls among the arguments, and over several lines or by module.
     """
@@ -51,7 +52,11 @@ def _server(s: SparkSession, d: str) -> DataFrame:
     )
     one = part.select(repo, F.concat(F.lit("routers/h"), "p_partkey", F.lit(".py")).alias("path"), handlers.alias("content"))
     two = part.select(repo, F.concat(F.lit("models/m"), "p_partkey", F.lit(".py")).alias("path"), models.alias("content"))
-    return one.unionByName(two).unionByName(app)
+    held = part.select(repo, F.floor(F.col("p_partkey") / 100).cast("string").alias("h")).distinct().groupBy("repo_id").agg(F.sort_array(F.collect_list("h")).alias("hs"))
+    lines = lambda path, head, of: held.select("repo_id", F.lit(path).alias("path"), F.concat(F.lit(head), F.array_join(F.transform("hs", of), "")).alias("content"))
+    package = lines("apps/__init__.py", "", lambda h: F.concat(F.lit("from app"), h, F.lit(" import app as a"), h, F.lit("\n")))
+    main = lines("main.py", "root = FastAPI()\n", lambda h: F.concat(F.lit("from apps import a"), h, F.lit("\nroot.include_router(a"), h, F.lit(", prefix='/root')\n")))
+    return one.unionByName(two).unionByName(app).unionByName(package).unionByName(main)
 
 
 def _tree(s: SparkSession, d: str) -> DataFrame:
@@ -147,13 +152,14 @@ ENTRIES = {
       UNION ALL SELECT {_REPO}, 'web/p' || p_partkey || '.tsx', 7, '/api/parts/' || p_partkey || '/x', 'DELETE', '', false FROM part
       UNION ALL SELECT {_REPO}, 'web/p' || p_partkey || '.tsx', 8, '/api/open/' || p_partkey, 'GET', '', false FROM part"""),
     "e5_e9_routes_j4_prefix": (_routes, f"""
-      SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, 4 + {_MORE} AS line, 'read_' || p_partkey AS handler, '/api/parts/{{part_id}}/' || p_size AS norm_path, 'GET' AS methods, 'part_id' AS params, 'PartOut' AS response_model, 'Part' || p_partkey AS model_refs FROM part
+      SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, 4 + {_MORE} AS line, 'read_' || p_partkey AS handler, '/root/api/parts/{{part_id}}/' || p_size AS norm_path, 'GET' AS methods, 'part_id' AS params, 'PartOut' AS response_model, 'Part' || p_partkey AS model_refs FROM part
       UNION ALL SELECT {_REPO}, 'routers/h' || p_partkey || '.py', 10 + {_MORE}, 'tool_' || p_partkey, 'tools/tool_' || p_partkey, 'MCP_TOOL', '', 'Counts.', '' FROM part"""),
     "e10_imports": (lambda s, d: extract.imports_and_includes(_server(s, d))[0].select("repo_id", "path", "name", "module"), f"""
       SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, 'Part' || p_partkey AS name, 'models.m' || p_partkey AS module FROM part
       UNION ALL SELECT {_REPO}, 'app' || p_partkey // 100 || '.py', 'r' || p_partkey, CASE WHEN {_WAY} = 2 THEN 'routers' ELSE 'routers.h' || p_partkey END FROM part
-      UNION ALL SELECT {_REPO}, 'app' || p_partkey // 100 || '.py', 'x' || p_partkey, 'routers.h' || p_partkey FROM part WHERE {_WAY} = 1"""),
-    "e10_includes": (lambda s, d: extract.imports_and_includes(_server(s, d))[1].drop("ordinal"), f"SELECT {_REPO}, 'app' || p_partkey // 100 || '.py' AS path, 'app' AS parent, 'r' || p_partkey || CASE WHEN {_WAY} = 2 THEN '.router' ELSE '' END AS target, '/api' AS prefix FROM part"),
+      UNION ALL SELECT {_REPO}, 'app' || p_partkey // 100 || '.py', 'x' || p_partkey, 'routers.h' || p_partkey FROM part WHERE {_WAY} = 1
+      UNION ALL SELECT DISTINCT {_REPO}, 'apps/__init__.py', 'a' || p_partkey // 100, 'app' || p_partkey // 100 FROM part UNION ALL SELECT DISTINCT {_REPO}, 'main.py', 'a' || p_partkey // 100, 'apps' FROM part"""),
+    "e10_includes": (lambda s, d: extract.imports_and_includes(_server(s, d))[1].drop("ordinal"), f"SELECT {_REPO}, 'app' || p_partkey // 100 || '.py' AS path, 'app' AS parent, 'r' || p_partkey || CASE WHEN {_WAY} = 2 THEN '.router' ELSE '' END AS target, '/api' AS prefix FROM part UNION ALL SELECT DISTINCT {_REPO}, 'main.py', 'root', 'a' || p_partkey // 100, '/root' FROM part"),
     "e11_e12_models": (_fields, f"""
       SELECT {_REPO}, 'Part' || p_partkey AS class_name, 'parts_' || p_size AS table_name, 'Owner' AS relationships, name, data_type, is_primary_key, is_nullable, foreign_key
       FROM part, (VALUES ('id', 'String', true, false, NULL), ('name', 'String', false, false, NULL), ('plan', 'Integer', false, true, NULL), ('owner_id', 'String', false, true, 'owners.id')) AS v(name, data_type, is_primary_key, is_nullable, foreign_key)"""),
