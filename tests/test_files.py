@@ -94,6 +94,24 @@ def test_ignore_rules_and_test_names(spark):
     assert [r["path"] for r in tests] == ["tests/test_a.py"]
 
 
+def test_rules_taken_apart_match_like_shell_patterns(spark):
+    import fnmatch
+    import random
+
+    draw = random.Random(4)
+    names = ["a", "b", "lib", "x.py", "y.test.ts", "k.secret.py", "d1", "d2.js", "[z]", "_gen", "m_gen.py"]
+    files = [(r, "/".join(draw.choices(names, k=draw.randint(1, 5)))) for r in "pq" for _ in range(400)]
+    made = ["a/b", "lib/*", "*.py", "*_gen.py", "a/**", "d?.js", "[!a]*.ts", "x.*", "*/lib/x.py", "**/d1", "*s", "b/lib/*", "/a/", "*secret*", "y.test.ts", "[z]", "[z", "a/*/b"]
+    for rules in ([("p", x) for x in made] + [("q", "m_gen.py")], *([("p", x)] for x in made)):
+        got = {tuple(r) for r in incremental.ruled_out(spark.createDataFrame(files, "repo_id string, path string"), spark.createDataFrame(rules, "repo_id string, pattern string")).collect()} if len(rules) > 1 or rules[0][1] in ("[z", "*s", "a/**", "[z]") else None
+        clean = {(r, x.strip("/").replace("/**", "/*")) for r, x in rules}
+        want = {(r, f) for r, f in files for q, x in clean if r == q and (fnmatch.fnmatchcase(f, x) or fnmatch.fnmatchcase(f, f"*/{x}") or any(fnmatch.fnmatchcase(y, x) for y in f.split("/")))}
+        assert got is None or got == want
+    many = [("p", f"none{k}/*") for k in range(1000)] + [("p", "lib/*")]
+    found = incremental.ruled_out(spark.createDataFrame(files, "repo_id string, path string"), spark.createDataFrame(many, "repo_id string, pattern string"))
+    assert {tuple(r) for r in found.collect()} == {(r, f) for r, f in files if r == "p" and "lib" in f.split("/")[:-1]}
+
+
 def test_critical_paths_rank_first(spark):
     rows = [("r", p, k, "error", "compiler-error") for k, p in enumerate(["users/profile.py", "billing/models.py", "auth/router.py"])]
     got = checks.rank_diagnostics(spark.createDataFrame(rows, "repo_id string, path string, ordinal int, severity string, rule string")).orderBy("rank")

@@ -31,13 +31,6 @@ def matcher(patterns: tuple[str, ...]) -> Callable[[str, list[str]], bool]:
     return lambda path, parts: whole is not None and (whole.fullmatch(path) is not None or any(part.fullmatch(x) for x in parts))
 
 
-def regex_column(pattern: Column) -> Column:
-    """The same for a column of patterns. A bracket that is not closed stands for itself."""
-    plain = F.regexp_replace(pattern, r"([\\.^$+{}()|])", r"\\$1")
-    plain = F.regexp_replace(plain, r"\[(?![^\]]+\])", r"\\[")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\[!", "[^"), r"\*+", ".*"), r"\?", ".")
-
-
 def _any(value: Column, patterns: list[str]) -> Column:
     return value.rlike("^(?:" + "|".join(regex_of(p) for p in dict.fromkeys(patterns)) + ")$") if patterns else F.lit(False)
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import globs
-from tracelake.sources.tables import SOURCE
+from tracelake.sources.tables import SOURCE, written
+
+#: Characters by which the plain end of a pattern meets a part of a path.
+END = 3
 
 
 def is_source_file(path: Column) -> Column:
@@ -27,21 +33,47 @@ def ignore_rules(lists: DataFrame) -> DataFrame:
 
 def drop_ignored(files: DataFrame, extra: tuple[str, ...] = (), folders: tuple[str, ...] = globs.IGNORED_FOLDERS, rules: DataFrame | None = None) -> DataFrame:
     """files in no ignored folder and matching no ignore pattern: the standing ones, ``extra``, and ``rules`` (repo_id, pattern) of the
-    repositories themselves. A repository's rules become one expression: an ignore list is small, whatever the number of files.
+    repositories themselves.
     """
     path = F.regexp_replace("path", "^/+|/+$", "")
-    parts = F.split(path, "/")
-    in_folder = F.arrays_overlap(parts, F.array(*[F.lit(x) for x in folders]))
+    in_folder = F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in folders]))
     patterns = tuple(p.strip("/").replace("/**", "/*") for p in (*globs.IGNORED_PATTERNS, *extra))
     kept = files.filter(~in_folder & ~globs.path_matches(path, patterns))
-    if rules is None:
-        return kept
-    regex = globs.regex_column(F.replace(F.regexp_replace("pattern", "^/+|/+$", ""), F.lit("/**"), F.lit("/*")))
-    lists = rules.groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_set(regex)), "|").alias("ignored"))
-    whole, part = F.concat(F.lit("(?s)^(?:.*/)?(?:"), "ignored", F.lit(")$")), F.concat(F.lit("(?s)^(?:"), "ignored", F.lit(")$"))
-    joined = kept.join(lists, "repo_id", "left")
-    hit = F.coalesce(F.regexp(path, whole) | F.exists(parts, lambda s: F.regexp(s, part)), F.lit(False))
-    return joined.filter(~hit).drop("ignored")
+    return kept if rules is None else kept.join(ruled_out(kept.select("repo_id", "path"), rules), ["repo_id", "path"], "left_anti")
+
+
+def ruled_out(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(repo_id, path): the files (repo_id, path) that a rule (repo_id, pattern) of their repository ignores.
+
+    Rules are taken apart by kind. A plain name or path, and a folder's content (``a/b/*``), meet the places of a path that begin with their
+    first part; ``*.ext`` and other plain ends meet the parts of a path by their last characters: both are equi-joins, however many rules there
+    are. The other patterns of a repository are one list, compiled once per worker.
+    """
+    plain = F.replace(F.regexp_replace(F.replace("pattern", F.lit("\\"), F.lit("/")), "^/+|/+$", ""), F.lit("/**"), F.lit("/*"))
+    asked = rules.select("repo_id", plain.alias("pattern")).filter("pattern <> ''").distinct()
+    special = r"[*?\[]"
+    folder, end = F.regexp_replace("pattern", r"/\*$", ""), F.regexp_replace("pattern", r"^\*+", "")
+    is_folder = F.col("pattern").endswith("/*") & ~folder.rlike(special)
+    is_end = F.col("pattern").startswith("*") & (F.length(end) >= END) & ~end.rlike(special) & ~F.contains("pattern", F.lit("/"))
+    kind = F.when(~F.col("pattern").rlike(special), "plain").when(is_folder, "folder").when(is_end, "end").otherwise("glob")
+    asked = written(asked.select("repo_id", "pattern", kind.alias("kind"), F.when(is_folder, folder).when(is_end, end).otherwise(F.col("pattern")).alias("text")), "rules")
+    parts = F.split(F.regexp_replace("path", "^/+|/+$", ""), "/")
+    places = files.distinct().select("repo_id", "path", F.explode(F.transform(parts, lambda x, k: F.struct(x.alias("part"), F.array_join(F.slice(parts, k + 1, F.size(parts)), "/").alias("rest")))).alias("x")).select("repo_id", "path", "x.*")
+    starts = asked.filter("kind in ('plain', 'folder')").select("repo_id", F.substring_index("text", "/", 1).alias("part"), "text", "kind")
+    of_start = F.when(F.col("kind") == "folder", F.startswith("rest", F.concat("text", F.lit("/")))).otherwise((F.col("rest") == F.col("text")) | (F.col("part") == F.col("text")))
+    by_start = places.join(starts, ["repo_id", "part"]).filter(of_start)
+    ends = asked.filter("kind = 'end'").select("repo_id", F.right("text", F.lit(END)).alias("tail"), "text")
+    by_end = places.withColumn("tail", F.right("part", F.lit(END))).join(ends, ["repo_id", "tail"]).filter(F.endswith("part", "text"))
+    lists = asked.filter("kind = 'glob'").groupBy("repo_id").agg(F.sort_array(F.collect_list("pattern")).alias("patterns"))
+    by_glob = files.join(lists, "repo_id").select("repo_id", "path", "patterns").mapInPandas(_globbed, "repo_id string, path string")
+    return by_start.select("repo_id", "path").unionByName(by_end.select("repo_id", "path")).unionByName(by_glob).distinct()
+
+
+def _globbed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        bare = [x.strip("/") for x in batch["path"]]
+        hit = [globs.matcher(tuple(p))(x, x.split("/")) for x, p in zip(bare, batch["patterns"], strict=True)]
+        yield batch[pd.Series(hit, index=batch.index, dtype=bool)][["repo_id", "path"]]
 
 
 def drop_config_ignored(files: DataFrame, patterns: tuple[str, ...] = globs.CONFIG_IGNORED) -> DataFrame:
