@@ -403,6 +403,17 @@ def test_licenses_with_words_inserted_dropped_and_changed(spark):
 
 # --- chat ---
 
+def test_a_hot_null_conversation_and_one_that_is_too_large(spark, monkeypatch):
+    turns = [(None if k % 3 else k, k, "user" if k % 2 else "assistant", f"text {k} <|") for k in range(6000)]
+    schema = "conv_id long, turn long, role string, text string"
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"]) for r in chat_format.digests(chat_format.format_conversations(spark.createDataFrame(turns, schema))).collect()}
+    own = [t for t in turns if t[0] is None]
+    assert len(got) == 2001 and got[None] == (len(own), hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in own).encode()).hexdigest())
+    monkeypatch.setattr(chat_format, "MOST_TEXT", 100)
+    with pytest.raises(ValueError, match="has to stay below 100"):
+        chat_format.assemble(pa.array(["user"] * 9), pa.array(["some text"] * 9), np.array([9]))
+
+
 TURNS = "conv_id long, turn long, role string, text string, id string, n_turns string"
 
 

@@ -9,7 +9,7 @@ indices that copy headers and contents into one preallocated buffer, which becom
 
 Defined results: null role or text counts as empty; turns go by number (null first), then role, then text; rows
 with a null id form one conversation; an empty table gives an empty result; other columns are ignored. A
-conversation is one output row and so has to fit a task, as any text of the result does.
+conversation is one output row and so has to fit a task, as any text of the result does; past 2 GiB it is an error that says so.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.shared import small_batches
 from tracelake.llm.textbytes import column_bytes
 
 OPEN, MIDDLE, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
@@ -31,6 +32,7 @@ ASSISTANT = "assistant"
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(re.escape(OPEN) + r"(.*?)" + re.escape(MIDDLE) + r"(.*?)" + re.escape(CLOSE), re.S)
 _SLICE = 1 << 20
+MOST_TEXT = (1 << 31) - 1
 
 
 def escape(text: str) -> str:
@@ -83,6 +85,8 @@ def assemble(roles: pa.Array, texts: pa.Array, ends: np.ndarray) -> tuple[pa.Arr
     _scatter(out, starts[:, 1], role_bytes, role_at)
     _scatter(out, starts[:, 3], text_bytes, text_at)
     bounds = np.concatenate([[0], stops.reshape(n, 5)[ends - 1, 4]])
+    if bounds[-1] > MOST_TEXT:
+        raise ValueError(f"{bounds[-1]} bytes of formatted turns: a conversation has to stay below {MOST_TEXT}, as any text of a table")
     points = np.stack([np.full(n, len(OPEN)), pc.utf8_length(roles).to_numpy(), np.full(n, len(MIDDLE)), pc.utf8_length(texts).to_numpy(), np.full(n, len(CLOSE))], 1).astype(np.int64)
     before = np.cumsum(points.ravel()).reshape(n, 5) - points
     firsts = np.concatenate([[0], ends[:-1]])
@@ -105,6 +109,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.ListArray.from_arrays(pa.array(span_ends), pa.StructArray.from_arrays([pa.array(at[assistant]), pa.array(points[assistant])], ["start", "length"]))
         return pa.RecordBatch.from_arrays([ids.take(pa.array(ends - 1)), pa.array(np.diff(ends, prepend=0)), formatted, spans], ["id", "n_turns", "formatted", "loss_spans"])
 
+    # batches are small, so that what is laid out at once is a batch and one conversation at most
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -132,7 +137,7 @@ def _changes(ids: pa.Array) -> np.ndarray:
 
 def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: id, n_turns, formatted, loss_spans (start and length in code points of ``formatted``)."""
-    rows = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(turns).select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     done = rows.repartition("id").sortWithinPartitions("id", "turn", "role", "text").drop("turn").mapInArrow(_format, f"id {kind}, n_turns long, formatted string, loss_spans array<struct<start:long,length:long>>")
     return done.withColumnRenamed("id", id_col)
@@ -158,6 +163,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Read formatted conversations back: turns and loss text, as digests."""
-    rows = formatted.select(id_col, "formatted", "loss_spans")
+    rows = small_batches(formatted).select(id_col, "formatted", "loss_spans")
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(_digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
