@@ -36,6 +36,11 @@ def edges_of(spark: SparkSession, sf: str) -> DataFrame:
     return graph.build_edges(matches_of(spark, sf), graph.link_routes_to_models(routes, models), graph.link_models(models))
 
 
+def kept_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges, written: for what reads them more than once."""
+    return tables.written(edges_of(spark, sf), "edges")
+
+
 #: Routes that grow with the tables: one per part with a parameter, one per brand with two; and a call per part and line number.
 PART_ROUTES = """
 SELECT 'p' || CAST(p_partkey % 4 AS STRING) AS repo_id, 'part_' || CAST(p_partkey AS STRING) AS route_id, CAST(p_partkey AS INT) AS ordinal, 'GET,PUT' AS methods,
@@ -128,7 +133,7 @@ GROUP BY repo_id, path"""
 def _contract(spark: SparkSession, sf: str) -> DataFrame:
     routes = routes_of(spark, sf).withColumns({"response_model": F.concat("handler", F.lit("_out")), "path_params": paths.path_params(F.col("norm_path"))})
     calls = calls_of(spark, sf).withColumn("raw_url", F.col("norm_path"))
-    out = reports.route_contract(routes, edges_of(spark, sf), calls, reports.status_codes(routes, table(spark, sf, _HANDLER_FILES)), F.col("norm_path").endswith("/items") | reports.asked_for("/api/v1/machinery/summary/"))
+    out = reports.route_contract(routes, kept_edges(spark, sf), calls, reports.status_codes(routes, table(spark, sf, _HANDLER_FILES)), F.col("norm_path").endswith("/items") | reports.asked_for("/api/v1/machinery/summary/"))
     joined = {c: F.array_join(c, ",") for c in ("methods", "path_params", "codes", "models")}
     return out.withColumns(joined).withColumn("params", _params("param_map")).drop("param_map")
 
@@ -216,7 +221,7 @@ ENTRIES = {
       FROM routes r LEFT JOIN codes k ON r.repo_id = k.repo_id AND r.path = k.path LEFT JOIN used u ON r.repo_id = u.repo_id AND r.route_id = u.route_id
       LEFT JOIN (SELECT * FROM edges WHERE relation_type = 'FETCHES') e ON e.repo_id = r.repo_id AND e.target = r.route_id LEFT JOIN calls c ON c.repo_id = e.repo_id AND c.call_id = e.source
       WHERE r.norm_path LIKE '%/items' OR r.norm_path = '/api/v1/machinery/summary'""")),
-    "a6_unmatched_lists": (lambda s, d: checks.unmatched_lists(calls_of(s, d), routes_of(s, d), edges_of(s, d)), _with(_GRAPH, """
+    "a6_unmatched_lists": (lambda s, d: checks.unmatched_lists(calls_of(s, d), routes_of(s, d), kept_edges(s, d)), _with(_GRAPH, """
       SELECT repo_id, 'call' AS kind, call_id AS id, path, line FROM calls c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = c.repo_id AND e.source = c.call_id AND relation_type = 'FETCHES')
       UNION ALL SELECT repo_id, 'route', route_id, path, line FROM routes r WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = r.repo_id AND e.target = r.route_id AND relation_type = 'FETCHES')""")),
     "c8_c12_labels": (_labels, _with(_GRAPH, """
