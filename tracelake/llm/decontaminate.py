@@ -18,13 +18,15 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import small_batches
+from tracelake.llm.shared import small_batches, written
 from tracelake.llm.textbytes import code_points, column_bytes, parts_of, pieces, shingle_rows, span_hashes, unicode_words
 
 MATCH, THRESHOLD = 5, 0.5
@@ -169,22 +171,20 @@ class Items:
         return runs_of_groups(at, group, [self.place[self.first[k] : self.first[k + 1]] for k in kinds], width)
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> list:
-    """The benchmark's items in blocks of bounded size, each broadcast by itself."""
+def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
+    """The benchmark's items in blocks of bounded size, each broadcast by itself, when it is asked for."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = max(1, -(-2 * (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    context, out = benchmark.sparkSession.sparkContext, []
+    context = benchmark.sparkSession.sparkContext
     for k in range(n):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").toArrow()
         if own.num_rows:
-            out.append(context.broadcast(Items(own["item_id"].to_pylist(), own["text"].combine_chunks())))
-    return out
+            yield context.broadcast(Items(own["item_id"].to_pylist(), own["text"].combine_chunks()))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per document and item that it holds: id, item_id, tiles, covered, item_words, coverage."""
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = rows.sparkSession.createDataFrame([], "id long, " + FOUND)
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +198,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return run
 
-    for k, shared in enumerate(blocks(benchmark, block_bytes)):
-        found = rows.mapInArrow(search(shared), "id long, " + FOUND)
-        out = out.unionByName(found) if k else found
+    found = []  # what a block finds is written before the next one is made, so that one block is held at a time, unless it is the only one
+    ahead = blocks(benchmark, block_bytes)
+    shared = next(ahead, None)
+    while shared is not None:
+        part, following = rows.mapInArrow(search(shared), "id long, " + FOUND), next(ahead, None)
+        if found or following is not None:
+            part = written(part, "leaks")
+            shared.destroy()
+        found.append(part)
+        shared = following
+    out = reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], "id long, " + FOUND)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.keybits import bits_of, has_bit
-from tracelake.llm.shared import small_batches, written
+from tracelake.llm.shared import small_batches, spent, written
 from tracelake.llm.textbytes import column_bytes, pieces
 
 MODULI = (2147483647, 2147483629)
@@ -145,4 +145,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = copies.select("id", F.col("top").alias("keep_id"), F.col("n").alias("group_size"), (F.col("is_top") & (F.col("nth") == F.col("one"))).alias("kept"), "sha")
     alone = narrow.join(shared.select("key", "size"), ["key", "size"], "left_anti")
     out = out.unionByName(alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"))
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+    out = written(out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")), "duplicates")
+    spent(narrow, shared, compared, classes, one)
+    return out

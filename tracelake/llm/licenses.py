@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import written
+from tracelake.llm.shared import spent, written
 
 THRESHOLD = 0.8
 #: Words of a text at which windows start in one piece.
@@ -149,13 +149,13 @@ def _units(texts: DataFrame, given: DataFrame, threshold: float) -> DataFrame:
     return good.groupBy("row", "place").agg(F.first("id").alias("id"), F.min_by("license", F.struct(-F.col("dice"), "license")).alias("license"), F.max("dice").alias("dice"))
 
 
-def _windows(texts: DataFrame, matched: DataFrame, given: DataFrame, threshold: float) -> DataFrame:
+def _windows(texts: DataFrame, matched: DataFrame, given: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(id, license, dice) of the windows of words, in what no matching line covers, that reach the threshold; of windows that overlap the best.
 
     A window begins with a bigram of the template and has at most ``span`` bigrams: the template's length times (2 - t) / t. It needs ``need`` of the
     template's bigrams, so only places with so many of them within a span ahead are starts. From a start the window grows from one of the
     template's bigrams to the next, with a running count of distinct bigrams and of the template's, and the best end counts. Texts are cut into pieces of STEP starts, each with the
-    words of a span more.
+    words of a span more; the table of these is the second result.
     """
     lines = F.split("text", "\n")
     taken = matched.groupBy(F.col("row").alias("r")).agg(F.collect_set("place").alias("taken"))
@@ -201,7 +201,7 @@ def _windows(texts: DataFrame, matched: DataFrame, given: DataFrame, threshold:
     order = Window.partitionBy("row").orderBy("start", "stop", "template")
     reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = good.withColumn("new", F.coalesce((F.col("start") >= reached).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order))
-    return islands.groupBy("row", "island").agg(F.first("id").alias("id"), F.min_by("license", F.struct(-F.col("dice"), "license")).alias("license"), F.max("dice").alias("dice")).select("id", "license", "dice")
+    return islands.groupBy("row", "island").agg(F.first("id").alias("id"), F.min_by("license", F.struct(-F.col("dice"), "license")).alias("license"), F.max("dice").alias("dice")).select("id", "license", "dice"), open_
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, given: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -218,5 +218,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     text = normalised(F.col(text_col).cast("string"))
     texts = written(docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text")), "license-candidates")
     units = written(_units(texts, table, threshold), "license-lines")
-    found = units.select("id", "license", "dice").unionByName(_windows(texts, units, table, threshold))
-    return found.groupBy(F.col("id").alias(id_col), "license").agg(F.max("dice").alias("score"), F.count(F.lit(1)).alias("units"))
+    windows, cut = _windows(texts, units, table, threshold)
+    found = units.select("id", "license", "dice").unionByName(windows)
+    out = written(found.groupBy(F.col("id").alias(id_col), "license").agg(F.max("dice").alias("score"), F.count(F.lit(1)).alias("units")), "licenses")
+    spent(texts, units, cut)
+    return out

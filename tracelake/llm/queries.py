@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import bpe_merges, chat_format, conversation_repair, decontaminate, exact_dedup, impact_index, licenses, mixing, ngram_join, quality_cnn, token_ids, toxicity_gru, warc
-from tracelake.llm.shared import new_path, table
+from tracelake.llm.shared import new_path, spent, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -38,7 +38,10 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     path = public_tokenizers.path(tokenizer)
     staged = new_path(spark, "tokens")
     token_ids.tokenize(docs, path).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(staged)
-    folder = token_ids.write_ids(spark.read.parquet(staged), wide=token_ids.is_wide(path))
+    tokens = spark.read.parquet(staged)
+    tokens.written_to = staged
+    folder = token_ids.write_ids(tokens, wide=token_ids.is_wide(path))
+    spent(tokens)
     return token_ids.read_checksums(spark, folder)
 
 
