@@ -163,8 +163,18 @@ ENTRIES = {
     "e11_e12_models": (_fields, f"""
       SELECT {_REPO}, 'Part' || p_partkey AS class_name, 'parts_' || p_size AS table_name, 'Owner' AS relationships, name, data_type, is_primary_key, is_nullable, foreign_key
       FROM part, (VALUES ('id', 'String', true, false, NULL), ('name', 'String', false, false, NULL), ('plan', 'Integer', false, true, NULL), ('owner_id', 'String', false, true, 'owners.id')) AS v(name, data_type, is_primary_key, is_nullable, foreign_key)"""),
-    "e13_attribute_uses": (lambda s, d: extract.extract_attribute_uses(_server(s, d))[1].filter("obj = 'row'").select("repo_id", "path", "line", "obj", "attr"), f"""
-      SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, 8 + {_MORE} AS line, 'row' AS obj, unnest(['plan', 'name', 'absent_' || p_size]) AS attr FROM part"""),
+    "e13_attribute_uses": (lambda s, d: extract.extract_attribute_uses(_server(s, d))[1].filter("path NOT LIKE 'app%.py' AND path <> 'main.py'").select("repo_id", "path", "line", "obj", "attr"), f"""
+      SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, x.at + {_MORE} AS line, x.obj AS obj, x.attr AS attr
+      FROM part, LATERAL (SELECT unnest([{{'at': 4, 'obj': 'router', 'attr': 'get'}}, {{'at': 7, 'obj': 'db', 'attr': 'query'}}, {{'at': 8, 'obj': 'row', 'attr': 'plan'}}, {{'at': 8, 'obj': 'row', 'attr': 'name'}}, {{'at': 8, 'obj': 'row', 'attr': 'absent_' || p_size}}, {{'at': 10, 'obj': 'mcp', 'attr': 'tool'}}]) AS x)"""),
+    "e13_bindings": (lambda s, d: extract.extract_attribute_uses(_server(s, d))[0].select("repo_id", "path", "line", "var", "rhs"), f"""
+      SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, 2 AS line, 'router' AS var,
+             CASE {_WAY} WHEN 0 THEN 'APIRouter(prefix=''/parts'')' WHEN 1 THEN 'APIRouter(prefix="/parts", dependencies=[Depends(auth)], tags=["a", "b"])'
+                         ELSE 'APIRouter(' || chr(10) || '    dependencies=[Depends(auth(1))],' || chr(10) || '    prefix=''/parts'',' || chr(10) || ')' END AS rhs FROM part
+      UNION ALL SELECT {_REPO}, 'routers/h' || p_partkey || '.py', 7 + {_MORE}, 'row', 'db.query(Part' || p_partkey || ')' FROM part
+      UNION ALL SELECT {_REPO}, 'models/m' || p_partkey || '.py', x.at, x.var, x.rhs
+      FROM part, LATERAL (SELECT unnest([{{'at': 2, 'var': '__tablename__', 'rhs': '''parts_' || p_size || ''''}}, {{'at': 3, 'var': 'id', 'rhs': 'Column(String, primary_key=True)'}}, {{'at': 4, 'var': 'name', 'rhs': 'Column(String, nullable=False)'}},
+        {{'at': 5, 'var': 'plan', 'rhs': 'mapped_column(Integer)'}}, {{'at': 6, 'var': 'owner_id', 'rhs': 'Column(String, ForeignKey(''owners.id''))'}}, {{'at': 7, 'var': 'owner', 'rhs': 'relationship(''Owner'')'}}]) AS x)
+      UNION ALL SELECT DISTINCT {_REPO}, 'app' || p_partkey // 100 || '.py', 1, 'app', 'FastAPI()' FROM part UNION ALL SELECT DISTINCT {_REPO}, 'main.py', 1, 'root', 'FastAPI()' FROM part"""),
     "u3_valid_attributes": (lambda s, d: checks.valid_attributes(_named(_models(s, d))), f"SELECT {_REPO}, 'Part' || p_partkey AS class_name, unnest(['id', 'name', 'plan', 'owner_id', 'Owner', '__tablename__', 'metadata']) AS attr FROM part"),
     "j13_missing_attributes": (_missing, f"""
       SELECT {_REPO}, 'routers/h' || p_partkey || '.py' AS path, 8 + {_MORE} AS line, 'Attribute ''absent_' || p_size || ''' does not exist on model ''Part' || p_partkey || '''' AS message, 'error' AS severity, 'schema-attribute-missing' AS rule, 'python' AS source FROM part"""),
