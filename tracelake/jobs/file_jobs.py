@@ -105,8 +105,8 @@ ENTRIES = {
     "f5_drop_config_ignored": (lambda s, d: incremental.drop_config_ignored(_files(s, d)).select("repo_id", "path"), f"WITH {_F} SELECT repo_id, path FROM files WHERE NOT ends_with(path, '.tmp')"),
     "t2_sorted_files": (lambda s, d: incremental.sorted_files(_files(s, d).select("repo_id", "path")), f"WITH {_F} SELECT repo_id, path FROM files ORDER BY path"),
     "c7_c10_tokens_hashes": (lambda s, d: _files(s, d).select("repo_id", "path", labels.estimate_tokens(F.col("content")).alias("tokens"), labels.content_hash(F.col("content")).alias("sha256")), f"WITH {_F} SELECT repo_id, path, CASE WHEN size = 0 THEN 0 ELSE greatest(1, floor(size / 3.8::DOUBLE)) END::BIGINT AS tokens, sha256(content) AS sha256 FROM files"),
-    "a5_token_savings": (lambda s, d: reports.token_savings(_files(s, d), _files(s, d).filter("ordinal % 10 = 0").withColumn("text", F.substring("content", 1, 100))), f"""
-      WITH {_F}, n AS (SELECT repo_id, sum(size) + count(*) - 1 AS r, coalesce(sum(least(size, 100)) FILTER (WHERE ordinal % 10 = 0), 0) + greatest(count(*) FILTER (WHERE ordinal % 10 = 0) - 1, 0) AS s FROM files GROUP BY repo_id),
+    "a5_token_savings": (lambda s, d: reports.token_savings(_files(s, d), _files(s, d).withColumn("text", F.split_part("content", F.lit("\n"), F.lit(1)))), f"""
+      WITH {_F}, n AS (SELECT repo_id, sum(size) + count(*) - 1 AS r, sum(length(split_part(content, chr(10), 1))) + count(*) - 1 AS s FROM files GROUP BY repo_id),
       t AS (SELECT repo_id, CASE WHEN r = 0 THEN 0 ELSE greatest(1, floor(r / 3.8::DOUBLE)) END::BIGINT AS raw_tokens, CASE WHEN s = 0 THEN 0 ELSE greatest(1, floor(s / 3.8::DOUBLE)) END::BIGINT AS slice_tokens FROM n)
       SELECT *, greatest(0, raw_tokens - slice_tokens) AS saved, round(greatest(0, raw_tokens - slice_tokens) * 100::DOUBLE / raw_tokens, 2) AS percent FROM t"""),
     "s4_u1_changed_files": (_status_lines, f"WITH {_F} SELECT DISTINCT path FROM files WHERE (ordinal % 2 = 0 OR ordinal % 3 = 0) AND {_SRC}"),
