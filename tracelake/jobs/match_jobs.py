@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import labels, paths
 from tracelake.jobs.adapters import CALLS, CLASSES, ROUTES, duck, table
-from tracelake.operators import checks, graph, matching, reports
+from tracelake.operators import checks, graph, matching, reports, upkeep
 from tracelake.sources import tables
 
 
@@ -93,6 +93,17 @@ all_edges AS (
 edges AS (SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, source, target ORDER BY coalesce(confidence, 1), relation) AS nth FROM all_edges) WHERE nth = 1)"""
 
 
+#: The same calls and routes after an edit: clients of one segment call another one's routes, and routes of any segment take one method more.
+EDITED_CALLS = "SELECT repo_id, path, line, method, replace(norm_path, '/machinery/', '/furniture/') AS norm_path, is_template, ordinal, call_id FROM (" + CALLS + ") AS c"
+EDITED_ROUTES = "SELECT repo_id, path, line, model_refs, handler, norm_path, CASE WHEN handler LIKE 'any%' THEN 'GET,PUT' ELSE methods END AS methods, ordinal, raw_path, route_id FROM (" + ROUTES + ") AS r"
+
+
+def _deltas(spark: SparkSession, sf: str) -> DataFrame:
+    calls, new_calls = (table(spark, sf, x).select("repo_id", "call_id", "method", "norm_path", "is_template") for x in (CALLS, EDITED_CALLS))
+    routes, new_routes = (table(spark, sf, x, split="methods").select("repo_id", "route_id", "ordinal", "methods", "norm_path") for x in (ROUTES, EDITED_ROUTES))
+    return upkeep.changed_matches(calls, new_calls, routes, new_routes).select("repo_id", "call_id", "route_id", "confidence", "change")
+
+
 def _with(base: str, select: str) -> str:
     return f"WITH {base}\n{select}"
 
@@ -192,6 +203,9 @@ ENTRIES = {
     "c_route_scalars": (_scalars, _with(BASE, r"""SELECT repo_id, route_id, '^' || regexp_replace(norm_path, '\{([a-z_]+)\}', '(?P<\1>[^/]+)', 'g') || '$' AS regex, array_to_string(regexp_extract_all(norm_path, '\{([a-z_]+)\}', 1), ',') AS params,
       '/v2' || norm_path AS prefixed, len(string_split(norm_path, '/')) - 1 AS n_segments, path AS file FROM routes""")),
     "g1_build_nodes": (nodes_of, _with(_GRAPH, "SELECT * FROM nodes")),
+    "r3_changed_matches": (_deltas, f"""
+      WITH was AS (WITH {_PAIRS} SELECT repo_id, call_id, route_id, confidence, params FROM matches), now AS (WITH {_PAIRS.replace(duck(CALLS), duck(EDITED_CALLS)).replace(duck(ROUTES), duck(EDITED_ROUTES))} SELECT repo_id, call_id, route_id, confidence, params FROM matches)
+      SELECT repo_id, call_id, route_id, confidence, sum(x)::BIGINT AS change FROM (SELECT *, 1 AS x FROM now UNION ALL SELECT *, -1 FROM was) GROUP BY repo_id, call_id, route_id, confidence, params HAVING sum(x) <> 0"""),
     "g2_build_edges": (lambda s, d: edges_of(s, d).withColumn("params", _params("param_map")).drop("param_map"), _with(_GRAPH, "SELECT * FROM edges")),
     "w2_last_definition": (lambda s, d: graph.last_definition(models_of(s, d), "class_name").select("repo_id", "class_name", "path", "ordinal"), _with(_GRAPH, "SELECT repo_id, class_name, path, ordinal FROM last_class")),
     "w3_dedupe_edges": (lambda s, d: graph.dedupe_edges(matches_of(s, d).select("repo_id", F.col("method").alias("source"), F.col("route_id").alias("target"), F.lit("calls").alias("relation"), "confidence")), _with(_PAIRS, "SELECT repo_id, method AS source, route_id AS target, 'calls' AS relation, min(confidence) AS confidence FROM matches GROUP BY ALL")),
