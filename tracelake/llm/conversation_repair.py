@@ -294,14 +294,17 @@ def segments(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     """(id, segment, whole, rows): the rows in order, with a mark on those whose role and text came before; written."""
     text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     rows = small_batches(turns).select(F.col(id_col).alias("id"), F.col(turn_col).cast("long").alias("turn"), text_of(role_col).alias("role"), text_of(text_col).alias("text"))
-    rows = rows.withColumn("content", F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text").cast("binary"), 256))
+    rows = rows.withColumn("content", F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text").cast("binary"), 256)))
     order = F.struct(F.col("turn").isNotNull().alias("known"), F.coalesce("turn", F.lit(0)).alias("at"))
     seen = rows.groupBy(F.col("id").alias("i"), F.col("content").alias("c")).agg(F.min(order).alias("seen"), F.max(order).alias("final")).filter("seen != final").drop("final")
+    seen = written(seen, "seen")  # settled first: Spark then knows that it is small, and leaves the texts where they are
     rows = rows.join(seen, F.col("id").eqNullSafe(F.col("i")) & (F.col("content") == F.col("c")), "left").withColumn("repeated", F.coalesce(order > F.col("seen"), F.lit(False)))
     key = ["id", "turn", F.left("role", F.lit(32)), F.left("text", F.lit(64))]
     placed = rows.select("id", "turn", "role", "text", "repeated").repartitionByRange(*key).sortWithinPartitions(*key, "role", "text")
     kind = placed.schema["id"].dataType.simpleString()
-    return written(placed.mapInArrow(_cut(most_rows), f"id {kind}, segment long, whole boolean, rows {ROWS}"), "segments")
+    out = written(placed.mapInArrow(_cut(most_rows), f"id {kind}, segment long, whole boolean, rows {ROWS}"), "segments")
+    spent(seen)
+    return out
 
 
 def repair(cut: DataFrame) -> DataFrame:
