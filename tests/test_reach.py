@@ -6,6 +6,7 @@ from collections import deque
 import pytest
 
 from tracelake.operators import graph, reach
+from tracelake.sources import tables
 
 EDGES = "repo_id string, source string, target string"
 
@@ -60,3 +61,49 @@ def test_simple_paths_in_circles(spark):
     edges = [("r", "a", "b"), ("r", "b", "c"), ("r", "c", "a"), ("r", "c", "d")]
     got = {tuple(x["path"]) for x in graph.simple_paths(spark.createDataFrame(edges, EDGES), spark.createDataFrame([("r", "a")], "repo_id string, node string")).collect()}
     assert got == {("a",), ("a", "b"), ("a", "c"), ("a", "b", "c"), ("a", "c", "b"), ("a", "c", "d"), ("a", "b", "c", "d")}
+
+
+def exchanges(df):
+    """The shuffles of a plan, before Spark adapts it."""
+    return str(df._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning")
+
+
+def test_hops_shuffle_what_they_find_alone(spark, monkeypatch):
+    edges, seeds = drawn(3)
+    e, s = spark.createDataFrame(edges + edges[:9], EDGES), spark.createDataFrame(seeds, "repo_id string, node string")
+    found = []
+    plain = tables.bucketed
+    for module in (reach, graph):
+        monkeypatch.setattr(module, "bucketed", lambda df, name, *keys: (found.append((name, exchanges(df))), plain(df, name, *keys))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        reach.reach_masks(e, s, 3), graph.blast_radius(e, s, 3)
+        assert [n for name, n in found if name == "hop"][1:4] == [1, 1, 1] and [n for name, n in found if name == "hop"][-3:] == [1, 1, 1]
+        found.clear()
+        graph.simple_paths(e, s, 3)
+        assert [n for name, n in found if name == "hop"][1:] == [0, 0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_summary_and_induced_edges_by_masks(spark):
+    edges, seeds = drawn(4)
+    e, s = spark.createDataFrame(edges + edges[:5], EDGES), spark.createDataFrame(seeds, "repo_id string, node string")
+    ids = sorted({(r, x) for r, a, b in edges for x in (a, b)})
+    rows = [(r, x, (None, "api_route", "frontend_component")[k % 3], None if k % 7 == 0 else f"{k % 5}.py") for k, (r, x) in enumerate(ids)] + [("a", "hub", "api_route", "other.py")]
+    nodes = spark.createDataFrame(rows, "repo_id string, id string, node_type string, path string")
+    want = {}
+    for r, seed in set(seeds):
+        near = set(search(edges, r, seed, 2)) - {seed}
+        own = [x for x in rows if x[0] == r and x[1] in near]
+        if own:
+            of = lambda kind: len({x[1] for x in own if x[2] == kind})  # noqa: B023, E731
+            files = sorted({x[3] for x in own if x[3]})
+            want[r, seed] = (len({x[1] for x in own}), len(files), of("frontend_component"), of("api_route"), files)
+    for got in (graph.reach_summary(e, s, nodes, 2), graph.blast_summary(reach.reach(e, s, 2), nodes)):
+        assert {(x["repo_id"], x["seed"]): (x["n_nodes"], x["n_files"], x["n_calls"], x["n_routes"], x["files"]) for x in got.collect()} == want
+        assert exchanges(got.select("repo_id", "seed", "n_nodes")) > 0 and "Expand" not in str(got._jdf.queryExecution().executedPlan())
+    names = "repo_id", "seed", "source", "target"
+    plain = sorted(map(tuple, graph.induced_edges(reach.reach(e, s, 2), e).select(*names).collect()))
+    assert sorted(map(tuple, graph.reach_edges(e, s, 2).select(*names).collect())) == plain and plain
