@@ -4,6 +4,8 @@ import time
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tracelake.sources import extract
 from tracelake.sources.client_lexer import client_calls
 
@@ -84,3 +86,24 @@ def test_prefixes_through_files_and_packages(spark):
         "me": "/root/v1/people/users/me", "many": "/root/v1/teams/all", "one": "/root/v1/people/users/{id}/items/{item}", "x": "/other/more/x", "far": "/elsewhere", "in_a": "/b/a/in_a", "in_b": "/a/b/in_b",
         "end": "/" + "/".join(f"p{k}" for k in range(9)) + "/end",
     }
+
+
+def test_records_go_on_in_small_batches_and_parts_are_dealt_out(spark, monkeypatch):
+    import ast
+
+    import pyarrow as pa
+
+    from tracelake.jobs import code_jobs
+
+    text = "a = b.c\n" * 500
+    given = pa.RecordBatch.from_arrays([pa.array(["r"] * 20), pa.array([f"f{k}.py" for k in range(20)]), pa.array([text] * 20)], ["repo_id", "path", "content"])
+    monkeypatch.setattr(extract, "MOST_ROWS", 300)
+    got = list(extract._per_file(extract._facts, extract.FACT_ROWS)(iter([given])))
+    assert max(b.num_rows for b in got) == 300 and sum(b.num_rows for b in got) == 20 * 1001
+    monkeypatch.setattr(extract, "MOST_ROWS", 10**9)
+    monkeypatch.setattr(extract, "MOST_TEXT", 3 * len(text))
+    assert [b.num_rows for b in extract._per_file(extract._facts, extract.FACT_ROWS)(iter([given]))] == [3003] * 6 + [2002]
+    tree = ast.parse("def f(x, *y, z=1):\n    return [g(x).h for k in y if k not in z], lambda: -x\n@d.e\nclass C(B, m=1):\n    a: int = x.y[1:2]\n")
+    assert list(extract._walk(tree)) == [x for x in ast.walk(tree) if not isinstance(x, ast.expr_context)]
+    for files in (code_jobs._client(spark, "/root/testdata/sf0.001"), code_jobs._server(spark, "/root/testdata/sf0.001").filter("path LIKE 'routers/%'")):
+        assert files.select(F.spark_partition_id()).distinct().count() >= 8  # of one row group

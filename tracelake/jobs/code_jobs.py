@@ -11,11 +11,16 @@ from tracelake.sources import extract, tables
 from tracelake.streaming import changes
 
 
+def _parts(s: SparkSession, d: str, text: str) -> DataFrame:
+    """Parts, dealt out over the cores before files are written out of them: their table is small, and few tasks would read it."""
+    return tables.dealt(table(s, d, text), "p_partkey")
+
+
 def _client(s: SparkSession, d: str) -> DataFrame:
     """A client file per part: a template call with options, a member call, a commented call, a bare identifier; a template in a template behind
     nested type arguments, a call in markup among quotes, and one that does not close.
     """
-    part = table(s, d, "SELECT * FROM {part}")
+    part = _parts(s, d, "SELECT * FROM {part}")
     lines = F.concat(
         F.lit("// fetch('/api/skip')\nconst a = await fetch(`/api/parts/${ partId }/"), "p_size", F.lit("`, { method: '"), F.when(F.col("p_size") % 2 == 0, F.lit("put")).otherwise(F.lit("POST")), F.lit("' });\n"),
         F.lit("api.get(\"/api/parts/"), "p_partkey", F.lit("\");\nfetch(url);\nclient('plain');\napi.get<Array<Part>>(`/api/${ a ? `x/${a}` : '' }/"), "p_size", F.lit("`);\n"),
@@ -30,7 +35,7 @@ def _server(s: SparkSession, d: str) -> DataFrame:
 
     Routers, imports and includes are written in three ways: short, with calls among the arguments, and over several lines or by module.
     """
-    part = table(s, d, "SELECT *, CAST(floor(p_partkey / 3) % 3 AS INT) AS way, CAST(p_partkey AS STRING) AS k FROM {part}")
+    part = _parts(s, d, "SELECT *, CAST(floor(p_partkey / 3) % 3 AS INT) AS way, CAST(p_partkey AS STRING) AS k FROM {part}")
     repo = (F.col("p_partkey") % 3).cast("string").alias("repo_id")
     of_way = lambda way, *texts: F.when(way == 0, texts[0]).when(way == 1, texts[1]).otherwise(texts[2])
     router = of_way(F.col("way"), F.lit("APIRouter(prefix='/parts')"), F.lit('APIRouter(prefix="/parts", dependencies=[Depends(auth)], tags=["a", "b"])'), F.lit("APIRouter(\n    dependencies=[Depends(auth(1))],\n    prefix='/parts',\n)"))

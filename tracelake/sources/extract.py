@@ -10,7 +10,7 @@ import ast
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,24 +29,45 @@ PYTHON = r"(?i)\.py$"
 #: A router's name is followed through at most so many packages that pass it on.
 PASSED_ON = 10
 
+#: Records go on after so many, or those of so many characters of text, so that a worker holds few files' records at a time.
+MOST_ROWS, MOST_TEXT = 4096, 4 << 20
+KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
 CALL_ROWS = "repo_id string, path string, ordinal int, line int, raw_url string, norm_path string, path_params array<string>, is_template boolean, verb string, option string"
 FACT_ROWS = "repo_id string, path string, kind string, line int, col int, ordinal int, name string, owner string, value string, detail string, extra string, body string"
 
 
 def _per_file(one: Callable[[str, str], Iterator[tuple]], schema: str):
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [KINDS[x.split()[1]] for x in schema.split(", ")]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
         for batch in batches:
-            rows = [(repo, path, *row) for repo, path, text in zip(batch["repo_id"], batch["path"], batch["content"], strict=True) for row in one(text or "", path)]
-            yield pd.DataFrame(rows, columns=names)
+            for repo, path, text in zip(*(batch.column(c) for c in ("repo_id", "path", "content")), strict=True):
+                repo, path, text = repo.as_py(), path.as_py(), text.as_py() or ""
+                for row in one(text, path):
+                    rows.append((repo, path, *row))
+                    if len(rows) >= MOST_ROWS:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                size += len(text)
+                if rows and size >= MOST_TEXT:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
 
     return run
 
 
 def _records(files: DataFrame, pattern: str, one, schema: str) -> DataFrame:
     own = files.filter(F.col("path").rlike(pattern)).select("repo_id", "path", "content")
-    return own.mapInPandas(_per_file(one, schema), schema)
+    return own.mapInArrow(_per_file(one, schema), schema)
 
 
 def python_facts(files: DataFrame) -> DataFrame:
@@ -115,6 +136,19 @@ class _Source:
         return b"".join(own).decode()
 
 
+def _walk(tree: ast.AST) -> Iterator[ast.AST]:
+    """The nodes in the order of ``ast.walk``, without those that say only whether a name is read or set."""
+    found = [tree]
+    for node in found:
+        for name in node._fields:
+            below = getattr(node, name, None)
+            if isinstance(below, list):
+                found += [x for x in below if isinstance(x, ast.AST)]
+            elif isinstance(below, ast.AST) and not isinstance(below, ast.expr_context):
+                found.append(below)
+        yield node
+
+
 def _facts(text: str, path: str) -> Iterator[tuple]:
     yield _row("file")
     try:
@@ -127,7 +161,7 @@ def _facts(text: str, path: str) -> Iterator[tuple]:
     yield from _routes(functions, source)
     yield from _models([x for x in tree.body if isinstance(x, ast.ClassDef)], source)
     routers, includes, imports = {}, [], []
-    for node in ast.walk(tree):
+    for node in _walk(tree):
         if isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name):
             yield _row("access", line=node.lineno, col=node.col_offset + 1, name=node.value.id, detail=node.attr)
         elif isinstance(node, (ast.Assign, ast.AnnAssign)):
