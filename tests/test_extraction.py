@@ -107,3 +107,10 @@ def test_records_go_on_in_small_batches_and_parts_are_dealt_out(spark, monkeypat
     assert list(extract._walk(tree)) == [x for x in ast.walk(tree) if not isinstance(x, ast.expr_context)]
     for files in (code_jobs._client(spark, "/root/testdata/sf0.001"), code_jobs._server(spark, "/root/testdata/sf0.001").filter("path LIKE 'routers/%'")):
         assert files.select(F.spark_partition_id()).distinct().count() >= 8  # of one row group
+
+
+def test_routes_of_parts_are_dealt_out(spark):
+    from tracelake.jobs import match_jobs
+
+    routes = match_jobs._routes_of_parts(spark, "/root/testdata/sf0.001")
+    assert routes.filter("route_id LIKE 'part%'").select(F.spark_partition_id()).distinct().count() >= 8  # of one row group

@@ -51,8 +51,13 @@ SELECT DISTINCT 'p' || CAST(p_partkey % 4 AS STRING) AS repo_id, CAST(p_partkey
        '/api/' || lower(p_brand) || '/parts/' || CAST(p_partkey AS STRING) || '/l' || CAST(l_linenumber AS STRING) || '?q=1' AS norm_path, false AS is_template FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"""
 
 
+def _routes_of_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Dealt out over the cores: the table of parts is small, and few tasks would read it."""
+    return tables.dealt(table(spark, sf, PART_ROUTES, split="methods"), "repo_id", "route_id")
+
+
 def _of_parts(spark: SparkSession, sf: str) -> DataFrame:
-    matches = matching.match_routes(table(spark, sf, PART_CALLS), table(spark, sf, PART_ROUTES, split="methods"))
+    matches = matching.match_routes(table(spark, sf, PART_CALLS), _routes_of_parts(spark, sf))
     return matching.rank_matches(matches).select("repo_id", "call_id", "route_id", "confidence", _params("param_map").alias("params"), "rank")
 
 
