@@ -107,3 +107,14 @@ def test_summary_and_induced_edges_by_masks(spark):
     names = "repo_id", "seed", "source", "target"
     plain = sorted(map(tuple, graph.induced_edges(reach.reach(e, s, 2), e).select(*names).collect()))
     assert sorted(map(tuple, graph.reach_edges(e, s, 2).select(*names).collect())) == plain and plain
+
+
+def test_a_round_of_components_shuffles_links_both_ways_and_what_they_point_at(spark, monkeypatch):
+    edges, _ = drawn(5)
+    e = spark.createDataFrame(edges + edges[:5], EDGES)
+    rounds, plain = [], tables.written
+    monkeypatch.setattr(reach, "written", lambda df, name: (rounds.append((name, exchanges(df), df.count())), plain(df, name))[1])
+    got = {tuple(x) for x in reach.components(e).select("repo_id", "node", "component").collect()}
+    assert got == {(r, x, min(search(edges, r, x, None))) for r, a, b in edges if a != b for x in (a, b)}
+    pointed = [x for x in rounds if x[0] == "pointed"]
+    assert pointed and {n for _, n, _ in pointed} == {2} and pointed[-1][2] < pointed[0][2]
