@@ -598,3 +598,14 @@ def test_words_and_shingles_equal_python():
     assert got == [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     row, place, _ = textbytes.shingle_rows(textbytes.span_hashes(data, starts, ends), heads)
     assert list(zip(row.tolist(), place.tolist(), strict=True)) == [(1, 0), (2, 0), (2, 1), (3, 0), (5, 0)]
+
+
+def test_components_of_links_shuffle_twice_a_round(spark, monkeypatch):
+    from tracelake.llm.components import components
+    from tracelake.operators import reach
+
+    rounds, plain = [], reach.written
+    monkeypatch.setattr(reach, "written", lambda df, name: (rounds.append((name, str(df._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning"))), plain(df, name))[1])
+    links = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (2, 2), (7, 9), (3, 1), (None, 1)], "a long, b long")
+    assert sorted(map(tuple, components(links).collect())) == [(1, 1), (3, 1), (4, 1), (5, 1), (7, 7), (8, 7), (9, 7)]
+    assert {n for name, n in rounds if name == "pointed"} == {2}

@@ -1,37 +1,19 @@
-"""Connected components of a table of links, by alternating stars.
-
-Each round points every node's larger neighbours, then its smaller ones, at the smallest node that it sees. Rounds
-are joins and aggregations; each round's links are written to the shared folder, and the loop ends when they no longer
-change. Only counts reach the driver.
-"""
+"""Connected components of a table of links: those of the graph, on links without repositories."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import spent, written
+from tracelake.llm.shared import written
+from tracelake.operators import reach
 
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component) of every node of the links (a, b); ``component`` is the smallest node it reaches."""
-    stars = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
-    before = None
-    for _ in range(most_rounds):
-        now = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
-            break
-        before = now
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("w"), F.least("u", "low").alias("m"))
-        large = both.filter("v > u").join(lowest, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-        moved = large.join(least, F.col("u") == F.col("w")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, stars = stars, written(moved.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "stars")
-        spent(last)
-    else:
-        raise RuntimeError(f"links still change after {most_rounds} rounds")
-    out = stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    out = written(out, "components")
-    spent(stars)
-    return out
+    """(node, component) of every node of the links (a, b); ``component`` is the smallest node it reaches.
+
+    The driver holds a thread for each shuffle of the last minute, and rounds are many and small: they have two shuffles each, of as many
+    parts as Spark finds fit.
+    """
+    edges = links.select(F.lit(0).alias("repo_id"), F.col("a").alias("source"), F.col("b").alias("target"))
+    return written(reach.components(edges, most_rounds, lambda df, *_: df.repartition("node")).select("node", "component"), "components")
