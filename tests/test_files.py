@@ -194,6 +194,22 @@ def test_source_tree_opens_only_what_it_reads(spark, tmp_path, monkeypatch):
     assert {r[2] for p in reader.partitions() for b in reader.read(p) for r in [list(x.values()) for x in b.to_pylist()]} == {None}
 
 
+def test_one_large_folder_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    (tmp_path / "t" / "web" / "made").mkdir(parents=True)
+    names = {f"web/p{k}.ts" for k in range(200)} | {f"web/\u00e9{k}.py" for k in range(3)} | {"a.py"}
+    for path in names | {"web/made/g.py", "web/p7.md", "web/gone1.py"}:
+        (tmp_path / "t" / path).write_text(path)
+    (tmp_path / "t" / "web" / ".gitignore").write_text("made/\ngone*\n")
+    monkeypatch.setattr(tree, "SHARE", 16)
+    for tasks in (1, 4, 100):
+        reader = tree.Reader({"path": f"file:{tmp_path}/t", "tasks": str(tasks)})
+        parts = reader.partitions()
+        got = [[x for b in reader.read(p) for x in b.column("path").to_pylist()] for p in parts]
+        assert len([p for p in parts if p.path == "web"]) == min(tasks, 13) and sorted(x for g in got for x in g) == sorted(names)
+        assert max(map(len, got)) <= 204 // min(tasks, 13) * 2
+    assert {r["path"] for r in tables.read_source_files(spark, str(tmp_path / "t"), "r").collect()} == names
+
+
 def test_stream_equals_batch_and_gap_is_inclusive(spark, tmp_path):
     t = datetime(2024, 1, 1)
     rows = [("r", "a.ts", t), ("r", "b.ts", t + timedelta(seconds=1)), ("r", "a.ts", t + timedelta(seconds=2)), ("r", "c.ts", t + timedelta(seconds=9)), ("r", "x.md", t + timedelta(seconds=3)), ("q", "z.py", t + timedelta(days=1))]
