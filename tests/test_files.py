@@ -249,6 +249,25 @@ def test_resolve_target_ranks(spark):
     assert got == {"User": "a.py::User", "b.py": "b.py::UserProfile", "Profile": "b.py::UserProfile", "a.py::User": "a.py::User"}
 
 
+def test_resolve_target_shuffles_no_pieces_of_names(spark, monkeypatch):
+    nodes = spark.range(2000).selectExpr("'r' || id % 2 AS repo_id", "'web/f' || id % 7 || '.ts::fetch::' || id AS id", "'web/f' || id % 7 || '.ts' AS path", "CAST(NULL AS STRING) AS symbol")
+    asked = spark.createDataFrame([(r, x) for r in ("r0", "r1") for x in ("fetch::12", "f3.ts::fetch", "h", "::", "eb", "fetch::1999", "\u00e9::fetch", "web\\f3.ts", "etch::199")], "repo_id string, target string")
+    ids = {r: sorted(f"web/f{k % 7}.ts::fetch::{k}" for k in range(2000) if k % 2 == int(r[1])) for r in ("r0", "r1")}
+    want = {(r, x): next((i for i in ids[r] if i.endswith(f":{x}")), None) or next((i for i in ids[r] if x.replace("\\", "/") in i), None) for r in ids for x in {y["target"] for y in asked.collect()}}
+    for pieces in (graph.PIECES, 0):
+        monkeypatch.setattr(graph, "PIECES", pieces)
+        got = graph.resolve_target(nodes, asked)
+        assert {(r["repo_id"], r["target"]): r["id"] for r in got.collect()} == {k: v for k, v in want.items() if v}
+    names, rest = nodes.select("repo_id", "id", F.col("id").alias("own")), asked.filter("target in ('e', 'h', 'fetch::1', 'etch::199')").withColumn("wanted", F.col("target"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.undo()
+    pairs = graph.containing(names, rest)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan
+    assert sorted(map(tuple, pairs.collect())) == sorted((r, x, i) for r, x in ((y["repo_id"], y["target"]) for y in rest.collect()) for i in ids[r] if x in i)
+
+
 def test_resolve_target_by_ends_and_by_path_with_symbol(spark):
     nodes = spark.createDataFrame(
         [("r", "a.tsx::fetch::261", "a.tsx", None), ("r", "b.tsx::fetch::26", "b.tsx", None), ("r", "src/api/u.py::get", "src/api/u.py", "get"), ("r", "src/web/u.py::get", "src/web/u.py", "get"), ("q", "b.tsx::fetch::26", "b.tsx", None)],
