@@ -108,6 +108,34 @@ def test_mixing_empty_and_wordless(spark):
     assert {tuple(r)[2:] for r in mixing.mix(documents(spark, [(1, None), (2, " ")])).collect()} == {(0, 0, 0.0, 0)}
 
 
+@pytest.mark.parametrize("batch", [1, 3, 4096])
+def test_rooms_are_filled_in_order_with_what_fits(spark, batch):
+    draw = np.random.default_rng(4)
+    rows = [(s, 100 * s + k, int(draw.integers(1, 3 ** int(draw.integers(1, 6)))), min(k // 9, (0, 11, 3)[s % 3]), k // 2 / 100) for s in range(9) for k in range(100)] + [(9, 901, 50, 0, 0.5)]
+    ranked = spark.createDataFrame([(s, r, n, c, (x, f"t{r % 2}", r)) for s, r, n, c, x in rows], "s long, row long, size long, slice int, at struct<rank: double, tie: string, row: long>")
+    rooms, want, left = {s: (0.5, 1.0, 300.25, 99999.0)[s % 4] + 40 * s for s in range(9)} | {9: 30.0}, set(), {}
+    for s, room in rooms.items():
+        for _, row, size, _, _ in sorted((x for x in rows if x[0] == s), key=lambda x: (x[4], x[1] % 2, x[1])):
+            if size <= room:
+                room -= size
+                want.add(row)
+        left[s] = room
+    state = spark.createDataFrame([(s, x, None) for s, x in rooms.items()], "s long, room double, after struct<rank: double, tie: string, row: long>")
+    chosen, ends, _ = mixing._taken(ranked, state, batch)
+    got = [r["row"] for r in chosen.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and dict(map(tuple, ends.collect())) == left
+
+
+def test_the_mix_takes_few_jobs(spark):
+    """The driver plans for each and holds a thread for each shuffle and broadcast of the last minute."""
+    docs = documents(spark, [(k, "w " * (k * 7 % 61), ["a", "b", "c"][k % 3]) for k in range(300)])
+    sc = spark.sparkContext
+    sc.setJobGroup("mix", "")
+    mixing.mix(docs)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("mix")) < 60
+
+
 # --- n-gram join ---
 
 def brute_classes(rows, width=5):
