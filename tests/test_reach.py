@@ -118,3 +118,39 @@ def test_a_round_of_components_shuffles_links_both_ways_and_what_they_point_at(s
     assert got == {(r, x, min(search(edges, r, x, None))) for r, a, b in edges if a != b for x in (a, b)}
     pointed = [x for x in rounds if x[0] == "pointed"]
     assert pointed and {n for _, n, _ in pointed} == {2} and pointed[-1][2] < pointed[0][2]
+
+
+def shuffle_files(spark):
+    """Shuffles that lie on the disk."""
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {x for x in (held.apply(k).getName() for k in range(held.size())) if x.startswith("shuffle_")}
+
+
+def test_paths_are_columns_and_the_last_hop_is_not_written(spark, monkeypatch):
+    edges, seeds = drawn(6)
+    e, s = spark.createDataFrame(edges + edges[:9], EDGES), spark.createDataFrame(seeds[:20], "repo_id string, node string")
+    made, plain = [], tables.bucketed
+    for module in (reach, graph):
+        monkeypatch.setattr(module, "bucketed", lambda df, name, *keys: (made.append((name, df.schema.simpleString())), plain(df, name, *keys))[1])
+    monkeypatch.setattr(tables, "written", None)
+    monkeypatch.setattr(graph, "written", None)  # nothing but hops is written
+    before = shuffle_files(spark)
+    got = [(r["repo_id"], tuple(r["path"]), r["depth"]) for r in graph.simple_paths(e, s, 3).collect()]
+    assert [name for name, _ in made] == ["near", "hop", "hop", "hop"] and not any("array" in schema for _, schema in made)
+    near = {}
+    for r, a, b in edges:
+        near.setdefault((r, a), set()).add(b)
+        near.setdefault((r, b), set()).add(a)
+    want, last = [], [(r, (x,)) for r, x in seeds[:20]]
+    for depth in range(4):
+        want += [(r, path, depth) for r, path in last]
+        last = [(r, (*path, y)) for r, path in last for y in near.get((r, path[-1]), ()) if y not in path]
+    assert sorted(got) == sorted(want)
+    made.clear()
+    reached = graph.blast_radius(e, s, 3).collect()
+    assert len(made) == 5 and not any("array" in schema for _, schema in made)
+    least = {}
+    for r, path, depth in want:
+        least[r, path[0], path[-1]] = min(least.get((r, path[0], path[-1]), (depth, path)), (depth, path))
+    assert {(x["repo_id"], x["seed"], x["node"]): (x["depth"], tuple(x["path"])) for x in reached} == least and len(reached) == len(least)
+    assert not shuffle_files(spark) - before
