@@ -154,3 +154,23 @@ def test_paths_are_columns_and_the_last_hop_is_not_written(spark, monkeypatch):
         least[r, path[0], path[-1]] = min(least.get((r, path[0], path[-1]), (depth, path)), (depth, path))
     assert {(x["repo_id"], x["seed"], x["node"]): (x["depth"], tuple(x["path"])) for x in reached} == least and len(reached) == len(least)
     assert not shuffle_files(spark) - before
+
+
+@pytest.mark.parametrize("most", [None, 1, 3])
+def test_induced_edges_are_the_hops(spark, most):
+    edges, seeds = drawn(7)
+    edges = sorted({*edges, *(("a", b, a) for r, a, b in edges[:9] if r == "a"), ("a", "n1", "n1"), ("a", "n5", "n10"), ("a", "n10", "n15")})
+    rows = [(*x, k) for k, x in enumerate(edges + edges[:5])]
+    e, s = spark.createDataFrame(rows, EDGES + ", number int"), spark.createDataFrame(seeds + seeds[:3], "repo_id string, node string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = graph.reach_edges(e, s, most)
+        assert exchanges(found) == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = []
+    for r, seed in set(seeds):
+        inside = search(edges, r, seed, most)
+        want += [(r, seed, a, b, k) for q, a, b, k in rows if q == r and a in inside and b in inside]
+    assert sorted(map(tuple, found.select("repo_id", "seed", "source", "target", "number").collect())) == sorted(want)
