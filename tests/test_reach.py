@@ -156,6 +156,16 @@ def test_paths_are_columns_and_the_last_hop_is_not_written(spark, monkeypatch):
     assert not shuffle_files(spark) - before
 
 
+def test_a_hop_shuffles_no_ways_back(spark, monkeypatch):
+    chain = [("r", f"n{k}", f"n{k + 1}") for k in range(9)]
+    e, s = spark.createDataFrame(chain, EDGES), spark.createDataFrame([("r", "n0")], "repo_id string, node string")
+    sizes, plain = [], tables.dealt
+    monkeypatch.setattr(graph, "dealt", lambda df, *keys: (sizes.append(df.count()), plain(df, *keys))[1])
+    assert [r["depth"] for r in graph.blast_radius(e, s, 4).orderBy("depth").collect()] == [0, 1, 2, 3, 4] and sizes == [1, 1, 1, 1]
+    sizes.clear()
+    assert {(r["source"], r["target"]) for r in graph.reach_edges(e, s, 4).collect()} == {x[1:] for x in chain[:4]} and sizes[:4] == [1, 1, 1, 1]
+
+
 @pytest.mark.parametrize("most", [None, 1, 3])
 def test_induced_edges_are_the_hops(spark, most):
     edges, seeds = drawn(7)
