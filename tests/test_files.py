@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tracelake.functions import labels
+from tracelake.jobs import code_jobs
 from tracelake.operators import checks, graph, impact, incremental, reports
 from tracelake.sources import extract, tables, tree
 from tracelake.streaming.changes import debounce_changes, maintain_index
@@ -210,6 +211,19 @@ def test_one_large_folder_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
     assert {r["path"] for r in tables.read_source_files(spark, str(tmp_path / "t"), "r").collect()} == names
 
 
+def test_names_of_one_file_take_one_inode(spark, tmp_path, monkeypatch):
+    spark.range(1, 41).select(F.col("id").alias("p_partkey"), (F.col("id") % 9).cast("int").alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(tables, "new_path", lambda s, name: str(tmp_path / "shared" / name))
+    got = code_jobs.ENTRIES["s1_source_tree"][0](spark, str(tmp_path)).collect()
+    made = [x for x in (tmp_path / "shared").rglob("*") if x.is_file()]
+    assert sorted(r["path"] for r in got) == sorted(f"web/p{k}.tsx" for k in range(1, 41))
+    assert len(made) == 4 * 40 + 1 and {x.suffix for x in made} == {".tsx", ".md", ""} and len({x.stat().st_ino for x in made}) == 41
+    files = spark.createDataFrame([("a/x.py", "new", ["a/y.md", "b/z.py"]), ("c.py", None, None)], "path string, content string, same array<string>")
+    for _ in range(2):  # a task may be tried again
+        tables.write_source_files(files, f"file:{tmp_path}/again")
+    assert {str(x.relative_to(tmp_path / "again")): x.read_text() for x in (tmp_path / "again").rglob("*") if x.is_file()} == {"a/x.py": "new", "a/y.md": "new", "b/z.py": "new", "c.py": ""}
+
+
 def test_stream_equals_batch_and_gap_is_inclusive(spark, tmp_path):
     t = datetime(2024, 1, 1)
     rows = [("r", "a.ts", t), ("r", "b.ts", t + timedelta(seconds=1)), ("r", "a.ts", t + timedelta(seconds=2)), ("r", "c.ts", t + timedelta(seconds=9)), ("r", "x.md", t + timedelta(seconds=3)), ("q", "z.py", t + timedelta(days=1))]

@@ -67,14 +67,14 @@ def _server(s: SparkSession, d: str) -> DataFrame:
 def _tree(s: SparkSession, d: str) -> DataFrame:
     """The client files as a tree in the shared folder, read back; beside each a note that is no source, a copy in an ignored folder, and one in a
     folder that the tree's ignore file names. A task writes the four of a part together: a folder takes one new file at a time, so tasks that all
-    write into the same one would wait for each other.
+    write into the same one would wait for each other. The three have the file's content and are further names of it.
     """
     root = tables.new_path(s, "tree")
     files = _client(s, d).select("path", "content")
     moved = lambda old, new: F.replace("path", F.lit(old), F.lit(new))
     rules = files.limit(1).select(F.lit(".gitignore").alias("path"), F.lit("# made\nmade/\n").alias("content"))
-    paths = F.array(F.col("path"), moved(".tsx", ".md"), moved("web/", "web/node_modules/"), moved("web/", "web/made/"))
-    every = files.select(F.explode(paths).alias("path"), "content").unionByName(rules)
+    same = F.array(moved(".tsx", ".md"), moved("web/", "web/node_modules/"), moved("web/", "web/made/"))
+    every = files.withColumn("same", same).unionByName(rules, allowMissingColumns=True)
     tables.write_source_files(every, root if "://" in root else f"file://{root.removeprefix('file:')}")
     return tables.read_source_files(s, root, "tree").select("repo_id", "path", "size", "sha256")
 
